@@ -95,3 +95,281 @@ def q_classification_sample(spark, d):
     # exercises the part cut that the 20-part default never reaches on this data.
     return C.classification_sample(table(spark, d, "conversations", "conv_id", "turn", "text"),
                                    key="conv_id", order="turn", max_parts=3)
+
+
+# ---------------------------------------------------------------------------- corpus as files
+# The documents table stands in for a corpus of one-part files: path = source/doc_id.
+# The "previous" state (manifest) is derived from the same table by language: German files
+# were deleted since, Spanish ones are new, French ones were edited, English unchanged.
+def _files(spark, d):
+    docs = table(spark, d, "documents", "doc_id", "source", "lang", "text")
+    return docs.select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string"))
+                       .alias("path"), "lang", F.md5("text").alias("md5"), "text")
+
+
+def _current(spark, d):
+    return _files(spark, d).where(F.col("lang") != "de")
+
+
+def _manifest(spark, d):
+    f = table(spark, d, "documents", "doc_id", "source", "lang", "text").where(F.col("lang") != "es")
+    return f.select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"),
+                    F.when(F.col("lang") == "fr", F.md5(F.concat("text", F.lit("\n"))))
+                    .otherwise(F.md5("text")).alias("md5"))
+
+
+_FILES_SQL = """
+WITH cur AS (SELECT doc_id, source || '/' || CAST(doc_id AS VARCHAR) AS path, md5(text) AS md5
+             FROM documents WHERE lang <> 'de'),
+man AS (SELECT source || '/' || CAST(doc_id AS VARCHAR) AS path,
+               CASE WHEN lang = 'fr' THEN md5(text || chr(10)) ELSE md5(text) END AS md5
+        FROM documents WHERE lang <> 'es')
+"""
+
+
+@query("changed_files", _FILES_SQL + """
+SELECT doc_id, md5 FROM cur WHERE NOT EXISTS (
+  SELECT 1 FROM man WHERE man.path = cur.path AND man.md5 = cur.md5)""")
+def q_changed_files(spark, d):
+    from vellum.operators.index import changed_files
+    return changed_files(_current(spark, d), _manifest(spark, d)).select("doc_id", "md5")
+
+
+@query("corpus_diff", _FILES_SQL + """
+SELECT CAST(split_part(coalesce(cur.path, man.path), '/', 2) AS BIGINT) AS doc_id,
+       CASE WHEN man.md5 IS NULL THEN 'new' WHEN cur.md5 IS NULL THEN 'deleted'
+            WHEN man.md5 = cur.md5 THEN 'unchanged' ELSE 'changed' END AS state
+FROM cur FULL OUTER JOIN man ON cur.path = man.path""")
+def q_corpus_diff(spark, d):
+    from vellum.operators.index import corpus_diff
+    diff = corpus_diff(_current(spark, d), _manifest(spark, d))
+    return diff.select(F.substring_index("path", "/", -1).cast("bigint").alias("doc_id"), "state")
+
+
+# ---------------------------------------------------------------------------- chunking
+@query("chunk_fixed", f"""
+WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 0),
+c AS (SELECT doc_id, text, unnest(range(0, CASE WHEN n <= {config.CHUNK_SIZE} THEN 0
+             ELSE CAST(ceil((n - {config.CHUNK_SIZE}) / {config.CHUNK_SIZE - config.CHUNK_OVERLAP}.0) AS BIGINT) END + 1))
+             AS chunk_index FROM d)
+SELECT doc_id, CAST(chunk_index AS INTEGER) AS chunk_index,
+       CAST(chunk_index * {config.CHUNK_SIZE - config.CHUNK_OVERLAP} AS INTEGER) AS start_index,
+       substring(text, chunk_index * {config.CHUNK_SIZE - config.CHUNK_OVERLAP} + 1, {config.CHUNK_SIZE}) AS text
+FROM c""")
+def q_chunk_fixed(spark, d):
+    from vellum.operators.chunk import chunk_fixed
+    return chunk_fixed(table(spark, d, "documents", "doc_id", "text"))
+
+
+@query("chunk_recursive")
+def q_chunk_recursive(spark, d):
+    from vellum.operators.chunk import chunk_recursive
+    return chunk_recursive(table(spark, d, "documents", "doc_id", "text"))
+
+
+@query("chunk_semantic")
+def q_chunk_semantic(spark, d):
+    from vellum.operators.chunk import chunk_semantic
+    return chunk_semantic(table(spark, d, "documents", "doc_id", "text"))
+
+
+def _ids_sql(where: str = "TRUE", text: str = "text") -> str:
+    return f"""
+SELECT doc_id, source, lang, {text} AS text,
+       coalesce(source, '') || ':' || coalesce(lang, '') || ':' ||
+       CAST(row_number() OVER (PARTITION BY source, run ORDER BY doc_id) - 1 AS VARCHAR) AS id
+FROM (SELECT *, sum(new) OVER (PARTITION BY source ORDER BY doc_id
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
+      FROM (SELECT doc_id, source, lang, text,
+                   CASE WHEN row_number() OVER w > 1 AND lag(lang) OVER w IS NOT DISTINCT FROM lang
+                        THEN 0 ELSE 1 END AS new
+            FROM documents WHERE {where}
+            WINDOW w AS (PARTITION BY source ORDER BY doc_id)) r) g"""
+
+
+def _ids(spark, d, docs=None):
+    from vellum.operators.chunk import chunk_ids
+    docs = docs if docs is not None else table(spark, d, "documents", "doc_id", "source", "lang", "text")
+    return chunk_ids(docs, "source", "lang", ["doc_id"])
+
+
+@query("chunk_ids", f"SELECT doc_id, id FROM ({_ids_sql()}) x")
+def q_chunk_ids(spark, d):
+    return _ids(spark, d).select("doc_id", "id")
+
+
+@query("dedup_latest", f"SELECT id, max(doc_id) AS doc_id FROM ({_ids_sql()}) x GROUP BY id")
+def q_dedup_latest(spark, d):
+    from vellum.operators.chunk import dedup_latest
+    return dedup_latest(_ids(spark, d).select("id", "doc_id"), "id", "doc_id")
+
+
+# ---------------------------------------------------------------------------- index upsert
+# Old batch: every document but the Spanish ones. New batch: French and Spanish documents
+# with edited text. Ids are computed per batch, as each add call computes them.
+def _batch(spark, d, old: bool):
+    from vellum.operators.chunk import dedup_latest
+    docs = table(spark, d, "documents", "doc_id", "source", "lang", "text")
+    if old:
+        docs = docs.where(F.col("lang") != "es")
+    else:
+        docs = docs.where(F.col("lang").isin("fr", "es")).withColumn(
+            "text", F.concat("text", F.lit(" [rev]")))
+    rows = _ids(spark, d, docs).select("id", "doc_id", "source", F.md5("text").alias("md5"))
+    return dedup_latest(rows, "id", "doc_id")
+
+
+_BATCH_SQL = f"""
+WITH o AS (SELECT id, arg_max(doc_id, doc_id) AS doc_id, arg_max(source, doc_id) AS source,
+                  arg_max(md5(text), doc_id) AS md5
+           FROM ({_ids_sql("lang <> 'es'")}) x GROUP BY id),
+n AS (SELECT id, arg_max(doc_id, doc_id) AS doc_id, arg_max(source, doc_id) AS source,
+             arg_max(md5(text), doc_id) AS md5
+      FROM ({_ids_sql("lang IN ('fr', 'es')", "text || ' [rev]'")}) x GROUP BY id)
+"""
+
+
+@query("index_upsert", _BATCH_SQL + """
+SELECT id, doc_id, md5 FROM o WHERE id NOT IN (SELECT id FROM n)
+UNION ALL SELECT id, doc_id, md5 FROM n""")
+def q_index_upsert(spark, d):
+    from vellum.operators.index import upsert
+    return upsert(_batch(spark, d, True), _batch(spark, d, False)).select("id", "doc_id", "md5")
+
+
+@query("index_replace_source", _BATCH_SQL + """
+SELECT id, doc_id, md5 FROM o
+WHERE source NOT IN (SELECT source FROM n) AND id NOT IN (SELECT id FROM n)
+UNION ALL SELECT id, doc_id, md5 FROM n""")
+def q_index_replace_source(spark, d):
+    from vellum.operators.index import replace_source
+    return replace_source(_batch(spark, d, True), _batch(spark, d, False)).select(
+        "id", "doc_id", "md5")
+
+
+# Index of classified documents: id from chunk_ids, the latest document per id wins.
+def _classified_index(spark, d):
+    from vellum.operators.chunk import dedup_latest
+    docs = table(spark, d, "documents", "doc_id", "source", "lang", "text")
+    cat = C.classify_keyword(docs.select("doc_id", "text"))
+    rows = _ids(spark, d, docs).join(cat, "doc_id").select("id", "doc_id", "source",
+                                                             "file_category")
+    return dedup_latest(rows, "id", "doc_id")
+
+
+_CLASSIFIED_SQL = _KW_SCORES_SQL + f""",
+cat AS (SELECT s.doc_id, coalesce((SELECT arg_min(category, -score * 1000 + rank) FROM sc
+                 WHERE sc.doc_id = s.doc_id AND sc.score > 0), 'GENERAL') AS file_category FROM s),
+idx AS (SELECT id, arg_max(x.doc_id, x.doc_id) AS doc_id, arg_max(source, x.doc_id) AS source,
+               arg_max(file_category, x.doc_id) AS file_category
+        FROM ({_ids_sql()}) x JOIN cat ON cat.doc_id = x.doc_id GROUP BY id)
+"""
+
+
+@query("index_count", _CLASSIFIED_SQL + "SELECT CAST(count(*) AS BIGINT) AS n FROM idx")
+def q_index_count(spark, d):
+    from vellum.operators.index import index_count
+    return index_count(_classified_index(spark, d))
+
+
+@query("peek_sources", _CLASSIFIED_SQL + f"""
+SELECT coalesce(source, 'N/A') AS source, arg_min(coalesce(file_category, 'N/A'), id) AS file_category
+FROM (SELECT * FROM idx ORDER BY id LIMIT {config.PEEK_LIMIT}) p GROUP BY 1""")
+def q_peek_sources(spark, d):
+    from vellum.operators.index import peek_sources
+    return peek_sources(_classified_index(spark, d))
+
+
+# ---------------------------------------------------------------------------- retrieval
+# Index: the embeddings table (id = vec_id). Queries: the unit mean vector of each label,
+# so the query table is derived from the whole index and every query scans all of it.
+def _vec_index(spark, d):
+    return table(spark, d, "embeddings", "vec_id", "embedding").withColumnRenamed("vec_id", "id")
+
+
+def _vec_queries(spark, d):
+    from vellum.operators.search import centroid_queries
+    return centroid_queries(table(spark, d, "embeddings", "label", "embedding"))
+
+
+def _hits(spark, d, threshold, mode="cosine"):
+    from vellum.operators.search import topk_similarity
+    return topk_similarity(_vec_index(spark, d), _vec_queries(spark, d), k=config.TOP_K,
+                           threshold=threshold, mode=mode)
+
+
+def _score_sql(mode: str) -> str:
+    cos = ("list_dot_product(ev, qv) / (sqrt(list_dot_product(ev, ev)) * sqrt(list_dot_product(qv, qv)))")
+    return cos if mode == "cosine" else f"(1.0 + {cos}) / 2.0"
+
+
+def _hits_sql(threshold: float, mode: str = "cosine") -> str:
+    return f"""
+WITH dims AS (SELECT label, pos, avg(CAST(x AS DOUBLE)) AS m
+              FROM (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos
+                    FROM embeddings) u GROUP BY label, pos),
+qn AS (SELECT label, sqrt(sum(m * m)) AS n FROM dims GROUP BY label),
+q AS (SELECT dims.label AS query_id,
+             list(CASE WHEN qn.n > 0 THEN m / qn.n ELSE m END ORDER BY pos) AS qv
+      FROM dims JOIN qn ON dims.label = qn.label GROUP BY dims.label),
+e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS ev FROM embeddings),
+s AS (SELECT query_id, id, round({_score_sql(mode)}, 6) AS score FROM e CROSS JOIN q),
+hits AS (SELECT query_id, id, CAST(rn AS INTEGER) AS rank, score FROM (
+           SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn
+           FROM s WHERE score >= {threshold}) r WHERE rn <= {config.TOP_K})
+"""
+
+
+@query("topk_similarity", _hits_sql(0.2) + "SELECT query_id, id, rank, score FROM hits")
+def q_topk_similarity(spark, d):
+    return _hits(spark, d, 0.2)
+
+
+@query("topk_similarity_lsh")
+def q_topk_similarity_lsh(spark, d):
+    from vellum.operators.search import topk_similarity_lsh
+    return topk_similarity_lsh(_vec_index(spark, d), _vec_queries(spark, d),
+                               k=config.TOP_K, threshold=0.2)
+
+
+@query("retrieval_confidence", _hits_sql(0.5, "unit") + """
+SELECT q.query_id, round(coalesce(avg(score), 0.0), 6) AS confidence
+FROM q LEFT JOIN hits ON hits.query_id = q.query_id GROUP BY q.query_id""")
+def q_retrieval_confidence(spark, d):
+    from vellum.operators.search import retrieval_confidence
+    return retrieval_confidence(_hits(spark, d, 0.5, "unit"), _vec_queries(spark, d))
+
+
+def _context_sql(threshold: float, mode: str = "cosine", confidence: bool = False) -> str:
+    sep = config.CONTEXT_SEPARATOR.replace("\n", "' || chr(10) || '")
+    conf = ", round(coalesce(a.conf, 0.0), 6) AS confidence" if confidence else ""
+    return _hits_sql(threshold, mode) + f""",
+a AS (SELECT hits.query_id,
+             list_sort(list(DISTINCT coalesce(doc.source, 'Unknown'))) AS sources,
+             string_agg(coalesce(doc.text, ''), '{sep}' ORDER BY hits.rank) AS ctx,
+             avg(score) AS conf
+      FROM hits LEFT JOIN documents doc ON doc.doc_id = hits.id GROUP BY hits.query_id)
+SELECT q.query_id, array_to_string(coalesce(a.sources, []), ', ') AS sources,
+       CAST(coalesce(len(a.sources), 0) AS INTEGER) AS num_sources,
+       coalesce(a.ctx, '{config.NO_CONTEXT}') AS context{conf}
+FROM q LEFT JOIN a ON a.query_id = q.query_id"""
+
+
+def _context(spark, d, threshold, mode="cosine", confidence=False):
+    from vellum.operators.search import context_assembly
+    docs = table(spark, d, "documents", "doc_id", "source", "text").withColumnRenamed("doc_id", "id")
+    out = context_assembly(_hits(spark, d, threshold, mode), docs, _vec_queries(spark, d),
+                           with_confidence=confidence)
+    return out.withColumn("sources", F.array_join("sources", ", "))
+
+
+@query("context_assembly", _context_sql(0.2))
+def q_context_assembly(spark, d):
+    return _context(spark, d, 0.2)
+
+
+@query("retrieve_context", _context_sql(config.SIMILARITY_THRESHOLD, "cosine", True))
+def q_retrieve_context(spark, d):
+    # Reference defaults (cosine >= 0.5): no label mean reaches it, so every query takes
+    # the no-hit defaults (confidence 0.0, no sources, the fixed context text).
+    return _context(spark, d, config.SIMILARITY_THRESHOLD, "cosine", True)
