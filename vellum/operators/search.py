@@ -161,12 +161,20 @@ def topk_similarity_lsh(index: DataFrame, queries: DataFrame, k: int = config.TO
     return ranked.select(query_key, index_key, F.col("rank").cast("int"), "score")
 
 
+def mean_score(score: str = "score"):
+    """Mean of 6-decimal scores computed on exact integer micro-units, so the result does
+    not depend on summation order (a plain double mean of ten such scores lands on a
+    rounding tie at the 6th decimal surprisingly often)."""
+    micro = F.sum(F.round(F.col(score) * 1e6).cast("long"))
+    return micro / F.count(score) / F.lit(1e6)
+
+
 def retrieval_confidence(hits: DataFrame, queries: DataFrame,
                          query_key: str = "query_id") -> DataFrame:
     """D3: ``(query_id, confidence)`` = mean hit score, 0.0 for a query without hits."""
-    agg = hits.groupBy(query_key).agg(F.avg("score").alias("_c"))
+    agg = hits.groupBy(query_key).agg(mean_score("score").alias("_c"))
     return (queries.select(query_key).join(agg, query_key, "left")
-            .select(query_key, F.round(F.coalesce("_c", F.lit(0.0)), ROUND).alias("confidence")))
+            .select(query_key, F.coalesce("_c", F.lit(0.0)).alias("confidence")))
 
 
 def context_assembly(hits: DataFrame, docs: DataFrame, queries: DataFrame,
@@ -188,12 +196,12 @@ def context_assembly(hits: DataFrame, docs: DataFrame, queries: DataFrame,
         F.array_join(F.transform(F.array_sort(F.collect_list(
             F.struct("rank", F.coalesce("_txt", F.lit("")).alias("t")))), lambda x: x["t"]),
             config.CONTEXT_SEPARATOR).alias("_ctx"),
-        F.avg("score").alias("_conf"))
+        mean_score("score").alias("_conf"))
     out = queries.select(query_key).join(agg, query_key, "left").select(
         query_key,
         F.coalesce("_sources", F.array().cast("array<string>")).alias("sources"),
         F.when(F.col("_sources").isNull(), F.lit(0)).otherwise(F.size("_sources"))
         .alias("num_sources"),
         F.coalesce("_ctx", F.lit(config.NO_CONTEXT)).alias("context"),
-        F.round(F.coalesce("_conf", F.lit(0.0)), ROUND).alias("confidence"))
+        F.coalesce("_conf", F.lit(0.0)).alias("confidence"))
     return out if with_confidence else out.drop("confidence")

@@ -333,7 +333,7 @@ def q_topk_similarity_lsh(spark, d):
 
 
 @query("retrieval_confidence", _hits_sql(0.5, "unit") + """
-SELECT q.query_id, round(coalesce(avg(score), 0.0), 6) AS confidence
+SELECT q.query_id, coalesce(CAST(sum(CAST(round(score * 1000000) AS BIGINT)) AS DOUBLE) / count(score) / CAST(1000000 AS DOUBLE), 0.0) AS confidence
 FROM q LEFT JOIN hits ON hits.query_id = q.query_id GROUP BY q.query_id""")
 def q_retrieval_confidence(spark, d):
     from vellum.operators.search import retrieval_confidence
@@ -342,12 +342,12 @@ def q_retrieval_confidence(spark, d):
 
 def _context_sql(threshold: float, mode: str = "cosine", confidence: bool = False) -> str:
     sep = config.CONTEXT_SEPARATOR.replace("\n", "' || chr(10) || '")
-    conf = ", round(coalesce(a.conf, 0.0), 6) AS confidence" if confidence else ""
+    conf = ", coalesce(a.conf, 0.0) AS confidence" if confidence else ""
     return _hits_sql(threshold, mode) + f""",
 a AS (SELECT hits.query_id,
              list_sort(list(DISTINCT coalesce(doc.source, 'Unknown'))) AS sources,
              string_agg(coalesce(doc.text, ''), '{sep}' ORDER BY hits.rank) AS ctx,
-             avg(score) AS conf
+             CAST(sum(CAST(round(score * 1000000) AS BIGINT)) AS DOUBLE) / count(score) / CAST(1000000 AS DOUBLE) AS conf
       FROM hits LEFT JOIN documents doc ON doc.doc_id = hits.id GROUP BY hits.query_id)
 SELECT q.query_id, array_to_string(coalesce(a.sources, []), ', ') AS sources,
        CAST(coalesce(len(a.sources), 0) AS INTEGER) AS num_sources,
@@ -373,3 +373,157 @@ def q_retrieve_context(spark, d):
     # Reference defaults (cosine >= 0.5): no label mean reaches it, so every query takes
     # the no-hit defaults (confidence 0.0, no sources, the fixed context text).
     return _context(spark, d, config.SIMILARITY_THRESHOLD, "cosine", True)
+
+
+# ---------------------------------------------------------------------------- metadata, html
+@query("metadata_scalars", """
+SELECT event_id, j.key AS key_name, j.value ->> '$' AS value
+FROM events, json_each(events.props) AS j
+WHERE json_type(j.value) NOT IN ('ARRAY', 'OBJECT', 'NULL')""")
+def q_metadata_scalars(spark, d):
+    from vellum.functions.metadata import metadata_scalars
+    return metadata_scalars(table(spark, d, "events", "event_id", "props"), "event_id", "props")
+
+
+@query("html_to_text")
+def q_html_to_text(spark, d):
+    from vellum.sources.extract import html_to_text
+    return html_to_text(table(spark, d, "pages", "page_id", "html"))
+
+
+# ---------------------------------------------------------------------------- embeddings of text
+_TOKEN_RE = r"[^\p{L}\p{N}]+"
+
+
+def _bow_sql(name: str, src: str, key: str, text: str, dim: int = config.VECTOR_WIDTH) -> str:
+    """Sparse hashed bag of words in SQL: ``{name}(key, b, w)`` with float-rounded weights
+    and ``{name}_n(key, nn)`` norms; the same rule as ``vellum.operators.embed``."""
+    return f"""
+{name}_tok AS (SELECT {key} AS k, unnest(regexp_split_to_array(lower({text}), '{_TOKEN_RE}')) AS tok
+               FROM {src}),
+{name}_cnt AS (SELECT k, ('0x' || substr(md5(tok), 1, 8))::BIGINT % {dim} AS b, count(*) AS c
+               FROM {name}_tok WHERE tok <> '' GROUP BY ALL),
+{name}_raw AS (SELECT k, sqrt(sum(c * c)) AS n FROM {name}_cnt GROUP BY k),
+{name} AS (SELECT c.k, c.b, CAST(CAST(c.c / r.n AS FLOAT) AS DOUBLE) AS w
+           FROM {name}_cnt c JOIN {name}_raw r ON c.k = r.k),
+{name}_n AS (SELECT k, sqrt(sum(w * w)) AS nn FROM {name} GROUP BY k)"""
+
+
+@query("embed_text", "WITH " + _bow_sql("v", "documents", "doc_id", "coalesce(text, '')") + f""",
+ids AS (SELECT doc_id FROM documents),
+grid AS (SELECT doc_id, b FROM ids, range({config.VECTOR_WIDTH}) t(b))
+SELECT grid.doc_id, list(CAST(coalesce(v.w, 0.0) AS FLOAT) ORDER BY grid.b) AS embedding
+FROM grid LEFT JOIN v ON v.k = grid.doc_id AND v.b = grid.b GROUP BY grid.doc_id""")
+def q_embed_text(spark, d):
+    from vellum.operators.embed import embed
+    return embed(table(spark, d, "documents", "doc_id", "text"), "text").select("doc_id", "embedding")
+
+
+# ---------------------------------------------------------------------------- questions, prompts
+TEXT_THRESHOLD = 0.3
+
+
+def _text_chunks(spark, d):
+    from vellum.operators.chunk import chunk_fixed
+    docs = table(spark, d, "documents", "doc_id", "source", "text")
+    ch = chunk_fixed(docs, keep=("source",))
+    return ch.select(F.concat_ws(":", F.col("doc_id").cast("string"),
+                                 F.col("chunk_index").cast("string")).alias("id"),
+                     "source", "text")
+
+
+def _text_index(spark, d):
+    from vellum.plans.answer import text_index
+    return text_index(_text_chunks(spark, d))
+
+
+def _questions(spark, d):
+    from vellum.plans.answer import prepare_queries
+    return prepare_queries(table(spark, d, "benchmark", "item_id", "text"))
+
+
+_STEP = config.CHUNK_SIZE - config.CHUNK_OVERLAP
+_CHUNKS_SQL = f"""
+chunks AS (SELECT CAST(doc_id AS VARCHAR) || ':' || CAST(ci AS VARCHAR) AS id, source,
+                  substring(text, ci * {_STEP} + 1, {config.CHUNK_SIZE}) AS text
+           FROM (SELECT doc_id, source, text, unnest(range(0, CASE WHEN length(text) <= {config.CHUNK_SIZE}
+                   THEN 0 ELSE CAST(ceil((length(text) - {config.CHUNK_SIZE}) / {_STEP}.0) AS BIGINT) END + 1)) AS ci
+                 FROM documents WHERE length(text) > 0) x)"""
+
+
+def _text_hits_sql(qsrc: str, qkey: str, qtext: str, threshold: float) -> str:
+    return (_CHUNKS_SQL + "," + _bow_sql("cv", "chunks", "id", "text") + ","
+            + _bow_sql("qv", qsrc, qkey, qtext) + f""",
+dots AS (SELECT q.k AS query_id, c.k AS id, sum(q.w * c.w) AS dot
+         FROM qv q JOIN cv c ON q.b = c.b GROUP BY ALL),
+s AS (SELECT dots.query_id, dots.id, round(dot / (qn.nn * cn.nn), 6) AS score
+      FROM dots JOIN qv_n qn ON qn.k = dots.query_id JOIN cv_n cn ON cn.k = dots.id),
+hits AS (SELECT query_id, id, rn AS rank, score FROM (
+           SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn
+           FROM s WHERE score >= {threshold}) r WHERE rn <= {config.TOP_K}),
+a AS (SELECT hits.query_id, list_sort(list(DISTINCT coalesce(chunks.source, 'Unknown'))) AS sources,
+             string_agg(coalesce(chunks.text, ''), '{config.CONTEXT_SEPARATOR.replace(chr(10), "' || chr(10) || '")}'
+                        ORDER BY hits.rank) AS ctx,
+             CAST(sum(CAST(round(score * 1000000) AS BIGINT)) AS DOUBLE) / count(score) / CAST(1000000 AS DOUBLE) AS conf
+      FROM hits LEFT JOIN chunks ON chunks.id = hits.id GROUP BY hits.query_id)""")
+
+
+def _fill_sql(template: str, **values: str) -> str:
+    """SQL twin of ``fill_template``: literal pieces and values joined with ``||``."""
+    out, rest = [], template
+    while rest:
+        hits = [(rest.find("{" + k + "}"), k) for k in values if "{" + k + "}" in rest]
+        if not hits:
+            out.append(_sql_lit(rest))
+            break
+        pos, k = min(hits)
+        if pos:
+            out.append(_sql_lit(rest[:pos]))
+        out.append(f"coalesce(CAST({values[k]} AS VARCHAR), '')")
+        rest = rest[pos + len(k) + 2:]
+    return " || ".join(out)
+
+
+def _sql_lit(s: str) -> str:
+    parts = s.split("\n")
+    return " || chr(10) || ".join(_sql_str(p) for p in parts)
+
+
+_Q_SQL = "questions AS (SELECT item_id, trim(text) AS question FROM benchmark WHERE length(trim(text)) > 0)"
+
+
+@query("prepare_queries", "WITH " + _Q_SQL + " SELECT item_id, question FROM questions")
+def q_prepare_queries(spark, d):
+    return _questions(spark, d)
+
+
+@query("rag_prompt", "WITH " + _Q_SQL + "," + _text_hits_sql("questions", "item_id", "question",
+                                                             TEXT_THRESHOLD) + f"""
+SELECT q.item_id,
+       {_fill_sql(config.QUERY_TEMPLATE, context=f"coalesce(a.ctx, '{config.NO_CONTEXT}')", question="q.question")} AS prompt,
+       array_to_string(coalesce(a.sources, []), ', ') AS sources,
+       CAST(coalesce(len(a.sources), 0) AS INTEGER) AS num_sources,
+       coalesce(a.conf, 0.0) AS confidence
+FROM questions q LEFT JOIN a ON a.query_id = q.item_id""")
+def q_rag_prompt(spark, d):
+    from vellum.plans.answer import rag_prompts
+    p = rag_prompts(_text_index(spark, d), _questions(spark, d), threshold=TEXT_THRESHOLD)
+    return p.select("item_id", "prompt", F.array_join("sources", ", ").alias("sources"),
+                    "num_sources", "confidence")
+
+
+def echo_generator(prompts: list[str]) -> list[str]:
+    """Deterministic stand-in for a model: the question line of each prompt."""
+    out = []
+    for p in prompts:
+        q = p.rsplit("Question: ", 1)[-1]
+        out.append("You asked: " + q.split("\n", 1)[0])
+    return out
+
+
+@query("rag_answer")
+def q_rag_answer(spark, d):
+    from vellum.plans.answer import rag_answer
+    r = rag_answer(_text_index(spark, d), _questions(spark, d), echo_generator,
+                   threshold=TEXT_THRESHOLD)
+    return r.withColumn("sources", F.array_join("sources", ", "))
