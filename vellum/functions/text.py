@@ -29,9 +29,18 @@ def id_format(*parts: str | Column) -> Column:
     return F.concat(*cols)
 
 
+WS = r"[ \t\n\r\f\x0B]"
+
+
+def strip_ws(text: str | Column) -> Column:
+    """Remove leading and trailing whitespace (space, tab, newline, CR, FF, VT), like a
+    Python ``strip()`` on ASCII whitespace; ``trim`` alone removes spaces only."""
+    return F.regexp_replace(_c(text), f"^{WS}+|{WS}+$", "")
+
+
 def clean_title(title: str | Column) -> Column:
-    """trim, then delete double quotes (order matters)."""
-    return F.replace(F.trim(_c(title)), F.lit('"'), F.lit(""))
+    """strip, then delete double quotes (order matters)."""
+    return F.replace(strip_ws(title), F.lit('"'), F.lit(""))
 
 
 def display_title(title: str | Column, n: int = config.TITLE_DISPLAY_LEN) -> Column:

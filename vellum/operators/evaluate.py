@@ -45,10 +45,10 @@ def judge_udf(judge: Callable[[list[str], list[str]], list[float]]):
 
 def evaluate(cases: DataFrame, actual: str = "actual_output", expected: str = "expected_output",
              key: tuple[str, ...] = ("case_id",), judge=None,
-             threshold: float = config.PASS_THRESHOLD) -> DataFrame:
+             threshold: float = config.PASS_THRESHOLD, rounding: int | None = 6) -> DataFrame:
     """``(*key, score, passed)``; ``passed := score >= threshold``."""
     s = token_f1(actual, expected) if judge is None else judge_udf(judge)(F.col(actual), F.col(expected))
-    out = cases.select(*key, F.round(s, 6).alias("score"))
+    out = cases.select(*key, (s if rounding is None else F.round(s, rounding)).alias("score"))
     return out.withColumn("passed", F.col("score") >= F.lit(threshold))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum import config
-from vellum.functions.text import fill_template
+from vellum.functions.text import fill_template, strip_ws
 from vellum.operators.embed import embed
 from vellum.operators.search import context_assembly, topk_similarity
 from vellum.operators.sessions import chat_role, history_upto
@@ -25,7 +25,7 @@ APOLOGY = "Sorry, the answer could not be generated. Please try again."
 
 def prepare_queries(df: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
     """``(key, question)``: trimmed, empty questions skipped."""
-    q = F.trim(F.col(text))
+    q = strip_ws(text)
     return df.select(key, q.alias("question")).where(F.length("question") > 0)
 
 

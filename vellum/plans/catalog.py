@@ -489,7 +489,15 @@ def _sql_lit(s: str) -> str:
     return " || chr(10) || ".join(_sql_str(p) for p in parts)
 
 
-_Q_SQL = "questions AS (SELECT item_id, trim(text) AS question FROM benchmark WHERE length(trim(text)) > 0)"
+_WS_SQL = "'^[ \\t\\n\\r\\f\\x0B]+|[ \\t\\n\\r\\f\\x0B]+$'"
+
+
+def _strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, {_WS_SQL}, '', 'g')"
+
+
+_Q_SQL = (f"questions AS (SELECT item_id, {_strip_sql('text')} AS question FROM benchmark "
+          f"WHERE length({_strip_sql('text')}) > 0)")
 
 
 @query("prepare_queries", "WITH " + _Q_SQL + " SELECT item_id, question FROM questions")
@@ -527,3 +535,248 @@ def q_rag_answer(spark, d):
     r = rag_answer(_text_index(spark, d), _questions(spark, d), echo_generator,
                    threshold=TEXT_THRESHOLD)
     return r.withColumn("sources", F.array_join("sources", ", "))
+
+
+# ---------------------------------------------------------------------------- sessions
+# conversations = messages; conv_id is the session, turn the position. The string session
+# id is md5(conv_id). Stored titles come from each session's first system message (cut to
+# 40 characters, cleaned as a model reply is).
+def _conv(spark, d, *cols):
+    return table(spark, d, "conversations", *(cols or ("conv_id", "turn", "role", "text")))
+
+
+_ROLE_SQL = "CASE WHEN lower(role) IN ('human', 'user') THEN 'user' ELSE 'assistant' END"
+
+
+@query("history_roles", f"SELECT conv_id, turn, {_ROLE_SQL} AS role, text AS content FROM conversations")
+def q_history_roles(spark, d):
+    from vellum.operators.sessions import history_roles
+    return history_roles(_conv(spark, d))
+
+
+@query("history_preview", f"""
+SELECT conv_id, turn, substring(coalesce(text, ''), 1, {config.PREVIEW_LEN}) || '...' AS preview
+FROM conversations""")
+def q_history_preview(spark, d):
+    from vellum.operators.sessions import history_preview
+    return history_preview(_conv(spark, d, "conv_id", "turn", "text"))
+
+
+_HIST_SQL = f"""
+hist AS (SELECT conv_id, turn, coalesce(string_agg({_ROLE_SQL} || ': ' || coalesce(text, ''), chr(10)
+                 ORDER BY turn) OVER (PARTITION BY conv_id ORDER BY turn
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS history
+         FROM conversations)"""
+
+
+@query("chat_history_upto", f"WITH {_HIST_SQL} SELECT conv_id, turn, history FROM hist")
+def q_chat_history_upto(spark, d):
+    from vellum.operators.sessions import history_upto
+    return history_upto(_conv(spark, d))
+
+
+_USERS_SQL = ("users AS (SELECT conv_id, turn, CAST(conv_id AS VARCHAR) || '#' || CAST(turn AS VARCHAR) AS qk, "
+              f"text AS question FROM conversations WHERE {_ROLE_SQL} = 'user')")
+
+
+@query("chat_input", f"WITH {_HIST_SQL}, {_USERS_SQL}, "
+       + _text_hits_sql("users", "qk", "question", TEXT_THRESHOLD) + f"""
+SELECT u.conv_id, u.turn,
+       {_fill_sql(config.CHAT_TEMPLATE, context=f"coalesce(a.ctx, '{config.NO_CONTEXT}')",
+                  history="coalesce(h.history, '')", question="u.question")} AS prompt,
+       array_to_string(coalesce(a.sources, []), ', ') AS sources,
+       CAST(coalesce(len(a.sources), 0) AS INTEGER) AS num_sources,
+       coalesce(a.conf, 0.0) AS confidence
+FROM users u LEFT JOIN hist h ON h.conv_id = u.conv_id AND h.turn = u.turn
+LEFT JOIN a ON a.query_id = u.qk""")
+def q_chat_input(spark, d):
+    from vellum.plans.answer import chat_inputs
+    out = chat_inputs(_text_index(spark, d), _conv(spark, d), threshold=TEXT_THRESHOLD)
+    return out.withColumn("sources", F.array_join("sources", ", "))
+
+
+def _stored_titles(spark, d):
+    from vellum.functions.text import clean_title
+    from vellum.operators.sessions import first_message
+    first = first_message(_conv(spark, d), which="system")
+    return first.select("conv_id", clean_title(F.substring("message", 1, 40)).alias("title"))
+
+
+_TITLES_SQL = f"""
+stored AS (SELECT conv_id, replace({_strip_sql("substring(arg_min(text, turn), 1, 40)")}, '"', '') AS title
+           FROM conversations WHERE role = 'system' GROUP BY conv_id)"""
+
+
+@query("session_titles", f"""WITH {_TITLES_SQL}
+SELECT s.conv_id, coalesce(t.title, 'Session ' || substring(md5(CAST(s.conv_id AS VARCHAR)), 1, 8)) AS title
+FROM (SELECT DISTINCT conv_id FROM conversations) s LEFT JOIN stored t ON t.conv_id = s.conv_id""")
+def q_session_titles(spark, d):
+    from vellum.operators.sessions import session_titles
+    return session_titles(_conv(spark, d, "conv_id").distinct(), _stored_titles(spark, d))
+
+
+@query("session_title_input", f"""
+SELECT conv_id, {_fill_sql(config.TITLE_TEMPLATE, message="arg_min(text, turn)")} AS prompt
+FROM conversations WHERE role = 'user' GROUP BY conv_id""")
+def q_session_title_input(spark, d):
+    from vellum.operators.sessions import title_input
+    return title_input(_conv(spark, d))
+
+
+@query("session_counts", "SELECT conv_id, CAST(count(*) AS BIGINT) AS n FROM conversations GROUP BY conv_id")
+def q_session_counts(spark, d):
+    from vellum.operators.sessions import session_counts
+    return session_counts(_conv(spark, d, "conv_id"))
+
+
+@query("sessions_newest", """
+SELECT conv_id, CAST(row_number() OVER (ORDER BY conv_id DESC) AS BIGINT) AS position
+FROM (SELECT DISTINCT conv_id FROM conversations) s""")
+def q_sessions_newest(spark, d):
+    from vellum.operators.sessions import sessions_newest
+    # Sessions were created in conversation-id order.
+    s = _conv(spark, d, "conv_id").distinct().withColumn("created_seq", F.col("conv_id"))
+    return sessions_newest(s)
+
+
+@query("sessions_delete", """
+SELECT conv_id, turn FROM conversations
+WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system')""")
+def q_sessions_delete(spark, d):
+    from vellum.operators.sessions import sessions_delete
+    c = _conv(spark, d, "conv_id", "turn", "role")
+    return sessions_delete(c.select("conv_id", "turn"), c.where(F.col("role") == "system"))
+
+
+@query("sessions_upsert", f"""WITH {_TITLES_SQL}
+SELECT conv_id, '{config.NEW_CHAT_TITLE}' AS title FROM (SELECT DISTINCT conv_id FROM conversations) s
+WHERE conv_id NOT IN (SELECT conv_id FROM stored)
+UNION ALL SELECT conv_id, title FROM stored""")
+def q_sessions_upsert(spark, d):
+    from vellum.operators.sessions import new_sessions, sessions_upsert
+    return sessions_upsert(new_sessions(_conv(spark, d, "conv_id")), _stored_titles(spark, d))
+
+
+# ---------------------------------------------------------------------------- model hooks, eval
+def category_double(prompts: list[str]) -> list[str]:
+    """Deterministic stand-in for a classification model: names the first category whose
+    name appears in the prompt's text, replies with junk for every seventh prompt."""
+    out = []
+    for i, p in enumerate(prompts):
+        body = p.split("---", 1)[-1].lower()
+        hit = next((c for c in config.KEYWORDS if c.lower() in body), None)
+        out.append("not json" if i % 7 == 6 else '{"category": "%s"}' % (hit or "OTHER"))
+    return out
+
+
+@query("classify_model")
+def q_classify_model(spark, d):
+    return C.classify_model(table(spark, d, "documents", "doc_id", "text"), category_double)
+
+
+def _tok_sql(x: str) -> str:
+    return (f"list_distinct(list_filter(regexp_split_to_array(lower(coalesce({x}, '')), "
+            f"'{_TOKEN_RE}'), lambda t: t <> ''))")
+
+
+@query("evaluate_answers", f"""
+WITH p AS (SELECT conv_id, turn, text AS actual,
+                  lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS expected
+           FROM conversations WHERE role = 'assistant'),
+t AS (SELECT conv_id, turn, {_tok_sql('actual')} AS a, {_tok_sql('expected')} AS b
+      FROM p WHERE expected IS NOT NULL),
+s AS (SELECT conv_id, turn, CASE WHEN len(a) + len(b) > 0
+             THEN CAST(2 AS DOUBLE) * len(list_intersect(a, b)) / (len(a) + len(b)) ELSE 0.0 END AS score
+      FROM t)
+SELECT conv_id, turn, score, score >= {config.PASS_THRESHOLD} AS passed FROM s""")
+def q_evaluate_answers(spark, d):
+    from pyspark.sql import Window
+
+    from vellum.operators.evaluate import evaluate
+    a = _conv(spark, d).where(F.col("role") == "assistant")
+    pairs = a.select("conv_id", "turn", F.col("text").alias("actual_output"),
+                     F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+                     .alias("expected_output")).where(F.col("expected_output").isNotNull())
+    return evaluate(pairs, key=("conv_id", "turn"), rounding=None)
+
+
+# ---------------------------------------------------------------------------- scalar functions
+@query("scalar_functions", f"""
+SELECT doc_id, lower(source) AS f_lower, substring(text, 1, 20) AS f_prefix,
+       concat_ws('|', source, lang) AS f_join,
+       coalesce(source, '') || ':' || coalesce(lang, '') || ':' || CAST(doc_id AS VARCHAR) AS f_id,
+       replace({_strip_sql("substring(text, 1, 30)")}, '"', '') AS f_clean,
+       lower(regexp_extract(regexp_replace(source || '.TXT', '[?#].*$', ''), '\\.([^./]+)$', 1)) AS f_ext,
+       starts_with(text, 'The') AS f_starts,
+       coalesce(nullif(lang, 'en'), 'Unknown') AS f_default,
+       md5(source) AS f_md5,
+       printf('%.2f', CAST(n_chars AS DOUBLE) / 7) AS f_fixed,
+       CASE WHEN length(substring(text, 1, 25)) > 20 THEN substring(text, 1, 20) || '..'
+            ELSE substring(text, 1, 25) END AS f_title
+FROM documents""")
+def q_scalar_functions(spark, d):
+    from vellum.functions import text as TX
+    docs = table(spark, d, "documents", "doc_id", "source", "lang", "text", "n_chars")
+    return docs.select(
+        "doc_id", F.lower("source").alias("f_lower"), F.substring("text", 1, 20).alias("f_prefix"),
+        F.concat_ws("|", "source", "lang").alias("f_join"),
+        TX.id_format("source", "lang", "doc_id").alias("f_id"),
+        TX.clean_title(F.substring("text", 1, 30)).alias("f_clean"),
+        TX.file_type(F.concat("source", F.lit(".TXT"))).alias("f_ext"),
+        F.startswith("text", F.lit("The")).alias("f_starts"),
+        F.coalesce(F.nullif("lang", F.lit("en")), F.lit(config.UNKNOWN_SOURCE)).alias("f_default"),
+        F.md5("source").alias("f_md5"),
+        TX.fixed_decimals(F.col("n_chars").cast("double") / F.lit(7.0)).alias("f_fixed"),
+        TX.display_title(F.substring("text", 1, 25)).alias("f_title"))
+
+
+@query("vector_functions", """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS nv FROM e)
+SELECT vec_id, round(nv, 6) AS norm,
+       round(CASE WHEN nv > 0 THEN v[1] / nv ELSE v[1] END, 6) AS unit_first,
+       round(CASE WHEN nv > 0 THEN list_sum(list_transform(v, lambda x: x * x)) / (nv * nv) ELSE 0.0 END, 6) AS self_cosine
+FROM n""")
+def q_vector_functions(spark, d):
+    from vellum.functions import vectors as VF
+    e = table(spark, d, "embeddings", "vec_id", "embedding")
+    return e.select("vec_id", F.round(VF.norm("embedding"), 6).alias("norm"),
+                    F.round(F.element_at(VF.l2_normalize("embedding"), 1), 6).alias("unit_first"),
+                    F.round(VF.cosine("embedding", "embedding"), 6).alias("self_cosine"))
+
+
+# ---------------------------------------------------------------------------- build and runs
+def _parts(spark, d):
+    from vellum.plans.build import documents_as_parts
+    return documents_as_parts(table(spark, d, "documents", "doc_id", "source", "lang", "text"))
+
+
+@query("build_index")
+def q_build_index(spark, d):
+    from vellum.plans.build import index_rows
+    return index_rows(_parts(spark, d))
+
+
+@query("build_metrics")
+def q_build_metrics(spark, d):
+    from vellum.plans.build import build_metrics, index_rows
+    parts = _parts(spark, d)
+    return build_metrics(parts, index_rows(parts))
+
+
+@query("regression_run")
+def q_regression_run(spark, d):
+    from vellum.plans.answer import rag_answer
+    from vellum.plans.build import index_rows
+    r = rag_answer(index_rows(_parts(spark, d)), _questions(spark, d), echo_generator,
+                   threshold=TEXT_THRESHOLD)
+    return r.withColumn("sources", F.array_join("sources", ", "))
+
+
+def flagship(spark, d):
+    """classify -> chunk -> embed -> retrieve -> context for every benchmark question."""
+    from vellum.plans.answer import rag_prompts
+    from vellum.plans.build import index_rows
+    p = rag_prompts(index_rows(_parts(spark, d)), _questions(spark, d), threshold=TEXT_THRESHOLD)
+    return p.select("item_id", "question", F.array_join("sources", ", ").alias("sources"),
+                    "num_sources", "confidence", "context")
