@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from vellum import config
 from vellum.functions import vectors as V
 from vellum.functions.text import id_format
+from vellum.operators.parallel import spread
 
 # --------------------------------------------------------------------------- X1b
 
@@ -130,7 +131,7 @@ def chunk_recursive(docs: DataFrame, key: str = "doc_id", text: str = "text",
     if not 0 <= overlap < size:
         raise ValueError("need 0 <= overlap < size")
     cols = [key, *keep]
-    src = docs.select(*cols, F.col(text).alias("_t"))
+    src = spread(docs.select(*cols, F.col(text).alias("_t")))
     fields = ", ".join(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in cols)
     schema = f"{fields}, chunk_index int, start_index int, text string"
 

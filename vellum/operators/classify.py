@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum import config
+from vellum.operators.parallel import spread
 
 
 def classification_sample(parts: DataFrame, key: str = "source", order: str = "part_idx",
@@ -44,20 +45,52 @@ def sample_column(text: str | Column = "text", max_chars: int = config.SAMPLE_MA
     return F.substring(F.coalesce(c, F.lit("")), 1, max_chars)
 
 
-def _score_udf(keywords: dict[str, list[str]]):
+def keyword_counter(keywords: dict[str, list[str]]):
+    """``count(text) -> list[int]`` per category: for every keyword the number of
+    non-overlapping, left-to-right occurrences in the lower-cased text (``str.count``),
+    summed per category. One Aho-Corasick pass finds all occurrences of all keywords; per
+    keyword an occurrence counts only if it starts after the previous counted one ended,
+    which is exactly ``str.count``. Without the automaton package, ``str.count`` is used."""
     groups = [[w.lower() for w in words] for words in keywords.values()]
+    owners: dict[str, list[int]] = {}
+    for gi, words in enumerate(groups):
+        for w in words:
+            owners.setdefault(w, []).append(gi)
+    try:
+        import ahocorasick
+    except ImportError:  # pragma: no cover
+        def count(text: str) -> list[int]:
+            low = text.lower()
+            return [sum(low.count(w) for w in words) for words in groups]
+        return count
+    auto = ahocorasick.Automaton()
+    for w, gs in owners.items():
+        auto.add_word(w, (w, len(w), tuple(gs)))
+    if owners:
+        auto.make_automaton()
+
+    def count(text: str) -> list[int]:
+        out = [0] * len(groups)
+        if not owners or not text:
+            return out
+        last_end: dict[str, int] = {}
+        for end, (w, n, gs) in auto.iter(text.lower()):
+            if end - n + 1 > last_end.get(w, -1):
+                last_end[w] = end
+                for g in gs:
+                    out[g] += 1
+        return out
+
+    return count
+
+
+def _score_udf(keywords: dict[str, list[str]]):
+    kw = dict(keywords)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def score(sample: pd.Series) -> pd.Series:
-        out = []
-        for s in sample:
-            if not s:
-                out.append([0] * len(groups))
-                continue
-            low = s.lower()
-            # str.count = non-overlapping, left-to-right occurrences of each keyword.
-            out.append([sum(low.count(w) for w in words) for words in groups])
-        return pd.Series(out)
+        count = keyword_counter(kw)
+        return pd.Series([count(s or "") for s in sample])
 
     return score
 
@@ -80,7 +113,7 @@ def keyword_scores(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """``(key, category, score)`` for every non-zero category score of a one-part file."""
     kw = keywords or config.KEYWORDS
     cats = F.array(*[F.lit(c) for c in kw])
-    scored = docs.select(key, score_column(sample_column(text), kw).alias("_s"))
+    scored = spread(docs.select(key, text)).select(key, score_column(sample_column(text), kw).alias("_s"))
     return (scored.select(key, F.posexplode("_s").alias("_pos", "_v"))
             .where(F.col("_v") > 0)
             .select(key, F.element_at(cats, (F.col("_pos") + 1).cast("int")).alias("category"),
@@ -94,8 +127,8 @@ def classify_keyword(docs: DataFrame, key: str = "doc_id", text: str = "text",
     if not enabled:
         return docs.select(key, F.lit(config.UNCLASSIFIED).alias("file_category"))
     kw = keywords or config.KEYWORDS
-    return docs.select(key, category_column(score_column(sample_column(text), kw), kw)
-                       .alias("file_category"))
+    return spread(docs.select(key, text)).select(
+        key, category_column(score_column(sample_column(text), kw), kw).alias("file_category"))
 
 
 def classify_parts(parts: DataFrame, key: str = "source", order: str = "part_idx",
@@ -110,8 +143,8 @@ def classify_parts(parts: DataFrame, key: str = "source", order: str = "part_idx
     sample = classification_sample(parts, key, order, text, max_parts, max_chars)
     if method == "keyword":
         kw = keywords or config.KEYWORDS
-        cat = sample.select(key, category_column(score_column(F.col("sample"), kw), kw)
-                            .alias("file_category"))
+        cat = spread(sample).select(key, category_column(score_column(F.col("sample"), kw), kw)
+                                    .alias("file_category"))
     elif method == "model":
         if generate is None:
             raise ValueError("method='model' needs a generate callable")
@@ -143,7 +176,8 @@ def classify_model(docs: DataFrame, generate: Callable[[list[str]], list[str]],
     """
     kw = keywords or config.KEYWORDS
     key_type = docs.schema[key].dataType.simpleString()
-    prompts = docs.select(key, sample_column(text, max_chars).alias("_sample")).select(
+    prompts = spread(docs.select(key, text)).select(
+        key, sample_column(text, max_chars).alias("_sample")).select(
         key, "_sample", classify_prompt(F.col("_sample"), kw).alias("_prompt"))
 
     def run(batches):

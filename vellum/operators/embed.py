@@ -12,6 +12,7 @@ in the JVM (murmur3 buckets, faster, no SQL twin).
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,13 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum import config
+from vellum.operators.parallel import spread
 
 try:
     import regex as _re
-    _SPLIT = _re.compile(r"[^\p{L}\p{N}]+")
-except ImportError:  # pragma: no cover - stdlib fallback: \w also admits '_'
+    _WORDS = _re.compile(r"[\p{L}\p{N}]+").findall
+except ImportError:  # pragma: no cover - stdlib: letters and digits are [^\W_]
     import re as _re
-    _SPLIT = _re.compile(r"[\W_]+")
+    _WORDS = _re.compile(r"[^\W_]+").findall
 
 VECTOR = T.ArrayType(T.FloatType())
 
@@ -36,27 +38,35 @@ def bucket_of(token: str, dim: int) -> int:
     return int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16) % dim
 
 
+_CACHE_LIMIT = 1 << 20
+
+
 def hashed_vector(text: str | None, dim: int, cache: dict | None = None) -> np.ndarray:
-    v = np.zeros(dim, dtype=np.float64)
-    if text:
-        cache = {} if cache is None else cache
-        for tok in _SPLIT.split(text.lower()):
-            if tok:
-                b = cache.get(tok)
-                if b is None:
-                    b = cache[tok] = bucket_of(tok, dim)
-                v[b] += 1.0
-        n = float(np.sqrt(np.dot(v, v)))
-        if n > 0:
-            v /= n
-    return v.astype(np.float32)
+    """Term counts per bucket, L2-normalised, as float32 (zero vector for no tokens)."""
+    if not text:
+        return np.zeros(dim, dtype=np.float32)
+    counts = Counter(_WORDS(text.lower()))
+    if not counts:
+        return np.zeros(dim, dtype=np.float32)
+    cache = {} if cache is None else cache
+    if len(cache) > _CACHE_LIMIT:
+        cache.clear()
+    idx = []
+    for tok in counts:
+        b = cache.get(tok)
+        if b is None:
+            b = cache[tok] = bucket_of(tok, dim)
+        idx.append(b)
+    v = np.bincount(idx, weights=np.fromiter(counts.values(), float, len(counts)), minlength=dim)
+    return (v / float(np.sqrt(np.dot(v, v)))).astype(np.float32)
 
 
 def hashed_embedder(dim: int = config.VECTOR_WIDTH) -> Callable[[Column], Column]:
     @F.pandas_udf(VECTOR)
-    def enc(texts: pd.Series) -> pd.Series:
-        cache: dict = {}
-        return pd.Series([hashed_vector(t, dim, cache) for t in texts])
+    def enc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        cache: dict = {}  # token -> bucket, shared by all batches of the task
+        for batch in texts:
+            yield pd.Series([hashed_vector(t, dim, cache) for t in batch])
 
     return enc
 
@@ -83,6 +93,7 @@ def embed(df: DataFrame, text: str = "text", out: str = "embedding",
           dim: int = config.VECTOR_WIDTH) -> DataFrame:
     """Append ``out`` = embedding of ``text``; ``embedder`` is a Column function, ``"hashed"``
     (default) or ``"mllib"``."""
+    df = spread(df)
     if embedder is None or embedder == "hashed":
         return df.withColumn(out, hashed_embedder(dim)(F.col(text)))
     if embedder == "mllib":

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from vellum import config
 from vellum.functions import vectors as V
+from vellum.operators.parallel import spread
 from vellum.operators.topk import top_k_per_group
 
 DEFAULT_MAX_BROADCAST_BYTES = 64 << 20
@@ -65,19 +66,25 @@ def _blocks(queries: DataFrame, qkey: str, qvec: str, max_bytes: int):
         yield ids, m
 
 
+def _best(frames: list[pd.DataFrame], k: int, qkey: str, ikey: str) -> pd.DataFrame:
+    best = pd.concat(frames, ignore_index=True)
+    return (best.sort_values([qkey, "score", ikey], ascending=[True, False, True], kind="stable")
+            .groupby(qkey, sort=False).head(k))
+
+
 def _scorer(qids, qmat_bc, k: int, threshold: float, mode: str, ikey: str, ivec: str,
-            qkey: str):
+            qkey: str, prune_rows: int = 200_000):
     def run(batches):
         qmat = qmat_bc.value
         qn = np.linalg.norm(qmat, axis=1)
-        best = None  # running candidates for this partition
+        width = qmat.shape[1]
+        kept: list[pd.DataFrame] = []
+        n_kept = 0
         for pdf in batches:
             if pdf.empty:
                 continue
-            vecs = pdf[ivec].tolist()
-            width = qmat.shape[1]
-            m = np.zeros((len(vecs), width), dtype=np.float64)
-            for i, v in enumerate(vecs):
+            m = np.zeros((len(pdf), width), dtype=np.float64)
+            for i, v in enumerate(pdf[ivec].tolist()):
                 if v is not None and len(v) == width:
                     m[i] = v
             mn = np.linalg.norm(m, axis=1)
@@ -86,15 +93,26 @@ def _scorer(qids, qmat_bc, k: int, threshold: float, mode: str, ikey: str, ivec:
             if mode == "unit":
                 s = (1.0 + s) / 2.0
             s = np.round(s, ROUND)
-            r, c = np.nonzero(s >= threshold)
+            s[s < threshold] = -np.inf
+            if s.shape[0] > k:
+                # Per query the k-th best score of this batch: a row scoring strictly less
+                # is beaten by k rows already and can never be in the top k, so dropping
+                # it is exact; rows tied with the k-th are all kept for the id tie-break.
+                kth = np.partition(s, s.shape[0] - k, axis=0)[s.shape[0] - k]
+                mask = (s >= kth) & np.isfinite(s)
+            else:
+                mask = np.isfinite(s)
+            r, c = np.nonzero(mask)
             if r.size == 0:
                 continue
-            cand = pd.DataFrame({qkey: qids[c], ikey: pdf[ikey].to_numpy()[r], "score": s[r, c]})
-            best = cand if best is None else pd.concat([best, cand], ignore_index=True)
-            best = (best.sort_values([qkey, "score", ikey], ascending=[True, False, True])
-                    .groupby(qkey, sort=False).head(k))
-        if best is not None and not best.empty:
-            yield best
+            kept.append(pd.DataFrame({qkey: qids[c], ikey: pdf[ikey].to_numpy()[r],
+                                      "score": s[r, c]}))
+            n_kept += r.size
+            if n_kept > prune_rows:
+                kept = [_best(kept, k, qkey, ikey)]
+                n_kept = len(kept[0])
+        if kept:
+            yield _best(kept, k, qkey, ikey)
 
     return run
 
@@ -107,7 +125,7 @@ def topk_similarity(index: DataFrame, queries: DataFrame, k: int = config.TOP_K,
     """``(query_id, id, rank, score)``: per query the ``k`` best index rows with
     ``score >= threshold``, by score descending then id. Scores are rounded to 6 places."""
     spark = index.sparkSession
-    idx = index.select(index_key, index_vec)
+    idx = spread(index.select(index_key, index_vec))
     key_t = idx.schema[index_key].dataType.simpleString()
     qkey_t = queries.schema[query_key].dataType.simpleString()
     schema = f"{query_key} {qkey_t}, {index_key} {key_t}, score double"

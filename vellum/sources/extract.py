@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.text import file_type
+from vellum.operators.parallel import spread
 
 Part = tuple[int | None, str]          # (page, text)
 Extractor = Callable[[bytes], list[Part]]
@@ -204,7 +205,7 @@ def html_to_text(pages: DataFrame, key: str = "page_id", markup: str = "html") -
     def conv(s: pd.Series) -> pd.Series:
         return s.map(html_text)
 
-    return pages.select(key, conv(F.col(markup)).alias("text"))
+    return spread(pages.select(key, markup)).select(key, conv(F.col(markup)).alias("text"))
 
 
 def unescape(s: str) -> str:
