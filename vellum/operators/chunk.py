@@ -147,6 +147,8 @@ def chunk_recursive(docs: DataFrame, key: str = "doc_id", text: str = "text",
                     ci.append(i)
                     st.append(start)
                     tx.append(body)
+            if not tx:
+                continue
             yield pd.DataFrame({**rows, "chunk_index": pd.Series(ci, dtype="int32"),
                                 "start_index": pd.Series(st, dtype="int32"), "text": tx})
 

@@ -31,8 +31,8 @@ def index_rows(parts: DataFrame, keywords=None, size: int = config.CHUNK_SIZE,
                              keep=("part_idx", "page", "file_type", "file_category"))
     ided = chunk_ids(chunks, "source", "page", ["part_idx", "chunk_index"])
     latest = dedup_latest(ided.withColumn("_seq", F.struct("part_idx", "chunk_index")), "id", "_seq")
-    rows = latest.select("id", "source", "page", "chunk_index", "start_index", "text",
-                         "file_type", "file_category")
+    rows = latest.select("id", "source", F.col("page").cast("string").alias("page"),
+                         "chunk_index", "start_index", "text", "file_type", "file_category")
     return embed(rows, "text", "embedding", embedder, dim)
 
 
@@ -55,3 +55,46 @@ def observed(rows: DataFrame, name: str = "build") -> tuple[DataFrame, Observati
     obs = Observation(name)
     return rows.observe(obs, F.count(F.lit(1)).alias("chunks"),
                         F.sum(F.length("text")).alias("chars")), obs
+
+
+def build_knowledge_base(spark, corpus_root: str, index_base: str, manifest_base: str,
+                         force: bool = False, purge_orphans: bool = True, keywords=None,
+                         embedder=None, dim: int = config.VECTOR_WIDTH,
+                         size: int = config.CHUNK_SIZE, overlap: int = config.CHUNK_OVERLAP,
+                         extractors=None, batch_rows: int = config.UPSERT_BATCH_LOCAL) -> dict:
+    """Scan -> skip unchanged (manifest) -> extract -> classify -> chunk -> ids ->
+    embed -> merge into the latest index snapshot -> new snapshot -> new manifest.
+
+    ``force`` rebuilds from an empty index. With ``purge_orphans`` every chunk of a changed
+    or deleted file is replaced (J2b); otherwise only equal ids are (J2). The manifest keeps
+    only files that extracted, so failed files are retried next time. Returns metrics."""
+    from vellum.operators.index import (changed_files, corpus_diff, delete_sources,
+                                        replace_source, upsert)
+    from vellum.session import cut_lineage
+    from vellum.sources.extract import extract_text, split_dead_letter
+    from vellum.sources.files import scan_corpus
+    from vellum.sources.index_store import open_index, write_index
+    from vellum.sources.manifest import MANIFEST_SCHEMA, read_manifest, write_manifest
+
+    files = scan_corpus(spark, corpus_root).select("path", "md5", "content")
+    manifest = (spark.createDataFrame([], MANIFEST_SCHEMA) if force
+                else read_manifest(spark, manifest_base))
+    todo = changed_files(files, manifest, force=force)
+    # Extraction runs Python once per file; the result feeds three consumers, so it is
+    # checkpointed into the shared checkpoint folder instead of being recomputed.
+    extracted = cut_lineage(extract_text(todo))
+    parts, dead = split_dead_letter(extracted)
+    rows = index_rows(parts.withColumnRenamed("path", "source"), keywords, size, overlap,
+                      embedder, dim)
+    current = spark.createDataFrame([], rows.schema) if force else open_index(spark, index_base)
+    deleted = corpus_diff(files, manifest).where(F.col("state") == "deleted").select(
+        F.col("path").alias("source"))
+    current = delete_sources(current.select(*rows.columns), deleted)
+    merged = replace_source(current, rows) if purge_orphans else upsert(current, rows)
+    merged, obs = observed(merged, "index")
+    snap = write_index(merged, index_base, dim, batch_rows)
+    failed = dead.select("path").distinct()
+    write_manifest(files.join(failed, "path", "left_anti"), manifest_base)
+    m = obs.get
+    return {"index": snap, "chunks_indexed": int(m.get("chunks") or 0),
+            "files_failed": failed.count()}

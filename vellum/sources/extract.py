@@ -186,6 +186,8 @@ def extract_text(files: DataFrame, extractors: dict[str, Extractor] | None = Non
                     out.extend((p, i, pg, t, ext, None) for i, (pg, t) in enumerate(parts))
                 except Exception as e:  # noqa: BLE001 - becomes a dead-letter row
                     out.append((p, None, None, None, ext, f"{type(e).__name__}: {e}"))
+            if not out:
+                continue
             yield pd.DataFrame(out, columns=["path", "part_idx", "page", "text", "file_type",
                                              "error"]).astype({"part_idx": "Int32", "page": "Int32"})
 
