@@ -207,7 +207,11 @@ def context_assembly(hits: DataFrame, docs: DataFrame, queries: DataFrame,
     build side (AQE turns it into a broadcast at run time)."""
     d = docs.select(F.col(doc_key).alias("_did"), F.col(source).alias("_src"),
                     F.col(text).alias("_txt"))
-    h = hits.join(d, hits[hit_key] == d["_did"], "left")
+    # Inner join, no hint: either side may be built into the hash table, so AQE broadcasts
+    # the hits side (k rows per query) from its measured size while the document table is
+    # streamed. An outer join would force the document side to be the build side. Hits
+    # come from the same index as ``docs``, so every hit finds its row.
+    h = d.join(hits, d["_did"] == hits[hit_key], "inner")
     agg = h.groupBy(query_key).agg(
         F.array_sort(F.collect_set(F.coalesce("_src", F.lit(config.UNKNOWN_SOURCE))))
         .alias("_sources"),
