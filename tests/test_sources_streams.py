@@ -136,3 +136,12 @@ def test_stream_build_and_sessions(spark, workdir):
     q.awaitTermination(120)
     got = read_latest(spark, store + "/messages", "session_id string, turn int, role string, content string")
     assert sorted((r.turn, r.content) for r in got.collect()) == [(0, "hi"), (1, "yo")]
+
+
+def test_csv_rows_to_parts(spark, workdir):
+    from vellum.sources.extract import csv_rows_to_parts
+    p = os.path.join(workdir, "t.csv")
+    with open(p, "w", encoding="utf-8") as fh:
+        fh.write("name,role\nann,employee\nbob,\n")
+    got = [(r.part_idx, r.text) for r in csv_rows_to_parts(spark, p).orderBy("part_idx").collect()]
+    assert got == [(0, "name: ann\nrole: employee"), (1, "name: bob\nrole: ")]

@@ -212,3 +212,18 @@ def html_to_text(pages: DataFrame, key: str = "page_id", markup: str = "html") -
 
 def unescape(s: str) -> str:
     return html.unescape(s)
+
+
+def csv_rows_to_parts(spark, path: str) -> DataFrame:
+    """A3c with Spark's CSV reader: one part per row of a UTF-8 CSV file with a header,
+    text = ``column: value`` lines. ``part_idx`` follows the row order within each file."""
+    from pyspark.sql import Window
+    df = spark.read.option("header", "true").option("encoding", "UTF-8").csv(path)
+    cols = df.columns
+    text = F.concat_ws("\n", *[F.concat(F.lit(f"{c}: "), F.coalesce(F.col(f"`{c}`"), F.lit("")))
+                               for c in cols])
+    rows = df.select(F.input_file_name().alias("path"), text.alias("text"),
+                     F.monotonically_increasing_id().alias("_o"))
+    return rows.select("path", (F.row_number().over(Window.partitionBy("path").orderBy("_o")) - 1)
+                       .cast("int").alias("part_idx"), F.lit(None).cast("int").alias("page"),
+                       "text", F.lit("csv").alias("file_type"))
