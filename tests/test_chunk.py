@@ -73,3 +73,19 @@ def test_semantic_chunks_restore_sentences(spark):
     rows = chunk_semantic(df, k=0.5).orderBy("chunk_index").collect()
     assert " ".join(r.text for r in rows) == text
     assert [r.chunk_index for r in rows] == list(range(len(rows)))
+
+
+def test_chunk_ids_skew_safe_matches_windows(spark):
+    random.seed(7)
+    rows = []
+    for i in range(3000):
+        src = "hot" if i % 3 else random.choice(["a", "b", "c"])  # one source holds 2/3
+        page = random.choice([1, 1, 1, 2, None])
+        rows.append((i, src, page))
+    df = spark.createDataFrame(rows, "seq long, source string, page int")
+    plain = {r.seq: r.id for r in chunk_ids(df, "source", "page", ["seq"], skew_safe=False).collect()}
+    for parts in (8, 37):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        ranged = {r.seq: r.id for r in chunk_ids(df, "source", "page", ["seq"], skew_safe=True).collect()}
+        assert ranged == plain
+    spark.conf.set("spark.sql.shuffle.partitions", "8")

@@ -205,21 +205,84 @@ def chunk(docs: DataFrame, kind: str = "recursive", **kw) -> DataFrame:
 
 
 def chunk_ids(chunks: DataFrame, source: str = "source", page: str | Column = "page",
-              order: list[str] | None = None, out: str = "id") -> DataFrame:
+              order: list[str] | None = None, out: str = "id",
+              skew_safe: bool | None = None, hot_fraction: float = 0.05) -> DataFrame:
     """``source:page:index``; the index counts rows of an unbroken run of equal
     ``(source, page)`` in ``order`` within the source, restarting at 0 whenever the page
-    differs from the previous row's (NULL pages compare equal and print as '')."""
+    differs from the previous row's (NULL pages compare equal and print as '').
+
+    Plain form: windows partitioned by source. When one source holds more than
+    ``hot_fraction`` of all rows (measured with a map-side partial count, ``skew_safe=None``)
+    or when asked (``skew_safe=True``), the range-partitioned form is used instead, which
+    splits a hot source over many tasks (see :func:`_run_index_ranged`)."""
     order = order or []
     pg = F.col(page) if isinstance(page, str) else page
     df = chunks.withColumn("_pg", pg)
-    w = Window.partitionBy(source).orderBy(*order)
-    df = df.withColumn("_new", F.when(F.lag("_pg").over(w).eqNullSafe(F.col("_pg"))
-                                      & F.lag(F.lit(1)).over(w).isNotNull(), 0).otherwise(1))
-    df = df.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    wr = Window.partitionBy(source, "_run").orderBy(*order)
-    df = df.withColumn("_idx", F.row_number().over(wr) - 1)
+    if skew_safe is None:
+        stats = (df.groupBy(source).agg(F.count(F.lit(1)).alias("_n"))
+                 .agg(F.max("_n").alias("mx"), F.sum("_n").alias("tot")).first())
+        skew_safe = bool(stats["tot"]) and stats["mx"] > hot_fraction * stats["tot"] \
+            and stats["tot"] > 100_000
+    if skew_safe:
+        df = _run_index_ranged(df, source, order)
+    else:
+        w = Window.partitionBy(source).orderBy(*order)
+        df = df.withColumn("_new", F.when(F.lag("_pg").over(w).eqNullSafe(F.col("_pg"))
+                                          & F.lag(F.lit(1)).over(w).isNotNull(), 0).otherwise(1))
+        df = df.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        wr = Window.partitionBy(source, "_run").orderBy(*order)
+        df = df.withColumn("_idx", F.row_number().over(wr) - 1).drop("_new", "_run")
     return df.withColumn(out, id_format(F.col(source), F.col("_pg"), F.col("_idx"))).drop(
-        "_pg", "_new", "_run", "_idx")
+        "_pg", "_idx")
+
+
+def _run_index_ranged(df: DataFrame, source: str, order: list[str],
+                      partitions: int | None = None) -> DataFrame:
+    """Gaps-and-islands index without grouping by source (a parallel prefix scan).
+
+    1. Range-partition by ``(source, *order)``: balanced tasks, a hot source is split.
+       The result is checkpointed so partition ids and boundaries stay fixed.
+    2. Per partition, number rows (``_lrn``) and mark local run starts.
+    3. Summarise each partition in one row (row count, first/last key, its last true run
+       start); a window over these rows (one per partition, not per data row) gives each
+       partition's row offset and the global position of the run still open before it.
+    4. Each row's index = its global position - the global position of its run's start.
+    """
+    from vellum.operators.topk import _spark_conf_int
+    from vellum.session import cut_lineage
+
+    spark = df.sparkSession
+    n = partitions or _spark_conf_int(spark, "spark.sql.shuffle.partitions")
+    key = F.struct(F.col(source), F.col("_pg"))
+    ordered = [source, *order]
+    ranged = cut_lineage(df.repartitionByRange(n, *ordered)
+                         .withColumn("_pid", F.spark_partition_id()))
+    wl = Window.partitionBy("_pid").orderBy(*ordered)
+    local = (ranged.withColumn("_lrn", F.row_number().over(wl))
+             .withColumn("_k", key)
+             .withColumn("_chg", F.when(F.col("_lrn") == 1, F.lit(True))
+                         .otherwise(~F.lag("_k").over(wl).eqNullSafe(F.col("_k")))))
+    summ = local.groupBy("_pid").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.min_by("_k", "_lrn").alias("_first"), F.max_by("_k", "_lrn").alias("_last"),
+        F.max(F.when(F.col("_chg") & (F.col("_lrn") > 1), F.col("_lrn"))).alias("_inner"))
+    wp = Window.orderBy("_pid")  # one row per partition
+    prev = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    summ = (summ.withColumn("_off", F.coalesce(F.sum("_n").over(prev), F.lit(0)))
+            .withColumn("_first_start", ~F.lag("_last").over(wp).eqNullSafe(F.col("_first"))
+                        | F.lag("_last").over(wp).isNull())
+            .withColumn("_last_start", F.when(F.col("_inner").isNotNull(),
+                                              F.col("_off") + F.col("_inner"))
+                        .when(F.col("_first_start"), F.col("_off") + 1))
+            .withColumn("_carry", F.max("_last_start").over(prev))
+            .select("_pid", "_off", "_first_start", "_carry"))
+    joined = local.join(F.broadcast(summ), "_pid")
+    start = F.when(F.col("_chg") & ((F.col("_lrn") > 1) | F.col("_first_start")),
+                   F.col("_off") + F.col("_lrn"))
+    run_start = F.coalesce(F.max(start).over(wl.rowsBetween(Window.unboundedPreceding, 0)),
+                           F.col("_carry"))
+    return (joined.withColumn("_idx", (F.col("_off") + F.col("_lrn") - run_start).cast("int"))
+            .drop("_pid", "_lrn", "_k", "_chg", "_off", "_first_start", "_carry"))
 
 
 def dedup_latest(rows: DataFrame, key: str = "id", seq: str = "seq") -> DataFrame:

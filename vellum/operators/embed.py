@@ -12,11 +12,12 @@ in the JVM (murmur3 buckets, faster, no SQL twin).
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,14 +25,8 @@ from pyspark.sql import types as T
 from vellum import config
 from vellum.operators.parallel import spread
 
-try:
-    import regex as _re
-    _WORDS = _re.compile(r"[\p{L}\p{N}]+").findall
-except ImportError:  # pragma: no cover - stdlib: letters and digits are [^\W_]
-    import re as _re
-    _WORDS = _re.compile(r"[^\W_]+").findall
-
 VECTOR = T.ArrayType(T.FloatType())
+TOKEN_PATTERN = r"[^\p{L}\p{N}]+"
 
 
 def bucket_of(token: str, dim: int) -> int:
@@ -41,34 +36,62 @@ def bucket_of(token: str, dim: int) -> int:
 _CACHE_LIMIT = 1 << 20
 
 
-def hashed_vector(text: str | None, dim: int, cache: dict | None = None) -> np.ndarray:
-    """Term counts per bucket, L2-normalised, as float32 (zero vector for no tokens)."""
-    if not text:
-        return np.zeros(dim, dtype=np.float32)
-    counts = Counter(_WORDS(text.lower()))
-    if not counts:
-        return np.zeros(dim, dtype=np.float32)
+def hashed_vector(text: str | None, dim: int) -> np.ndarray:
+    """The hashed embedding of one text (see :func:`hashed_matrix`)."""
+    return hashed_matrix(pa.array([text], type=pa.string()), dim)[0]
+
+
+def hashed_matrix(texts: pa.Array, dim: int, cache: dict | None = None) -> np.ndarray:
+    """The hashed embedding of a whole Arrow batch at once: lower-casing and the token
+    split run in Arrow's C++ kernels (RE2, the same regex engine as DuckDB), every distinct
+    token of the batch is hashed once, and one ``bincount`` fills the batch matrix."""
+    n = len(texts)
     cache = {} if cache is None else cache
     if len(cache) > _CACHE_LIMIT:
         cache.clear()
-    idx = []
-    for tok in counts:
-        b = cache.get(tok)
-        if b is None:
-            b = cache[tok] = bucket_of(tok, dim)
-        idx.append(b)
-    v = np.bincount(idx, weights=np.fromiter(counts.values(), float, len(counts)), minlength=dim)
-    return (v / float(np.sqrt(np.dot(v, v)))).astype(np.float32)
+    toks = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), pattern=TOKEN_PATTERN)
+    flat = pc.list_flatten(toks)
+    m = np.zeros((n, dim), dtype=np.float64)
+    if len(flat):
+        parent = pc.list_parent_indices(toks).to_numpy()
+        keep = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+        enc = pc.dictionary_encode(flat)
+        uniq = enc.dictionary.to_pylist()
+        ub = np.empty(len(uniq), dtype=np.int64)
+        for j, tok in enumerate(uniq):
+            b = cache.get(tok)
+            if b is None:
+                b = cache[tok] = bucket_of(tok, dim) if tok else 0
+            ub[j] = b
+        lin = parent[keep] * dim + ub[enc.indices.to_numpy()[keep]]
+        m = np.bincount(lin, minlength=n * dim).reshape(n, dim).astype(np.float64)
+    norms = np.sqrt(np.einsum("ij,ij->i", m, m))
+    norms[norms == 0] = 1.0
+    return (m / norms[:, None]).astype(np.float32)
+
+
+def matrix_to_lists(m: np.ndarray) -> pa.Array:
+    n, dim = m.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * dim, dim, dtype=np.int32)),
+                                    pa.array(m.reshape(-1)))
 
 
 def hashed_embedder(dim: int = config.VECTOR_WIDTH) -> Callable[[Column], Column]:
-    @F.pandas_udf(VECTOR)
-    def enc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        cache: dict = {}  # token -> bucket, shared by all batches of the task
+    if hasattr(F, "arrow_udf"):
+        @F.arrow_udf(VECTOR)
+        def enc(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            cache: dict = {}  # token -> bucket, shared by all batches of the task
+            for texts in batches:
+                yield matrix_to_lists(hashed_matrix(texts, dim, cache))
+        return enc
+
+    @F.pandas_udf(VECTOR)  # pragma: no cover - before Spark 4.1
+    def enc_pd(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        cache: dict = {}
         for batch in texts:
-            yield pd.Series([hashed_vector(t, dim, cache) for t in batch])
+            yield pd.Series(list(hashed_matrix(pa.array(batch, type=pa.string()), dim, cache)))
 
-    return enc
+    return enc_pd
 
 
 def model_embedder(load: Callable[[], Callable[[list[str]], np.ndarray]],

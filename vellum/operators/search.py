@@ -14,6 +14,8 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,6 +74,22 @@ def _best(frames: list[pd.DataFrame], k: int, qkey: str, ikey: str) -> pd.DataFr
             .groupby(qkey, sort=False).head(k))
 
 
+def _matrix(col: pa.Array, width: int) -> np.ndarray:
+    """Rows of a list<float> Arrow column as a float64 matrix; NULL or wrong-width rows
+    become zero rows (they score 0)."""
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    n = len(col)
+    lens = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
+    if n and (lens == width).all():
+        vals = pc.list_flatten(col).to_numpy(zero_copy_only=False)
+        return vals.astype(np.float64, copy=False).reshape(n, width)
+    m = np.zeros((n, width), dtype=np.float64)
+    for i, v in enumerate(col.to_pylist()):
+        if v is not None and len(v) == width:
+            m[i] = v
+    return m
+
+
 def _scorer(qids, qmat_bc, k: int, threshold: float, mode: str, ikey: str, ivec: str,
             qkey: str, prune_rows: int = 200_000):
     def run(batches):
@@ -80,13 +98,10 @@ def _scorer(qids, qmat_bc, k: int, threshold: float, mode: str, ikey: str, ivec:
         width = qmat.shape[1]
         kept: list[pd.DataFrame] = []
         n_kept = 0
-        for pdf in batches:
-            if pdf.empty:
+        for rb in batches:
+            if rb.num_rows == 0:
                 continue
-            m = np.zeros((len(pdf), width), dtype=np.float64)
-            for i, v in enumerate(pdf[ivec].tolist()):
-                if v is not None and len(v) == width:
-                    m[i] = v
+            m = _matrix(rb.column(ivec), width)
             mn = np.linalg.norm(m, axis=1)
             denom = np.outer(mn, qn)
             s = np.divide(m @ qmat.T, denom, out=np.zeros_like(denom), where=denom > 0)
@@ -105,14 +120,15 @@ def _scorer(qids, qmat_bc, k: int, threshold: float, mode: str, ikey: str, ivec:
             r, c = np.nonzero(mask)
             if r.size == 0:
                 continue
-            kept.append(pd.DataFrame({qkey: qids[c], ikey: pdf[ikey].to_numpy()[r],
-                                      "score": s[r, c]}))
+            ids = rb.column(ikey).to_numpy(zero_copy_only=False)
+            kept.append(pd.DataFrame({qkey: qids[c], ikey: ids[r], "score": s[r, c]}))
             n_kept += r.size
             if n_kept > prune_rows:
                 kept = [_best(kept, k, qkey, ikey)]
                 n_kept = len(kept[0])
         if kept:
-            yield _best(kept, k, qkey, ikey)
+            best = _best(kept, k, qkey, ikey)
+            yield pa.RecordBatch.from_pandas(best, preserve_index=False)
 
     return run
 
@@ -132,7 +148,7 @@ def topk_similarity(index: DataFrame, queries: DataFrame, k: int = config.TOP_K,
     parts = []
     for qids, qmat in _blocks(queries, query_key, query_vec, max_broadcast_bytes):
         bc = spark.sparkContext.broadcast(qmat)
-        parts.append(idx.mapInPandas(
+        parts.append(idx.mapInArrow(
             _scorer(qids, bc, k, threshold, mode, index_key, index_vec, query_key), schema))
     if not parts:
         return spark.createDataFrame([], schema + ", rank int").select(

@@ -34,7 +34,7 @@ def global_row_number(df: DataFrame, order: list[Column], out: str = "position",
     then add the row count of all earlier partitions (a table with one row per partition).
     """
     spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or _spark_conf_int(spark, "spark.sql.shuffle.partitions")
     # Checkpointed so that both uses below see the same range boundaries and partition ids
     # (two range exchanges could sample different boundaries) and executor loss is survived.
     ranged = cut_lineage(df.repartitionByRange(n, *order)
@@ -49,3 +49,7 @@ def global_row_number(df: DataFrame, order: list[Column], out: str = "position",
     return (local.join(F.broadcast(offsets), "_pid")
             .withColumn(out, (F.col("_off") + F.col("_lrn")).cast("bigint"))
             .drop("_pid", "_lrn", "_off"))
+
+
+def _spark_conf_int(spark, key: str) -> int:
+    return int(spark.conf.get(key))
