@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin the rows over at least ``min_partitions`` tasks (default: the cluster's
-    default parallelism) when the input has fewer partitions, e.g. a file with one row
-    group. At cluster scale the scan already has many more partitions and this is a no-op,
-    so it never adds a shuffle there."""
+    """Round-robin the rows of a *scan* over at least ``min_partitions`` tasks (default: the
+    cluster's default parallelism) when it has fewer partitions, e.g. a file with a single
+    row group. At cluster scale the scan already has many more partitions and this is a
+    no-op, so it never adds a shuffle there.
+
+    Call it on scans only: asking a frame that already contains an exchange for its
+    partition count makes adaptive execution run those stages."""
     spark = df.sparkSession
     want = min_partitions or spark.sparkContext.defaultParallelism
     have = df.rdd.getNumPartitions()

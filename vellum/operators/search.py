@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from vellum import config
 from vellum.functions import vectors as V
-from vellum.operators.parallel import spread
 from vellum.operators.topk import top_k_per_group
 
 DEFAULT_MAX_BROADCAST_BYTES = 64 << 20
@@ -44,28 +43,26 @@ def centroid_queries(df: DataFrame, group: str = "label", vec: str = "embedding"
 
 
 def _blocks(queries: DataFrame, qkey: str, qvec: str, max_bytes: int):
-    """Yield driver-side (ids, matrix) blocks, each within ``max_bytes``."""
-    stats = queries.agg(F.count(F.lit(1)).alias("n"),
-                        F.max(F.size(qvec)).alias("d")).first()
-    n, d = int(stats["n"] or 0), int(stats["d"] or 0)
+    """Yield driver-side (ids, matrix) blocks, each within ``max_bytes``.
+
+    The row count is taken without evaluating the vectors (the count prunes them), the
+    width from one row; each block is collected once, as Arrow."""
+    n = queries.select(qkey).count()
     if n == 0:
         return
-    per_row = max(d, 1) * 8 + 64
+    first = queries.select(F.size(qvec).alias("d")).where(F.col("d") > 0).first()
+    d = int(first["d"]) if first else 1
+    per_row = d * 8 + 64
     nblocks = max(1, math.ceil(n * per_row / max_bytes))
     src = queries.select(qkey, qvec)
     for b in range(nblocks):
         part = src if nblocks == 1 else src.where(
             F.pmod(F.xxhash64(qkey), F.lit(nblocks)) == b)
         tbl = part.toArrow()
-        ids = tbl.column(qkey).to_numpy(zero_copy_only=False)
-        vecs = tbl.column(qvec).to_pylist()
-        if len(ids) == 0:
+        if tbl.num_rows == 0:
             continue
-        m = np.asarray([np.asarray(v if v is not None else [0.0] * d, dtype=np.float64)
-                        for v in vecs])
-        if m.ndim != 2 or m.shape[1] != d:
-            raise ValueError("query vectors differ in width")
-        yield ids, m
+        ids = tbl.column(qkey).to_numpy(zero_copy_only=False)
+        yield ids, _matrix(tbl.column(qvec).combine_chunks(), d)
 
 
 def _best(frames: list[pd.DataFrame], k: int, qkey: str, ikey: str) -> pd.DataFrame:
@@ -141,7 +138,7 @@ def topk_similarity(index: DataFrame, queries: DataFrame, k: int = config.TOP_K,
     """``(query_id, id, rank, score)``: per query the ``k`` best index rows with
     ``score >= threshold``, by score descending then id. Scores are rounded to 6 places."""
     spark = index.sparkSession
-    idx = spread(index.select(index_key, index_vec))
+    idx = index.select(index_key, index_vec)
     key_t = idx.schema[index_key].dataType.simpleString()
     qkey_t = queries.schema[query_key].dataType.simpleString()
     schema = f"{query_key} {qkey_t}, {index_key} {key_t}, score double"
@@ -156,7 +153,10 @@ def topk_similarity(index: DataFrame, queries: DataFrame, k: int = config.TOP_K,
     cands = parts[0]
     for p in parts[1:]:
         cands = cands.unionByName(p)
-    salt = max(1, idx.rdd.getNumPartitions() // 256)
+    # Candidates per query = k per index partition. Salt the final ranking in proportion
+    # to the cluster's parallelism (not the index's partition count: asking a planned
+    # frame for that would run it).
+    salt = max(1, spark.sparkContext.defaultParallelism // 64)
     ranked = top_k_per_group(cands, [query_key], [F.desc("score"), F.asc(index_key)], k,
                              salt_on=index_key, salt_buckets=salt)
     return ranked.select(query_key, index_key, F.col("rank").cast("int"), "score")

@@ -17,7 +17,6 @@ from pyspark.sql import types as T
 from vellum import config
 from vellum.functions.text import fill_template, strip_ws
 from vellum.operators.embed import embed
-from vellum.operators.parallel import spread
 from vellum.operators.search import context_assembly, topk_similarity
 from vellum.operators.sessions import chat_role, history_upto
 
@@ -67,7 +66,6 @@ def generate_column(df: DataFrame, generate: Callable[[list[str]], list[str]] |
     batch gets ``on_error``. Without a hook the column is NULL."""
     if generate is None:
         return df.withColumn(out, F.lit(None).cast("string"))
-    df = spread(df)
     cols = df.columns
     schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.StringType())])
 

@@ -71,7 +71,7 @@ sc AS (SELECT doc_id, rank, category,
 
 @query("keyword_scores", _KW_SCORES_SQL + "SELECT doc_id, category, score FROM sc WHERE score > 0")
 def q_keyword_scores(spark, d):
-    return C.keyword_scores(table(spark, d, "documents", "doc_id", "text"))
+    return C.keyword_scores(table(spark, d, "documents", "doc_id", "text", fan_out=True))
 
 
 @query("classify_keyword", _KW_SCORES_SQL + f"""
@@ -81,7 +81,7 @@ SELECT s.doc_id,
          AS file_category
 FROM s""")
 def q_classify_keyword(spark, d):
-    return C.classify_keyword(table(spark, d, "documents", "doc_id", "text"))
+    return C.classify_keyword(table(spark, d, "documents", "doc_id", "text", fan_out=True))
 
 
 @query("classification_sample", f"""
@@ -164,13 +164,13 @@ def q_chunk_fixed(spark, d):
 @query("chunk_recursive")
 def q_chunk_recursive(spark, d):
     from vellum.operators.chunk import chunk_recursive
-    return chunk_recursive(table(spark, d, "documents", "doc_id", "text"))
+    return chunk_recursive(table(spark, d, "documents", "doc_id", "text", fan_out=True))
 
 
 @query("chunk_semantic")
 def q_chunk_semantic(spark, d):
     from vellum.operators.chunk import chunk_semantic
-    return chunk_semantic(table(spark, d, "documents", "doc_id", "text"))
+    return chunk_semantic(table(spark, d, "documents", "doc_id", "text", fan_out=True))
 
 
 def _ids_sql(where: str = "TRUE", text: str = "text") -> str:
@@ -250,7 +250,7 @@ def q_index_replace_source(spark, d):
 # Index of classified documents: id from chunk_ids, the latest document per id wins.
 def _classified_index(spark, d):
     from vellum.operators.chunk import dedup_latest
-    docs = table(spark, d, "documents", "doc_id", "source", "lang", "text")
+    docs = table(spark, d, "documents", "doc_id", "source", "lang", "text", fan_out=True)
     cat = C.classify_keyword(docs.select("doc_id", "text"))
     rows = _ids(spark, d, docs).join(cat, "doc_id").select("id", "doc_id", "source",
                                                              "file_category")
@@ -284,7 +284,7 @@ def q_peek_sources(spark, d):
 # Index: the embeddings table (id = vec_id). Queries: the unit mean vector of each label,
 # so the query table is derived from the whole index and every query scans all of it.
 def _vec_index(spark, d):
-    return table(spark, d, "embeddings", "vec_id", "embedding").withColumnRenamed("vec_id", "id")
+    return table(spark, d, "embeddings", "vec_id", "embedding", fan_out=True).withColumnRenamed("vec_id", "id")
 
 
 def _vec_queries(spark, d):
@@ -388,7 +388,7 @@ def q_metadata_scalars(spark, d):
 @query("html_to_text")
 def q_html_to_text(spark, d):
     from vellum.sources.extract import html_to_text
-    return html_to_text(table(spark, d, "pages", "page_id", "html"))
+    return html_to_text(table(spark, d, "pages", "page_id", "html", fan_out=True))
 
 
 # ---------------------------------------------------------------------------- embeddings of text
@@ -416,7 +416,7 @@ SELECT grid.doc_id, list(CAST(coalesce(v.w, 0.0) AS FLOAT) ORDER BY grid.b) AS e
 FROM grid LEFT JOIN v ON v.k = grid.doc_id AND v.b = grid.b GROUP BY grid.doc_id""")
 def q_embed_text(spark, d):
     from vellum.operators.embed import embed
-    return embed(table(spark, d, "documents", "doc_id", "text"), "text").select("doc_id", "embedding")
+    return embed(table(spark, d, "documents", "doc_id", "text", fan_out=True), "text").select("doc_id", "embedding")
 
 
 # ---------------------------------------------------------------------------- questions, prompts
@@ -425,7 +425,7 @@ TEXT_THRESHOLD = 0.3
 
 def _text_chunks(spark, d):
     from vellum.operators.chunk import chunk_fixed
-    docs = table(spark, d, "documents", "doc_id", "source", "text")
+    docs = table(spark, d, "documents", "doc_id", "source", "text", fan_out=True)
     ch = chunk_fixed(docs, keep=("source",))
     return ch.select(F.concat_ws(":", F.col("doc_id").cast("string"),
                                  F.col("chunk_index").cast("string")).alias("id"),
@@ -541,8 +541,9 @@ def q_rag_answer(spark, d):
 # conversations = messages; conv_id is the session, turn the position. The string session
 # id is md5(conv_id). Stored titles come from each session's first system message (cut to
 # 40 characters, cleaned as a model reply is).
-def _conv(spark, d, *cols):
-    return table(spark, d, "conversations", *(cols or ("conv_id", "turn", "role", "text")))
+def _conv(spark, d, *cols, fan_out=False):
+    return table(spark, d, "conversations", *(cols or ("conv_id", "turn", "role", "text")),
+                 fan_out=fan_out)
 
 
 _ROLE_SQL = "CASE WHEN lower(role) IN ('human', 'user') THEN 'user' ELSE 'assistant' END"
@@ -591,7 +592,7 @@ FROM users u LEFT JOIN hist h ON h.conv_id = u.conv_id AND h.turn = u.turn
 LEFT JOIN a ON a.query_id = u.qk""")
 def q_chat_input(spark, d):
     from vellum.plans.answer import chat_inputs
-    out = chat_inputs(_text_index(spark, d), _conv(spark, d), threshold=TEXT_THRESHOLD)
+    out = chat_inputs(_text_index(spark, d), _conv(spark, d, fan_out=True), threshold=TEXT_THRESHOLD)
     return out.withColumn("sources", F.array_join("sources", ", "))
 
 
@@ -671,7 +672,7 @@ def category_double(prompts: list[str]) -> list[str]:
 
 @query("classify_model")
 def q_classify_model(spark, d):
-    return C.classify_model(table(spark, d, "documents", "doc_id", "text"), category_double)
+    return C.classify_model(table(spark, d, "documents", "doc_id", "text", fan_out=True), category_double)
 
 
 def _tok_sql(x: str) -> str:
@@ -748,7 +749,7 @@ def q_vector_functions(spark, d):
 # ---------------------------------------------------------------------------- build and runs
 def _parts(spark, d):
     from vellum.plans.build import documents_as_parts
-    return documents_as_parts(table(spark, d, "documents", "doc_id", "source", "lang", "text"))
+    return documents_as_parts(table(spark, d, "documents", "doc_id", "source", "lang", "text", fan_out=True))
 
 
 @query("build_index")

@@ -30,6 +30,9 @@ def get_spark(master: str | None = None, app: str = "vellum",
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
         .config("spark.driver.memory", os.environ.get("VELLUM_DRIVER_MEMORY", "16g"))
         .config("spark.ui.enabled", "false")
+        # One BLAS thread per Python worker: tasks already use every core.
+        .config("spark.executorEnv.OPENBLAS_NUM_THREADS", "1")
+        .config("spark.executorEnv.OMP_NUM_THREADS", "1")
         .config("spark.ui.showConsoleProgress", "false")
     )
     spark = builder.getOrCreate()

@@ -4,16 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vellum.operators.parallel import spread
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """Read one table; naming the columns up front keeps the scan's ReadSchema minimal."""
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str,
+          fan_out: bool = False) -> DataFrame:
+    """Read one table; naming the columns up front keeps the scan's ReadSchema minimal.
+
+    ``fan_out`` spreads a scan that has fewer partitions than cores (a file with a single
+    row group) over all cores; filters still reach the parquet scan below the exchange. On
+    a cluster the scan has far more partitions and nothing changes."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    return spread(df) if fan_out else df
 
 
 def register_views(spark: SparkSession, sf_dir: str) -> None:
