@@ -15,7 +15,11 @@ from __future__ import annotations
 
 import re
 
+from typing import Iterator, Tuple  # noqa: UP035 - Spark reads these type hints
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,6 +163,49 @@ def chunk_recursive(docs: DataFrame, key: str = "doc_id", text: str = "text",
 SENTENCE_SPLIT = r"(?<=[.?!])\s+|\n+"
 
 
+def _next_distance(key: str, key_type: str, dim: int, embedder=None):
+    """``mapInArrow`` over rows sorted by (key, sentence): embed each context once and emit
+    ``1 - cos`` to the next row of the same key (NULL for a key's last row). One pending
+    row is carried across batch boundaries, so batches may split a document anywhere."""
+    from vellum.operators.embed import hashed_matrix
+
+    def run(batches):
+        cache: dict = {}
+        pend_key, pend_i, pend_s, pend_vec = None, None, None, None
+        for rb in batches:
+            if rb.num_rows == 0:
+                continue
+            keys = rb.column(key).to_pylist()
+            idx = rb.column("_i").to_numpy(zero_copy_only=False)
+            sent = rb.column("_s").to_pylist()
+            m = hashed_matrix(rb.column("_ctx"), dim, cache).astype(np.float64)
+            out_k, out_i, out_s, out_d = [], [], [], []
+            if pend_vec is not None:
+                out_k.append(pend_key)
+                out_i.append(pend_i)
+                out_s.append(pend_s)
+                out_d.append(1.0 - float(pend_vec @ m[0]) if keys[0] == pend_key else None)
+            same = [keys[j] == keys[j + 1] for j in range(len(keys) - 1)]
+            dots = np.einsum("ij,ij->i", m[:-1], m[1:])
+            for j in range(len(keys) - 1):
+                out_k.append(keys[j])
+                out_i.append(int(idx[j]))
+                out_s.append(sent[j])
+                out_d.append(1.0 - float(dots[j]) if same[j] else None)
+            pend_key, pend_i, pend_s, pend_vec = keys[-1], int(idx[-1]), sent[-1], m[-1]
+            yield pa.RecordBatch.from_pydict({key: out_k, "_i": out_i, "_s": out_s, "_d": out_d},
+                                             schema=schema)
+        if pend_vec is not None:
+            yield pa.RecordBatch.from_pydict({key: [pend_key], "_i": [pend_i], "_s": [pend_s],
+                                              "_d": [None]}, schema=schema)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+    spark_schema = StructType.fromDDL(f"`{key}` {key_type}, _i int, _s string, _d double")
+    schema = to_arrow_schema(spark_schema)
+    return run, spark_schema
+
+
 def chunk_semantic(docs: DataFrame, key: str = "doc_id", text: str = "text",
                    k: float = config.SEMANTIC_STDDEV_K, embedder=None,
                    dim: int = 256) -> DataFrame:
@@ -166,18 +213,30 @@ def chunk_semantic(docs: DataFrame, key: str = "doc_id", text: str = "text",
     are embedded together with their neighbours (buffer of one), the cosine distance to the
     next sentence is compared with mean + k * stddev of that document's distances, and a
     new chunk starts after every distance above it. Chunk text = its sentences joined by a
-    space. A document with fewer than three sentences is one chunk."""
-    from vellum.operators.embed import embed
+    space. A document with fewer than three sentences is one chunk.
 
+    Sentences, contexts, the statistics and the runs are window expressions over one
+    partitioning by document; the distances come from one ordered ``mapInArrow`` pass that
+    embeds each context once. A custom ``embedder`` (Column function) is applied to the
+    context and the next context instead."""
     sents = (docs.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")),
                                                    SENTENCE_SPLIT)).alias("_i", "_s"))
              .withColumn("_s", F.trim("_s")).where(F.length("_s") > 0))
     w = Window.partitionBy(key).orderBy("_i")
-    sents = sents.withColumn("_i", F.row_number().over(w) - 1)
     ctx = sents.withColumn("_ctx", F.concat_ws(" ", F.lag("_s").over(w), F.col("_s"),
                                                F.lead("_s").over(w)))
-    emb = embed(ctx, "_ctx", "_v", embedder, dim)
-    dist = emb.withColumn("_d", F.lit(1.0) - V.cosine(F.col("_v"), F.lead("_v").over(w)))
+    if embedder is None or embedder == "hashed":
+        # Rows leave the window sorted by (key, _i) inside each partition, so this sort is
+        # already satisfied; it states the order the per-partition pass relies on.
+        run, schema = _next_distance(key, docs.schema[key].dataType.simpleString(), dim)
+        dist = (ctx.select(key, "_i", "_s", "_ctx").sortWithinPartitions(key, "_i")
+                .mapInArrow(run, schema))
+    else:
+        from vellum.operators.embed import embed
+        ctx = ctx.withColumn("_next", F.lead("_ctx").over(w))
+        e = embed(embed(ctx, "_ctx", "_v", embedder, dim), "_next", "_vn", embedder, dim)
+        dist = e.withColumn("_d", F.when(F.col("_next").isNotNull(),
+                                         F.lit(1.0) - V.cosine(F.col("_v"), F.col("_vn"))))
     wd = Window.partitionBy(key)
     flagged = (dist.withColumn("_n", F.count(F.lit(1)).over(wd))
                .withColumn("_thr", F.avg("_d").over(wd) + F.lit(k) * F.coalesce(
