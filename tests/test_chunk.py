@@ -89,3 +89,39 @@ def test_chunk_ids_skew_safe_matches_windows(spark):
         ranged = {r.seq: r.id for r in chunk_ids(df, "source", "page", ["seq"], skew_safe=True).collect()}
         assert ranged == plain
     spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def _semantic_brute(text, k=3.0, dim=256):
+    import re
+
+    import numpy as np
+    import pyarrow as pa
+
+    from vellum.operators.embed import hashed_matrix
+    sents = [s.strip() for s in re.split(r"(?<=[.?!])\s+|\n+", text or "") if s.strip()]
+    if not sents:
+        return []
+    ctx = [" ".join(sents[max(0, i - 1):i + 2]) for i in range(len(sents))]
+    m = hashed_matrix(pa.array(ctx), dim).astype(np.float64)
+    d = [1.0 - float(m[i] @ m[i + 1]) for i in range(len(sents) - 1)]
+    thr = (np.mean(d) + k * np.std(d)) if d else 0.0
+    chunks, cur = [], [sents[0]]
+    for i in range(1, len(sents)):
+        if len(sents) >= 3 and d[i - 1] > thr:
+            chunks.append(" ".join(cur))
+            cur = []
+        cur.append(sents[i])
+    chunks.append(" ".join(cur))
+    return chunks
+
+
+def test_semantic_matches_brute_force(spark):
+    from tests.conftest import SF
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    got = {}
+    for r in chunk_semantic(docs, k=1.0).collect():
+        got.setdefault(r.doc_id, {})[r.chunk_index] = r.text
+    for row in docs.collect():
+        want = _semantic_brute(row.text, k=1.0)
+        have = [got.get(row.doc_id, {})[i] for i in range(len(got.get(row.doc_id, {})))]
+        assert have == want, row.doc_id
