@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from vellum import config
 from vellum.functions import vectors as V
 from vellum.operators.topk import top_k_per_group
+from vellum.session import cut_lineage
 
 DEFAULT_MAX_BROADCAST_BYTES = 64 << 20
 ROUND = 6
@@ -223,11 +224,16 @@ def context_assembly(hits: DataFrame, docs: DataFrame, queries: DataFrame,
     build side (AQE turns it into a broadcast at run time)."""
     d = docs.select(F.col(doc_key).alias("_did"), F.col(source).alias("_src"),
                     F.col(text).alias("_txt"))
-    # Inner join, no hint: either side may be built into the hash table, so AQE broadcasts
-    # the hits side (k rows per query) from its measured size while the document table is
-    # streamed. An outer join would force the document side to be the build side. Hits
-    # come from the same index as ``docs``, so every hit finds its row.
-    h = d.join(hits, d["_did"] == hits[hit_key], "inner")
+    # Two joins, neither with the document table as the build side: (1) the documents of
+    # the hit ids -- an inner join, so AQE can broadcast the (k per query) ids and stream
+    # the documents; (2) hits LEFT JOIN those few rows, so a hit whose document is missing
+    # is kept with the defaults. ``found`` is as small as the hits. The hits feed both
+    # joins, so they are materialised once (a reliable checkpoint of k rows per query)
+    # instead of scoring the index twice.
+    hits = cut_lineage(hits)
+    ids = hits.select(F.col(hit_key).alias("_did")).distinct()
+    found = d.join(ids, "_did", "inner")
+    h = hits.join(found, hits[hit_key] == found["_did"], "left")
     agg = h.groupBy(query_key).agg(
         F.array_sort(F.collect_set(F.coalesce("_src", F.lit(config.UNKNOWN_SOURCE))))
         .alias("_sources"),
