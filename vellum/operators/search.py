@@ -215,7 +215,7 @@ def retrieval_confidence(hits: DataFrame, queries: DataFrame,
 def context_assembly(hits: DataFrame, docs: DataFrame, queries: DataFrame,
                      query_key: str = "query_id", hit_key: str = "id", doc_key: str = "id",
                      source: str = "source", text: str = "text",
-                     with_confidence: bool = False) -> DataFrame:
+                     with_confidence: bool = False, hits_from_docs: bool = False) -> DataFrame:
     """D4-D6 (+D3): per query the sorted distinct sources (NULL source -> ``Unknown``), their
     number, and the hit texts in rank order joined by the separator line; no hit ->
     ``No relevant documents found.``
@@ -224,16 +224,20 @@ def context_assembly(hits: DataFrame, docs: DataFrame, queries: DataFrame,
     build side (AQE turns it into a broadcast at run time)."""
     d = docs.select(F.col(doc_key).alias("_did"), F.col(source).alias("_src"),
                     F.col(text).alias("_txt"))
-    # Two joins, neither with the document table as the build side: (1) the documents of
-    # the hit ids -- an inner join, so AQE can broadcast the (k per query) ids and stream
-    # the documents; (2) hits LEFT JOIN those few rows, so a hit whose document is missing
-    # is kept with the defaults. ``found`` is as small as the hits. The hits feed both
-    # joins, so they are materialised once (a reliable checkpoint of k rows per query)
-    # instead of scoring the index twice.
-    hits = cut_lineage(hits)
-    ids = hits.select(F.col(hit_key).alias("_did")).distinct()
-    found = d.join(ids, "_did", "inner")
-    h = hits.join(found, hits[hit_key] == found["_did"], "left")
+    if hits_from_docs:
+        # The hits were scored from ``docs`` itself, so every hit finds its row: one inner
+        # join, which AQE turns into a broadcast of the (k per query) hits.
+        h = d.join(hits, d["_did"] == hits[hit_key], "inner")
+    else:
+        # Two joins, neither with the document table as the build side: (1) the documents
+        # of the hit ids -- an inner join, so AQE can broadcast the ids and stream the
+        # documents; (2) hits LEFT JOIN those few rows, so a hit whose document is missing
+        # keeps the defaults. The hits feed both joins, so they are materialised once (a
+        # reliable checkpoint of k rows per query) instead of scoring the index twice.
+        hits = cut_lineage(hits)
+        ids = hits.select(F.col(hit_key).alias("_did")).distinct()
+        found = d.join(ids, "_did", "inner")
+        h = hits.join(found, hits[hit_key] == found["_did"], "left")
     agg = h.groupBy(query_key).agg(
         F.array_sort(F.collect_set(F.coalesce("_src", F.lit(config.UNKNOWN_SOURCE))))
         .alias("_sources"),

@@ -47,7 +47,7 @@ def retrieve(index: DataFrame, questions: DataFrame, key: str = "item_id",
     hits = topk_similarity(index.select("id", "embedding"), q.select("query_id", "embedding"),
                            k=k, threshold=threshold, mode=mode)
     ctx = context_assembly(hits, index.select("id", "source", "text"), q.select("query_id"),
-                           with_confidence=True)
+                           with_confidence=True, hits_from_docs=True)
     return ctx.withColumnRenamed("query_id", key)
 
 
