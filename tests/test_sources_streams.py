@@ -145,3 +145,47 @@ def test_csv_rows_to_parts(spark, workdir):
         fh.write("name,role\nann,employee\nbob,\n")
     got = [(r.part_idx, r.text) for r in csv_rows_to_parts(spark, p).orderBy("part_idx").collect()]
     assert got == [(0, "name: ann\nrole: employee"), (1, "name: bob\nrole: ")]
+
+
+def test_extractor_hooks_and_dead_letter(spark, workdir):
+    for name, data in {"doc.pdf": b"%PDF-1.4 fake", "notes.rtf": b"{\\rtf1 hello}"}.items():
+        with open(os.path.join(workdir, name), "wb") as fh:
+            fh.write(data)
+    files = scan_corpus(spark, workdir)
+    parts, dead = split_dead_letter(extract_text(files))
+    assert parts.count() == 0
+    assert sorted(r.error.split(":")[0] for r in dead.collect()) == ["ValueError", "ValueError"]
+
+    def pdf_pages(data: bytes):
+        return [(1, "page one budget"), (2, "page two audit")]
+    parts, dead = split_dead_letter(extract_text(files, extractors={".PDF": pdf_pages}))
+    assert [(r.page, r.text) for r in parts.orderBy("part_idx").collect()] == [(1, "page one budget"), (2, "page two audit")]
+    assert [os.path.basename(r.path) for r in dead.collect()] == ["notes.rtf"]
+
+
+def test_generator_failures_give_apology(spark):
+    from vellum.plans.answer import APOLOGY, generate_column
+    df = spark.createDataFrame([(1, "ok"), (2, "boom"), (3, "ok")], "id long, prompt string")
+
+    def gen(prompts):
+        if any("boom" in p for p in prompts):
+            raise RuntimeError("model down")
+        return ["fine" for _ in prompts]
+    got = {r.id: r.response for r in generate_column(df, gen, batch_size=1).collect()}
+    assert got == {1: "fine", 2: APOLOGY, 3: "fine"}
+    assert {r.response for r in generate_column(df, None).collect()} == {None}
+
+
+def test_stream_build_replay_is_idempotent(spark, workdir):
+    from vellum.operators.index import replace_source
+    from vellum.plans.build import index_rows
+    from vellum.sources.index_store import open_index, write_index
+    parts = spark.createDataFrame([("f", 0, "1", "vendor invoice " * 300, "txt")],
+                                  "source string, part_idx int, page string, text string, file_type string")
+    rows = index_rows(parts, dim=16)
+    base = os.path.join(workdir, "idx")
+    for _ in range(2):  # the same micro-batch delivered twice
+        cur = open_index(spark, base).select(*rows.columns)
+        write_index(replace_source(cur, rows), base, 16)
+    got = open_index(spark, base)
+    assert got.count() == rows.count() and got.select("id").distinct().count() == got.count()
