@@ -76,3 +76,16 @@ def test_evaluate_token_f1(spark):
     assert got == {1: (round(2 * 2 / 6, 6), True), 2: (0.0, False), 3: (0.0, False)}
     judged = evaluate(cases, judge=lambda a, e: [{"a b c": "0.9", "x": "junk", "": 0.1}[x] for x in a])
     assert {r.case_id: r.passed for r in judged.collect()} == {1: True, 2: False, 3: False}
+
+
+def test_chat_history_and_append(spark):
+    msgs = spark.createDataFrame([("s", 1, "ai", "a1"), ("s", 0, "human", "q1"), ("t", 0, "human", "x")],
+                                 "session_id string, turn int, role string, content string")
+    hist = [(r.role, r.content) for r in S.chat_history(msgs, "s").collect()]
+    assert hist == [("user", "q1"), ("assistant", "a1")]
+    asked = spark.createDataFrame([("s", 2, "q2", "a2")], "session_id string, turn int, question string, response string")
+    once = S.append_turns(msgs, asked)
+    twice = S.append_turns(once, asked)
+    rows = sorted((r.session_id, r.turn, r.role, r.content) for r in twice.collect())
+    assert rows == sorted([("s", 0, "human", "q1"), ("s", 1, "ai", "a1"), ("t", 0, "human", "x"),
+                           ("s", 2, "user", "q2"), ("s", 3, "assistant", "a2")])

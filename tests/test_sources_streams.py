@@ -189,3 +189,12 @@ def test_stream_build_replay_is_idempotent(spark, workdir):
         write_index(replace_source(cur, rows), base, 16)
     got = open_index(spark, base)
     assert got.count() == rows.count() and got.select("id").distinct().count() == got.count()
+
+
+def test_xml_rows_to_parts(spark, workdir):
+    from vellum.sources.extract import xml_rows_to_parts
+    p = os.path.join(workdir, "t.xml")
+    with open(p, "w", encoding="utf-8") as fh:
+        fh.write("<items><item><name>ann</name><role>employee</role></item><item><name>bob</name><role>vendor</role></item></items>")
+    got = [(r.part_idx, r.text) for r in xml_rows_to_parts(spark, p, "item").orderBy("part_idx").collect()]
+    assert got == [(0, "name: ann\nrole: employee"), (1, "name: bob\nrole: vendor")]

@@ -28,6 +28,30 @@ def history_roles(messages: DataFrame, session: str = "conv_id", turn: str = "tu
                            F.col(content).alias("content"))
 
 
+def chat_history(messages: DataFrame, session_value, session: str = "session_id",
+                 turn: str = "turn", role: str = "role", content: str = "content") -> DataFrame:
+    """One session's messages as ``(role, content, turn)`` in turn order (the filter
+    reaches the scan; the sort covers one session only)."""
+    return (messages.where(F.col(session) == F.lit(session_value))
+            .select(chat_role(role).alias("role"), F.col(content).alias("content"), turn)
+            .orderBy(turn))
+
+
+def append_turns(messages: DataFrame, asked: DataFrame, session: str = "session_id",
+                 turn: str = "turn") -> DataFrame:
+    """Add each answered question as a user turn and its response as the following
+    assistant turn, after the session's last turn; a keyed merge on (session, turn), so
+    re-running the same batch changes nothing. ``asked`` has
+    ``(session, turn, question, response)`` where ``turn`` is the question's turn."""
+    new = asked.select(session, F.col(turn).alias(turn), F.lit("user").alias("role"),
+                       F.col("question").alias("content")).unionByName(
+        asked.select(session, (F.col(turn) + 1).alias(turn), F.lit("assistant").alias("role"),
+                     F.coalesce("response", F.lit("")).alias("content")))
+    keys = [session, turn]
+    return (messages.join(new.select(*keys), keys, "left_anti")
+            .unionByName(new.select(*messages.columns)))
+
+
 def history_preview(messages: DataFrame, session: str = "conv_id", turn: str = "turn",
                     content: str = "text", n: int = config.PREVIEW_LEN) -> DataFrame:
     """``(session, turn, preview)`` = first ``n`` characters + ``...``."""

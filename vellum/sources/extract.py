@@ -161,13 +161,30 @@ DEFAULT_EXTRACTORS: dict[str, Extractor] = {
 }
 
 
+PLAIN_TYPES = ("txt", "md", "yaml", "yml")
+
+
 def extract_text(files: DataFrame, extractors: dict[str, Extractor] | None = None,
                  path: str = "path", content: str = "content") -> DataFrame:
-    """``(path, part_idx, page, text, file_type, error)`` per extracted part."""
+    """``(path, part_idx, page, text, file_type, error)`` per extracted part.
+
+    Plain-text formats (A3a) are decoded in the JVM with ``decode(content, 'UTF-8')``; only
+    the structured formats go through Python. A caller-registered extractor for a plain
+    extension takes precedence."""
     table = dict(DEFAULT_EXTRACTORS)
-    table.update({k.lower().lstrip("."): v for k, v in (extractors or {}).items()})
+    custom = {k.lower().lstrip("."): v for k, v in (extractors or {}).items()}
+    table.update(custom)
     src = files.select(F.col(path).alias("path"), F.col(content).alias("content"),
                        file_type(path).alias("file_type"))
+    plain_types = [t for t in PLAIN_TYPES if t not in custom]
+    is_plain = F.col("file_type").isin(plain_types)
+    txt = F.decode(F.col("content"), "UTF-8")
+    plain = src.where(is_plain).select(
+        "path", F.lit(0).alias("part_idx"), F.lit(None).cast("int").alias("page"),
+        F.when(F.length(F.trim(txt)) > 0, txt).alias("text"), "file_type",
+        F.when(F.length(F.trim(txt)) > 0, F.lit(None).cast("string"))
+        .otherwise(F.lit("ValueError: no content")).alias("error"))
+    src = src.where(~is_plain)
     schema = ("path string, part_idx int, page int, text string, file_type string, "
               "error string")
 
@@ -190,7 +207,7 @@ def extract_text(files: DataFrame, extractors: dict[str, Extractor] | None = Non
             yield pd.DataFrame(out, columns=["path", "part_idx", "page", "text", "file_type",
                                              "error"]).astype({"part_idx": "Int32", "page": "Int32"})
 
-    return src.mapInPandas(run, schema)
+    return plain.unionByName(src.mapInPandas(run, schema))
 
 
 def split_dead_letter(extracted: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -226,3 +243,19 @@ def csv_rows_to_parts(spark, path: str) -> DataFrame:
     return rows.select("path", (F.row_number().over(Window.partitionBy("path").orderBy("_o")) - 1)
                        .cast("int").alias("part_idx"), F.lit(None).cast("int").alias("page"),
                        "text", F.lit("csv").alias("file_type"))
+
+
+def xml_rows_to_parts(spark, path: str, row_tag: str) -> DataFrame:
+    """A3d with Spark's XML reader when the record element is known: one part per
+    ``row_tag`` element, text = ``field: value`` lines of its scalar fields."""
+    from pyspark.sql import Window
+    df = spark.read.format("xml").option("rowTag", row_tag).load(path)
+    fields = [f.name for f in df.schema.fields
+              if f.dataType.typeName() not in ("struct", "array", "map")]
+    text = F.concat_ws("\n", *[F.concat(F.lit(f"{c}: "), F.coalesce(F.col(f"`{c}`").cast("string"),
+                                                                      F.lit(""))) for c in fields])
+    rows = df.select(F.input_file_name().alias("path"), text.alias("text"),
+                     F.monotonically_increasing_id().alias("_o"))
+    return rows.select("path", (F.row_number().over(Window.partitionBy("path").orderBy("_o")) - 1)
+                       .cast("int").alias("part_idx"), F.lit(None).cast("int").alias("page"),
+                       "text", F.lit("xml").alias("file_type"))
