@@ -89,3 +89,21 @@ def test_chat_history_and_append(spark):
     rows = sorted((r.session_id, r.turn, r.role, r.content) for r in twice.collect())
     assert rows == sorted([("s", 0, "human", "q1"), ("s", 1, "ai", "a1"), ("t", 0, "human", "x"),
                            ("s", 2, "user", "q2"), ("s", 3, "assistant", "a2")])
+
+
+def test_history_ranged_matches_window(spark):
+    import random
+    random.seed(3)
+    rows, turn = [], {}
+    for i in range(2500):
+        c = 0 if i % 2 else random.randint(1, 40)  # session 0 holds half of all messages
+        t = turn.get(c, 0)
+        turn[c] = t + 1
+        rows.append((c, t, random.choice(["user", "assistant", "system"]), f"m{i}"))
+    msgs = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    plain = {(r.conv_id, r.turn): r.history for r in S.history_upto(msgs, max_history=3, skew_safe=False).collect()}
+    for parts in (8, 29, 400):  # 400 partitions over 2500 rows: some come out empty or tiny
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        ranged = {(r.conv_id, r.turn): r.history for r in S.history_upto(msgs, max_history=3, skew_safe=True).collect()}
+        assert ranged == plain
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
