@@ -111,9 +111,8 @@ def test_sessions_file_roundtrip(spark, workdir):
 
 def test_stream_build_and_sessions(spark, workdir):
     from vellum.sources.index_store import open_index
-    from vellum.sources.snapshots import read_latest
     from vellum.streaming.ingest import stream_build
-    from vellum.streaming.sessions import stream_sessions
+    from vellum.streaming.sessions import read_messages, stream_sessions
     corpus = os.path.join(workdir, "in")
     os.makedirs(corpus)
     with open(os.path.join(corpus, "a.txt"), "w") as fh:
@@ -134,7 +133,7 @@ def test_stream_build_and_sessions(spark, workdir):
     store = os.path.join(workdir, "store")
     q = stream_sessions(spark, incoming + "/*", store, os.path.join(workdir, "ck2"))
     q.awaitTermination(120)
-    got = read_latest(spark, store + "/messages", "session_id string, turn int, role string, content string")
+    got = read_messages(spark, store)
     assert sorted((r.turn, r.content) for r in got.collect()) == [(0, "hi"), (1, "yo")]
 
 
@@ -177,18 +176,23 @@ def test_generator_failures_give_apology(spark):
 
 
 def test_stream_build_replay_is_idempotent(spark, workdir):
-    from vellum.operators.index import replace_source
     from vellum.plans.build import index_rows
-    from vellum.sources.index_store import open_index, write_index
-    parts = spark.createDataFrame([("f", 0, "1", "vendor invoice " * 300, "txt")],
+    from vellum.sources.index_store import open_index, update_index
+    parts = spark.createDataFrame([("f", 0, "1", "vendor invoice " * 300, "txt"), ("g", 0, "1", "api", "txt")],
                                   "source string, part_idx int, page string, text string, file_type string")
     rows = index_rows(parts, dim=16)
     base = os.path.join(workdir, "idx")
     for _ in range(2):  # the same micro-batch delivered twice
-        cur = open_index(spark, base).select(*rows.columns)
-        write_index(replace_source(cur, rows), base, 16)
+        update_index(spark, base, rows, width=16)
     got = open_index(spark, base)
     assert got.count() == rows.count() and got.select("id").distinct().count() == got.count()
+    # an update touching only "g" leaves the other buckets' files alone
+    before = {os.path.join(dp, f) for dp, _, fs in os.walk(base) for f in fs if f.endswith(".parquet")}
+    g = index_rows(parts.where("source = 'g'").selectExpr("source", "part_idx", "page", "'server api' as text", "file_type"), dim=16)
+    n = update_index(spark, base, g, width=16)
+    after = {os.path.join(dp, f) for dp, _, fs in os.walk(base) for f in fs if f.endswith(".parquet")}
+    assert n == 1 and len(before & after) >= 1
+    assert {r.source: r.text for r in open_index(spark, base).where("source = 'g'").collect()} == {"g": "server api"}
 
 
 def test_xml_rows_to_parts(spark, workdir):

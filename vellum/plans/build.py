@@ -68,12 +68,11 @@ def build_knowledge_base(spark, corpus_root: str, index_base: str, manifest_base
     ``force`` rebuilds from an empty index. With ``purge_orphans`` every chunk of a changed
     or deleted file is replaced (J2b); otherwise only equal ids are (J2). The manifest keeps
     only files that extracted, so failed files are retried next time. Returns metrics."""
-    from vellum.operators.index import (changed_files, corpus_diff, delete_sources,
-                                        replace_source, upsert)
+    from vellum.operators.index import changed_files, corpus_diff
     from vellum.session import cut_lineage
     from vellum.sources.extract import extract_text, split_dead_letter
     from vellum.sources.files import scan_corpus
-    from vellum.sources.index_store import open_index, write_index
+    from vellum.sources.index_store import update_index, write_index
     from vellum.sources.manifest import MANIFEST_SCHEMA, read_manifest, write_manifest
 
     files = scan_corpus(spark, corpus_root).select("path", "md5", "content")
@@ -82,19 +81,20 @@ def build_knowledge_base(spark, corpus_root: str, index_base: str, manifest_base
     todo = changed_files(files, manifest, force=force)
     # Extraction runs Python once per file; the result feeds three consumers, so it is
     # checkpointed into the shared checkpoint folder instead of being recomputed.
-    extracted = cut_lineage(extract_text(todo))
+    extracted = cut_lineage(extract_text(todo, extractors))
     parts, dead = split_dead_letter(extracted)
     rows = index_rows(parts.withColumnRenamed("path", "source"), keywords, size, overlap,
                       embedder, dim)
-    current = spark.createDataFrame([], rows.schema) if force else open_index(spark, index_base)
-    deleted = corpus_diff(files, manifest).where(F.col("state") == "deleted").select(
-        F.col("path").alias("source"))
-    current = delete_sources(current.select(*rows.columns), deleted)
-    merged = replace_source(current, rows) if purge_orphans else upsert(current, rows)
-    merged, obs = observed(merged, "index")
-    snap = write_index(merged, index_base, dim, batch_rows)
+    rows, obs = observed(rows, "index")
+    if force:
+        write_index(rows, index_base, dim, batch_rows)
+        buckets = None
+    else:
+        deleted = corpus_diff(files, manifest).where(F.col("state") == "deleted").select(
+            F.col("path").alias("source"))
+        buckets = update_index(spark, index_base, rows, deleted, purge_orphans, dim, batch_rows)
     failed = dead.select("path").distinct()
     write_manifest(files.join(failed, "path", "left_anti"), manifest_base)
     m = obs.get
-    return {"index": snap, "chunks_indexed": int(m.get("chunks") or 0),
-            "files_failed": failed.count()}
+    return {"index": index_base, "chunks_indexed": int(m.get("chunks") or 0),
+            "buckets_replaced": buckets, "files_failed": failed.count()}

@@ -1,9 +1,9 @@
 """Index new corpus files as they arrive.
 
 A ``binaryFile`` stream feeds ``foreachBatch``; each micro-batch is extracted, classified,
-chunked, embedded and merged into the latest index snapshot by source (J2b), then written
-as a new snapshot. Replaying a batch after a failure yields the same snapshot content,
-since the merge is keyed. The file source sees new paths only: edits and deletions of
+chunked, embedded and merged into the index by source (J2b); only the index buckets of
+the batch's sources are read and rewritten. Replaying a batch after a failure yields the
+same content, since the merge is keyed. The file source sees new paths only: edits and deletions of
 existing files are picked up by the batch ``build_knowledge_base``.
 """
 
@@ -22,18 +22,16 @@ def stream_build(spark: SparkSession, corpus_root: str, index_base: str,
                  keywords=None, embedder=None, dim: int = config.VECTOR_WIDTH,
                  size: int = config.CHUNK_SIZE, overlap: int = config.CHUNK_OVERLAP):
     """Start the ingest stream; returns the ``StreamingQuery``."""
-    from vellum.operators.index import replace_source
     from vellum.plans.build import index_rows
     from vellum.sources.extract import extract_text, split_dead_letter
     from vellum.sources.files import stream_corpus
-    from vellum.sources.index_store import open_index, write_index
+    from vellum.sources.index_store import update_index
 
     def per_batch(batch: DataFrame, epoch: int) -> None:
         parts, _dead = split_dead_letter(extract_text(batch.select("path", "content")))
         rows = index_rows(parts.withColumnRenamed("path", "source"), keywords, size, overlap,
                           embedder, dim)
-        current = open_index(batch.sparkSession, index_base).select(*rows.columns)
-        write_index(replace_source(current, rows), index_base, dim)
+        update_index(batch.sparkSession, index_base, rows, width=dim)
 
     ckpt = checkpoint_location or os.path.join(checkpoint_dir(spark), "stream-build")
     w = (stream_corpus(spark, corpus_root).writeStream.foreachBatch(per_batch)

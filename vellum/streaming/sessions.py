@@ -1,8 +1,9 @@
 """Persist chat turns as they arrive.
 
-New message rows (parquet files dropped into a folder) are merged into the latest
-``messages`` snapshot keyed by ``(session_id, turn)``; a replayed micro-batch rewrites the
-same rows, so the store stays exactly-once in content.
+New message rows (parquet files dropped into a folder) are merged into the ``messages``
+table keyed by ``(session_id, turn)``; the table is bucketed by session and only the
+buckets of the batch's sessions are rewritten. A replayed micro-batch rewrites the same
+rows, so the store stays exactly-once in content.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from vellum.session import checkpoint_dir
+from vellum.sources.buckets import BUCKET, read_bucketed, replace_buckets
 from vellum.sources.sessions_io import MESSAGES_SCHEMA
-from vellum.sources.snapshots import read_latest, write_snapshot
 
 
 def merge_messages(current: DataFrame, batch: DataFrame) -> DataFrame:
@@ -29,11 +30,15 @@ def stream_sessions(spark: SparkSession, incoming_dir: str, store_base: str,
     target = store_base.rstrip("/") + "/messages"
 
     def per_batch(batch: DataFrame, epoch: int) -> None:
-        current = read_latest(batch.sparkSession, target, MESSAGES_SCHEMA)
-        write_snapshot(merge_messages(current, batch), target)
+        replace_buckets(batch.sparkSession, target, MESSAGES_SCHEMA, "session_id",
+                        batch.select("session_id"), lambda cur: merge_messages(cur, batch))
 
     ckpt = checkpoint_location or os.path.join(checkpoint_dir(spark), "stream-sessions")
     src = spark.readStream.schema(MESSAGES_SCHEMA).parquet(incoming_dir)
     w = src.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
+
+
+def read_messages(spark: SparkSession, store_base: str) -> DataFrame:
+    return read_bucketed(spark, store_base.rstrip("/") + "/messages", MESSAGES_SCHEMA).drop(BUCKET)
