@@ -202,3 +202,16 @@ def test_xml_rows_to_parts(spark, workdir):
         fh.write("<items><item><name>ann</name><role>employee</role></item><item><name>bob</name><role>vendor</role></item></items>")
     got = [(r.part_idx, r.text) for r in xml_rows_to_parts(spark, p, "item").orderBy("part_idx").collect()]
     assert got == [(0, "name: ann\nrole: employee"), (1, "name: bob\nrole: vendor")]
+
+
+def test_update_index_empties_a_bucket(spark, workdir):
+    from vellum.plans.build import index_rows
+    from vellum.sources.index_store import open_index, update_index
+    parts = spark.createDataFrame([("only", 0, "1", "vendor", "txt")],
+                                  "source string, part_idx int, page string, text string, file_type string")
+    base = os.path.join(workdir, "idx")
+    update_index(spark, base, index_rows(parts, dim=8), width=8)
+    assert open_index(spark, base).count() == 1
+    none = index_rows(parts.where("false"), dim=8)
+    update_index(spark, base, none, deleted_sources=spark.createDataFrame([("only",)], "source string"), width=8)
+    assert open_index(spark, base).count() == 0

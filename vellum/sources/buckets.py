@@ -52,12 +52,22 @@ def replace_buckets(spark: SparkSession, base: str, schema: str, key: str,
     current = cur.join(F.broadcast(touched), BUCKET, "left_semi").drop(BUCKET)
     from vellum.session import cut_lineage
     merged = cut_lineage(merge(current).withColumn(BUCKET, bucket_of(key, n)))
+    # Dynamic overwrite replaces only buckets present in the output; a touched bucket whose
+    # rows were all deleted must be dropped explicitly (at most ``n`` bucket numbers).
+    emptied = [r[BUCKET] for r in touched.join(merged.select(BUCKET).distinct(), BUCKET,
+                                               "left_anti").collect()]
     replaced = touched.count()
     w = (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(BUCKET))
     if max_records_per_file:
         w = w.option("maxRecordsPerFile", max_records_per_file)
     w.parquet(base)
+    if emptied:
+        jvm = spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(base)
+        fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for b in emptied:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{BUCKET}={b}"), True)
     return replaced
 
 
