@@ -107,3 +107,27 @@ def test_history_ranged_matches_window(spark):
         ranged = {(r.conv_id, r.turn): r.history for r in S.history_upto(msgs, max_history=3, skew_safe=True).collect()}
         assert ranged == plain
     spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_index_reset_and_helpers(spark, workdir):
+    import numpy as np
+
+    from vellum.functions.metadata import metadata_map
+    from vellum.functions.text import short_id
+    from vellum.operators.embed import hashed_vector
+    from vellum.plans.build import index_rows
+    from vellum.sources.index_store import has_index, open_index, reset_index, update_index
+    base = workdir + "/idx"
+    assert not has_index(spark, base) and open_index(spark, base).count() == 0
+    parts = spark.createDataFrame([("f", 0, "1", "vendor", "txt")],
+                                  "source string, part_idx int, page string, text string, file_type string")
+    update_index(spark, base, index_rows(parts, dim=8), width=8)
+    assert has_index(spark, base) and open_index(spark, base).count() == 1
+    reset_index(spark, base)
+    assert open_index(spark, base).count() == 0
+    m = metadata_map(spark.createDataFrame([(1, '{"a": 1, "b": [2], "c": "x"}')], "id long, j string"), "id", "j")
+    assert m.first().metadata == {"a": "1", "c": "x"}
+    assert spark.createDataFrame([("0123456789",)], "s string").select(short_id("s")).first()[0] == "01234567"
+    v = hashed_vector("Hello hello world", 8)
+    assert v.shape == (8,) and abs(float(np.linalg.norm(v)) - 1.0) < 1e-6
+    assert not hashed_vector("", 8).any()

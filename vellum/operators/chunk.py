@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import re
 
-from typing import Iterator, Tuple  # noqa: UP035 - Spark reads these type hints
 
 import numpy as np
 import pandas as pd

@@ -10,7 +10,6 @@ extension; callers register more (PDF, RTF, legacy xls) with ``extractors={ext:
 from __future__ import annotations
 
 import csv
-import html
 import io
 import json
 import zipfile
@@ -226,10 +225,6 @@ def html_to_text(pages: DataFrame, key: str = "page_id", markup: str = "html") -
     return pages.select(key, conv(F.col(markup)).alias("text"))
 
 
-def unescape(s: str) -> str:
-    return html.unescape(s)
-
-
 def csv_rows_to_parts(spark, path: str) -> DataFrame:
     """A3c with Spark's CSV reader: one part per row of a UTF-8 CSV file with a header,
     text = ``column: value`` lines. ``part_idx`` follows the row order within each file."""
