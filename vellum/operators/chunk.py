@@ -342,9 +342,14 @@ def _run_index_ranged(df: DataFrame, source: str, order: list[str],
             .drop("_pid", "_lrn", "_k", "_chg", "_off", "_first_start", "_carry"))
 
 
-def dedup_latest(rows: DataFrame, key: str = "id", seq: str = "seq") -> DataFrame:
+def dedup_latest(rows: DataFrame, key: str | list[str] = "id", seq: str = "seq") -> DataFrame:
     """One row per ``key``, the one with the highest ``seq``. A ``max_by`` aggregate,
-    so partial aggregation runs map-side and a hot key never gathers its rows in one task."""
-    others = [c for c in rows.columns if c != key]
-    return (rows.groupBy(key).agg(F.max_by(F.struct(*others), F.col(seq)).alias("_r"))
-            .select(key, *[F.col("_r")[c].alias(c) for c in others]))
+    so partial aggregation runs map-side and a hot key never gathers its rows in one task.
+
+    ``key`` may list several columns. Chunk ids begin with their source, so grouping by
+    ``["source", "id"]`` is the same grouping as by id, and it is already satisfied by the
+    partitioning on source that :func:`chunk_ids` leaves behind: no second shuffle."""
+    keys = [key] if isinstance(key, str) else list(key)
+    others = [c for c in rows.columns if c not in keys]
+    return (rows.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col(seq)).alias("_r"))
+            .select(*keys, *[F.col("_r")[c].alias(c) for c in others]))

@@ -29,13 +29,26 @@ def index_rows(parts: DataFrame, keywords=None, size: int = config.CHUNK_SIZE,
     classified = classify_parts(parts, "source", "part_idx", "text", keywords, classify, generate)
     chunks = chunk_recursive(classified, key="source", text="text", size=size, overlap=overlap,
                              keep=("part_idx", "page", "file_type", "file_category"))
-    ided = chunk_ids(chunks, "source", "page", ["part_idx", "chunk_index"])
-    latest = dedup_latest(ided.withColumn("_seq", F.struct("part_idx", "chunk_index")), "id", "_seq")
+    ided = chunk_ids(chunks, "source", "page", ["part_idx", "chunk_index"],
+                     skew_safe=hot_source(parts, size - overlap))
+    latest = dedup_latest(ided.withColumn("_seq", F.struct("part_idx", "chunk_index")),
+                          ["source", "id"], "_seq")
     rows = latest.select("id", "source", F.col("page").cast("string").alias("page"),
                          "chunk_index", "start_index", "text", "file_type", "file_category")
     return embed(rows, "text", "embedding", embedder, dim)
 
 
+def hot_source(parts: DataFrame, step: int = config.CHUNK_SIZE - config.CHUNK_OVERLAP,
+               hot_fraction: float = 0.05, min_chunks: int = 100_000) -> bool:
+    """Whether one source will hold a large share of the chunks, judged from characters per
+    source of the parts (a partial aggregate over the scan). Deciding on the chunks
+    themselves would run the Python classify and chunk stages twice."""
+    st = (parts.groupBy("source").agg(F.sum(F.length("text")).alias("_c"))
+          .agg(F.max("_c").alias("mx"), F.sum("_c").alias("tot")).first())
+    tot = st["tot"] or 0
+    return tot / max(step, 1) > min_chunks and st["mx"] > hot_fraction * tot
+
+
 def documents_as_parts(docs: DataFrame) -> DataFrame:
     """The documents table as one-part files: ``source`` = source/doc_id, page := lang."""
     return docs.select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("source"),

@@ -201,7 +201,8 @@ def q_chunk_ids(spark, d):
 @query("dedup_latest", f"SELECT id, max(doc_id) AS doc_id FROM ({_ids_sql()}) x GROUP BY id")
 def q_dedup_latest(spark, d):
     from vellum.operators.chunk import dedup_latest
-    return dedup_latest(_ids(spark, d).select("id", "doc_id"), "id", "doc_id")
+    return dedup_latest(_ids(spark, d).select("source", "id", "doc_id"), ["source", "id"],
+                        "doc_id").select("id", "doc_id")
 
 
 # ---------------------------------------------------------------------------- index upsert
@@ -216,7 +217,7 @@ def _batch(spark, d, old: bool):
         docs = docs.where(F.col("lang").isin("fr", "es")).withColumn(
             "text", F.concat("text", F.lit(" [rev]")))
     rows = _ids(spark, d, docs).select("id", "doc_id", "source", F.md5("text").alias("md5"))
-    return dedup_latest(rows, "id", "doc_id")
+    return dedup_latest(rows, ["source", "id"], "doc_id").select("id", "doc_id", "source", "md5")
 
 
 _BATCH_SQL = f"""
@@ -254,7 +255,8 @@ def _classified_index(spark, d):
     cat = C.classify_keyword(docs.select("doc_id", "text"))
     rows = _ids(spark, d, docs).join(cat, "doc_id").select("id", "doc_id", "source",
                                                              "file_category")
-    return dedup_latest(rows, "id", "doc_id")
+    return dedup_latest(rows, ["source", "id"], "doc_id").select("id", "doc_id", "source",
+                                                                 "file_category")
 
 
 _CLASSIFIED_SQL = _KW_SCORES_SQL + f""",
