@@ -131,3 +131,18 @@ def test_index_reset_and_helpers(spark, workdir):
     v = hashed_vector("Hello hello world", 8)
     assert v.shape == (8,) and abs(float(np.linalg.norm(v)) - 1.0) < 1e-6
     assert not hashed_vector("", 8).any()
+
+
+def test_lead_within_ranged_matches_window(spark):
+    import random
+
+    from vellum.operators.topk import lead_within
+    random.seed(11)
+    rows = [(0 if i % 3 else random.randint(1, 30), i, f"v{i}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "g long, t long, v string")
+    plain = {(r.g, r.t): r.nx for r in lead_within(df, "g", "t", "v", "nx", skew_safe=False).collect()}
+    for parts in (8, 33, 500):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        got = {(r.g, r.t): r.nx for r in lead_within(df, "g", "t", "v", "nx", skew_safe=True).collect()}
+        assert got == plain
+    spark.conf.set("spark.sql.shuffle.partitions", "8")

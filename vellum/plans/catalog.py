@@ -693,13 +693,12 @@ s AS (SELECT conv_id, turn, CASE WHEN len(a) + len(b) > 0
       FROM t)
 SELECT conv_id, turn, score, score >= {config.PASS_THRESHOLD} AS passed FROM s""")
 def q_evaluate_answers(spark, d):
-    from pyspark.sql import Window
-
     from vellum.operators.evaluate import evaluate
-    a = _conv(spark, d).where(F.col("role") == "assistant")
-    pairs = a.select("conv_id", "turn", F.col("text").alias("actual_output"),
-                     F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-                     .alias("expected_output")).where(F.col("expected_output").isNotNull())
+    from vellum.operators.topk import lead_within
+    a = _conv(spark, d).where(F.col("role") == "assistant").select("conv_id", "turn", "text")
+    pairs = (lead_within(a, "conv_id", "turn", "text", "expected_output")
+             .where(F.col("expected_output").isNotNull())
+             .select("conv_id", "turn", F.col("text").alias("actual_output"), "expected_output"))
     return evaluate(pairs, key=("conv_id", "turn"), rounding=None)
 
 
