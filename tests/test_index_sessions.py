@@ -146,3 +146,12 @@ def test_lead_within_ranged_matches_window(spark):
         got = {(r.g, r.t): r.nx for r in lead_within(df, "g", "t", "v", "nx", skew_safe=True).collect()}
         assert got == plain
     spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_title_input_first_exchange_only(spark):
+    msgs = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, "user", "q"),
+                                  (2, 1, "assistant", "a"), (2, 2, "user", "again")],
+                                 "conv_id long, turn int, role string, text string")
+    got = {r.conv_id: r.prompt for r in S.title_input(msgs, max_messages=2).collect()}
+    assert list(got) == [1] and got[1].endswith("hi")
+    assert {r.conv_id for r in S.title_input(msgs).collect()} == {1, 2}

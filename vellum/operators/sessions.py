@@ -148,9 +148,15 @@ def first_message(messages: DataFrame, session: str = "conv_id", turn: str = "tu
             .agg(F.min_by(content, turn).alias("message")))
 
 
-def title_input(messages: DataFrame, session: str = "conv_id", **kw) -> DataFrame:
-    """``(session, prompt)`` asking a model for a title from the first user message."""
+def title_input(messages: DataFrame, session: str = "conv_id",
+                max_messages: int | None = None, **kw) -> DataFrame:
+    """``(session, prompt)`` asking a model for a title from the first user message.
+    ``max_messages=2`` restricts it to sessions still at their first exchange (when the
+    title is generated interactively)."""
     first = first_message(messages, session, **kw)
+    if max_messages is not None:
+        small = session_counts(messages, session).where(F.col("n") <= max_messages)
+        first = first.join(small.select(session), session, "left_semi")
     return first.select(session, fill_template(config.TITLE_TEMPLATE, message=F.col("message"))
                         .alias("prompt"))
 

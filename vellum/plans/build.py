@@ -88,6 +88,8 @@ def build_knowledge_base(spark, corpus_root: str, index_base: str, manifest_base
     from vellum.sources.index_store import update_index, write_index
     from vellum.sources.manifest import MANIFEST_SCHEMA, read_manifest, write_manifest
 
+    import time
+    started = time.perf_counter()
     files = scan_corpus(spark, corpus_root).select("path", "md5", "content")
     manifest = (spark.createDataFrame([], MANIFEST_SCHEMA) if force
                 else read_manifest(spark, manifest_base))
@@ -110,4 +112,5 @@ def build_knowledge_base(spark, corpus_root: str, index_base: str, manifest_base
     write_manifest(files.join(failed, "path", "left_anti"), manifest_base)
     m = obs.get
     return {"index": index_base, "chunks_indexed": int(m.get("chunks") or 0),
-            "buckets_replaced": buckets, "files_failed": failed.count()}
+            "buckets_replaced": buckets, "files_failed": failed.count(),
+            "seconds": round(time.perf_counter() - started, 3)}
