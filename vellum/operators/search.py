@@ -25,6 +25,7 @@ from vellum.operators.topk import top_k_per_group
 from vellum.session import cut_lineage
 
 DEFAULT_MAX_BROADCAST_BYTES = 64 << 20
+MAX_ASSUMED_WIDTH = 4096  # vector width assumed when sizing a query set without measuring
 ROUND = 6
 
 
@@ -46,24 +47,32 @@ def centroid_queries(df: DataFrame, group: str = "label", vec: str = "embedding"
 def _blocks(queries: DataFrame, qkey: str, qvec: str, max_bytes: int):
     """Yield driver-side (ids, matrix) blocks, each within ``max_bytes``.
 
-    The row count is taken without evaluating the vectors (the count prunes them), the
-    width from one row; each block is collected once, as Arrow."""
+    The row count is taken without evaluating the vectors (the count prunes them). If the
+    set fits even at ``MAX_ASSUMED_WIDTH``, it is collected once, as Arrow; otherwise (or
+    if the vectors turn out wider) the width is measured and the set is split into blocks
+    by a hash of the key, each collected once."""
     n = queries.select(qkey).count()
     if n == 0:
         return
-    first = queries.select(F.size(qvec).alias("d")).where(F.col("d") > 0).first()
-    d = int(first["d"]) if first else 1
-    per_row = d * 8 + 64
-    nblocks = max(1, math.ceil(n * per_row / max_bytes))
     src = queries.select(qkey, qvec)
+    d = None
+    if n * (MAX_ASSUMED_WIDTH * 8 + 64) <= max_bytes:
+        tbl = src.toArrow()
+        col = tbl.column(qvec).combine_chunks()
+        d = int(pc.max(pc.list_value_length(col)).as_py() or 1)
+        if n * (d * 8 + 64) <= max_bytes:
+            yield tbl.column(qkey).to_numpy(zero_copy_only=False), _matrix(col, d)
+            return
+    if d is None:
+        first = queries.select(F.size(qvec).alias("d")).where(F.col("d") > 0).first()
+        d = int(first["d"]) if first else 1
+    nblocks = max(1, math.ceil(n * (d * 8 + 64) / max_bytes))
     for b in range(nblocks):
-        part = src if nblocks == 1 else src.where(
-            F.pmod(F.xxhash64(qkey), F.lit(nblocks)) == b)
-        tbl = part.toArrow()
+        tbl = src.where(F.pmod(F.xxhash64(qkey), F.lit(nblocks)) == b).toArrow()
         if tbl.num_rows == 0:
             continue
-        ids = tbl.column(qkey).to_numpy(zero_copy_only=False)
-        yield ids, _matrix(tbl.column(qvec).combine_chunks(), d)
+        yield (tbl.column(qkey).to_numpy(zero_copy_only=False),
+               _matrix(tbl.column(qvec).combine_chunks(), d))
 
 
 def _best(frames: list[pd.DataFrame], k: int, qkey: str, ikey: str) -> pd.DataFrame:
