@@ -38,7 +38,7 @@ def test_count_and_peek(spark):
 def test_metadata_filter_golden(spark):
     j = '{"a":1,"b":[1],"c":{"x":1},"d":"[s]","e":null,"f":1.5,"g":true}'
     df = spark.createDataFrame([(1, j), (2, "not json")], "id long, props string")
-    got = {r.key_name: r.value for r in metadata_scalars(df, "id", "props").collect()}
+    got = {r.key: r.value for r in metadata_scalars(df, "id", "props").collect()}
     assert got == {"a": "1", "d": "[s]", "f": "1.5", "g": "true"}
 
 

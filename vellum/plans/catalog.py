@@ -379,7 +379,7 @@ def q_retrieve_context(spark, d):
 
 # ---------------------------------------------------------------------------- metadata, html
 @query("metadata_scalars", """
-SELECT event_id, j.key AS key_name, j.value ->> '$' AS value
+SELECT event_id, j.key AS key, j.value ->> '$' AS value
 FROM events, json_each(events.props) AS j
 WHERE json_type(j.value) NOT IN ('ARRAY', 'OBJECT', 'NULL')""")
 def q_metadata_scalars(spark, d):
