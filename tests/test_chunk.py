@@ -125,3 +125,13 @@ def test_semantic_matches_brute_force(spark):
         want = _semantic_brute(row.text, k=1.0)
         have = [got.get(row.doc_id, {})[i] for i in range(len(got.get(row.doc_id, {})))]
         assert have == want, row.doc_id
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text(alphabet="abc.", min_size=1, max_size=300), st.integers(2, 40), st.data())
+def test_plain_windows_equal_char_packing(text, size, data):
+    overlap = data.draw(st.integers(0, size - 1))
+    seps = data.draw(st.sampled_from([[""], [".", ""], ["x", ""]]))
+    fast = split_recursive(text, size, overlap, seps, windows_for_plain=True)
+    slow = split_recursive(text, size, overlap, seps, windows_for_plain=False)
+    assert fast == slow

@@ -51,10 +51,13 @@ def chunk_fixed(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 # --------------------------------------------------------------------------- X1
 
+_SPACE = re.compile(r"\s")
+
 
 def split_recursive(text: str, size: int = config.CHUNK_SIZE,
                     overlap: int = config.CHUNK_OVERLAP,
-                    separators: list[str] | None = None) -> list[tuple[int, str]]:
+                    separators: list[str] | None = None,
+                    windows_for_plain: bool = True) -> list[tuple[int, str]]:
     """Recursive character splitting of one text into ``(start, chunk)`` pairs.
 
     Contract: use the first separator that occurs (the empty one always does); cut before
@@ -107,6 +110,16 @@ def split_recursive(text: str, size: int = config.CHUNK_SIZE,
             if s == "" or s in t:
                 sep, rest = s, seps_left[i + 1:]
                 break
+        if sep == "" and windows_for_plain and not _SPACE.search(t):
+            # Packing single characters greedily with this overlap gives windows of
+            # ``size`` characters every ``size - overlap``, the last one reaching the end
+            # (nothing to strip without whitespace): emit them without a tuple per character.
+            step, i = size - overlap, 0
+            while True:
+                out.append((off + i * step, t[i * step:i * step + size]))
+                if i * step + size >= len(t):
+                    return
+                i += 1
         good: list[tuple[int, str]] = []
         for poff, p in cut(off, t, sep):
             if len(p) < size:
