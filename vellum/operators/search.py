@@ -153,6 +153,9 @@ def topk_similarity(index: DataFrame, queries: DataFrame, k: int = config.TOP_K,
     qkey_t = queries.schema[query_key].dataType.simpleString()
     schema = f"{query_key} {qkey_t}, {index_key} {key_t}, score double"
     parts = []
+    # The query table is read by the count and by every block it is split into; a reliable
+    # checkpoint computes it (embedding included) once instead of once per read.
+    queries = cut_lineage(queries.select(query_key, query_vec))
     for qids, qmat in _blocks(queries, query_key, query_vec, max_broadcast_bytes):
         bc = spark.sparkContext.broadcast(qmat)
         parts.append(idx.mapInArrow(
