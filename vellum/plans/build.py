@@ -57,10 +57,13 @@ def documents_as_parts(docs: DataFrame) -> DataFrame:
 
 
 def build_metrics(parts: DataFrame, rows: DataFrame) -> DataFrame:
-    """D10 as a table: parts, files, chunks indexed."""
-    p = parts.agg(F.count(F.lit(1)).alias("parts"), F.countDistinct("source").alias("files"))
-    c = rows.agg(F.count(F.lit(1)).alias("chunks"))
-    return p.withColumn("_k", F.lit(1)).join(c.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    """D10 as a table ``(metric, value)``: parts, files and chunks indexed (three global
+    aggregates, unioned; no join between them)."""
+    return (parts.agg(F.lit("parts").alias("metric"), F.count(F.lit(1)).alias("value"))
+            .unionByName(parts.agg(F.lit("files").alias("metric"),
+                                   F.countDistinct("source").alias("value")))
+            .unionByName(rows.agg(F.lit("chunks").alias("metric"),
+                                  F.count(F.lit(1)).alias("value"))))
 
 
 def observed(rows: DataFrame, name: str = "build") -> tuple[DataFrame, Observation]:
