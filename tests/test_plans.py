@@ -35,3 +35,14 @@ def test_topk_limits_before_the_exchange(spark):
 def test_dedup_reuses_window_partitioning(spark):
     plan = _plan(E.queries()["dedup_latest"](spark, SF))
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_single_partition_exchanges_are_bounded(spark, name):
+    """A single-partition exchange may only follow a partial aggregate (one row per task),
+    carry one row per partition (``_pid``) or sit under the peek's fixed limit."""
+    lines = _plan(E.queries()[name](spark, SF)).split("\n")
+    for i, line in enumerate(lines):
+        if "Exchange SinglePartition" in line:
+            below = lines[i + 1] if i + 1 < len(lines) else ""
+            assert "partial_" in below or "_pid" in below, (name, below)
