@@ -531,7 +531,15 @@ def echo_generator(prompts: list[str]) -> list[str]:
     return out
 
 
-@query("rag_answer")
+@query("rag_answer", "WITH " + _Q_SQL + "," + _text_hits_sql("questions", "item_id", "question",
+                                                             TEXT_THRESHOLD) + f"""
+SELECT q.item_id,
+       'You asked: ' || split_part(q.question, chr(10), 1) AS response,
+       array_to_string(coalesce(a.sources, []), ', ') AS sources,
+       coalesce(a.conf, 0.0) AS confidence,
+       CAST(coalesce(len(a.sources), 0) AS INTEGER) AS num_sources,
+       CAST(NULL AS VARCHAR) AS session_id
+FROM questions q LEFT JOIN a ON a.query_id = q.item_id""")
 def q_rag_answer(spark, d):
     from vellum.plans.answer import rag_answer
     r = rag_answer(_text_index(spark, d), _questions(spark, d), echo_generator,
