@@ -671,16 +671,28 @@ def q_sessions_upsert(spark, d):
 # ---------------------------------------------------------------------------- model hooks, eval
 def category_double(prompts: list[str]) -> list[str]:
     """Deterministic stand-in for a classification model: names the first category whose
-    name appears in the prompt's text, replies with junk for every seventh prompt."""
+    name occurs in the sample, and replies with junk when the sample's length is 6 mod 7
+    (so the fallback path is exercised on a fixed, batch-independent set of rows)."""
     out = []
-    for i, p in enumerate(prompts):
-        body = p.split("---", 1)[-1].lower()
-        hit = next((c for c in config.KEYWORDS if c.lower() in body), None)
-        out.append("not json" if i % 7 == 6 else '{"category": "%s"}' % (hit or "OTHER"))
+    for p in prompts:
+        sample = p.split("\n---\n", 1)[1].rsplit("\n---", 1)[0]
+        low = sample.lower()
+        hit = next((c for c in config.KEYWORDS if c.lower() in low), None)
+        out.append("not json" if len(sample) % 7 == 6 else '{"category": "%s"}' % (hit or "OTHER"))
     return out
 
 
-@query("classify_model")
+def _model_sql() -> str:
+    whens = " ".join(f"WHEN contains(lower(sample), {_sql_str(c.lower())}) THEN {_sql_str(c)}"
+                     for c in config.KEYWORDS)
+    return f"""
+WITH s AS (SELECT doc_id, substring(coalesce(text, ''), 1, {config.SAMPLE_MAX_CHARS}) AS sample FROM documents)
+SELECT doc_id, CASE WHEN length(sample) = 0 OR length(sample) % 7 = 6 THEN 'GENERAL'
+                    ELSE CASE {whens} ELSE 'GENERAL' END END AS file_category
+FROM s"""
+
+
+@query("classify_model", _model_sql())
 def q_classify_model(spark, d):
     return C.classify_model(table(spark, d, "documents", "doc_id", "text", fan_out=True), category_double)
 
