@@ -215,3 +215,13 @@ def test_update_index_empties_a_bucket(spark, workdir):
     none = index_rows(parts.where("false"), dim=8)
     update_index(spark, base, none, deleted_sources=spark.createDataFrame([("only",)], "source string"), width=8)
     assert open_index(spark, base).count() == 0
+
+
+def test_invalid_utf8_does_not_fail_the_batch(spark, workdir):
+    with open(os.path.join(workdir, "latin.txt"), "wb") as fh:
+        fh.write(b"caf\xe9 invoice")
+    with open(os.path.join(workdir, "ok.md"), "wb") as fh:
+        fh.write(b"vendor")
+    parts, dead = split_dead_letter(extract_text(scan_corpus(spark, workdir)))
+    got = {os.path.basename(r.path): r.text for r in parts.collect()}
+    assert got == {"latin.txt": "caf� invoice", "ok.md": "vendor"} and dead.count() == 0

@@ -167,7 +167,7 @@ def extract_text(files: DataFrame, extractors: dict[str, Extractor] | None = Non
                  path: str = "path", content: str = "content") -> DataFrame:
     """``(path, part_idx, page, text, file_type, error)`` per extracted part.
 
-    Plain-text formats (A3a) are decoded in the JVM with ``decode(content, 'UTF-8')``; only
+    Plain-text formats (A3a) are decoded in the JVM (``make_valid_utf8``); only
     the structured formats go through Python. A caller-registered extractor for a plain
     extension takes precedence."""
     table = dict(DEFAULT_EXTRACTORS)
@@ -177,7 +177,8 @@ def extract_text(files: DataFrame, extractors: dict[str, Extractor] | None = Non
                        file_type(path).alias("file_type"))
     plain_types = [t for t in PLAIN_TYPES if t not in custom]
     is_plain = F.col("file_type").isin(plain_types)
-    txt = F.decode(F.col("content"), "UTF-8")
+    # Invalid UTF-8 becomes U+FFFD (``decode`` would fail the whole job on one bad file).
+    txt = F.make_valid_utf8(F.col("content").cast("string"))
     plain = src.where(is_plain).select(
         "path", F.lit(0).alias("part_idx"), F.lit(None).cast("int").alias("page"),
         F.when(F.length(F.trim(txt)) > 0, txt).alias("text"), "file_type",
