@@ -155,3 +155,9 @@ def test_title_input_first_exchange_only(spark):
     got = {r.conv_id: r.prompt for r in S.title_input(msgs, max_messages=2).collect()}
     assert list(got) == [1] and got[1].endswith("hi")
     assert {r.conv_id for r in S.title_input(msgs).collect()} == {1, 2}
+
+
+def test_peek_limit_is_honoured(spark):
+    idx = spark.createDataFrame([("a:0", "a", "HR"), ("b:0", "b", "LEGAL"), ("c:0", "c", "TAX")],
+                                "id string, source string, file_category string")
+    assert {r.source for r in I.peek_sources(idx, limit=2).collect()} == {"a", "b"}

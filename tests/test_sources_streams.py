@@ -73,9 +73,11 @@ def test_build_knowledge_base_incremental(spark, workdir):
         with open(os.path.join(corpus, n), "w") as fh:
             fh.write(t)
     idx, man = os.path.join(workdir, "index"), os.path.join(workdir, "manifest")
-    build_knowledge_base(spark, corpus, idx, man, dim=32)
+    m1 = build_knowledge_base(spark, corpus, idx, man, dim=32)
     first = {r.id: r.text for r in open_index(spark, idx).collect()}
-    build_knowledge_base(spark, corpus, idx, man, dim=32)  # unchanged corpus: same index
+    assert m1["chunks_indexed"] == len(first) and m1["files_failed"] == 0 and m1["seconds"] > 0
+    m2 = build_knowledge_base(spark, corpus, idx, man, dim=32)  # unchanged corpus: same index
+    assert m2["chunks_indexed"] == 0
     assert {r.id: r.text for r in open_index(spark, idx).collect()} == first
     with open(os.path.join(corpus, "a.txt"), "w") as fh:
         fh.write("invoice short")  # shrink: orphans must go
