@@ -12,29 +12,40 @@ def get_spark(master: str | None = None, app: str = "vellum",
               shuffle_partitions: int | None = None) -> SparkSession:
     """Session with the settings this package is tuned for (AQE on, Arrow on, UTC).
 
-    On a cluster the master and most settings come from ``spark-submit``; only unset values
-    get a default here.
+    An active session is returned unchanged. Otherwise only settings that are not already
+    given (``spark-submit`` / ``spark-defaults.conf`` reach the builder as a SparkConf) get
+    the defaults below, so cluster settings such as the shuffle partition count are kept.
     """
-    builder = SparkSession.builder.appName(app)
-    if master:
-        builder = builder.master(master)
+    from pyspark import SparkConf
+
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        return active
+    given = SparkConf()
     cpus = os.environ.get("BENCH_CPUS") or str(os.cpu_count() or 8)
-    parts = str(shuffle_partitions or cpus)
-    builder = (
-        builder.config("spark.sql.shuffle.partitions", parts)
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-        .config("spark.driver.memory", os.environ.get("VELLUM_DRIVER_MEMORY", "16g"))
-        .config("spark.ui.enabled", "false")
+    defaults = {
+        "spark.sql.shuffle.partitions": str(shuffle_partitions or cpus),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+        "spark.driver.memory": os.environ.get("VELLUM_DRIVER_MEMORY", "16g"),
+        "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         # One BLAS thread per Python worker: tasks already use every core.
-        .config("spark.executorEnv.OPENBLAS_NUM_THREADS", "1")
-        .config("spark.executorEnv.OMP_NUM_THREADS", "1")
-        .config("spark.ui.showConsoleProgress", "false")
-    )
+        "spark.executorEnv.OPENBLAS_NUM_THREADS": "1",
+        "spark.executorEnv.OMP_NUM_THREADS": "1",
+    }
+    builder = SparkSession.builder.appName(app)
+    if master and not given.contains("spark.master"):
+        builder = builder.master(master)
+    for key, value in defaults.items():
+        if shuffle_partitions and key == "spark.sql.shuffle.partitions":
+            builder = builder.config(key, value)  # asked for explicitly
+        elif not given.contains(key):
+            builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
