@@ -52,10 +52,13 @@ def get_spark(master: str | None = None, app: str = "vellum",
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster in ``spark.checkpoint.dir``.
-
-    Only when it is unset (local runs, tests) a fresh folder is created and registered.
+    """The shared checkpoint folder: the one already set on the SparkContext, else the one
+    the cluster names in ``spark.checkpoint.dir``. Only when neither is set (local runs,
+    tests) a fresh folder is created and registered.
     """
+    current = spark.sparkContext.getCheckpointDir()
+    if current:
+        return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
