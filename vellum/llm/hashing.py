@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 from vellum.llm.common import bytes_of
@@ -55,6 +56,9 @@ def powers(radix: int, n: int, inverse: bool = False) -> np.ndarray:
     return have[:n]
 
 
+_PLAIN = np.array([b > 127 or chr(b).isalnum() for b in range(256)])
+
+
 @dataclass
 class Words:
     """Words of a batch: ``hash[i]`` is the i-th word's, ``start``/``end`` its bytes in
@@ -68,17 +72,18 @@ class Words:
     doc_offsets: np.ndarray
 
 
-def words(col: pa.Array, lower: bool = False) -> Words:
+def words(col: pa.Array, lower: bool = False, plain: bool = False) -> Words:
     """Words of every text of a string column (split at ASCII white space; nulls have none).
-    ``lower``: A-Z count as a-z."""
-    data, offsets = bytes_of(col)
+    ``lower``: A-Z count as a-z. ``plain``: the whole text is lower-cased and split at everything
+    in ASCII that is no letter or digit."""
+    data, offsets = bytes_of(pc.utf8_lower(col) if plain else col)
     if lower and len(data):
         data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return Words(data, none, none, np.zeros(0, U), np.zeros(len(offsets), np.int64), offsets)
-    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    inside = _PLAIN[data] if plain else ~((data == 32) | ((data >= 9) & (data <= 13)))
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     begins, ends = inside.copy(), inside.copy()

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import Scratch, read, slices
+from vellum.llm.common import SEPARATOR_CHARS, Scratch, read, slices
 from vellum.llm.graph import components
 from vellum.llm.hashing import U, mix, prefix, spans, words
 
@@ -174,17 +174,9 @@ def _rooted(index: DataFrame, links: DataFrame | None, scratch: Scratch, name: s
     return scratch.save(rooted.join(open_lists, "s"), f"{name}-index")
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row: the size of its shingle set and the
-    least doc_id reachable by links of Jaccard similarity ``percent`` / 100 or more.
-
-    Words are separated by ASCII white space, with A-Z as a-z. Rows without words or text have
-    no shingle and link with nothing, equal texts included: their component is their own id. Repeated rows are one
-    class; a null id is never a least id unless its component has no other. An empty table gives
-    none.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
+def _grouped(docs: DataFrame, k: int, percent: int, key: str, text: str) -> DataFrame:
+    """(doc_id, t, n, root, component_id) for every row; root and component_id null without words."""
+    scratch = Scratch(docs.sparkSession, "jaccard")
     raw = F.coalesce(F.col(text), F.lit(""))
     source = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.xxhash64(raw).alias("t"), raw.alias("text"))
     counted = scratch.save(source.mapInArrow(partial(_sizes, k), "doc_id bigint, t bigint, n bigint, c bigint, counter int, count bigint"), "sizes")
@@ -227,11 +219,37 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str
     least = sizes.where("n > 0").groupBy("c", "n").agg(F.min("doc_id").alias("least"))
     linked = scratch.save(least.join(roots, ["c", "n"], "left").withColumn("root", F.coalesce("root", F.struct("c", "n"))), "classes")
     whole = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_class = scratch.save(linked.join(whole, "root").select("c", "n", "component_id"), "by-class")
-    return sizes.join(by_class, ["c", "n"], "left").select(
+    by_class = scratch.save(linked.join(whole, "root").select("c", "n", "root", "component_id"), "by-class")
+    return sizes.join(by_class, ["c", "n"], "left").select("doc_id", "t", "n", "root", "component_id")
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row: the size of its shingle set and the
+    least doc_id reachable by links of Jaccard similarity ``percent`` / 100 or more.
+
+    Words are separated by ASCII white space, with A-Z as a-z. Rows without words or text have
+    no shingle and link with nothing, equal texts included: their component is their own id. Repeated rows are one
+    class; a null id is never a least id unless its component has no other. An empty table gives
+    none.
+    """
+    return _grouped(docs, k, percent, key, text).select(
         "doc_id", F.col("n").cast("bigint").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near copies: of every component the row with the least id (null last; of rows
+    equal in id the least text hash, of equal rows one). Rows without words are no copies and all stay."""
+    grouped = _grouped(docs, k, percent, key, text).where("n > 0")
+    least = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("t"))).alias("m"))
+    keepers = Scratch(docs.sparkSession, "jaccard").save(least.select(F.col("m.doc_id").alias("_id"), F.col("m.t").alias("_t")), "keepers")
+    raw = F.coalesce(F.col(text), F.lit(""))
+    has_words = F.btrim(raw, F.lit(SEPARATOR_CHARS)) != ""
+    marked = docs.where(has_words).withColumn("_t", F.xxhash64(raw)).withColumn("_id", F.col(key).cast("bigint"))
+    same = marked["_id"].eqNullSafe(keepers["_id"]) & (marked["_t"] == keepers["_t"])
+    chosen = marked.join(keepers, same, "left_semi").dropDuplicates(["_id", "_t"]).drop("_id", "_t")
+    return chosen.unionByName(docs.where(~has_words))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"))

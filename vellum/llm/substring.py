@@ -213,7 +213,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Windows by their words in one string, counted over all documents; for small tables only.
 ORACLE_SMALL = """
-WITH w AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0b\\f\\r]+'), x -> x <> '') AS words FROM documents),
+WITH w AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS words FROM documents),
 win AS (SELECT r, i, array_to_string(words[i:i + 34], ' ') AS g FROM w, unnest(range(1, len(words) - 33)) AS t(i)),
 bad AS (SELECT r, i FROM win WHERE g IN (SELECT g FROM win GROUP BY g HAVING count(*) > 1)),
 gone AS (SELECT DISTINCT r, j FROM bad, unnest(range(i, i + 35)) AS t(j)),
