@@ -161,3 +161,18 @@ def test_peek_limit_is_honoured(spark):
     idx = spark.createDataFrame([("a:0", "a", "HR"), ("b:0", "b", "LEGAL"), ("c:0", "c", "TAX")],
                                 "id string, source string, file_category string")
     assert {r.source for r in I.peek_sources(idx, limit=2).collect()} == {"a", "b"}
+
+
+def test_peek_looks_at_the_whole_index(spark):
+    """A source whose first id lies behind 4000 others is not lost; a limit is the caller's choice."""
+    rows = [(f"a{k:05d}", "s1", "GENERAL") for k in range(5000)] + [("z1", "s2", "LEGAL"), ("z2", None, None)]
+    index = spark.createDataFrame(rows, "id string, source string, file_category string")
+    got = {r.source: r.file_category for r in I.peek_sources(index).collect()}
+    assert got == {"s1": "GENERAL", "s2": "LEGAL", "N/A": "N/A"}
+    assert [r.source for r in I.peek_sources(index, limit=4000).collect()] == ["s1"]
+
+
+def test_titles_of_loaded_sessions(spark):
+    """Stored sessions carry the role ``human``."""
+    msgs = spark.createDataFrame([("s", 0, "human", "hello there"), ("s", 1, "ai", "hi")], "conv_id string, turn int, role string, text string")
+    assert "hello there" in S.title_input(msgs).first().prompt

@@ -12,7 +12,8 @@ def metadata_scalars(df: DataFrame, key: str, json_col: str) -> DataFrame:
     like a list is kept). Values are rendered as text, strings without quotes."""
     # A JSON object parsed to VARIANT and cast to MAP<STRING, VARIANT> keeps each value's
     # own type, so a string "[s]" and an array [1] stay distinguishable.
-    obj = F.try_parse_json(json_col).cast("map<string,variant>")
+    # Anything but an object gives no entries.
+    obj = F.try_variant_get(F.try_parse_json(json_col), "$", "map<string,variant>")
     if key in ("key", "value"):
         raise ValueError("the row key may not be named 'key' or 'value'")
     ex = df.select(key, F.explode(obj).alias("key", "value"))

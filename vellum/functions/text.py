@@ -19,6 +19,11 @@ def file_type(path: str | Column) -> Column:
     return F.lower(F.regexp_extract(p, r"\.([^./]+)$", 1))
 
 
+def path_type(path: str | Column) -> Column:
+    """B1 for file paths, whose names may hold ``#`` and ``?``: the extension as it stands."""
+    return F.lower(F.regexp_extract(_c(path), r"\.([^./]+)$", 1))
+
+
 def id_format(*parts: str | Column) -> Column:
     """``a:b:c``; a NULL part prints as '' (``concat_ws`` would silently drop it)."""
     cols = []

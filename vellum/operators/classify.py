@@ -1,8 +1,8 @@
 """Keyword and model classification of files.
 
-The sample is built with built-in Column functions; the per-category counts run in one
-Arrow-batched pandas UDF (131 substring counts over at most 8000 characters per row); the
-argmax, the tie rule and the fallback are plain Column expressions again.
+Everything but the model hook is built-in Column functions: per keyword, the number of
+occurrences is what deleting it takes off the text's length, divided by its length. Whole
+texts are read; the sample of a file's first parts is an argument a caller asks for.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vellum import config
 
@@ -38,65 +37,24 @@ def classification_sample(parts: DataFrame, key: str = "source", order: str = "p
                                      1, max_chars).alias("sample")))
 
 
-def sample_column(text: str | Column = "text", max_chars: int = config.SAMPLE_MAX_CHARS) -> Column:
-    """Sample of a one-part file: the first ``max_chars`` characters."""
-    c = F.col(text) if isinstance(text, str) else text
-    return F.substring(F.coalesce(c, F.lit("")), 1, max_chars)
-
-
-def keyword_counter(keywords: dict[str, list[str]]):
-    """``count(text) -> list[int]`` per category: for every keyword the number of
-    non-overlapping, left-to-right occurrences in the lower-cased text (``str.count``),
-    summed per category. One Aho-Corasick pass finds all occurrences of all keywords; per
-    keyword an occurrence counts only if it starts after the previous counted one ended,
-    which is exactly ``str.count``. Without the automaton package, ``str.count`` is used."""
-    groups = [[w.lower() for w in words] for words in keywords.values()]
-    owners: dict[str, list[int]] = {}
-    for gi, words in enumerate(groups):
-        for w in words:
-            owners.setdefault(w, []).append(gi)
-    try:
-        import ahocorasick
-    except ImportError:  # pragma: no cover
-        def count(text: str) -> list[int]:
-            low = text.lower()
-            return [sum(low.count(w) for w in words) for words in groups]
-        return count
-    auto = ahocorasick.Automaton()
-    for w, gs in owners.items():
-        auto.add_word(w, (w, len(w), tuple(gs)))
-    if owners:
-        auto.make_automaton()
-
-    def count(text: str) -> list[int]:
-        out = [0] * len(groups)
-        if not owners or not text:
-            return out
-        last_end: dict[str, int] = {}
-        for end, (w, n, gs) in auto.iter(text.lower()):
-            if end - n + 1 > last_end.get(w, -1):
-                last_end[w] = end
-                for g in gs:
-                    out[g] += 1
-        return out
-
-    return count
-
-
-def _score_udf(keywords: dict[str, list[str]]):
-    kw = dict(keywords)
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def score(sample: pd.Series) -> pd.Series:
-        count = keyword_counter(kw)
-        return pd.Series([count(s or "") for s in sample])
-
-    return score
+def sample_column(text: str | Column = "text", max_chars: int | None = None) -> Column:
+    """The text of a one-part file; with ``max_chars`` its first characters only."""
+    c = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    return c if max_chars is None else F.substring(c, 1, max_chars)
 
 
 def score_column(sample: Column, keywords: dict[str, list[str]] | None = None) -> Column:
-    """``array<int>`` of per-category scores, in dictionary order."""
-    return _score_udf(keywords or config.KEYWORDS)(sample)
+    """``array<int>`` of per-category scores, in dictionary order: for every keyword the
+    non-overlapping, left-to-right occurrences in the lower-cased text, summed by category."""
+    groups = F.array(*[F.array(*[F.lit(w.lower()) for w in words if w]).cast("array<string>")
+                       for words in (keywords or config.KEYWORDS).values()])
+
+    def counts(low: Column) -> Column:
+        return F.transform(groups, lambda words: F.aggregate(
+            words, F.lit(0), lambda n, w: n + ((F.length(low) - F.length(F.replace(low, w, F.lit(""))))
+                                               / F.length(w)).cast("int")))
+
+    return F.transform(F.array(F.lower(F.coalesce(sample, F.lit("")))), counts)[0]
 
 
 def category_column(scores: Column, keywords: dict[str, list[str]] | None = None) -> Column:
@@ -133,21 +91,31 @@ def classify_keyword(docs: DataFrame, key: str = "doc_id", text: str = "text",
 def classify_parts(parts: DataFrame, key: str = "source", order: str = "part_idx",
                    text: str = "text", keywords: dict[str, list[str]] | None = None,
                    method: str = "keyword", generate: Callable | None = None,
-                   max_parts: int = config.SAMPLE_MAX_PARTS,
-                   max_chars: int = config.SAMPLE_MAX_CHARS) -> DataFrame:
-    """Classify each file from its first parts and attach ``file_category`` to every
-    part (B2). ``method`` is ``keyword``, ``model`` (needs ``generate``) or ``none``."""
+                   max_parts: int | None = None, max_chars: int | None = None) -> DataFrame:
+    """Classify each file and attach ``file_category`` to every part (B2). ``method`` is
+    ``keyword``, ``model`` (needs ``generate``) or ``none``.
+
+    By default keywords are counted in every part and summed by file (no keyword spans two
+    parts), so a file of any length is read whole and no task gathers its text. With
+    ``max_parts``/``max_chars`` (and always for a model, whose prompt is bounded: the fixed
+    sample size unless given) the file's sample is classified instead."""
     if method == "none":
         return parts.withColumn("file_category", F.lit(config.UNCLASSIFIED))
-    sample = classification_sample(parts, key, order, text, max_parts, max_chars)
-    if method == "keyword":
-        kw = keywords or config.KEYWORDS
-        cat = sample.select(key, category_column(score_column(F.col("sample"), kw), kw)
-                                    .alias("file_category"))
-    elif method == "model":
-        if generate is None:
+    kw = keywords or config.KEYWORDS
+    if method == "keyword" and max_parts is None and max_chars is None:
+        scored = parts.select(key, score_column(F.col(text), kw).alias("_s"))
+        sums = scored.groupBy(key).agg(F.array(*[F.sum(F.col("_s")[i]) for i in range(len(kw))]).alias("_s"))
+        cat = sums.select(key, category_column(F.col("_s"), kw).alias("file_category"))
+    elif method in ("keyword", "model"):
+        sample = classification_sample(parts, key, order, text, max_parts or config.SAMPLE_MAX_PARTS,
+                                       max_chars or config.SAMPLE_MAX_CHARS)
+        if method == "keyword":
+            cat = sample.select(key, category_column(score_column(F.col("sample"), kw), kw)
+                                .alias("file_category"))
+        elif generate is None:
             raise ValueError("method='model' needs a generate callable")
-        cat = classify_model(sample, generate, key=key, text="sample", keywords=keywords)
+        else:
+            cat = classify_model(sample, generate, key=key, text="sample", keywords=keywords)
     else:
         raise ValueError(f"unsupported classification method: {method}")
     # One row per file on the right side; the join is on the file key.
@@ -165,8 +133,7 @@ def classify_prompt(text: Column, keywords: dict[str, list[str]] | None = None)
 def classify_model(docs: DataFrame, generate: Callable[[list[str]], list[str]],
                    key: str = "doc_id", text: str = "text",
                    keywords: dict[str, list[str]] | None = None,
-                   max_chars: int = config.SAMPLE_MAX_CHARS,
-                   batch_size: int = 8) -> DataFrame:
+                   max_chars: int | None = None, batch_size: int = 8) -> DataFrame:
     """``(key, file_category)`` from a caller-supplied model.
 
     ``generate(prompts) -> replies`` is called on Arrow batches of at most ``batch_size``

@@ -66,11 +66,14 @@ def index_count(index: DataFrame | None) -> DataFrame:
 
 
 def peek_sources(index: DataFrame, key: str = "id", source: str = "source",
-                 category: str = "file_category", limit: int = config.PEEK_LIMIT) -> DataFrame:
-    """Among the first ``limit`` rows by id, the category of each source's first
-    row (missing values -> ``N/A``). The limit is the operator's own (a peek): Spark plans
-    it as a top-``limit`` that keeps ``limit`` rows per task before one final merge."""
-    first = index.select(key, source, category).orderBy(key).limit(limit)
+                 category: str = "file_category", limit: int | None = None) -> DataFrame:
+    """The category of each source's first row by id (missing values -> ``N/A``), over
+    the whole index: one aggregate with map-side partial states. With ``limit`` only the first
+    rows by id are looked at (``config.PEEK_LIMIT`` is the size of a quick look), planned as a
+    top-``limit`` that keeps ``limit`` rows per task before one final merge."""
+    first = index.select(key, source, category)
+    if limit is not None:
+        first = first.orderBy(key).limit(limit)
     return (first.select(key, F.coalesce(F.col(source), F.lit(config.MISSING_META)).alias(source),
                          F.coalesce(F.col(category), F.lit(config.MISSING_META)).alias(category))
             .groupBy(source).agg(F.min_by(category, key).alias(category)))

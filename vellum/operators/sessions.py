@@ -22,10 +22,10 @@ def chat_role(role: str | Column) -> Column:
 
 def history_roles(messages: DataFrame, session: str = "conv_id", turn: str = "turn",
                   role: str = "role", content: str = "text") -> DataFrame:
-    """``(session, turn, role, content)`` with chat roles; ordered by session, turn
-    (the order is a range-partitioned sort, not a single-task one)."""
+    """``(session, turn, role, content)`` with chat roles, ordered by session and turn (a
+    range-partitioned sort, not a single-task one)."""
     return messages.select(session, turn, chat_role(role).alias("role"),
-                           F.col(content).alias("content"))
+                           F.col(content).alias("content")).orderBy(session, turn)
 
 
 def chat_history(messages: DataFrame, session_value, session: str = "session_id",
@@ -142,9 +142,11 @@ def session_titles(sessions: DataFrame, titles: DataFrame, session: str = "conv_
 
 def first_message(messages: DataFrame, session: str = "conv_id", turn: str = "turn",
                   role: str = "role", content: str = "text", which: str = "user") -> DataFrame:
-    """``(session, message)``: the earliest message of the given role; ``min_by`` with
-    map-side partial aggregation, so a long session is reduced before the shuffle."""
-    return (messages.where(F.col(role) == which).groupBy(session)
+    """``(session, message)``: the earliest message of the given role (``user`` also finds
+    ``human``, the role of stored sessions); ``min_by`` with map-side partial aggregation, so a
+    long session is reduced before the shuffle."""
+    own = chat_role(role) == "user" if which == "user" else F.col(role) == which
+    return (messages.where(own).groupBy(session)
             .agg(F.min_by(content, turn).alias("message")))
 
 

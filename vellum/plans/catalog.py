@@ -60,7 +60,7 @@ def q_file_type(spark, d):
 # ---------------------------------------------------------------------------- D1 / D2 / X3
 _KW_SCORES_SQL = f"""
 WITH kw(rank, category, keyword) AS ({keywords_values_sql()}),
-s AS (SELECT doc_id, lower(substring(coalesce(text, ''), 1, {config.SAMPLE_MAX_CHARS})) AS t
+s AS (SELECT doc_id, lower(coalesce(text, '')) AS t
       FROM documents),
 sc AS (SELECT doc_id, rank, category,
               CAST(sum((length(t) - length(replace(t, keyword, ''))) // length(keyword))
@@ -276,7 +276,7 @@ def q_index_count(spark, d):
 
 @query("peek_sources", _CLASSIFIED_SQL + f"""
 SELECT coalesce(source, 'N/A') AS source, arg_min(coalesce(file_category, 'N/A'), id) AS file_category
-FROM (SELECT * FROM idx ORDER BY id LIMIT {config.PEEK_LIMIT}) p GROUP BY 1""")
+FROM idx GROUP BY 1""")
 def q_peek_sources(spark, d):
     from vellum.operators.index import peek_sources
     return peek_sources(_classified_index(spark, d))
@@ -549,8 +549,8 @@ def q_rag_answer(spark, d):
 
 # ---------------------------------------------------------------------------- sessions
 # conversations = messages; conv_id is the session, turn the position. The string session
-# id is md5(conv_id). Stored titles come from each session's first system message (cut to
-# 40 characters, cleaned as a model reply is).
+# id is md5(conv_id). Stored titles come from each session's first system message (cleaned as
+# a model reply is).
 def _conv(spark, d, *cols, fan_out=False):
     return table(spark, d, "conversations", *(cols or ("conv_id", "turn", "role", "text")),
                  fan_out=fan_out)
@@ -610,11 +610,11 @@ def _stored_titles(spark, d):
     from vellum.functions.text import clean_title
     from vellum.operators.sessions import first_message
     first = first_message(_conv(spark, d), which="system")
-    return first.select("conv_id", clean_title(F.substring("message", 1, 40)).alias("title"))
+    return first.select("conv_id", clean_title("message").alias("title"))
 
 
 _TITLES_SQL = f"""
-stored AS (SELECT conv_id, replace({_strip_sql("substring(arg_min(text, turn), 1, 40)")}, '"', '') AS title
+stored AS (SELECT conv_id, replace({_strip_sql("arg_min(text, turn)")}, '"', '') AS title
            FROM conversations WHERE role = 'system' GROUP BY conv_id)"""
 
 
@@ -686,7 +686,7 @@ def _model_sql() -> str:
     whens = " ".join(f"WHEN contains(lower(sample), {_sql_str(c.lower())}) THEN {_sql_str(c)}"
                      for c in config.KEYWORDS)
     return f"""
-WITH s AS (SELECT doc_id, substring(coalesce(text, ''), 1, {config.SAMPLE_MAX_CHARS}) AS sample FROM documents)
+WITH s AS (SELECT doc_id, coalesce(text, '') AS sample FROM documents)
 SELECT doc_id, CASE WHEN length(sample) = 0 OR length(sample) % 7 = 6 THEN 'GENERAL'
                     ELSE CASE {whens} ELSE 'GENERAL' END END AS file_category
 FROM s"""
@@ -727,14 +727,13 @@ def q_evaluate_answers(spark, d):
 SELECT doc_id, lower(source) AS f_lower, substring(text, 1, 20) AS f_prefix,
        concat_ws('|', source, lang) AS f_join,
        coalesce(source, '') || ':' || coalesce(lang, '') || ':' || CAST(doc_id AS VARCHAR) AS f_id,
-       replace({_strip_sql("substring(text, 1, 30)")}, '"', '') AS f_clean,
+       replace({_strip_sql("text")}, '"', '') AS f_clean,
        lower(regexp_extract(regexp_replace(source || '.TXT', '[?#].*$', ''), '\\.([^./]+)$', 1)) AS f_ext,
        starts_with(text, 'The') AS f_starts,
        coalesce(nullif(lang, 'en'), 'Unknown') AS f_default,
        md5(source) AS f_md5,
        printf('%.2f', CAST(n_chars AS DOUBLE) / 7) AS f_fixed,
-       CASE WHEN length(substring(text, 1, 25)) > 20 THEN substring(text, 1, 20) || '..'
-            ELSE substring(text, 1, 25) END AS f_title
+       CASE WHEN length(text) > 20 THEN substring(text, 1, 20) || '..' ELSE text END AS f_title
 FROM documents""")
 def q_scalar_functions(spark, d):
     from vellum.functions import text as TX
@@ -743,13 +742,13 @@ def q_scalar_functions(spark, d):
         "doc_id", F.lower("source").alias("f_lower"), F.substring("text", 1, 20).alias("f_prefix"),
         F.concat_ws("|", "source", "lang").alias("f_join"),
         TX.id_format("source", "lang", "doc_id").alias("f_id"),
-        TX.clean_title(F.substring("text", 1, 30)).alias("f_clean"),
+        TX.clean_title("text").alias("f_clean"),
         TX.file_type(F.concat("source", F.lit(".TXT"))).alias("f_ext"),
         F.startswith("text", F.lit("The")).alias("f_starts"),
         F.coalesce(F.nullif("lang", F.lit("en")), F.lit(config.UNKNOWN_SOURCE)).alias("f_default"),
         F.md5("source").alias("f_md5"),
         TX.fixed_decimals(F.col("n_chars").cast("double") / F.lit(7.0)).alias("f_fixed"),
-        TX.display_title(F.substring("text", 1, 25)).alias("f_title"))
+        TX.display_title("text").alias("f_title"))
 
 
 @query("vector_functions", """

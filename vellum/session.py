@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -22,9 +21,7 @@ def get_spark(master: str | None = None, app: str = "vellum",
     if active is not None:
         return active
     given = SparkConf()
-    cpus = os.environ.get("BENCH_CPUS") or str(os.cpu_count() or 8)
     defaults = {
-        "spark.sql.shuffle.partitions": str(shuffle_partitions or cpus),
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -32,6 +29,8 @@ def get_spark(master: str | None = None, app: str = "vellum",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
         "spark.driver.memory": os.environ.get("VELLUM_DRIVER_MEMORY", "16g"),
+        # Checkpoint files go when nothing refers to them any more.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         # One BLAS thread per Python worker: tasks already use every core.
@@ -41,10 +40,10 @@ def get_spark(master: str | None = None, app: str = "vellum",
     builder = SparkSession.builder.appName(app)
     if master and not given.contains("spark.master"):
         builder = builder.master(master)
+    if shuffle_partitions:  # asked for explicitly; else Spark's own default and AQE decide
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in defaults.items():
-        if shuffle_partitions and key == "spark.sql.shuffle.partitions":
-            builder = builder.config(key, value)  # asked for explicitly
-        elif not given.contains(key):
+        if not given.contains(key):
             builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -52,21 +51,16 @@ def get_spark(master: str | None = None, app: str = "vellum",
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder: the one already set on the SparkContext, else the one
-    the cluster names in ``spark.checkpoint.dir``. Only when neither is set (local runs,
-    tests) a fresh folder is created and registered.
-    """
+    """The folder that driver and executors share: the one already set on the SparkContext, else
+    the one the cluster names in ``spark.checkpoint.dir``. There is no machine-local fallback."""
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    local = tempfile.mkdtemp(prefix="vellum-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    if not configured:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(configured)
+    return configured
 
 
 def cut_lineage(df):

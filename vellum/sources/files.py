@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum import config
-from vellum.functions.text import file_type
+from vellum.functions.text import path_type
 
 BINARY_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
@@ -15,7 +15,7 @@ BINARY_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content
 def _keep(df: DataFrame, extensions) -> DataFrame:
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     exts = [e.lower().lstrip(".") for e in extensions]
-    return (df.withColumn("file_type", file_type("path"))
+    return (df.withColumn("file_type", path_type("path"))
             .where(F.col("file_type").isin(exts) & ~name.startswith(".")
                    & (name != config.MANIFEST_NAME)))
 

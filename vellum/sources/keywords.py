@@ -19,11 +19,7 @@ def load_keywords(path: str | None = None) -> dict[str, list[str]]:
     try:
         with open(path, encoding="utf-8") as fh:
             raw = fh.read()
-        try:
-            import yaml  # optional
-            data = yaml.safe_load(raw)
-        except ImportError:
-            data = json.loads(raw)
+        data = _parse(raw, path)
         if not isinstance(data, dict):
             raise ValueError("keyword file must hold a mapping")
         return {str(k): [str(w) for w in (v or [])] for k, v in data.items()}
@@ -31,6 +27,24 @@ def load_keywords(path: str | None = None) -> dict[str, list[str]]:
         return dict(config.FALLBACK_KEYWORDS)
 
 
+def _parse(raw: str, path: str):
+    """JSON by its extension, else YAML; without the yaml package a YAML file is an error of the
+    installation, not of the file."""
+    if path.lower().endswith(".json"):
+        return json.loads(raw)
+    try:
+        import yaml
+    except ImportError as e:
+        try:
+            return json.loads(raw)
+        except ValueError:
+            raise RuntimeError(f"reading {path} needs the yaml package") from e
+    try:
+        return yaml.safe_load(raw)
+    except yaml.YAMLError as e:
+        raise ValueError(f"malformed YAML in {path}") from e
+
+
 def categories(keywords: dict[str, list[str]] | None = None) -> list[str]:
     return list((keywords or config.KEYWORDS).keys())
 
