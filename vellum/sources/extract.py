@@ -12,16 +12,18 @@ from __future__ import annotations
 import csv
 import io
 import json
+import posixpath
 import zipfile
 from collections.abc import Callable
 from html.parser import HTMLParser
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.functions.text import file_type
+from vellum.functions.text import path_type
 
 Part = tuple[int | None, str]          # (page, text)
 Extractor = Callable[[bytes], list[Part]]
@@ -88,12 +90,20 @@ def _html(b: bytes) -> list[Part]:
 
 def _csv(b: bytes) -> list[Part]:
     rows = csv.DictReader(io.StringIO(_decode(b)))
-    return [(i, "\n".join(f"{k}: {v}" for k, v in r.items())) for i, r in enumerate(rows)]
+    return [(None, "\n".join(f"{k}: {v}" for k, v in r.items())) for r in rows]
+
+
+def _element_lines(e: ElementTree.Element):
+    """One line per element that has text of its own, inline markup joined into it."""
+    if (e.text or "").strip() or any((c.tail or "").strip() for c in e):
+        yield " ".join("".join(e.itertext()).split())
+    else:
+        for c in e:
+            yield from _element_lines(c)
 
 
 def _xml_text(b: bytes) -> str:
-    root = ElementTree.fromstring(b)
-    return "\n".join(t.strip() for t in root.itertext() if t and t.strip())
+    return "\n".join(_element_lines(ElementTree.fromstring(b)))
 
 
 def _xml(b: bytes) -> list[Part]:
@@ -120,25 +130,36 @@ def _docx(b: bytes) -> list[Part]:
     return [(None, "\n".join(x for x in paras if x))]
 
 
+def _paragraphs(root: ElementTree.Element, ns: str) -> str:
+    """Paragraphs (``p``), each the texts (``t``) of its runs."""
+    paras = ["".join(t.text or "" for t in p.iter(ns + "t")) for p in root.iter(ns + "p")]
+    return "\n".join(x for x in paras if x.strip())
+
+
 def _pptx(b: bytes) -> list[Part]:
-    return [(i + 1, _xml_text(x)) for i, (_, x) in enumerate(_zip_members(b, "ppt/slides/slide"))]
+    ns = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
+    return [(i + 1, _paragraphs(ElementTree.fromstring(x), ns))
+            for i, (_, x) in enumerate(_zip_members(b, "ppt/slides/slide"))]
 
 
 def _xlsx(b: bytes) -> list[Part]:
+    ns = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+    def text(e: ElementTree.Element) -> str:  # plain or rich-text runs, without phonetic hints
+        return "".join(t.text or "" for x in e if x.tag in (ns + "t", ns + "r") for t in x.iter(ns + "t"))
+
     shared = _zip_members(b, "xl/sharedStrings.xml")
-    strings = _xml_text(shared[0][1]).split("\n") if shared else []
+    strings = [text(si) for si in ElementTree.fromstring(shared[0][1]).iter(ns + "si")] if shared else []
     parts = []
     for i, (_, x) in enumerate(_zip_members(b, "xl/worksheets/sheet")):
-        root = ElementTree.fromstring(x)
-        ns = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
         cells = []
-        for c in root.iter(ns + "c"):
-            v = c.find(ns + "v")
-            if v is None or v.text is None:
-                continue
-            cells.append(strings[int(v.text)] if c.get("t") == "s" and int(v.text) < len(strings)
-                         else v.text)
-        parts.append((i + 1, "\n".join(cells)))
+        for c in ElementTree.fromstring(x).iter(ns + "c"):
+            v, inline = c.find(ns + "v"), c.find(ns + "is")
+            if inline is not None:
+                cells.append(text(inline))
+            elif v is not None and v.text is not None:
+                cells.append(strings[int(v.text)] if c.get("t") == "s" else v.text)
+        parts.append((i + 1, "\n".join(x for x in cells if x)))
     return parts
 
 
@@ -147,10 +168,29 @@ def _odt(b: bytes) -> list[Part]:
     return [(None, _xml_text(body))]
 
 
+def _epub_chapters(z: zipfile.ZipFile) -> list[str]:
+    """Member names in reading order: the package's spine without its navigation page; without a
+    readable package, the pages by name."""
+    local = lambda e: e.tag.rsplit("}", 1)[-1]
+    try:
+        box = ElementTree.fromstring(z.read("META-INF/container.xml"))
+        opf = next(e.get("full-path") for e in box.iter() if local(e) == "rootfile")
+        base, package = opf.rpartition("/")[0], ElementTree.fromstring(z.read(opf))
+        items = {e.get("id"): e for e in package.iter() if local(e) == "item"}
+        spine = [items[e.get("idref")] for e in package.iter() if local(e) == "itemref" and e.get("idref") in items]
+        names = [posixpath.normpath(posixpath.join(base, unquote(e.get("href", "")))) for e in spine
+                 if "nav" not in (e.get("properties") or "").split()]
+        found = [n for n in names if n in set(z.namelist())]
+        if found:
+            return found
+    except (KeyError, StopIteration, ElementTree.ParseError):
+        pass
+    return sorted(n for n in z.namelist() if n.endswith((".xhtml", ".html", ".htm")))
+
+
 def _epub(b: bytes) -> list[Part]:
     with zipfile.ZipFile(io.BytesIO(b)) as z:
-        names = sorted(n for n in z.namelist() if n.endswith((".xhtml", ".html", ".htm")))
-        return [(i + 1, html_text(_decode(z.read(n)))) for i, n in enumerate(names)]
+        return [(i + 1, html_text(_decode(z.read(n)))) for i, n in enumerate(_epub_chapters(z))]
 
 
 DEFAULT_EXTRACTORS: dict[str, Extractor] = {
@@ -174,7 +214,7 @@ def extract_text(files: DataFrame, extractors: dict[str, Extractor] | None = Non
     custom = {k.lower().lstrip("."): v for k, v in (extractors or {}).items()}
     table.update(custom)
     src = files.select(F.col(path).alias("path"), F.col(content).alias("content"),
-                       file_type(path).alias("file_type"))
+                       path_type(path).alias("file_type"))
     plain_types = [t for t in PLAIN_TYPES if t not in custom]
     is_plain = F.col("file_type").isin(plain_types)
     # Invalid UTF-8 becomes U+FFFD (``decode`` would fail the whole job on one bad file).
@@ -226,32 +266,37 @@ def html_to_text(pages: DataFrame, key: str = "page_id", markup: str = "html") -
     return pages.select(key, conv(F.col(markup)).alias("text"))
 
 
+def _numbered(rows: DataFrame, file_type: str) -> DataFrame:
+    """Parts of the rows ``(path, text)`` of files, numbered from 0 in each file.
+
+    Rows keep their place through ``monotonically_increasing_id``; a row's number is its distance from the first row of its
+    file in its task plus the rows of earlier tasks of the file (a count per file and task), so a
+    large file is numbered by all tasks that read it."""
+    from pyspark.sql import Window
+    placed = rows.withColumn("_o", F.monotonically_increasing_id()).withColumn("_task", F.shiftright("_o", 33))
+    tasks = placed.groupBy("path", "_task").agg(F.min("_o").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("path").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = tasks.select("path", "_task", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return placed.join(offsets, ["path", "_task"]).select(
+        "path", (F.col("_before") + F.col("_o") - F.col("_first")).cast("int").alias("part_idx"),
+        F.lit(None).cast("int").alias("page"), "text", F.lit(file_type).alias("file_type"))
+
+
 def csv_rows_to_parts(spark, path: str) -> DataFrame:
     """A3c with Spark's CSV reader: one part per row of a UTF-8 CSV file with a header,
     text = ``column: value`` lines. ``part_idx`` follows the row order within each file."""
-    from pyspark.sql import Window
     df = spark.read.option("header", "true").option("encoding", "UTF-8").csv(path)
-    cols = df.columns
     text = F.concat_ws("\n", *[F.concat(F.lit(f"{c}: "), F.coalesce(F.col(f"`{c}`"), F.lit("")))
-                               for c in cols])
-    rows = df.select(F.input_file_name().alias("path"), text.alias("text"),
-                     F.monotonically_increasing_id().alias("_o"))
-    return rows.select("path", (F.row_number().over(Window.partitionBy("path").orderBy("_o")) - 1)
-                       .cast("int").alias("part_idx"), F.lit(None).cast("int").alias("page"),
-                       "text", F.lit("csv").alias("file_type"))
+                               for c in df.columns])
+    return _numbered(df.select(F.input_file_name().alias("path"), text.alias("text")), "csv")
 
 
 def xml_rows_to_parts(spark, path: str, row_tag: str) -> DataFrame:
     """A3d with Spark's XML reader when the record element is known: one part per
     ``row_tag`` element, text = ``field: value`` lines of its scalar fields."""
-    from pyspark.sql import Window
     df = spark.read.format("xml").option("rowTag", row_tag).load(path)
     fields = [f.name for f in df.schema.fields
               if f.dataType.typeName() not in ("struct", "array", "map")]
     text = F.concat_ws("\n", *[F.concat(F.lit(f"{c}: "), F.coalesce(F.col(f"`{c}`").cast("string"),
                                                                       F.lit(""))) for c in fields])
-    rows = df.select(F.input_file_name().alias("path"), text.alias("text"),
-                     F.monotonically_increasing_id().alias("_o"))
-    return rows.select("path", (F.row_number().over(Window.partitionBy("path").orderBy("_o")) - 1)
-                       .cast("int").alias("part_idx"), F.lit(None).cast("int").alias("page"),
-                       "text", F.lit("xml").alias("file_type"))
+    return _numbered(df.select(F.input_file_name().alias("path"), text.alias("text")), "xml")
