@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import read
+from vellum.llm.common import bounded_batches, read
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 _ESCAPE, _UNESCAPE = re.compile(r"<(\\*)\|"), re.compile(r"<(\\*)\\\|")
@@ -146,6 +146,7 @@ def format_conversations(rows: DataFrame, tokenizer: str, conv: str = "conv_id",
         if out:
             yield flush()
 
+    bounded_batches(rows.sparkSession)
     slim = rows.select(F.col(conv).cast("bigint").alias("conv_id"), F.col(role).alias("role"),
                        F.col(text).alias("text"), F.col(turn).alias("turn"))
     dealt = slim.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")

@@ -19,6 +19,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Bytes of one Arrow batch between the JVM and Python.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Caps the session's Arrow batches at ``BATCH_BYTES`` (Spark's own cap is 64 MB and 10,000
+    rows), as a task holds several copies of a batch of texts. A lower setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 class Scratch:
     """Intermediate tables in a fresh folder below ``spark.checkpoint.dir``, the folder that
     the driver and all executors share. A saved table cuts the lineage: its files outlive the
@@ -29,6 +41,7 @@ class Scratch:
         base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
         if not base:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        bounded_batches(spark)
         self.spark = spark
         self.root = f"{base.rstrip('/')}/vellum-{label}-{uuid.uuid4().hex}"
         self._fs(self.root)[0].deleteOnExit(self._fs(self.root)[1])
@@ -68,7 +81,7 @@ def word_array(text: Column) -> Column:
                .otherwise(F.split(t, SEPARATOR)))
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Consecutive row ranges holding about ``max_bytes`` of ``column`` each; one row at least."""
     n = batch.num_rows
     if not n:

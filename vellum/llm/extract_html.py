@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import read
+from vellum.llm.common import bounded_batches, read
 
 # Element names of HTML.
 #: Elements without an end tag.
@@ -192,6 +192,7 @@ def extract_main_text(pages: DataFrame, html: str = "html", sigma: float = 1.0,
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:-1], pa.array(texts, pa.string())], names=[*part.schema.names[:-1], "text"])
 
+    bounded_batches(pages.sparkSession)
     source = pages.select(*(F.col(f"`{c}`") for c in kept), F.col(html).alias("html"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
     out = source.mapInArrow(run, f"{fields}{', ' if fields else ''}text string")

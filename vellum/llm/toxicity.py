@@ -23,7 +23,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import Scratch, read
+from vellum.llm.common import Scratch, bounded_batches, read
 
 # Second-person words of the corpus' languages.
 SECOND_PERSON = frozenset(
@@ -120,6 +120,7 @@ def features(docs: DataFrame, lexicon: dict[str, float], text: str = "text") ->
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(rows, pa.list_(pa.float64()))],
                                                  names=[*part.schema.names[:-1], "features"])
 
+    bounded_batches(docs.sparkSession)
     source = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(text).alias("text"))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:-1])
     return source.mapInArrow(run, f"{fields}features array<double>")
