@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from vellum.plans import catalog
 from vellum.sources.tables import TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -44,7 +45,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE))
 def test_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF)
     a = _canon(df.columns, [tuple(r) for r in df.collect()])

@@ -79,7 +79,17 @@ def test_semantic_chunks_restore_sentences(spark):
     assert [r.chunk_index for r in rows] == list(range(len(rows)))
 
 
-def test_chunk_ids_skew_safe_matches_windows(spark):
+def _ids_brute(rows):
+    """W1 in plain Python: rows in (source, seq) order, the index restarts when the page changes."""
+    out, last, n = {}, None, 0
+    for seq, src, page in sorted(rows, key=lambda r: (r[1], r[0])):
+        n = n + 1 if last == (src, page) else 0
+        last = (src, page)
+        out[seq] = f"{src}:{'' if page is None else page}:{n}"
+    return out
+
+
+def test_chunk_ids_with_a_hot_source(spark):
     random.seed(7)
     rows = []
     for i in range(3000):
@@ -87,12 +97,8 @@ def test_chunk_ids_skew_safe_matches_windows(spark):
         page = random.choice([1, 1, 1, 2, None])
         rows.append((i, src, page))
     df = spark.createDataFrame(rows, "seq long, source string, page int")
-    plain = {r.seq: r.id for r in chunk_ids(df, "source", "page", ["seq"], skew_safe=False).collect()}
-    for parts in (8, 37):
-        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
-        ranged = {r.seq: r.id for r in chunk_ids(df, "source", "page", ["seq"], skew_safe=True).collect()}
-        assert ranged == plain
-    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    for parts in (8, 37, 400):
+        assert {r.seq: r.id for r in chunk_ids(df, "source", "page", ["seq"], partitions=parts).collect()} == _ids_brute(rows)
 
 
 def _semantic_brute(text, k=3.0, dim=256):

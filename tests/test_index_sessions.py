@@ -101,11 +101,16 @@ def test_history_ranged_matches_window(spark):
         turn[c] = t + 1
         rows.append((c, t, random.choice(["user", "assistant", "system"]), f"m{i}"))
     msgs = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
-    plain = {(r.conv_id, r.turn): r.history for r in S.history_upto(msgs, max_history=3, skew_safe=False).collect()}
-    for parts in (8, 29, 400):  # 400 partitions over 2500 rows: some come out empty or tiny
-        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
-        ranged = {(r.conv_id, r.turn): r.history for r in S.history_upto(msgs, max_history=3, skew_safe=True).collect()}
-        assert ranged == plain
+    line = lambda r: ("user: " if r[2] == "user" else "assistant: ") + r[3]
+    by = {}
+    for r in rows:
+        by.setdefault(r[0], []).append(line(r))
+    for m in (3, 9):
+        plain = {(c, t): "\n".join(ls[max(0, t - m):t]) for c, ls in by.items() for t in range(len(ls))}
+        for parts in (8, 29, 700):  # 700 partitions over 2500 rows: some come out empty, most smaller than m
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            ranged = {(r.conv_id, r.turn): r.history for r in S.history_upto(msgs, max_history=m).collect()}
+            assert ranged == plain
     spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
@@ -140,10 +145,11 @@ def test_lead_within_ranged_matches_window(spark):
     random.seed(11)
     rows = [(0 if i % 3 else random.randint(1, 30), i, f"v{i}") for i in range(2000)]
     df = spark.createDataFrame(rows, "g long, t long, v string")
-    plain = {(r.g, r.t): r.nx for r in lead_within(df, "g", "t", "v", "nx", skew_safe=False).collect()}
+    order = sorted(rows)
+    plain = {r[:2]: (n[2] if n[0] == r[0] else None) for r, n in zip(order, [*order[1:], (None, None, None)], strict=True)}
     for parts in (8, 33, 500):
         spark.conf.set("spark.sql.shuffle.partitions", str(parts))
-        got = {(r.g, r.t): r.nx for r in lead_within(df, "g", "t", "v", "nx", skew_safe=True).collect()}
+        got = {(r.g, r.t): r.nx for r in lead_within(df, "g", "t", "v", "nx").collect()}
         assert got == plain
     spark.conf.set("spark.sql.shuffle.partitions", "8")
 

@@ -4,6 +4,7 @@ physical plans of every catalogue query at sf0.001."""
 import pytest
 
 import __spark_entry__ as E
+from vellum.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 
@@ -12,7 +13,7 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_no_cartesian_or_nested_loop_join(spark, name):
     plan = _plan(E.queries()[name](spark, SF))
     assert "CartesianProduct" not in plan
@@ -32,12 +33,17 @@ def test_topk_limits_before_the_exchange(spark):
     assert "MapInArrow" in plan
 
 
-def test_dedup_reuses_window_partitioning(spark):
-    plan = _plan(E.queries()["dedup_latest"](spark, SF))
-    assert plan.count("Exchange hashpartitioning") == 1
+def test_chunk_ids_never_gather_a_source(spark):
+    """The numbering has no exchange or window by source alone."""
+    plan = _plan(E.queries()["chunk_ids"](spark, SF))
+    assert "hashpartitioning(source" not in plan
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_semantic_chunks_move_no_sentence(spark):
+    assert "Exchange hashpartitioning" not in _plan(E.queries()["chunk_semantic"](spark, SF))
+
+
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_single_partition_exchanges_are_bounded(spark, name):
     """A single-partition exchange may only follow a partial aggregate (one row per task),
     carry one row per partition (``_pid``) or sit under the peek's fixed limit."""

@@ -4,10 +4,10 @@
   ``explode(sequence(...))`` + ``substring``; no Python.
 * ``chunk_recursive``: the recursive character splitter, one small per-document function
   run over Arrow batches by ``mapInPandas`` (narrow: no shuffle).
-* ``chunk_semantic``: sentences exploded in the JVM, embedded, neighbour distances with
-  ``lag`` and the mean + k * stddev breakpoint rule as window aggregates, runs as groups.
+* ``chunk_semantic``: one narrow Arrow pass: sentences, their embeddings in context, the
+  mean + k * stddev breakpoint rule.
 * ``chunk_ids``: ``source:page:index`` with the index restarting at every change of
-  ``source:page`` in row order (gaps and islands with ``lag`` + running sum).
+  ``source:page`` in row order (a parallel prefix scan over range partitions of the keys).
 * ``dedup_latest``: one row per id, the latest wins (aggregate with map-side combine).
 """
 
@@ -23,7 +23,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum import config
-from vellum.functions import vectors as V
 from vellum.functions.text import id_format
 
 # --------------------------------------------------------------------------- X1b
@@ -175,92 +174,68 @@ def chunk_recursive(docs: DataFrame, key: str = "doc_id", text: str = "text",
 SENTENCE_SPLIT = r"(?<=[.?!])\s+|\n+"
 
 
-def _next_distance(key: str, key_type: str, dim: int, embedder=None):
-    """``mapInArrow`` over rows sorted by (key, sentence): embed each context once and emit
-    ``1 - cos`` to the next row of the same key (NULL for a key's last row). One pending
-    row is carried across batch boundaries, so batches may split a document anywhere."""
-    from vellum.operators.embed import hashed_matrix
+_SENTENCE_END = re.compile(r"(?<=[.?!])[ \t\n\x0B\f\r]+|\n+")
+
+
+def sentences(text: str | None) -> list[str]:
+    """Split after ``.?!`` and white space, or at newlines; trimmed of spaces, empty ones dropped."""
+    return [s for s in (x.strip(" ") for x in _SENTENCE_END.split(text or "")) if s]
 
-    def run(batches):
-        cache: dict = {}
-        pend_key, pend_i, pend_s, pend_vec = None, None, None, None
-        for rb in batches:
-            if rb.num_rows == 0:
-                continue
-            keys = rb.column(key).to_pylist()
-            idx = rb.column("_i").to_numpy(zero_copy_only=False)
-            sent = rb.column("_s").to_pylist()
-            m = hashed_matrix(rb.column("_ctx"), dim, cache).astype(np.float64)
-            out_k, out_i, out_s, out_d = [], [], [], []
-            if pend_vec is not None:
-                out_k.append(pend_key)
-                out_i.append(pend_i)
-                out_s.append(pend_s)
-                out_d.append(1.0 - float(pend_vec @ m[0]) if keys[0] == pend_key else None)
-            same = [keys[j] == keys[j + 1] for j in range(len(keys) - 1)]
-            dots = np.einsum("ij,ij->i", m[:-1], m[1:])
-            for j in range(len(keys) - 1):
-                out_k.append(keys[j])
-                out_i.append(int(idx[j]))
-                out_s.append(sent[j])
-                out_d.append(1.0 - float(dots[j]) if same[j] else None)
-            pend_key, pend_i, pend_s, pend_vec = keys[-1], int(idx[-1]), sent[-1], m[-1]
-            yield pa.RecordBatch.from_pydict({key: out_k, "_i": out_i, "_s": out_s, "_d": out_d},
-                                             schema=schema)
-        if pend_vec is not None:
-            yield pa.RecordBatch.from_pydict({key: [pend_key], "_i": [pend_i], "_s": [pend_s],
-                                              "_d": [None]}, schema=schema)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-    spark_schema = StructType.fromDDL(f"`{key}` {key_type}, _i int, _s string, _d double")
-    schema = to_arrow_schema(spark_schema)
-    return run, spark_schema
+
+def semantic_runs(distances: np.ndarray, k: float) -> np.ndarray:
+    """Chunk index of every sentence of one document, from the distances to the next ones: a new chunk
+    starts after a distance above mean + k * stddev (fewer than three sentences: one chunk)."""
+    if len(distances) < 2:
+        return np.zeros(len(distances) + 1, np.int64)
+    cut = distances > distances.mean() + k * distances.std()
+    return np.concatenate([[0], np.cumsum(cut)])
 
 
 def chunk_semantic(docs: DataFrame, key: str = "doc_id", text: str = "text",
-                   k: float = config.SEMANTIC_STDDEV_K, embedder=None,
+                   k: float = config.SEMANTIC_STDDEV_K, encode=None,
                    dim: int = 256) -> DataFrame:
-    """``(key, chunk_index, text)``: sentences (split after ``.?!`` + space, or at newlines)
-    are embedded together with their neighbours (buffer of one), the cosine distance to the
-    next sentence is compared with mean + k * stddev of that document's distances, and a
-    new chunk starts after every distance above it. Chunk text = its sentences joined by a
-    space. A document with fewer than three sentences is one chunk.
-
-    Sentences, contexts, the statistics and the runs are window expressions over one
-    partitioning by document; the distances come from one ordered ``mapInArrow`` pass that
-    embeds each context once. A custom ``embedder`` (Column function) is applied to the
-    context and the next context instead."""
-    sents = (docs.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")),
-                                                   SENTENCE_SPLIT)).alias("_i", "_s"))
-             .withColumn("_s", F.trim("_s")).where(F.length("_s") > 0))
-    w = Window.partitionBy(key).orderBy("_i")
-    ctx = sents.withColumn("_ctx", F.concat_ws(" ", F.lag("_s").over(w), F.col("_s"),
-                                               F.lead("_s").over(w)))
-    if embedder is None or embedder == "hashed":
-        # Rows leave the window sorted by (key, _i) inside each partition, so this sort is
-        # already satisfied; it states the order the per-partition pass relies on.
-        run, schema = _next_distance(key, docs.schema[key].dataType.simpleString(), dim)
-        dist = (ctx.select(key, "_i", "_s", "_ctx").sortWithinPartitions(key, "_i")
-                .mapInArrow(run, schema))
-    else:
-        from vellum.operators.embed import embed
-        ctx = ctx.withColumn("_next", F.lead("_ctx").over(w))
-        e = embed(embed(ctx, "_ctx", "_v", embedder, dim), "_next", "_vn", embedder, dim)
-        dist = e.withColumn("_d", F.when(F.col("_next").isNotNull(),
-                                         F.lit(1.0) - V.cosine(F.col("_v"), F.col("_vn"))))
-    wd = Window.partitionBy(key)
-    flagged = (dist.withColumn("_n", F.count(F.lit(1)).over(wd))
-               .withColumn("_thr", F.avg("_d").over(wd) + F.lit(k) * F.coalesce(
-                   F.stddev_pop("_d").over(wd), F.lit(0.0)))
-               .withColumn("_brk", F.when((F.col("_n") >= 3) & F.col("_d").isNotNull()
-                                          & (F.col("_d") > F.col("_thr")), 1).otherwise(0)))
-    runs = flagged.withColumn(
-        "chunk_index", (F.coalesce(F.sum("_brk").over(w.rowsBetween(Window.unboundedPreceding, -1)),
-                                   F.lit(0))).cast("int"))
-    return (runs.groupBy(key, "chunk_index")
-            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_s"))),
-                                          lambda x: x["_s"]), " ").alias("text")))
+    """``(key, chunk_index, text)``: sentences are embedded together with their neighbours (buffer
+    of one), the cosine distance to the next sentence is compared with mean + k * stddev of that
+    document's distances, and a new chunk starts after every distance above it. Chunk text = its
+    sentences joined by a space. Wordless texts have no chunk.
+
+    All of it happens inside a document, so it is one narrow pass over Arrow batches: no exchange
+    carries a sentence. ``encode(list[str]) -> matrix`` replaces the hashed embedding; it gets the contexts of
+    a batch at once, each once."""
+    from vellum.operators.embed import hashed_matrix
+
+    fields = f"`{key}` {docs.schema[key].dataType.simpleString()}, chunk_index int, text string"
+
+    def run(batches):
+        cache: dict = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                split = [sentences(t) for t in part.column(1).to_pylist()]
+                contexts = [" ".join(s[max(0, i - 1):i + 2]) for s in split for i in range(len(s))]
+                if not contexts:
+                    continue
+                if encode is None:
+                    m = hashed_matrix(pa.array(contexts, pa.string()), dim, cache).astype(np.float64)
+                else:
+                    m = np.asarray(encode(contexts), dtype=np.float64)
+                    m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+                distance = 1.0 - np.einsum("ij,ij->i", m[:-1], m[1:])
+                rows, numbers, texts, first = [], [], [], 0
+                for d, s in enumerate(split):
+                    if not s:
+                        continue
+                    run_of = semantic_runs(distance[first:first + len(s) - 1], k)
+                    first += len(s)
+                    for c in range(int(run_of[-1]) + 1):
+                        rows.append(d)
+                        numbers.append(c)
+                        texts.append(" ".join(x for x, r in zip(s, run_of) if r == c))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(rows)), pa.array(numbers, pa.int32()), pa.array(texts, pa.string())],
+                    names=[key, "chunk_index", "text"])
+
+    return docs.select(key, text).mapInArrow(run, fields)
 
 
 def chunk(docs: DataFrame, kind: str = "recursive", **kw) -> DataFrame:
@@ -276,34 +251,24 @@ def chunk(docs: DataFrame, kind: str = "recursive", **kw) -> DataFrame:
 
 def chunk_ids(chunks: DataFrame, source: str = "source", page: str | Column = "page",
               order: list[str] | None = None, out: str = "id",
-              skew_safe: bool | None = None, hot_fraction: float = 0.05) -> DataFrame:
+              partitions: int | None = None) -> DataFrame:
     """``source:page:index``; the index counts rows of an unbroken run of equal
     ``(source, page)`` in ``order`` within the source, restarting at 0 whenever the page
     differs from the previous row's (NULL pages compare equal and print as '').
 
-    Plain form: windows partitioned by source. When one source holds more than
-    ``hot_fraction`` of all rows (measured with a map-side partial count, ``skew_safe=None``)
-    or when asked (``skew_safe=True``), the range-partitioned form is used instead, which
-    splits a hot source over many tasks (see :func:`_run_index_ranged`)."""
-    order = order or []
+    ``(source, *order)`` must tell rows apart. Only these columns and the page are numbered
+    (see :func:`_run_index_ranged`: range partitions, so no source gathers in one task); the
+    numbers are joined back to the rows, of which no column is copied."""
+    order = list(order or [])
     pg = F.col(page) if isinstance(page, str) else page
-    df = chunks.withColumn("_pg", pg)
-    if skew_safe is None:
-        stats = (df.groupBy(source).agg(F.count(F.lit(1)).alias("_n"))
-                 .agg(F.max("_n").alias("mx"), F.sum("_n").alias("tot")).first())
-        skew_safe = bool(stats["tot"]) and stats["mx"] > hot_fraction * stats["tot"] \
-            and stats["tot"] > 100_000
-    if skew_safe:
-        df = _run_index_ranged(df, source, order)
-    else:
-        w = Window.partitionBy(source).orderBy(*order)
-        df = df.withColumn("_new", F.when(F.lag("_pg").over(w).eqNullSafe(F.col("_pg"))
-                                          & F.lag(F.lit(1)).over(w).isNotNull(), 0).otherwise(1))
-        df = df.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        wr = Window.partitionBy(source, "_run").orderBy(*order)
-        df = df.withColumn("_idx", F.row_number().over(wr) - 1).drop("_new", "_run")
-    return df.withColumn(out, id_format(F.col(source), F.col("_pg"), F.col("_idx"))).drop(
-        "_pg", "_idx")
+    keys = [source, *order]
+    slim = chunks.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], pg.alias("_pg"))
+    ranged = _run_index_ranged(slim, "_k0", [f"_k{i}" for i in range(1, len(keys))], partitions)
+    ids = ranged.select(*[f"_k{i}" for i in range(len(keys))], id_format("_k0", "_pg", "_idx").alias(out))
+    if [c for c in chunks.columns if c not in keys]:
+        same = [chunks[c].eqNullSafe(ids[f"_k{i}"]) for i, c in enumerate(keys)]
+        return chunks.join(ids, same).drop(*[f"_k{i}" for i in range(len(keys))])
+    return ids.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keys)], out)
 
 
 def _run_index_ranged(df: DataFrame, source: str, order: list[str],
@@ -359,9 +324,7 @@ def dedup_latest(rows: DataFrame, key: str | list[str] = "id", seq: str = "seq")
     """One row per ``key``, the one with the highest ``seq``. A ``max_by`` aggregate,
     so partial aggregation runs map-side and a hot key never gathers its rows in one task.
 
-    ``key`` may list several columns. Chunk ids begin with their source, so grouping by
-    ``["source", "id"]`` is the same grouping as by id, and it is already satisfied by the
-    partitioning on source that :func:`chunk_ids` leaves behind: no second shuffle."""
+    ``key`` may list several columns."""
     keys = [key] if isinstance(key, str) else list(key)
     others = [c for c in rows.columns if c not in keys]
     return (rows.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col(seq)).alias("_r"))

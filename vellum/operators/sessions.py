@@ -60,59 +60,47 @@ def history_preview(messages: DataFrame, session: str = "conv_id", turn: str = "
 
 def history_upto(messages: DataFrame, session: str = "conv_id", turn: str = "turn",
                  role: str = "role", content: str = "text",
-                 max_history: int | None = None, skew_safe: bool | None = None,
-                 hot_fraction: float = 0.05) -> DataFrame:
+                 max_history: int | None = None) -> DataFrame:
     """For every message, the conversation before it as ``role: content`` lines.
 
-    The frame is ``unbounded preceding .. 1 preceding`` (the whole history, as the
-    reference passes it); ``max_history`` bounds it to the last n messages. With a bound,
-    a session holding more than ``hot_fraction`` of all messages (measured with a map-side
-    partial count) or ``skew_safe=True`` switches to the range-partitioned form
-    (:func:`_history_ranged`), which splits a hot session over many tasks."""
+    Without a bound the whole history is asked for (as the reference passes it): the text of a
+    message's history grows with the session, whatever the plan, and a window per session builds
+    it. ``max_history`` bounds it to the last n messages; then rows are range-partitioned and a
+    hot session is split over many tasks (:func:`_history_ranged`)."""
     line = F.concat(chat_role(role), F.lit(": "), F.coalesce(F.col(content), F.lit("")))
-    if max_history is not None and skew_safe is None:
-        st = (messages.groupBy(session).agg(F.count(F.lit(1)).alias("_n"))
-              .agg(F.max("_n").alias("mx"), F.sum("_n").alias("tot")).first())
-        skew_safe = bool(st["tot"]) and st["mx"] > hot_fraction * st["tot"] and st["tot"] > 100_000
-    if max_history is not None and skew_safe:
-        out = _history_ranged(messages.select(session, turn, line.alias("_line")), session,
-                              turn, max_history)
-        if out is not None:
-            return out
-    lo = Window.unboundedPreceding if max_history is None else -max_history
-    w = Window.partitionBy(session).orderBy(turn).rowsBetween(lo, -1)
+    if max_history is not None:
+        return _history_ranged(messages.select(session, turn, line.alias("_line")), session, turn, max_history)
+    w = Window.partitionBy(session).orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
     return messages.select(session, turn, F.array_join(F.collect_list(line).over(w), "\n")
                            .alias("history"))
 
 
 def _history_ranged(lines: DataFrame, session: str, turn: str, m: int,
-                    partitions: int | None = None) -> DataFrame | None:
+                    partitions: int | None = None) -> DataFrame:
     """Bounded history without grouping by session.
 
-    Rows are range-partitioned by (session, turn) and checkpointed; each partition also
-    receives a copy of the last ``m`` rows of the partition before it (a halo), so the
-    ``m`` predecessors of every row are local; a window within each partition collects
-    them and keeps those of the same session. Returns None (caller falls back to the plain
-    window) when some partition holds fewer than ``m`` rows, where a halo from one
-    neighbour would not be enough."""
+    Rows are range-partitioned by (session, turn) and checkpointed. A partition's last ``m`` rows
+    are copied to each later partition that still needs them: those with fewer than ``m`` rows
+    between (one row per partition says how many), which is one partition unless partitions are
+    smaller than ``m``. The ``m`` predecessors of every row are then local; a window within
+    each partition collects them and keeps those of the same session."""
     from vellum.session import cut_lineage
 
     spark = lines.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = cut_lineage(lines.repartitionByRange(n, session, turn)
                          .withColumn("_pid", F.spark_partition_id()))
-    sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    small = sizes.where(F.col("_n") < m).limit(1).count()
-    if small:
-        return None
-    # The halo goes to the next non-empty partition (range partitioning may leave some
-    # empty); the mapping has one row per partition.
-    nxt = sizes.select("_pid", F.lead("_pid").over(Window.orderBy("_pid")).alias("_next"))
+    # rows up to and before each partition; the table has one row per partition
+    upto = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sizes = (ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+             .select("_pid", "_n", F.sum("_n").over(upto).alias("_upto")))
     wl = Window.partitionBy("_pid").orderBy(F.desc(session), F.desc(turn))
-    halo = (ranged.withColumn("_back", F.row_number().over(wl)).where(F.col("_back") <= m)
-            .join(F.broadcast(nxt), "_pid").where(F.col("_next").isNotNull())
-            .select(session, turn, "_line", F.col("_next").alias("_pid"),
-                    F.lit(True).alias("_halo")))
+    tail = (ranged.withColumn("_back", F.row_number().over(wl)).where(F.col("_back") <= m)
+            .join(F.broadcast(sizes.select("_pid", "_upto")), "_pid"))
+    # a row ``_back`` places from the end of its partition is within m rows of the later partition's first
+    near = F.col("_before") - F.col("_upto") + F.col("_back") <= m
+    halo = (tail.join(F.broadcast(_reach(sizes, m)), "_pid").where(near)
+            .select(session, turn, "_line", F.col("_next").alias("_pid"), F.lit(True).alias("_halo")))
     both = ranged.withColumn("_halo", F.lit(False)).unionByName(halo)
     w = Window.partitionBy("_pid").orderBy(session, turn).rowsBetween(-m, -1)
     prior = F.collect_list(F.struct(F.col(session).alias("s"), F.col("_line").alias("l"))).over(w)
@@ -121,6 +109,16 @@ def _history_ranged(lines: DataFrame, session: str, turn: str, m: int,
             .where(~F.col("_halo")).select(session, turn, "history"))
 
 
+def _reach(sizes: DataFrame, m: int) -> DataFrame:
+    """(_pid, _next, _before): later partitions with fewer than ``m`` rows between; collected from the
+    one-row-per-partition table by looking ahead at most ``m`` partitions (each holds a row)."""
+    ahead = Window.orderBy("_pid").rowsBetween(1, m)
+    listed = sizes.select("_pid", "_upto", F.collect_list(F.struct(
+        F.col("_pid").alias("p"), (F.col("_upto") - F.col("_n")).alias("b"))).over(ahead).alias("_l"))
+    return listed.select("_pid", F.explode(F.filter("_l", lambda x: x["b"] - F.col("_upto") < m)).alias("x"))\
+        .select("_pid", F.col("x.p").alias("_next"), F.col("x.b").alias("_before"))
+
+
 def session_id(conv_id: str | Column) -> Column:
     """String session id of a numeric conversation id (32 hex digits)."""
     c = F.col(conv_id) if isinstance(conv_id, str) else conv_id

@@ -56,21 +56,13 @@ def _spark_conf_int(spark, key: str) -> int:
 
 
 def lead_within(df: DataFrame, group: str, order: str, value: str, out: str,
-                skew_safe: bool | None = None, hot_fraction: float = 0.05,
-                min_rows: int = 100_000, partitions: int | None = None) -> DataFrame:
+                partitions: int | None = None) -> DataFrame:
     """``out`` = ``value`` of the next row of the same ``group`` in ``order`` (NULL for the
     last row), like ``lead`` over a window partitioned by group.
 
-    When one group holds more than ``hot_fraction`` of the rows (a map-side partial count)
-    or ``skew_safe=True``, rows are range-partitioned by (group, order) instead, so a hot
-    group is split over balanced tasks; each partition receives a copy of the first row of
-    the next non-empty partition (a halo) so its last row finds its successor locally."""
-    if skew_safe is None:
-        st = (df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-              .agg(F.max("_n").alias("mx"), F.sum("_n").alias("tot")).first())
-        skew_safe = bool(st["tot"]) and st["tot"] > min_rows and st["mx"] > hot_fraction * st["tot"]
-    if not skew_safe:
-        return df.withColumn(out, F.lead(value).over(Window.partitionBy(group).orderBy(order)))
+    Rows are range-partitioned by (group, order), so no group gathers in one task; each
+    partition receives a copy of the first row of the next non-empty partition (a halo), so that
+    its last row finds its successor locally."""
     spark = df.sparkSession
     n = partitions or _spark_conf_int(spark, "spark.sql.shuffle.partitions")
     ranged = cut_lineage(df.repartitionByRange(n, group, order)

@@ -15,6 +15,7 @@ from vellum import config
 from vellum.operators.chunk import chunk_ids, chunk_recursive, dedup_latest
 from vellum.operators.classify import classify_parts
 from vellum.operators.embed import embed
+from vellum.session import cut_lineage
 
 
 def index_rows(parts: DataFrame, keywords=None, size: int = config.CHUNK_SIZE,
@@ -29,8 +30,9 @@ def index_rows(parts: DataFrame, keywords=None, size: int = config.CHUNK_SIZE,
     classified = classify_parts(parts, "source", "part_idx", "text", keywords, classify, generate)
     chunks = chunk_recursive(classified, key="source", text="text", size=size, overlap=overlap,
                              keep=("part_idx", "page", "file_type", "file_category"))
-    ided = chunk_ids(chunks, "source", "page", ["part_idx", "chunk_index"],
-                     skew_safe=hot_source(parts, size - overlap))
+    # Read twice by the numbering (keys, then rows), so the chunks are saved, not made again.
+    chunks = cut_lineage(chunks)
+    ided = chunk_ids(chunks, "source", "page", ["part_idx", "chunk_index"])
     latest = dedup_latest(ided.withColumn("_seq", F.struct("part_idx", "chunk_index")),
                           ["source", "id"], "_seq")
     rows = latest.select("id", "source", F.col("page").cast("string").alias("page"),
@@ -38,17 +40,6 @@ def index_rows(parts: DataFrame, keywords=None, size: int = config.CHUNK_SIZE,
     return embed(rows, "text", "embedding", embedder, dim)
 
 
-def hot_source(parts: DataFrame, step: int = config.CHUNK_SIZE - config.CHUNK_OVERLAP,
-               hot_fraction: float = 0.05, min_chunks: int = 100_000) -> bool:
-    """Whether one source will hold a large share of the chunks, judged from characters per
-    source of the parts (a partial aggregate over the scan). Deciding on the chunks
-    themselves would run the Python classify and chunk stages twice."""
-    st = (parts.groupBy("source").agg(F.sum(F.length("text")).alias("_c"))
-          .agg(F.max("_c").alias("mx"), F.sum("_c").alias("tot")).first())
-    tot = st["tot"] or 0
-    return tot / max(step, 1) > min_chunks and st["mx"] > hot_fraction * tot
-
-
 def documents_as_parts(docs: DataFrame) -> DataFrame:
     """The documents table as one-part files: ``source`` = source/doc_id, page := lang."""
     return docs.select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("source"),
@@ -57,13 +48,11 @@ def documents_as_parts(docs: DataFrame) -> DataFrame:
 
 
 def build_metrics(parts: DataFrame, rows: DataFrame) -> DataFrame:
-    """D10 as a table ``(metric, value)``: parts, files and chunks indexed (three global
-    aggregates, unioned; no join between them)."""
-    return (parts.agg(F.lit("parts").alias("metric"), F.count(F.lit(1)).alias("value"))
-            .unionByName(parts.agg(F.lit("files").alias("metric"),
-                                   F.countDistinct("source").alias("value")))
-            .unionByName(rows.agg(F.lit("chunks").alias("metric"),
-                                  F.count(F.lit(1)).alias("value"))))
+    """D10 as a table ``(metric, value)``: parts, files and chunks indexed. One aggregate over the parts,
+    one over the rows."""
+    counted = parts.agg(F.count(F.lit(1)).alias("parts"), F.countDistinct("source").alias("files"))
+    return (counted.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("parts", "files")])))
+            .unionByName(rows.agg(F.lit("chunks").alias("metric"), F.count(F.lit(1)).alias("value"))))
 
 
 def observed(rows: DataFrame, name: str = "build") -> tuple[DataFrame, Observation]:

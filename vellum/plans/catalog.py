@@ -167,12 +167,6 @@ def q_chunk_recursive(spark, d):
     return chunk_recursive(table(spark, d, "documents", "doc_id", "text", fan_out=True))
 
 
-@query("chunk_semantic")
-def q_chunk_semantic(spark, d):
-    from vellum.operators.chunk import chunk_semantic
-    return chunk_semantic(table(spark, d, "documents", "doc_id", "text", fan_out=True))
-
-
 def _ids_sql(where: str = "TRUE", text: str = "text") -> str:
     return f"""
 SELECT doc_id, source, lang, {text} AS text,
@@ -387,7 +381,35 @@ def q_metadata_scalars(spark, d):
     return metadata_scalars(table(spark, d, "events", "event_id", "props"), "event_id", "props")
 
 
-@query("html_to_text")
+def _html_sql() -> str:
+    """SQL twin of ``html_text_column``."""
+    from html.entities import name2codepoint
+
+    from vellum.sources import extract as X
+    x = "coalesce(html, '')"
+    for pattern in (X.COMMENT, *X.SKIPPED):
+        x = f"regexp_replace({x}, {_sql_str(pattern)}, '', 'g')"
+    x = f"regexp_replace(regexp_replace({x}, {_sql_str(X.BLOCK_TAG)}, chr(10), 'g'), {_sql_str(X.ANY_TAG)}, '', 'g')"
+    names = ", ".join(f"'{name}': chr({code})" for name, code in sorted(name2codepoint.items()))
+    code = ("CASE WHEN lower(name[1:2]) = '#x' THEN CAST('0x' || name[3:] AS BIGINT) "
+            "WHEN name[1] = '#' THEN CAST(name[2:] AS BIGINT) END")
+    return f"""
+WITH t AS (SELECT page_id, str_split({x}, '&') AS pieces FROM pages),
+p AS (SELECT page_id, i, pieces[i] AS piece, regexp_extract(pieces[i], {_sql_str(X.REFERENCE)}, 1) AS name
+      FROM t, unnest(range(1, len(pieces) + 1)) AS u(i)),
+c AS (SELECT *, {code} AS code FROM p),
+f AS (SELECT page_id, i, piece, name, CASE
+        WHEN code IS NOT NULL THEN CASE WHEN code > 0 AND code < 55296 OR code > 57343 AND code <= 1114111
+                                        THEN chr(CAST(code AS INTEGER)) ELSE chr(65533) END
+        WHEN name <> '' THEN MAP {{{names}}}[name] END AS found FROM c),
+j AS (SELECT page_id, string_agg(CASE WHEN i = 1 THEN piece WHEN found IS NOT NULL THEN found || piece[length(name) + 2:]
+                                      ELSE '&' || piece END, '' ORDER BY i) AS x FROM f GROUP BY page_id)
+SELECT page_id, array_to_string(list_filter(list_transform(str_split(x, chr(10)),
+         lambda l: trim(regexp_replace(l, {_sql_str(X.BLANKS)}, ' ', 'g'), ' ')), lambda l: l <> ''), chr(10)) AS text
+FROM j"""
+
+
+@query("html_to_text", _html_sql())
 def q_html_to_text(spark, d):
     from vellum.sources.extract import html_to_text
     return html_to_text(table(spark, d, "pages", "page_id", "html", fan_out=True))
@@ -411,6 +433,31 @@ def _bow_sql(name: str, src: str, key: str, text: str, dim: int = config.VECTOR_
 {name}_n AS (SELECT k, sqrt(sum(w * w)) AS nn FROM {name} GROUP BY k)"""
 
 
+_SEMANTIC_SQL = ("""
+WITH m AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '([.?!])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(1), 'g') AS t FROM documents),
+l AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(t, '\\x01|\\n+'), lambda x: trim(x, ' ')),
+                                 lambda x: x <> '') AS s FROM m),
+ctx AS (SELECT doc_id, i, doc_id || ':' || i AS k, s[i] AS sentence, array_to_string(s[greatest(i - 1, 1):i + 1], ' ') AS c
+        FROM l, unnest(range(1, len(s) + 1)) AS u(i)),""" + _bow_sql("v", "ctx", "k", "c", 256) + f""",
+placed AS MATERIALIZED (SELECT ctx.k, doc_id, i, b, w FROM ctx JOIN v ON v.k = ctx.k),
+dots AS (SELECT x.k, sum(x.w * y.w) AS dot FROM placed x
+         JOIN placed y ON y.doc_id = x.doc_id AND y.i = x.i + 1 AND y.b = x.b GROUP BY x.k),
+dist AS (SELECT ctx.doc_id, ctx.i, ctx.sentence,
+                CASE WHEN lead(ctx.i) OVER w IS NOT NULL THEN 1.0 - coalesce(dots.dot, 0.0) END AS d, count(*) OVER (PARTITION BY ctx.doc_id) AS n
+         FROM ctx LEFT JOIN dots ON dots.k = ctx.k WINDOW w AS (PARTITION BY ctx.doc_id ORDER BY ctx.i)),
+brk AS (SELECT *, CASE WHEN n >= 3 AND d > avg(d) OVER (PARTITION BY doc_id)
+                             + {config.SEMANTIC_STDDEV_K} * stddev_pop(d) OVER (PARTITION BY doc_id) THEN 1 ELSE 0 END AS b FROM dist),
+runs AS (SELECT *, CAST(coalesce(sum(b) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                        AS INTEGER) AS chunk_index FROM brk)
+SELECT doc_id, chunk_index, string_agg(sentence, ' ' ORDER BY i) AS text FROM runs GROUP BY doc_id, chunk_index""")
+
+
+@query("chunk_semantic", _SEMANTIC_SQL)
+def q_chunk_semantic(spark, d):
+    from vellum.operators.chunk import chunk_semantic
+    return chunk_semantic(table(spark, d, "documents", "doc_id", "text", fan_out=True))
+
+
 @query("embed_text", "WITH " + _bow_sql("v", "documents", "doc_id", "coalesce(text, '')") + f""",
 ids AS (SELECT doc_id FROM documents),
 grid AS (SELECT doc_id, b FROM ids, range({config.VECTOR_WIDTH}) t(b))
@@ -788,16 +835,21 @@ def q_build_metrics(spark, d):
 @query("regression_run")
 def q_regression_run(spark, d):
     from vellum.plans.answer import rag_answer
-    from vellum.plans.build import index_rows
-    r = rag_answer(index_rows(_parts(spark, d)), _questions(spark, d), echo_generator,
+    r = rag_answer(_saved_index(spark, d), _questions(spark, d), echo_generator,
                    threshold=TEXT_THRESHOLD)
     return r.withColumn("sources", F.array_join("sources", ", "))
 
 
+def _saved_index(spark, d):
+    """The built index, saved: scoring and context both read it."""
+    from vellum.plans.build import index_rows
+    from vellum.session import cut_lineage
+    return cut_lineage(index_rows(_parts(spark, d)))
+
+
 def flagship(spark, d):
     """classify -> chunk -> embed -> retrieve -> context for every benchmark question."""
     from vellum.plans.answer import rag_prompts
-    from vellum.plans.build import index_rows
-    p = rag_prompts(index_rows(_parts(spark, d)), _questions(spark, d), threshold=TEXT_THRESHOLD)
+    p = rag_prompts(_saved_index(spark, d), _questions(spark, d), threshold=TEXT_THRESHOLD)
     return p.select("item_id", "question", F.array_join("sources", ", ").alias("sources"),
                     "num_sources", "confidence", "context")

@@ -15,12 +15,13 @@ import json
 import posixpath
 import zipfile
 from collections.abc import Callable
+from html.entities import name2codepoint
 from html.parser import HTMLParser
 from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.text import path_type
@@ -201,13 +202,14 @@ DEFAULT_EXTRACTORS: dict[str, Extractor] = {
 
 
 PLAIN_TYPES = ("txt", "md", "yaml", "yml")
+HTML_TYPES = ("html", "xhtml")
 
 
 def extract_text(files: DataFrame, extractors: dict[str, Extractor] | None = None,
                  path: str = "path", content: str = "content") -> DataFrame:
     """``(path, part_idx, page, text, file_type, error)`` per extracted part.
 
-    Plain-text formats (A3a) are decoded in the JVM (``make_valid_utf8``); only
+    Plain-text formats (A3a) and HTML (A3b) are decoded in the JVM (``make_valid_utf8``); only
     the structured formats go through Python. A caller-registered extractor for a plain
     extension takes precedence."""
     table = dict(DEFAULT_EXTRACTORS)
@@ -215,10 +217,11 @@ def extract_text(files: DataFrame, extractors: dict[str, Extractor] | None = Non
     table.update(custom)
     src = files.select(F.col(path).alias("path"), F.col(content).alias("content"),
                        path_type(path).alias("file_type"))
-    plain_types = [t for t in PLAIN_TYPES if t not in custom]
-    is_plain = F.col("file_type").isin(plain_types)
+    native = [t for t in PLAIN_TYPES + HTML_TYPES if t not in custom]
+    is_plain = F.col("file_type").isin(native)
     # Invalid UTF-8 becomes U+FFFD (``decode`` would fail the whole job on one bad file).
     txt = F.make_valid_utf8(F.col("content").cast("string"))
+    txt = F.when(F.col("file_type").isin(*HTML_TYPES), html_text_column(txt)).otherwise(txt)
     plain = src.where(is_plain).select(
         "path", F.lit(0).alias("part_idx"), F.lit(None).cast("int").alias("page"),
         F.when(F.length(F.trim(txt)) > 0, txt).alias("text"), "file_type",
@@ -257,13 +260,44 @@ def split_dead_letter(extracted: DataFrame) -> tuple[DataFrame, DataFrame]:
     return parts, dead
 
 
-def html_to_text(pages: DataFrame, key: str = "page_id", markup: str = "html") -> DataFrame:
-    """A3b on a table of pages: ``(key, text)``; Arrow-batched, one parser per row."""
-    @F.pandas_udf("string")
-    def conv(s: pd.Series) -> pd.Series:
-        return s.map(html_text)
+#: White space that collapses inside a line.
+BLANKS = r"[ \t\r\f\x0B\x{00A0}]+"
+COMMENT = "(?s)<!--.*?-->"
+SKIPPED = [rf"(?is)<{t}\b[^>]*>.*?</{t}\s*>" for t in sorted(_SKIP)]
+BLOCK_TAG = rf"(?i)</?({'|'.join(sorted(_BLOCK, key=lambda t: (-len(t), t)))})(\s[^>]*|/)?>"
+ANY_TAG = "(?s)<[^>]*>"
+REFERENCE = "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+
+
+def html_text_column(markup: Column) -> Column:
+    """Visible text of an HTML page in built-in functions: comments and script, style, nav, head and
+    the like dropped, a line per block element, other tags removed, character references (the
+    standard library's table of names, and numbers) decoded, blanks collapsed, empty lines
+    removed. NULL gives ''."""
+    x = F.coalesce(markup, F.lit(""))
+    for pattern in (COMMENT, *SKIPPED):
+        x = F.regexp_replace(x, pattern, "")
+    x = F.regexp_replace(F.regexp_replace(x, BLOCK_TAG, "\n"), ANY_TAG, "")
+    names = F.create_map(*[F.lit(v) for name, code in sorted(name2codepoint.items()) for v in (name, chr(code))])
+
+    def decoded(piece: Column, i: Column) -> Column:
+        name = F.regexp_extract(piece, REFERENCE, 1)
+        code = (F.when(F.lower(F.substring(name, 1, 2)) == "#x", F.conv(F.substring(name, 3, 6), 16, 10))
+                .when(F.substring(name, 1, 1) == "#", F.substring(name, 2, 7))).cast("bigint")
+        valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
+        char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+        found = F.when(code.isNotNull(), char).when(name != "", F.element_at(names, name))
+        rest = piece.substr(F.length(name) + 2, F.length(piece))
+        return (F.when(i == 0, piece).when(found.isNotNull(), F.concat(found, rest)).otherwise(F.concat(F.lit("&"), piece)))
+
+    x = F.array_join(F.transform(F.split(x, "&"), decoded), "")
+    lines = F.transform(F.split(x, "\n"), lambda t: F.btrim(F.regexp_replace(t, BLANKS, " ")))
+    return F.array_join(F.filter(lines, lambda t: t != ""), "\n")
+
 
-    return pages.select(key, conv(F.col(markup)).alias("text"))
+def html_to_text(pages: DataFrame, key: str = "page_id", markup: str = "html") -> DataFrame:
+    """A3b on a table of pages: ``(key, text)``, in the JVM."""
+    return pages.select(key, html_text_column(F.col(markup)).alias("text"))
 
 
 def _numbered(rows: DataFrame, file_type: str) -> DataFrame:
