@@ -227,3 +227,76 @@ def test_invalid_utf8_does_not_fail_the_batch(spark, workdir):
     parts, dead = split_dead_letter(extract_text(scan_corpus(spark, workdir)))
     got = {os.path.basename(r.path): r.text for r in parts.collect()}
     assert got == {"latin.txt": "caf� invoice", "ok.md": "vendor"} and dead.count() == 0
+
+
+def test_failed_files_are_tracked(spark, workdir):
+    """A file that stops loading loses its chunks, is retried, and is seen as deleted when it goes; only changed
+    files are read and classified, each once."""
+    from vellum.plans.build import build_knowledge_base
+    from vellum.sources.index_store import open_index
+    from vellum.sources.manifest import FAILED, read_manifest
+    corpus, idx, man = (os.path.join(workdir, x) for x in ("c", "i", "m"))
+    os.makedirs(corpus)
+    for name, text in (("a.json", '{"x": "vendor"}'), ("b?#[1].txt", "payroll"), ("c.txt", "audit")):
+        with open(os.path.join(corpus, name), "w") as fh:
+            fh.write(text)
+    calls = os.path.join(workdir, "calls")
+
+    def model(prompts):
+        with open(calls, "a") as fh:
+            fh.write("x" * len(prompts))
+        return ['{"category": "LEGAL"}' for _ in prompts]
+
+    run = lambda: build_knowledge_base(spark, corpus, idx, man, dim=16, classify="model", generate=model)
+    sources = lambda: sorted(os.path.basename(r.source) for r in open_index(spark, idx).select("source").collect())
+    assert run()["files_failed"] == 0 and sources() == ["a.json", "b?#[1].txt", "c.txt"]
+    assert os.path.getsize(calls) == 3
+    with open(os.path.join(corpus, "a.json"), "w") as fh:
+        fh.write("{broken")
+    assert run()["files_failed"] == 1 and sources() == ["b?#[1].txt", "c.txt"]
+    assert {os.path.basename(r.path): r.md5 == FAILED for r in read_manifest(spark, man).collect()} == {
+        "a.json": True, "b?#[1].txt": False, "c.txt": False}
+    assert run()["files_failed"] == 1  # retried
+    os.remove(os.path.join(corpus, "a.json"))
+    with open(os.path.join(corpus, "c.txt"), "w") as fh:
+        fh.write("audit and tax")
+    run()
+    assert sources() == ["b?#[1].txt", "c.txt"] and os.path.getsize(calls) == 4
+    assert {os.path.basename(r.path) for r in read_manifest(spark, man).collect()} == {"b?#[1].txt", "c.txt"}
+
+
+def test_index_keeps_its_layout(spark, workdir):
+    """Reopened with another bucket count or width: the recorded ones hold, others are refused."""
+    from vellum.plans.build import index_rows
+    from vellum.sources.index_store import open_index, update_index, write_index
+    parts = spark.createDataFrame([(f"f{k}", 0, "1", "vendor", "txt") for k in range(5)],
+                                  "source string, part_idx int, page string, text string, file_type string")
+    base = os.path.join(workdir, "idx")
+    write_index(index_rows(parts, dim=8), base, 8, buckets=128)
+    update_index(spark, base, index_rows(parts.limit(2), dim=8), width=8)
+    assert open_index(spark, base).count() == 5
+    for wrong in ({"width": 8, "buckets": 64}, {"width": 16}):
+        with pytest.raises(ValueError, match="was written with"):
+            update_index(spark, base, index_rows(parts, dim=wrong["width"]), **wrong)
+
+
+def test_stream_manifest_dead_letters_and_duplicate_turns(spark, workdir):
+    from vellum.plans.build import build_knowledge_base
+    from vellum.sources.index_store import open_index
+    from vellum.streaming.ingest import stream_build
+    from vellum.streaming.sessions import merge_messages
+    corpus, idx, man, dead = (os.path.join(workdir, x) for x in ("c", "i", "m", "dead"))
+    os.makedirs(corpus)
+    for name, text in (("a.txt", "vendor"), ("bad.json", "{x")):
+        with open(os.path.join(corpus, name), "w") as fh:
+            fh.write(text)
+    stream_build(spark, corpus, idx, os.path.join(workdir, "ck"), man, dead, dim=16).awaitTermination(120)
+    assert [os.path.basename(r.path) for r in spark.read.parquet(dead).collect()] == ["bad.json"]
+    os.remove(os.path.join(corpus, "a.txt"))
+    build_knowledge_base(spark, corpus, idx, man, dim=16)  # the batch build sees the deletion
+    assert open_index(spark, idx).count() == 0
+
+    schema = "session_id string, turn int, role string, content string"
+    old = spark.createDataFrame([("s", 0, "user", "first"), ("s", 1, "ai", "x")], schema)
+    new = spark.createDataFrame([("s", 0, "user", "z", 1), ("s", 0, "user", "b", 2)], schema + ", _seq int")
+    assert {(r.turn, r.content) for r in merge_messages(old, new).collect()} == {(0, "b"), (1, "x")}

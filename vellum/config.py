@@ -93,8 +93,6 @@ PREVIEW_LEN = 100
 # FIXED VALUES -- evaluation pass mark.
 PASS_THRESHOLD = 0.5
 
-# Upsert batch sizes (rows per output file when the index is written).
-UPSERT_BATCH_LOCAL = 1000
 
 # Semantic chunking: breakpoint when the neighbour distance exceeds mean + k * stddev.
 SEMANTIC_STDDEV_K = 3.0

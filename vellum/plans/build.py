@@ -1,9 +1,10 @@
 """Build or update the knowledge base.
 
-files -> changed (anti join on the manifest) -> extract (Arrow) -> classify -> chunk ->
-ids -> embed -> keyed merge with the current snapshot -> new snapshot -> manifest of the
-files that loaded. Every stage is a DataFrame; the only writes are the snapshot and the
-manifest, and the manifest is written last so a failed build is retried in full.
+files -> fingerprints, saved once -> changed (anti join on the manifest) -> contents of changed files only ->
+extract -> classify -> chunk -> ids -> embed -> rows, saved once -> keyed merge per bucket ->
+manifest. Joins carry paths and fingerprints, never contents. The manifest is written last, from the
+fingerprints taken at the start, so a file edited meanwhile is read again next time; a file that
+failed stays in it with a mark, so it is retried, and noticed when it is deleted.
 """
 
 from __future__ import annotations
@@ -66,43 +67,45 @@ def build_knowledge_base(spark, corpus_root: str, index_base: str, manifest_base
                          force: bool = False, purge_orphans: bool = True, keywords=None,
                          embedder=None, dim: int = config.VECTOR_WIDTH,
                          size: int = config.CHUNK_SIZE, overlap: int = config.CHUNK_OVERLAP,
-                         extractors=None, batch_rows: int = config.UPSERT_BATCH_LOCAL) -> dict:
+                         extractors=None, classify: str = "keyword", generate=None,
+                         buckets: int | None = None) -> dict:
     """Scan -> skip unchanged (manifest) -> extract -> classify -> chunk -> ids ->
-    embed -> merge into the latest index snapshot -> new snapshot -> new manifest.
+    embed -> merge into the index -> new manifest. Returns metrics.
 
     ``force`` rebuilds from an empty index. With ``purge_orphans`` every chunk of a changed
-    or deleted file is replaced (J2b); otherwise only equal ids are (J2). The manifest keeps
-    only files that extracted, so failed files are retried next time. Returns metrics."""
+    or deleted file is replaced (J2b); otherwise only equal ids are (J2). Chunks of files that
+    were deleted or no longer load are removed."""
+    import time
+
     from vellum.operators.index import changed_files, corpus_diff
-    from vellum.session import cut_lineage
     from vellum.sources.extract import extract_text, split_dead_letter
-    from vellum.sources.files import scan_corpus
+    from vellum.sources.files import read_files, scan_corpus
     from vellum.sources.index_store import update_index, write_index
-    from vellum.sources.manifest import MANIFEST_SCHEMA, read_manifest, write_manifest
+    from vellum.sources.manifest import FAILED, MANIFEST_SCHEMA, read_manifest, write_manifest
 
-    import time
     started = time.perf_counter()
-    files = scan_corpus(spark, corpus_root).select("path", "md5", "content")
+    files = cut_lineage(scan_corpus(spark, corpus_root).select("path", "md5"))
     manifest = (spark.createDataFrame([], MANIFEST_SCHEMA) if force
                 else read_manifest(spark, manifest_base))
-    todo = changed_files(files, manifest, force=force)
-    # Extraction runs Python once per file; the result feeds three consumers, so it is
-    # checkpointed into the shared checkpoint folder instead of being recomputed.
-    extracted = cut_lineage(extract_text(todo, extractors))
-    parts, dead = split_dead_letter(extracted)
+    todo = cut_lineage(changed_files(files, manifest, force=force).select("path"))
+    whole = todo.count() == files.count()
+    contents = (scan_corpus(spark, corpus_root) if whole else read_files(spark, todo)).select("path", "content")
+    parts, dead = split_dead_letter(cut_lineage(extract_text(contents, extractors)))
     rows = index_rows(parts.withColumnRenamed("path", "source"), keywords, size, overlap,
-                      embedder, dim)
+                      embedder, dim, classify, generate)
     rows, obs = observed(rows, "index")
+    rows = cut_lineage(rows)  # read by the merge and the list of touched buckets
+    failed = dead.select("path").distinct()
     if force:
-        write_index(rows, index_base, dim, batch_rows)
-        buckets = None
+        write_index(rows, index_base, dim, buckets)
+        replaced = None
     else:
-        deleted = corpus_diff(files, manifest).where(F.col("state") == "deleted").select(
-            F.col("path").alias("source"))
-        buckets = update_index(spark, index_base, rows, deleted, purge_orphans, dim, batch_rows)
-    failed = dead.select("path").distinct()
-    write_manifest(files.join(failed, "path", "left_anti"), manifest_base)
+        gone = corpus_diff(files, manifest).where(F.col("state") == "deleted").select("path").unionByName(failed)
+        replaced = update_index(spark, index_base, rows, gone.select(F.col("path").alias("source")), purge_orphans, dim, buckets)
+    marked = files.join(failed.withColumn("_failed", F.lit(True)), "path", "left").select(
+        "path", F.when(F.col("_failed"), F.lit(FAILED)).otherwise(F.col("md5")).alias("md5"))
+    write_manifest(marked, manifest_base)
     m = obs.get
     return {"index": index_base, "chunks_indexed": int(m.get("chunks") or 0),
-            "buckets_replaced": buckets, "files_failed": failed.count(),
+            "buckets_replaced": replaced, "files_failed": failed.count(),
             "seconds": round(time.perf_counter() - started, 3)}

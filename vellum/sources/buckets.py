@@ -16,7 +16,33 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUCKET = "bucket"
+#: Buckets of a small table. Give a large table more when it is first written: a bucket should hold a few
+#: files' worth of rows, as an update rewrites the buckets it touches.
 DEFAULT_BUCKETS = 64
+LAYOUT = "_layout"
+
+
+def read_layout(spark: SparkSession, base: str) -> dict[str, int]:
+    """What was recorded when the table was first written: its bucket count and further numbers."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{LAYOUT}")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return {}
+    return {r["key"]: r["value"] for r in spark.read.schema("key STRING, value BIGINT").parquet(path.toString()).collect()}
+
+
+def write_layout(spark: SparkSession, base: str, **numbers: int) -> None:
+    df = spark.createDataFrame(list(numbers.items()), "key STRING, value BIGINT")
+    df.coalesce(1).write.mode("overwrite").parquet(f"{base.rstrip('/')}/{LAYOUT}")
+
+
+def settled(spark: SparkSession, base: str, **asked: int | None) -> dict[str, int]:
+    """The recorded numbers, checked against those asked for (None: whatever is recorded)."""
+    known = read_layout(spark, base)
+    for key, value in asked.items():
+        if value is not None and key in known and known[key] != value:
+            raise ValueError(f"{base} was written with {key} {known[key]}, not {value}")
+    return known
 
 
 def bucket_of(key: str | Column, n: int = DEFAULT_BUCKETS) -> Column:
@@ -43,9 +69,12 @@ def read_bucketed(spark: SparkSession, base: str, schema: str) -> DataFrame:
 
 def replace_buckets(spark: SparkSession, base: str, schema: str, key: str,
                     touched_keys: DataFrame, merge: Callable[[DataFrame], DataFrame],
-                    n: int = DEFAULT_BUCKETS, max_records_per_file: int | None = None) -> int:
+                    n: int | None = None, **layout: int | None) -> int:
     """Re-write the buckets holding any key of ``touched_keys`` with ``merge(current rows of
-    those buckets)``. Returns the number of buckets replaced."""
+    those buckets)``. Returns the number of buckets replaced. The bucket count and further ``layout``
+    numbers are recorded with the table's first rows and hold from then on."""
+    known = settled(spark, base, buckets=n, **layout)
+    n = known.get("buckets", n or DEFAULT_BUCKETS)
     touched = touched_keys.select(bucket_of(key, n).alias(BUCKET)).distinct()
     cur = read_bucketed(spark, base, schema)
     # Joining on the partition column lets Spark prune the untouched bucket folders.
@@ -59,9 +88,9 @@ def replace_buckets(spark: SparkSession, base: str, schema: str, key: str,
     replaced = touched.count()
     w = (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(BUCKET))
-    if max_records_per_file:
-        w = w.option("maxRecordsPerFile", max_records_per_file)
     w.parquet(base)
+    if not known:
+        write_layout(spark, base, buckets=n, **{k: v for k, v in layout.items() if v is not None})
     if emptied:
         jvm = spark.sparkContext._jvm
         root = jvm.org.apache.hadoop.fs.Path(base)
@@ -71,12 +100,10 @@ def replace_buckets(spark: SparkSession, base: str, schema: str, key: str,
     return replaced
 
 
-def overwrite_all(df: DataFrame, base: str, key: str, n: int = DEFAULT_BUCKETS,
-                  max_records_per_file: int | None = None) -> None:
-    """Replace the whole table (a rebuild or a reset)."""
-    from vellum.session import cut_lineage
-    out = cut_lineage(df.withColumn(BUCKET, bucket_of(key, n)))
-    w = out.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(BUCKET)
-    if max_records_per_file:
-        w = w.option("maxRecordsPerFile", max_records_per_file)
-    w.parquet(base)
+def overwrite_all(df: DataFrame, base: str, key: str, n: int | None = None, **layout: int | None) -> None:
+    """Replace the whole table (a rebuild or a reset) by ``df``, which must not read it."""
+    n = n or DEFAULT_BUCKETS
+    # Clustered by bucket, so that a bucket is a few files however many tasks there are.
+    out = df.withColumn(BUCKET, bucket_of(key, n)).repartition(BUCKET, F.pmod(F.xxhash64(*df.columns[:1]), F.lit(4)))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(BUCKET).parquet(base)
+    write_layout(df.sparkSession, base, buckets=n, **{k: v for k, v in layout.items() if v is not None})

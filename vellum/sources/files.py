@@ -37,6 +37,27 @@ def scan_corpus(spark: SparkSession, root: str,
     return _keep(raw, extensions).withColumn("md5", F.md5("content"))
 
 
+#: Paths of one read; a longer list becomes several reads.
+READ_PATHS = 20_000
+_GLOB = str.maketrans({c: "\\" + c for c in "\\*?[]{}"})
+
+
+def read_files(spark: SparkSession, paths: DataFrame) -> DataFrame:
+    """``(path, content)`` of the listed files only (one string column): Spark reads exactly these, and no
+    join carries their bytes. The list streams through the driver in blocks."""
+    out = spark.createDataFrame([], "path STRING, content BINARY")
+    block: list[str] = []
+
+    def add(to: DataFrame) -> DataFrame:
+        return to.unionByName(spark.read.format("binaryFile").load([p.translate(_GLOB) for p in block]).select("path", "content"))
+
+    for r in paths.toLocalIterator():
+        block.append(r[0])
+        if len(block) == READ_PATHS:
+            out, block = add(out), []
+    return add(out) if block else out
+
+
 def stream_corpus(spark: SparkSession, root: str,
                   extensions=config.SUPPORTED_EXTENSIONS) -> DataFrame:
     """Streaming twin of :func:`scan_corpus` (new files only)."""

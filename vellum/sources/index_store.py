@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum import config
-from vellum.sources.buckets import (BUCKET, DEFAULT_BUCKETS, _exists, overwrite_all,
-                                    read_bucketed, replace_buckets)
+from vellum.sources.buckets import BUCKET, _exists, overwrite_all, read_bucketed, replace_buckets
 
 INDEX_SCHEMA = ("id STRING, source STRING, page STRING, chunk_index INT, start_index INT, "
                 "text STRING, file_type STRING, file_category STRING, embedding ARRAY<FLOAT>")
@@ -36,20 +35,19 @@ def _checked(rows: DataFrame, width: int) -> DataFrame:
 
 
 def write_index(rows: DataFrame, base: str, width: int = config.VECTOR_WIDTH,
-                batch_rows: int = config.UPSERT_BATCH_LOCAL,
-                buckets: int = DEFAULT_BUCKETS) -> str:
-    """A8 (rebuild): replace the whole index with ``rows``."""
-    overwrite_all(_checked(rows, width), base, "source", buckets, batch_rows)
+                buckets: int | None = None) -> str:
+    """A8 (rebuild): replace the whole index with ``rows``; width and bucket count are recorded."""
+    overwrite_all(_checked(rows, width), base, "source", buckets, width=width)
     return base
 
 
 def update_index(spark: SparkSession, base: str, rows: DataFrame,
                  deleted_sources: DataFrame | None = None, purge_orphans: bool = True,
-                 width: int = config.VECTOR_WIDTH, batch_rows: int = config.UPSERT_BATCH_LOCAL,
-                 buckets: int = DEFAULT_BUCKETS) -> int:
+                 width: int = config.VECTOR_WIDTH, buckets: int | None = None) -> int:
     """A8 (incremental): merge ``rows`` into the index, reading and rewriting only the
     buckets of their sources and of ``deleted_sources``. With ``purge_orphans`` all rows of
-    a batch source are replaced (J2b), else only equal ids (J2). Returns buckets replaced."""
+    a batch source are replaced (J2b), else only equal ids (J2). Returns buckets replaced.
+    A width or bucket count other than the index's recorded one raises ``ValueError``."""
     from vellum.operators.index import delete_sources, replace_source, upsert
 
     batch = _checked(rows, width)
@@ -63,8 +61,7 @@ def update_index(spark: SparkSession, base: str, rows: DataFrame,
             cur = delete_sources(cur, deleted_sources)
         return replace_source(cur, batch) if purge_orphans else upsert(cur, batch)
 
-    return replace_buckets(spark, base, INDEX_SCHEMA, "source", touched, merge, buckets,
-                           batch_rows)
+    return replace_buckets(spark, base, INDEX_SCHEMA, "source", touched, merge, buckets, width=width)
 
 
 def reset_index(spark: SparkSession, base: str) -> str:

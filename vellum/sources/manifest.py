@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from vellum.sources.snapshots import read_latest, write_snapshot
 
 MANIFEST_SCHEMA = "path STRING, md5 STRING"
+#: In place of the fingerprint of a file that did not load: differs from any, so the file is
+#: retried, and it is seen as deleted once it is gone.
+FAILED = "failed"
 
 
 def read_manifest(spark: SparkSession, base: str) -> DataFrame:
@@ -16,3 +19,10 @@ def read_manifest(spark: SparkSession, base: str) -> DataFrame:
 
 def write_manifest(files: DataFrame, base: str) -> str:
     return write_snapshot(files.select("path", "md5").dropDuplicates(["path"]), base)
+
+
+def merge_manifest(spark: SparkSession, base: str, batch: DataFrame) -> str:
+    """Replace or add the batch's entries (the latest manifest keeps the others)."""
+    new = batch.select("path", "md5").dropDuplicates(["path"])
+    old = read_manifest(spark, base)
+    return write_snapshot(old.join(new.select("path"), "path", "left_anti").unionByName(new), base)

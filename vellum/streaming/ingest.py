@@ -9,32 +9,45 @@ existing files are picked up by the batch ``build_knowledge_base``.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vellum import config
-from vellum.session import checkpoint_dir
 
 
 def stream_build(spark: SparkSession, corpus_root: str, index_base: str,
-                 checkpoint_location: str | None = None, available_now: bool = True,
+                 checkpoint_location: str, manifest_base: str | None = None,
+                 dead_letter_base: str | None = None, available_now: bool = True,
                  keywords=None, embedder=None, dim: int = config.VECTOR_WIDTH,
-                 size: int = config.CHUNK_SIZE, overlap: int = config.CHUNK_OVERLAP):
-    """Start the ingest stream; returns the ``StreamingQuery``."""
+                 size: int = config.CHUNK_SIZE, overlap: int = config.CHUNK_OVERLAP, extractors=None):
+    """Start the ingest stream; returns the ``StreamingQuery``.
+
+    ``checkpoint_location`` is the stream's own and must outlive the application. With
+    ``manifest_base`` the files (failed ones marked) enter the manifest of the batch build, which then finds
+    later edits and deletions; with ``dead_letter_base`` files that did not load are kept there,
+    a folder per micro-batch, so that a replay overwrites its own."""
     from vellum.plans.build import index_rows
+    from vellum.session import cut_lineage
     from vellum.sources.extract import extract_text, split_dead_letter
     from vellum.sources.files import stream_corpus
     from vellum.sources.index_store import update_index
+    from vellum.sources.manifest import FAILED, merge_manifest
 
     def per_batch(batch: DataFrame, epoch: int) -> None:
-        parts, _dead = split_dead_letter(extract_text(batch.select("path", "content")))
-        rows = index_rows(parts.withColumnRenamed("path", "source"), keywords, size, overlap,
-                          embedder, dim)
-        update_index(batch.sparkSession, index_base, rows, width=dim)
+        own = batch.sparkSession
+        extracted = cut_lineage(extract_text(batch.select("path", "content"), extractors))
+        parts, dead = split_dead_letter(extracted)
+        rows = cut_lineage(index_rows(parts.withColumnRenamed("path", "source"), keywords, size, overlap,
+                                      embedder, dim))
+        update_index(own, index_base, rows, width=dim)
+        if dead_letter_base:
+            dead.write.mode("overwrite").parquet(f"{dead_letter_base.rstrip('/')}/batch={epoch}")
+        if manifest_base:
+            failed = dead.select("path").distinct().withColumn("_failed", F.lit(True))
+            merge_manifest(own, manifest_base, batch.select("path", "md5").join(failed, "path", "left").select(
+                "path", F.when(F.col("_failed"), F.lit(FAILED)).otherwise(F.col("md5")).alias("md5")))
 
-    ckpt = checkpoint_location or os.path.join(checkpoint_dir(spark), "stream-build")
     w = (stream_corpus(spark, corpus_root).writeStream.foreachBatch(per_batch)
-         .option("checkpointLocation", ckpt))
+         .option("checkpointLocation", checkpoint_location))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
