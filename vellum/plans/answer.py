@@ -7,6 +7,7 @@ and an optional ``generate`` hook called on Arrow batches.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import pandas as pd
@@ -18,7 +19,7 @@ from vellum import config
 from vellum.functions.text import fill_template, strip_ws
 from vellum.operators.embed import embed
 from vellum.operators.search import context_assembly, topk_similarity
-from vellum.operators.sessions import chat_role, history_upto
+from vellum.operators.sessions import chat_role, history_upto, title_input, titles_from_replies
 
 APOLOGY = "Sorry, the answer could not be generated. Please try again."
 
@@ -61,19 +62,25 @@ def rag_prompts(index: DataFrame, questions: DataFrame, key: str = "item_id", **
 
 def generate_column(df: DataFrame, generate: Callable[[list[str]], list[str]] | None,
                     prompt: str = "prompt", out: str = "response",
-                    batch_size: int = 8, on_error: str | None = APOLOGY) -> DataFrame:
+                    batch_size: int = 8, on_error: str | None = APOLOGY,
+                    seconds: str | None = None) -> DataFrame:
     """H4: ``out`` = ``generate(prompts)`` over batches of at most ``batch_size``; a failing
-    batch gets ``on_error``. Without a hook the column is NULL."""
+    batch gets ``on_error``. Without a hook the column is NULL. ``seconds`` names a column for the
+    time the row's batch took in the hook (NULL without one)."""
+    timed = [T.StructField(seconds, T.DoubleType())] if seconds else []
     if generate is None:
-        return df.withColumn(out, F.lit(None).cast("string"))
+        df = df.withColumn(out, F.lit(None).cast("string"))
+        return df.withColumn(seconds, F.lit(None).cast("double")) if seconds else df
     cols = df.columns
-    schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.StringType())])
+    schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.StringType()), *timed])
 
     def run(batches):
         for pdf in batches:
             replies: list = []
+            took: list = []
             for i in range(0, len(pdf), batch_size):
                 chunk = pdf[prompt].iloc[i:i + batch_size].tolist()
+                started = time.perf_counter()
                 try:
                     got = [None if r is None else str(r) for r in generate(chunk)]
                     if len(got) != len(chunk):
@@ -81,20 +88,27 @@ def generate_column(df: DataFrame, generate: Callable[[list[str]], list[str]] |
                 except Exception:  # noqa: BLE001
                     got = [on_error] * len(chunk)
                 replies.extend(got)
+                took.extend([time.perf_counter() - started] * len(chunk))
             res = pdf[cols].copy()
             res[out] = pd.Series(replies, index=pdf.index, dtype="object")
+            if seconds:
+                res[seconds] = pd.Series(took, index=pdf.index, dtype="float64")
             yield res
 
     return df.mapInPandas(run, schema)
 
 
 def rag_answer(index: DataFrame, questions: DataFrame, generate=None, key: str = "item_id",
-               **kw) -> DataFrame:
-    """X8 + B7: ``(key, response, sources, confidence, num_sources, session_id)``."""
+               session: str | None = None, timed: bool = False, **kw) -> DataFrame:
+    """X8 + B7: ``(key, response, sources, confidence, num_sources, session_id)``, with ``timed`` also
+    ``processing_time`` (seconds in the model). ``session`` names the questions' session id column."""
     p = rag_prompts(index, questions, key, **kw)
-    a = generate_column(p, generate)
-    return a.select(key, "response", "sources", "confidence", "num_sources",
-                    F.lit(None).cast("string").alias("session_id"))
+    if session:
+        p = p.join(questions.select(key, F.col(session).cast("string").alias("_session")), key)
+    a = generate_column(p, generate, seconds="processing_time" if timed else None)
+    sid = F.col("_session") if session else F.lit(None).cast("string")
+    return a.select(key, "response", "sources", "confidence", "num_sources", sid.alias("session_id"),
+                    *(["processing_time"] if timed else []))
 
 
 def chat_inputs(index: DataFrame, messages: DataFrame, session: str = "conv_id",
@@ -113,3 +127,23 @@ def chat_inputs(index: DataFrame, messages: DataFrame, session: str = "conv_id",
     return j.select(session, turn, fill_template(
         config.CHAT_TEMPLATE, context=F.col("context"), history=F.coalesce("history", F.lit("")),
         question=F.col("question")).alias("prompt"), "sources", "num_sources", "confidence")
+
+
+def chat_answers(index: DataFrame, messages: DataFrame, generate, session: str = "conv_id", turn: str = "turn",
+                 role: str = "role", content: str = "text", **kw) -> DataFrame:
+    """X9 as one plan: every session whose last message is the user's gets its answer: prompt, model, and
+    the assistant's turn behind it. ``(session, turn, role, content, sources, num_sources,
+    confidence)``, ready for ``append_turns`` or a message store; a failed model answers with the apology."""
+    last = messages.groupBy(session).agg(F.max(turn).alias(turn), F.max_by(role, turn).alias("_last"))
+    waiting = last.where(chat_role("_last") == "user").select(session, turn)
+    prompts = chat_inputs(index, messages, session, turn, role, content, **kw).join(waiting, [session, turn])
+    return generate_column(prompts, generate, out="_answer").select(
+        session, (F.col(turn) + 1).alias(turn), F.lit("assistant").alias(role), F.coalesce("_answer", F.lit("")).alias(content),
+        "sources", "num_sources", "confidence")
+
+
+def title_answers(messages: DataFrame, generate, session: str = "conv_id", **kw) -> DataFrame:
+    """X10 as one plan: first user message -> model -> cleaned title, ``New Chat`` where the model fails or says
+    nothing. ``(session, title)``, ready for ``sessions_upsert``."""
+    asked = generate_column(title_input(messages, session, **kw), generate, out="reply", on_error="")
+    return titles_from_replies(asked, session)

@@ -364,13 +364,6 @@ def q_context_assembly(spark, d):
     return _context(spark, d, 0.2)
 
 
-@query("retrieve_context", _context_sql(config.SIMILARITY_THRESHOLD, "cosine", True))
-def q_retrieve_context(spark, d):
-    # Reference defaults (cosine >= 0.5): no label mean reaches it, so every query takes
-    # the no-hit defaults (confidence 0.0, no sources, the fixed context text).
-    return _context(spark, d, config.SIMILARITY_THRESHOLD, "cosine", True)
-
-
 # ---------------------------------------------------------------------------- metadata, html
 @query("metadata_scalars", """
 SELECT event_id, j.key AS key, j.value ->> '$' AS value
@@ -569,6 +562,18 @@ def q_rag_prompt(spark, d):
                     "num_sources", "confidence")
 
 
+@query("retrieve_context", "WITH " + _Q_SQL + "," + _text_hits_sql("questions", "item_id", "question",
+                                                                   TEXT_THRESHOLD) + f"""
+SELECT q.item_id, array_to_string(coalesce(a.sources, []), ', ') AS sources,
+       CAST(coalesce(len(a.sources), 0) AS INTEGER) AS num_sources,
+       coalesce(a.ctx, '{config.NO_CONTEXT}') AS context, coalesce(a.conf, 0.0) AS confidence
+FROM questions q LEFT JOIN a ON a.query_id = q.item_id""")
+def q_retrieve_context(spark, d):
+    from vellum.plans.answer import retrieve
+    r = retrieve(_text_index(spark, d), _questions(spark, d), threshold=TEXT_THRESHOLD)
+    return r.withColumn("sources", F.array_join("sources", ", "))
+
+
 def echo_generator(prompts: list[str]) -> list[str]:
     """Deterministic stand-in for a model: the question line of each prompt."""
     out = []
@@ -653,6 +658,40 @@ def q_chat_input(spark, d):
     return out.withColumn("sources", F.array_join("sources", ", "))
 
 
+def chat_double(prompts: list[str]) -> list[str]:
+    """Deterministic stand-in for a chat model: the first line of the message it answers."""
+    return ["You said: " + p.rsplit("\n\nuser: ", 1)[-1].split("\n", 1)[0].removesuffix("\nassistant:") for p in prompts]
+
+
+@query("chat_answer", f"WITH {_USERS_SQL}, "
+       + _text_hits_sql("users", "qk", "question", TEXT_THRESHOLD) + """,
+ends AS (SELECT conv_id, max(turn) AS turn FROM conversations GROUP BY conv_id)
+SELECT u.conv_id, u.turn + 1 AS turn, 'assistant' AS role, 'You said: ' || split_part(u.question, chr(10), 1) AS text,
+       array_to_string(coalesce(a.sources, []), ', ') AS sources,
+       CAST(coalesce(len(a.sources), 0) AS INTEGER) AS num_sources, coalesce(a.conf, 0.0) AS confidence
+FROM users u JOIN ends USING (conv_id, turn) LEFT JOIN a ON a.query_id = u.qk""")
+def q_chat_answer(spark, d):
+    from vellum.plans.answer import chat_answers
+    out = chat_answers(_text_index(spark, d), _conv(spark, d, fan_out=True), chat_double, threshold=TEXT_THRESHOLD)
+    return out.withColumn("sources", F.array_join("sources", ", "))
+
+
+def title_double(prompts: list[str]) -> list[str]:
+    """Deterministic stand-in for a title model: the message's first line in quotes; it fails on messages whose
+    length is 6 mod 7."""
+    said = [p.split("without quotes: ", 1)[1] for p in prompts]
+    return ["" if len(m) % 7 == 6 else f' "{m.split(chr(10), 1)[0]}" ' for m in said]
+
+
+@query("session_title_answer", f"""
+WITH m AS (SELECT conv_id, arg_min(text, turn) AS message FROM conversations WHERE {_ROLE_SQL} = 'user' GROUP BY conv_id),
+t AS (SELECT conv_id, CASE WHEN length(message) % 7 = 6 THEN '' ELSE replace({_strip_sql("' \"' || split_part(message, chr(10), 1) || '\" '")}, '"', '') END AS title FROM m)
+SELECT conv_id, CASE WHEN length(title) > 0 THEN title ELSE '{config.NEW_CHAT_TITLE}' END AS title FROM t""")
+def q_session_title_answer(spark, d):
+    from vellum.plans.answer import title_answers
+    return title_answers(_conv(spark, d), title_double)
+
+
 def _stored_titles(spark, d):
     from vellum.functions.text import clean_title
     from vellum.operators.sessions import first_message
