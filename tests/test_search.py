@@ -1,9 +1,10 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from vellum import config
 from vellum.operators.search import (centroid_queries, context_assembly, retrieval_confidence,
-                                     topk_similarity, topk_similarity_lsh)
+                                     lsh_candidates, topk_similarity, topk_similarity_lsh)
 
 
 def test_confidence_and_context_golden(spark):
@@ -72,9 +73,20 @@ def test_lsh_precision_and_recall(spark):
     queries = spark.createDataFrame([(q, (base[q] / np.linalg.norm(base[q])).tolist()) for q in range(10)],
                                     "query_id int, embedding array<double>")
     exact = {(r.query_id, r.id): r.score for r in topk_similarity(index, queries, k=5, threshold=0.6).collect()}
-    approx = {(r.query_id, r.id): r.score for r in topk_similarity_lsh(index, queries, k=5, threshold=0.6, num_tables=10, bucket_length=2.0).collect()}
+    approx = {(r.query_id, r.id): r.score for r in topk_similarity_lsh(index, queries, k=5, threshold=0.6, tables=12, bits=8).collect()}
     assert all(abs(exact.get(p, s) - s) < 1e-9 for p, s in approx.items())  # re-scored exactly
-    assert len(set(approx) & set(exact)) / max(1, len(exact)) >= 0.8
+    assert len(set(approx) & set(exact)) / max(1, len(exact)) >= 0.9  # recall
+    pairs = lsh_candidates(index, queries, "id", "embedding", "query_id", "embedding", 12, 8, 16)
+    assert pairs.count() < 0.35 * 300 * 10  # well below all pairs
+
+
+def test_vectors_of_another_width_raise(spark):
+    index = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, None)], "id long, embedding array<double>")
+    q = spark.createDataFrame([(0, [1.0, 0.0])], "query_id int, embedding array<double>")
+    with pytest.raises(Exception, match="vectors must have 2 entries"):
+        topk_similarity(index, q, threshold=0.0).collect()
+    got = topk_similarity(index.where("id != 2"), q, threshold=0.0).collect()
+    assert [r.id for r in got] == [1]  # a missing vector is no hit
 
 
 def test_centroid_queries_unit(spark):

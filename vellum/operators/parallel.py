@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin the rows of a *scan* over at least ``min_partitions`` tasks (default: the
-    cluster's default parallelism) when it has fewer partitions, e.g. a file with a single
-    row group. At cluster scale the scan already has many more partitions and this is a
-    no-op, so it never adds a shuffle there.
+#: Session setting: tasks over which scans that feed Python stages are dealt; unset, the scan's own
+#: partitions (``spark.sql.files.*``) stand.
+SETTING = "spark.vellum.scanPartitions"
 
-    Call it on scans only: asking a frame that already contains an exchange for its
-    partition count makes adaptive execution run those stages."""
-    spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    have = df.rdd.getNumPartitions()
-    return df.repartition(want) if have < want else df
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan over ``spark.vellum.scanPartitions`` tasks, if that is set (say, for
+    files of one row group on a machine with many cores). Nothing depends on the input's size."""
+    want = df.sparkSession.conf.get(SETTING, None)
+    return df.repartition(int(want)) if want else df

@@ -25,7 +25,6 @@ from vellum.operators.topk import top_k_per_group
 from vellum.session import cut_lineage
 
 DEFAULT_MAX_BROADCAST_BYTES = 64 << 20
-MAX_ASSUMED_WIDTH = 4096  # vector width assumed when sizing a query set without measuring
 ROUND = 6
 
 
@@ -44,35 +43,15 @@ def centroid_queries(df: DataFrame, group: str = "label", vec: str = "embedding"
                        V.l2_normalize(F.transform("_v", lambda s: s["_m"])).alias("embedding"))
 
 
-def _blocks(queries: DataFrame, qkey: str, qvec: str, max_bytes: int):
-    """Yield driver-side (ids, matrix) blocks, each within ``max_bytes``.
-
-    The row count is taken without evaluating the vectors (the count prunes them). If the
-    set fits even at ``MAX_ASSUMED_WIDTH``, it is collected once, as Arrow; otherwise (or
-    if the vectors turn out wider) the width is measured and the set is split into blocks
-    by a hash of the key, each collected once."""
+def _blocks(queries: DataFrame, qkey: str, qvec: str, width: int, max_bytes: int):
+    """Yield (ids, matrix) blocks of the query set, each within ``max_bytes``, dealt by a hash of the key."""
     n = queries.select(qkey).count()
-    if n == 0:
-        return
-    src = queries.select(qkey, qvec)
-    d = None
-    if n * (MAX_ASSUMED_WIDTH * 8 + 64) <= max_bytes:
-        tbl = src.toArrow()
-        col = tbl.column(qvec).combine_chunks()
-        d = int(pc.max(pc.list_value_length(col)).as_py() or 1)
-        if n * (d * 8 + 64) <= max_bytes:
-            yield tbl.column(qkey).to_numpy(zero_copy_only=False), _matrix(col, d)
-            return
-    if d is None:
-        first = queries.select(F.size(qvec).alias("d")).where(F.col("d") > 0).first()
-        d = int(first["d"]) if first else 1
-    nblocks = max(1, math.ceil(n * (d * 8 + 64) / max_bytes))
+    nblocks = math.ceil(n * (width * 8 + 64) / max_bytes)
     for b in range(nblocks):
-        tbl = src.where(F.pmod(F.xxhash64(qkey), F.lit(nblocks)) == b).toArrow()
-        if tbl.num_rows == 0:
-            continue
-        yield (tbl.column(qkey).to_numpy(zero_copy_only=False),
-               _matrix(tbl.column(qvec).combine_chunks(), d))
+        tbl = queries.select(qkey, qvec).where(F.pmod(F.xxhash64(qkey), F.lit(nblocks)) == b).toArrow()
+        if tbl.num_rows:
+            yield (tbl.column(qkey).to_numpy(zero_copy_only=False),
+                   _matrix(tbl.column(qvec).combine_chunks(), width))
 
 
 def _best(frames: list[pd.DataFrame], k: int, qkey: str, ikey: str) -> pd.DataFrame:
@@ -82,18 +61,14 @@ def _best(frames: list[pd.DataFrame], k: int, qkey: str, ikey: str) -> pd.DataFr
 
 
 def _matrix(col: pa.Array, width: int) -> np.ndarray:
-    """Rows of a list<float> Arrow column as a float64 matrix; NULL or wrong-width rows
-    become zero rows (they score 0)."""
+    """Rows of a list<float> Arrow column as a float64 matrix; NULL rows become zero rows. A vector of
+    another width raises: it was made by another model."""
     col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
-    n = len(col)
-    lens = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
-    if n and (lens == width).all():
-        vals = pc.list_flatten(col).to_numpy(zero_copy_only=False)
-        return vals.astype(np.float64, copy=False).reshape(n, width)
-    m = np.zeros((n, width), dtype=np.float64)
-    for i, v in enumerate(col.to_pylist()):
-        if v is not None and len(v) == width:
-            m[i] = v
+    lens = pc.fill_null(pc.list_value_length(col), width).to_numpy(zero_copy_only=False)
+    if (lens != width).any():
+        raise ValueError(f"vectors must have {width} entries, found one with {int(lens[lens != width][0])}")
+    m = np.zeros((len(col), width), dtype=np.float64)
+    m[col.is_valid().to_numpy(zero_copy_only=False)] = pc.list_flatten(col).to_numpy(zero_copy_only=False).reshape(-1, width)
     return m
 
 
@@ -115,7 +90,7 @@ def _scorer(qids, qmat_bc, k: int, threshold: float, mode: str, ikey: str, ivec:
             if mode == "unit":
                 s = (1.0 + s) / 2.0
             s = np.round(s, ROUND)
-            s[s < threshold] = -np.inf
+            s[(s < threshold) | (mn == 0)[:, None]] = -np.inf
             if s.shape[0] > k:
                 # Per query the k-th best score of this batch: a row scoring strictly less
                 # is beaten by k rows already and can never be in the top k, so dropping
@@ -144,9 +119,14 @@ def topk_similarity(index: DataFrame, queries: DataFrame, k: int = config.TOP_K,
                     threshold: float = config.SIMILARITY_THRESHOLD, mode: str = "cosine",
                     index_key: str = "id", index_vec: str = "embedding",
                     query_key: str = "query_id", query_vec: str = "embedding",
-                    max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+                    max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
+                    width: int | None = None) -> DataFrame:
     """``(query_id, id, rank, score)``: per query the ``k`` best index rows with
-    ``score >= threshold``, by score descending then id. Scores are rounded to 6 places."""
+    ``score >= threshold``, by score descending then id. Scores are rounded to 6 places.
+
+    Every vector must have ``width`` entries (by default the queries' width); others raise. Index rows
+    without a vector are no hits. The query set is a stated one, taken in blocks of bounded bytes; for a query side that grows
+    with the data there is :func:`topk_similarity_lsh`."""
     spark = index.sparkSession
     idx = index.select(index_key, index_vec)
     key_t = idx.schema[index_key].dataType.simpleString()
@@ -156,7 +136,7 @@ def topk_similarity(index: DataFrame, queries: DataFrame, k: int = config.TOP_K,
     # The query table is read by the count and by every block it is split into; a reliable
     # checkpoint computes it (embedding included) once instead of once per read.
     queries = cut_lineage(queries.select(query_key, query_vec))
-    for qids, qmat in _blocks(queries, query_key, query_vec, max_broadcast_bytes):
+    for qids, qmat in _blocks(queries, query_key, query_vec, width or _width(queries, query_vec), max_broadcast_bytes):
         bc = spark.sparkContext.broadcast(qmat)
         parts.append(idx.mapInArrow(
             _scorer(qids, bc, k, threshold, mode, index_key, index_vec, query_key), schema))
@@ -175,39 +155,74 @@ def topk_similarity(index: DataFrame, queries: DataFrame, k: int = config.TOP_K,
     return ranked.select(query_key, index_key, F.col("rank").cast("int"), "score")
 
 
+_PRIME, _STEP = 2147483647, 48271
+
+
+def planes(tables: int, bits: int, width: int) -> np.ndarray:
+    """The +1/-1 normals of ``tables * bits`` hyperplanes (rows: width), from a rule that any engine can
+    repeat: three steps of a multiplicative generator seeded by plane and position."""
+    p, i = np.arange(tables * bits, dtype=np.int64)[None, :], np.arange(width, dtype=np.int64)[:, None]
+    h = (i * 7919 + p * 104729 + 1) % _PRIME * _STEP % _PRIME
+    h = (h * _STEP + p) % _PRIME
+    h = (h * _STEP + i) % _PRIME
+    return np.where(h % 2 == 1, 1.0, -1.0)
+
+
+def _signatures(df: DataFrame, key: str, vec: str, width: int, tables: int, bits: int, out: str) -> DataFrame:
+    """``(out, table, bucket)``: a row per table; the bucket holds the signs of the vector's products with
+    the table's planes. Zero and NULL vectors have none."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        normals, weight = planes(tables, bits, width), 1 << np.arange(bits)
+        for batch in batches:
+            m = _matrix(batch.column(1), width)
+            live = np.flatnonzero(m.any(axis=1))
+            sign = (m[live] @ normals > 0).reshape(len(live), tables, bits)
+            keys = batch.column(0).take(pa.array(np.repeat(live, tables)))
+            yield pa.RecordBatch.from_arrays(
+                [keys, pa.array(np.tile(np.arange(tables, dtype=np.int32), len(live))),
+                 pa.array((sign @ weight).reshape(-1).astype(np.int32))], names=[out, "table", "bucket"])
+
+    return df.select(key, vec).mapInArrow(run, f"{out} {kind}, table int, bucket int")
+
+
 def topk_similarity_lsh(index: DataFrame, queries: DataFrame, k: int = config.TOP_K,
                         threshold: float = config.SIMILARITY_THRESHOLD, mode: str = "cosine",
                         index_key: str = "id", index_vec: str = "embedding",
                         query_key: str = "query_id", query_vec: str = "embedding",
-                        bucket_length: float = 1.0, num_tables: int = 8,
-                        seed: int = 7) -> DataFrame:
-    """Approximate candidates from MLlib's random-projection LSH on unit vectors
-    (squared distance = 2 - 2 cos), then exact re-scoring and the same ranking. The LSH
-    join is an equi-join on (table, bucket): no query x index product is formed."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    # cosine >= t  <=>  euclidean distance of unit vectors <= sqrt(2 - 2t)
-    cos_t = threshold if mode == "cosine" else 2.0 * threshold - 1.0
-    max_dist = math.sqrt(max(0.0, 2.0 - 2.0 * cos_t)) + 1e-9
-    a = index.select(F.col(index_key).alias("_iid"),
-                     array_to_vector(V.l2_normalize(index_vec)).alias("_v"),
-                     F.col(index_vec).alias("_iv"))
-    b = queries.select(F.col(query_key).alias("_qid"),
-                       array_to_vector(V.l2_normalize(query_vec)).alias("_v"),
-                       F.col(query_vec).alias("_qv"))
-    lsh = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h",
-                                      bucketLength=bucket_length, numHashTables=num_tables,
-                                      seed=seed).fit(a)
-    pairs = lsh.approxSimilarityJoin(a, b, max_dist, distCol="_dist")
-    scored = pairs.select(
-        F.col("datasetA._iid").alias(index_key), F.col("datasetB._qid").alias(query_key),
-        F.round(V.relevance(V.cosine(F.col("datasetA._iv"), F.col("datasetB._qv")), mode),
-                ROUND).alias("score")).where(F.col("score") >= threshold)
+                        tables: int = 32, bits: int = 6, width: int | None = None) -> DataFrame:
+    """Approximate candidates from random hyperplanes, then exact scores and the same ranking.
+
+    Rows meet where all ``bits`` signs of one of the ``tables`` agree: an equi-join on (table, bucket) that
+    carries ids only. Vectors are fetched once per candidate pair, after ``distinct``. More bits give
+    fewer candidates, more tables more recall; at the defaults a pair of cosine 0.35 is met with
+    probability 0.9, of cosine 0.5 with 0.99."""
+    width = width or _width(queries, query_vec)
+    pairs = lsh_candidates(index, queries, index_key, index_vec, query_key, query_vec, tables, bits, width)
+    a = index.select(F.col(index_key).alias("_iid"), F.col(index_vec).alias("_iv"))
+    b = queries.select(F.col(query_key).alias("_qid"), F.col(query_vec).alias("_qv"))
+    scored = (pairs.join(b, "_qid").join(a, "_iid").select(
+        F.col("_iid").alias(index_key), F.col("_qid").alias(query_key),
+        F.round(V.relevance(V.cosine(F.col("_iv"), F.col("_qv")), mode), ROUND).alias("score"))
+        .where(F.col("score") >= threshold))
     ranked = top_k_per_group(scored, [query_key], [F.desc("score"), F.asc(index_key)], k)
     return ranked.select(query_key, index_key, F.col("rank").cast("int"), "score")
 
 
+def lsh_candidates(index: DataFrame, queries: DataFrame, index_key: str, index_vec: str, query_key: str,
+                   query_vec: str, tables: int, bits: int, width: int) -> DataFrame:
+    """``(_iid, _qid)``: the distinct pairs that share a bucket."""
+    a = _signatures(index, index_key, index_vec, width, tables, bits, "_iid")
+    b = _signatures(queries, query_key, query_vec, width, tables, bits, "_qid")
+    return a.join(b, ["table", "bucket"]).select("_iid", "_qid").distinct()
+
+
+def _width(queries: DataFrame, vec: str) -> int:
+    """The width all vectors must have: the queries' (1 for an empty table)."""
+    return int(queries.agg(F.max(F.size(vec))).first()[0] or 1)
+
+
 def mean_score(score: str = "score"):
     """Mean of 6-decimal scores computed on exact integer micro-units, so the result does
     not depend on summation order (a plain double mean of ten such scores lands on a

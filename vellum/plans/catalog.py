@@ -321,11 +321,35 @@ def q_topk_similarity(spark, d):
     return _hits(spark, d, 0.2)
 
 
-@query("topk_similarity_lsh")
+LSH_TABLES, LSH_BITS = 32, 6
+
+
+def _lsh_sql(threshold: float) -> str:
+    """Bucket signs by the generator of ``search.planes``; candidates share a bucket of some table."""
+    n = LSH_TABLES * LSH_BITS
+    return _hits_sql(threshold).split("\ns AS (")[0] + f"""
+g1 AS (SELECT p, i, (i * 7919 + p * 104729 + 1) % 2147483647 * 48271 % 2147483647 AS h
+       FROM range({n}) AS a(p), (SELECT unnest(range(max(len(ev)))) AS i FROM e) w),
+g2 AS (SELECT p, i, (h * 48271 + p) % 2147483647 AS h FROM g1),
+planes AS MATERIALIZED (SELECT p, i, CASE WHEN (h * 48271 + i) % 2147483647 % 2 = 1 THEN 1.0 ELSE -1.0 END AS sign FROM g2),
+normals AS MATERIALIZED (SELECT p, list(CAST(sign AS DOUBLE) ORDER BY i) AS normal FROM planes GROUP BY p),
+vecs AS (SELECT 'i' AS side, id AS k, ev AS v FROM e UNION ALL SELECT 'q', query_id, qv FROM q),
+sig AS MATERIALIZED (SELECT side, k, p // {LSH_BITS} AS t,
+          sum(CASE WHEN list_dot_product(v, normal) > 0 THEN 1 << (p % {LSH_BITS}) ELSE 0 END) AS bucket
+        FROM vecs CROSS JOIN normals WHERE list_dot_product(v, v) > 0 GROUP BY side, k, p // {LSH_BITS}),
+pairs AS (SELECT DISTINCT a.k AS id, b.k AS query_id FROM sig a JOIN sig b
+          ON a.side = 'i' AND b.side = 'q' AND a.t = b.t AND a.bucket = b.bucket),
+s AS (SELECT query_id, id, round({_score_sql("cosine")}, 6) AS score FROM pairs JOIN e USING (id) JOIN q USING (query_id))
+SELECT query_id, id, CAST(rn AS INTEGER) AS rank, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn FROM s WHERE score >= {threshold}) r
+WHERE rn <= {config.TOP_K}"""
+
+
+@query("topk_similarity_lsh", _lsh_sql(0.2))
 def q_topk_similarity_lsh(spark, d):
     from vellum.operators.search import topk_similarity_lsh
     return topk_similarity_lsh(_vec_index(spark, d), _vec_queries(spark, d),
-                               k=config.TOP_K, threshold=0.2)
+                               k=config.TOP_K, threshold=0.2, tables=LSH_TABLES, bits=LSH_BITS)
 
 
 @query("retrieval_confidence", _hits_sql(0.5, "unit") + """

@@ -16,9 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str,
           fan_out: bool = False) -> DataFrame:
     """Read one table; naming the columns up front keeps the scan's ReadSchema minimal.
 
-    ``fan_out`` spreads a scan that has fewer partitions than cores (a file with a single
-    row group) over all cores; filters still reach the parquet scan below the exchange. On
-    a cluster the scan has far more partitions and nothing changes."""
+    ``fan_out`` marks scans that feed Python stages; they are dealt over the tasks that
+    ``spark.vellum.scanPartitions`` names, if it is set (see ``operators.parallel``)."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     df = df.select(*columns) if columns else df
     return spread(df) if fan_out else df
