@@ -14,7 +14,8 @@ from vellum.operators.classify import classify_keyword, classify_model, classify
 from vellum.operators.embed import embed, model_embedder
 from vellum.operators.evaluate import evaluate
 from vellum.operators.search import context_assembly, topk_similarity, topk_similarity_lsh
-from vellum.plans.answer import chat_inputs, prepare_queries, rag_answer, rag_prompts, retrieve
+from vellum.plans.answer import (chat_answers, chat_inputs, prepare_queries, rag_answer, rag_prompts, retrieve,
+                                 title_answers)
 from vellum.plans.build import build_knowledge_base, index_rows
 from vellum.session import get_spark
 from vellum.sources.files import scan_corpus
@@ -23,10 +24,10 @@ from vellum.sources.index_store import open_index, reset_index, update_index
 __version__ = "0.1.0"
 
 __all__ = [
-    "build_knowledge_base", "chat_inputs", "chunk", "chunk_fixed", "chunk_ids",
+    "build_knowledge_base", "chat_answers", "chat_inputs", "chunk", "chunk_fixed", "chunk_ids",
     "chunk_recursive", "chunk_semantic", "classify_keyword", "classify_model",
     "classify_parts", "context_assembly", "embed", "evaluate", "get_spark", "index_rows",
     "model_embedder", "open_index", "prepare_queries", "rag_answer", "rag_prompts",
-    "reset_index", "retrieve", "scan_corpus", "topk_similarity", "topk_similarity_lsh",
+    "reset_index", "retrieve", "scan_corpus", "title_answers", "topk_similarity", "topk_similarity_lsh",
     "update_index",
 ]

@@ -161,7 +161,59 @@ def q_chunk_fixed(spark, d):
     return chunk_fixed(table(spark, d, "documents", "doc_id", "text"))
 
 
-@query("chunk_recursive")
+def _recursive_sql(size: int = config.CHUNK_SIZE, overlap: int = config.CHUNK_OVERLAP) -> str:
+    """``rc(doc_id, chunk_index, start_index, text)``: the recursive splitter in SQL.
+
+    Level k cuts what is left at separator k, the separator beginning the next piece: pieces shorter
+    than ``size`` are done, runs of them between longer ones are packed together, longer ones (and texts
+    without that separator) go to the next level. Packing walks each run with a recursive query:
+    from piece ``a`` to the last that fits, then back to the first that overlaps enough."""
+    seps = config.SEPARATORS[:-1]
+    ctes = ["l0 AS (SELECT doc_id, 0 AS off, text AS t, TRUE AS top FROM documents WHERE length(text) > 0)"]
+    for k, sep in enumerate(seps):
+        lit = _sql_lit_ws(sep)
+        ctes.append(f"""s{k} AS (SELECT doc_id, off AS base, u.i, CASE WHEN u.i = 1 THEN parts[u.i] ELSE {lit} || parts[u.i] END AS piece
+  FROM (SELECT doc_id, off, string_split(t, {lit}) AS parts FROM l{k} WHERE contains(t, {lit})) x,
+       unnest(range(1, len(parts) + 1)) AS u(i))""")
+        ctes.append(f"""p{k} AS (SELECT doc_id, base, i, piece, length(piece) AS n,
+    CAST(base + coalesce(sum(length(piece)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off,
+    sum(CASE WHEN length(piece) >= {size} THEN 1 ELSE 0 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
+  FROM s{k} WHERE length(piece) > 0 WINDOW w AS (PARTITION BY doc_id, base ORDER BY i))""")
+        ctes.append(f"""l{k + 1} AS (SELECT doc_id, off, piece AS t, FALSE AS top FROM p{k} WHERE n >= {size}
+  UNION ALL SELECT doc_id, off, t, top FROM l{k} WHERE NOT contains(t, {lit}))""")
+    good = " UNION ALL ".join(f"SELECT doc_id, {k} AS level, base, run, off, piece, n FROM p{k} WHERE n < {size}" for k in range(len(seps)))
+    last, step = f"l{len(seps)}", size - overlap
+    ctes.append(f"good AS ({good})")
+    ctes.append("""grp AS (SELECT doc_id, min(off) AS g, list(off ORDER BY off) AS offs, list(off + n ORDER BY off) AS ends,
+    string_agg(piece, '' ORDER BY off) AS body FROM good GROUP BY doc_id, level, base, run)""")
+    ctes.append(f"""walk AS (
+  SELECT doc_id, g, offs, ends, body, 1 AS a, len(list_filter(ends, lambda e: e <= offs[1] + {size})) AS b FROM grp
+  UNION ALL
+  SELECT doc_id, g, offs, ends, body, a, greatest(len(list_filter(ends, lambda e: e <= offs[a] + {size})), a) AS b FROM (
+    SELECT doc_id, g, offs, ends, body,
+           len(list_filter(offs, lambda o: o < greatest(ends[b] - {overlap}, ends[b + 1] - {size}))) + 1 AS a
+    FROM walk WHERE b < len(ends)) nxt)""")
+    ctes.append(f"""raw AS (SELECT doc_id, offs[a] AS off, body[offs[a] - g + 1:ends[b] - g] AS t FROM walk
+  UNION ALL SELECT doc_id, off + i * {step}, t[i * {step} + 1:i * {step} + {size}] FROM {last},
+    unnest(range(0, greatest(CAST(ceil((length(t) - {size}) / {step}.0) AS BIGINT), 0) + 1)) AS u(i))""")
+    ctes.append(f"""rc AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY off) - 1 AS INTEGER) AS chunk_index,
+    CAST(off + length(t) - length(regexp_replace(t, '^[ \\t\\n\\r\\f\\x0B]+', '')) AS INTEGER) AS start_index, {_strip_sql("t")} AS text
+  FROM raw WHERE length({_strip_sql("t")}) > 0)""")
+    return ",\n".join(ctes)
+
+
+def _sql_lit_ws(s: str) -> str:
+    return " || ".join("chr(10)" if c == "\n" else _sql_str(c) for c in s) if "\n" in s else _sql_str(s)
+
+
+_WS_SQL = "'^[ \\t\\n\\r\\f\\x0B]+|[ \\t\\n\\r\\f\\x0B]+$'"
+
+
+def _strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, {_WS_SQL}, '', 'g')"
+
+
+@query("chunk_recursive", f"WITH RECURSIVE {_recursive_sql()} SELECT doc_id, chunk_index, start_index, text FROM rc")
 def q_chunk_recursive(spark, d):
     from vellum.operators.chunk import chunk_recursive
     return chunk_recursive(table(spark, d, "documents", "doc_id", "text", fan_out=True))
@@ -517,8 +569,8 @@ chunks AS (SELECT CAST(doc_id AS VARCHAR) || ':' || CAST(ci AS VARCHAR) AS id, s
                  FROM documents WHERE length(text) > 0) x)"""
 
 
-def _text_hits_sql(qsrc: str, qkey: str, qtext: str, threshold: float) -> str:
-    return (_CHUNKS_SQL + "," + _bow_sql("cv", "chunks", "id", "text") + ","
+def _text_hits_sql(qsrc: str, qkey: str, qtext: str, threshold: float, chunks: str = _CHUNKS_SQL) -> str:
+    return (chunks + "," + _bow_sql("cv", "chunks", "id", "text") + ","
             + _bow_sql("qv", qsrc, qkey, qtext) + f""",
 dots AS (SELECT q.k AS query_id, c.k AS id, sum(q.w * c.w) AS dot
          FROM qv q JOIN cv c ON q.b = c.b GROUP BY ALL),
@@ -555,13 +607,6 @@ def _sql_lit(s: str) -> str:
     return " || chr(10) || ".join(_sql_str(p) for p in parts)
 
 
-_WS_SQL = "'^[ \\t\\n\\r\\f\\x0B]+|[ \\t\\n\\r\\f\\x0B]+$'"
-
-
-def _strip_sql(x: str) -> str:
-    return f"regexp_replace({x}, {_WS_SQL}, '', 'g')"
-
-
 _Q_SQL = (f"questions AS (SELECT item_id, {_strip_sql('text')} AS question FROM benchmark "
           f"WHERE length({_strip_sql('text')}) > 0)")
 
@@ -882,20 +927,42 @@ def _parts(spark, d):
     return documents_as_parts(table(spark, d, "documents", "doc_id", "source", "lang", "text", fan_out=True))
 
 
-@query("build_index")
+_INDEX_SQL = f"""WITH RECURSIVE {_recursive_sql()},
+cat AS ({_KW_SCORES_SQL} SELECT s.doc_id, coalesce((SELECT arg_min(category, -score * 1000 + rank) FROM sc
+                 WHERE sc.doc_id = s.doc_id AND sc.score > 0), '{config.DEFAULT_CATEGORY}') AS file_category FROM s),
+idx AS MATERIALIZED (
+  SELECT d.source || '/' || CAST(d.doc_id AS VARCHAR) || ':' || coalesce(lang, '') || ':' || CAST(chunk_index AS VARCHAR) AS id,
+         d.source || '/' || CAST(d.doc_id AS VARCHAR) AS source, lang AS page, chunk_index, start_index, rc.text,
+         'txt' AS file_type, file_category
+  FROM rc JOIN documents d USING (doc_id) JOIN cat USING (doc_id))"""
+
+
+@query("build_index", _INDEX_SQL + "," + _bow_sql("v", "idx", "id", "text") + f""",
+grid AS (SELECT id, b FROM idx, range({config.VECTOR_WIDTH}) t(b)),
+vec AS (SELECT grid.id, list(CAST(coalesce(v.w, 0.0) AS FLOAT) ORDER BY grid.b) AS embedding
+        FROM grid LEFT JOIN v ON v.k = grid.id AND v.b = grid.b GROUP BY grid.id)
+SELECT idx.*, embedding FROM idx JOIN vec USING (id)""")
 def q_build_index(spark, d):
     from vellum.plans.build import index_rows
     return index_rows(_parts(spark, d))
 
 
-@query("build_metrics")
+@query("build_metrics", f"""WITH RECURSIVE {_recursive_sql()}
+SELECT 'parts' AS metric, count(*) AS value FROM documents
+UNION ALL SELECT 'files', count(DISTINCT source || '/' || CAST(doc_id AS VARCHAR)) FROM documents
+UNION ALL SELECT 'chunks', count(*) FROM rc""")
 def q_build_metrics(spark, d):
     from vellum.plans.build import build_metrics, index_rows
     parts = _parts(spark, d)
     return build_metrics(parts, index_rows(parts))
 
 
-@query("regression_run")
+@query("regression_run", _INDEX_SQL + "," + _Q_SQL + "," + _text_hits_sql(
+    "questions", "item_id", "question", TEXT_THRESHOLD, "chunks AS (SELECT id, source, text FROM idx)") + """
+SELECT q.item_id, 'You asked: ' || split_part(q.question, chr(10), 1) AS response,
+       array_to_string(coalesce(a.sources, []), ', ') AS sources, coalesce(a.conf, 0.0) AS confidence,
+       CAST(coalesce(len(a.sources), 0) AS INTEGER) AS num_sources, CAST(NULL AS VARCHAR) AS session_id
+FROM questions q LEFT JOIN a ON a.query_id = q.item_id""")
 def q_regression_run(spark, d):
     from vellum.plans.answer import rag_answer
     r = rag_answer(_saved_index(spark, d), _questions(spark, d), echo_generator,
