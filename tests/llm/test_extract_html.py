@@ -13,6 +13,14 @@ def test_article_page():
     assert main_text(PAGE) == "Head & é\nOne two three.\nSecond inline.\na < b"
 
 
+def test_marks_in_and_around_an_article():
+    page = ('<body class="single sidebar"><div class="layout has-sidebar"><main><article id="post"><header class="article-header"><h1>Title</h1></header>'
+            '<p>One<br>two.</p><div class="ad-slot">Buy</div><p class="notice">Moved.</p><p>Three.</p><ul class="shareLinks"><li>Mail it</li></ul></article>'
+            '<article class="comment"><p>Nice!</p></article><section id="comments"><article><p>First!</p></article></section></main>'
+            '<div id="sidebar"><p>Other things</p></div></div></body>')
+    assert main_text(page) == "Title\nOne two.\nThree."
+
+
 def test_page_without_an_article_element():
     para = "Here is a long paragraph of running text that says something at length, again and again. " * 4
     links = "".join(f"<li><a href='/{k}'><span>Link {k}</span></a></li>" for k in range(30))

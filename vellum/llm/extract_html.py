@@ -33,7 +33,7 @@ DROPPED = frozenset(
     "object svg math canvas audio video map menu dialog datalist fieldset label legend".split())
 #: Elements that end a line before and after them. Others are inline.
 BLOCK = frozenset(
-    "address article blockquote body br caption center dd details dir div dl dt figcaption figure h1 h2 h3 h4 h5 h6 "
+    "address article blockquote body caption center dd details dir div dl dt figcaption figure h1 h2 h3 h4 h5 h6 "
     "hgroup hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: An open paragraph ends where one of these begins.
 CLOSES_P = frozenset(
@@ -46,21 +46,27 @@ BOILERPLATE = frozenset(
     "nav navbar navigation breadcrumb breadcrumbs sidebar side aside header masthead footer comment comments disqus "
     "reply replies respond discussion share sharing social related recommended recommendations widget toolbar pagination pager "
     "tags taglist copyright legal disclaimer complementary contentinfo search skip hidden".split())
+#: Such a word says that something is elsewhere on the page, not that this is it ("has-sidebar").
+QUALIFIER = frozenset("has with no not without is".split())
+#: Marks that inside an article belong to its own head.
+OWN_HEAD = frozenset("header masthead".split())
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
-def _words(value: str) -> set[str]:
-    return set(_WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
+def _words(name: str) -> set[str]:
+    return set(_WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()))
 
 
-def boilerplate(attrs: list[tuple[str, str | None]]) -> bool:
+def boilerplate(attrs: list[tuple[str, str | None]], in_article: bool = False) -> bool:
     """Whether class, id, role or a hiding attribute marks an element as no article text."""
+    marks = BOILERPLATE - OWN_HEAD if in_article else BOILERPLATE
     for key, value in attrs:
         if key == "hidden" or key == "aria-hidden" and value == "true":
             return True
-        if key in ("class", "id", "role") and value and _words(value) & BOILERPLATE:
-            return True
+        if key in ("class", "id", "role") and value:
+            if any(w & marks and not w & QUALIFIER for w in map(_words, value.split())):
+                return True
     return False
 
 
@@ -90,11 +96,13 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag == "body":  # a page may leave its head open
             self.open, self.dropped, self.article = [], 0, 0
+        if tag == "br" and not self.dropped:  # white space inside a block
+            self.parts.append(" ")
         if tag in VOID:
             return
-        main = tag in ("article", "main") or ("role", "main") in attrs
-        drop = tag in DROPPED and not (tag == "header" and self.article) or (
-            not main and tag not in ("html", "body") and boilerplate(attrs))
+        marked = tag not in ("html", "body") and boilerplate(attrs, self.article > 0)
+        main = (tag in ("article", "main") or ("role", "main") in attrs) and not marked
+        drop = marked or tag in DROPPED and not (tag == "header" and self.article)
         self.open.append((tag, drop, main))
         self.dropped += drop
         self.article += main
