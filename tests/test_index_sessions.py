@@ -182,3 +182,18 @@ def test_titles_of_loaded_sessions(spark):
     """Stored sessions carry the role ``human``."""
     msgs = spark.createDataFrame([("s", 0, "human", "hello there"), ("s", 1, "ai", "hi")], "conv_id string, turn int, role string, text string")
     assert "hello there" in S.title_input(msgs).first().prompt
+
+
+def test_part_metadata_reaches_the_index(spark):
+    """Scalar entries only, with their types; nested values and non-objects are left out."""
+    import json
+
+    from vellum.plans.build import index_rows
+    meta = '{"author": "ann", "pages": 3, "draft": true, "tags": ["a"], "nested": {"x": 1}, "none": null}'
+    parts = spark.createDataFrame([("f", 0, "1", "vendor " * 600, "txt", meta), ("g", 0, "1", "api", "txt", "[1]"), ("h", 0, "1", "api", "txt", None)],
+                                  "source string, part_idx int, page string, text string, file_type string, metadata string")
+    got = {}
+    for r in index_rows(parts, dim=8).collect():
+        got.setdefault(r.source, set()).add(r.metadata)
+    assert {json.dumps(json.loads(x), sort_keys=True) for x in got["f"]} == {'{"author": "ann", "draft": true, "pages": 3}'}
+    assert got["g"] == got["h"] == {None}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,6 +23,19 @@ def metadata_scalars(df: DataFrame, key: str, json_col: str) -> DataFrame:
         key, "key", F.variant_get("value", "$", "string").alias("value"))
 
 
+def scalar_json(json_col: str | Column) -> Column:
+    """B3/F14 as a column: the JSON object with its scalar entries only (numbers and booleans keep their type); NULL
+    if it is no object."""
+    c = F.col(json_col) if isinstance(json_col, str) else json_col
+    obj = F.try_variant_get(F.try_parse_json(c), "$", "map<string,variant>")
+
+    def scalar(_, v: Column) -> Column:
+        kind = F.schema_of_variant(v)
+        return v.isNotNull() & ~(kind.startswith("ARRAY") | kind.startswith("OBJECT") | (kind == "VOID"))
+
+    return F.to_json(F.map_filter(obj, scalar))
+
+
 def metadata_map(df: DataFrame, key: str, json_col: str) -> DataFrame:
     """``(key, metadata MAP<STRING,STRING>)`` of the scalar entries."""
     s = metadata_scalars(df, key, json_col)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from vellum import config
+from vellum.functions.metadata import scalar_json
 from vellum.operators.chunk import chunk_ids, chunk_recursive, dedup_latest
 from vellum.operators.classify import classify_parts
 from vellum.operators.embed import embed
@@ -23,21 +24,23 @@ def index_rows(parts: DataFrame, keywords=None, size: int = config.CHUNK_SIZE,
                overlap: int = config.CHUNK_OVERLAP, embedder=None,
                dim: int = config.VECTOR_WIDTH, classify: str = "keyword",
                generate=None) -> DataFrame:
-    """Parts ``(source, part_idx, page, text, file_type)`` -> index rows
-    ``(id, source, page, chunk_index, start_index, text, file_type, file_category, embedding)``.
+    """Parts ``(source, part_idx, page, text, file_type[, metadata])`` -> index rows ``(id, source, page,
+    chunk_index, start_index, text, file_type, file_category, metadata, embedding)``. ``metadata`` is a JSON
+    object per part; its scalar entries reach every chunk (NULL without one).
 
     Chunk ids follow the part order of each file, then chunk order; a repeated id keeps its
     latest chunk (W3)."""
-    classified = classify_parts(parts, "source", "part_idx", "text", keywords, classify, generate)
+    meta = scalar_json("metadata") if "metadata" in parts.columns else F.lit(None).cast("string")
+    classified = classify_parts(parts.withColumn("metadata", meta), "source", "part_idx", "text", keywords, classify, generate)
     chunks = chunk_recursive(classified, key="source", text="text", size=size, overlap=overlap,
-                             keep=("part_idx", "page", "file_type", "file_category"))
+                             keep=("part_idx", "page", "file_type", "file_category", "metadata"))
     # Read twice by the numbering (keys, then rows), so the chunks are saved, not made again.
     chunks = cut_lineage(chunks)
     ided = chunk_ids(chunks, "source", "page", ["part_idx", "chunk_index"])
     latest = dedup_latest(ided.withColumn("_seq", F.struct("part_idx", "chunk_index")),
                           ["source", "id"], "_seq")
     rows = latest.select("id", "source", F.col("page").cast("string").alias("page"),
-                         "chunk_index", "start_index", "text", "file_type", "file_category")
+                         "chunk_index", "start_index", "text", "file_type", "file_category", "metadata")
     return embed(rows, "text", "embedding", embedder, dim)
 
 

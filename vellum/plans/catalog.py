@@ -933,7 +933,7 @@ cat AS ({_KW_SCORES_SQL} SELECT s.doc_id, coalesce((SELECT arg_min(category, -sc
 idx AS MATERIALIZED (
   SELECT d.source || '/' || CAST(d.doc_id AS VARCHAR) || ':' || coalesce(lang, '') || ':' || CAST(chunk_index AS VARCHAR) AS id,
          d.source || '/' || CAST(d.doc_id AS VARCHAR) AS source, lang AS page, chunk_index, start_index, rc.text,
-         'txt' AS file_type, file_category
+         'txt' AS file_type, file_category, CAST(NULL AS VARCHAR) AS metadata
   FROM rc JOIN documents d USING (doc_id) JOIN cat USING (doc_id))"""
 
 

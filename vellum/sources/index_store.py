@@ -13,7 +13,7 @@ from vellum import config
 from vellum.sources.buckets import BUCKET, _exists, overwrite_all, read_bucketed, replace_buckets
 
 INDEX_SCHEMA = ("id STRING, source STRING, page STRING, chunk_index INT, start_index INT, "
-                "text STRING, file_type STRING, file_category STRING, embedding ARRAY<FLOAT>")
+                "text STRING, file_type STRING, file_category STRING, metadata STRING, embedding ARRAY<FLOAT>")
 INDEX_COLUMNS = [c.split(" ")[0] for c in INDEX_SCHEMA.split(", ")]
 
 
