@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from vellum.llm import similarity as S
-from vellum.llm.common import Scratch
+from vellum.llm.common import Scratch, bit_array, bit_filter, in_bits, passing
 from vellum.llm.graph import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -103,3 +103,18 @@ def test_components(spark):
     got = {r.node: r.root for r in components(df, Scratch(spark, "test")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 130), 100), **dict.fromkeys((200, 201, 202), 200), 300: 300, 301: 300}
     assert components(df.where("a < 0"), Scratch(spark, "test")).collect() == []
+
+
+@pytest.mark.parametrize("bits", [1 << 15, 1 << 20])
+def test_bit_filter_lets_every_member_pass(spark, bits):
+    rng = np.random.default_rng(1)
+    keys = rng.integers(-2**63, 2**63 - 1, 500)
+    other = rng.integers(-2**63, 2**63 - 1, 5000)
+    maps = bit_filter(spark.createDataFrame([(int(k),) for k in keys], "h bigint"), "h", bits)
+    taken = {int(k) & (bits - 1) for k in keys}
+    array = bit_array(maps, bits)
+    assert in_bits(array, keys.view(np.uint64)).all()
+    want = [int(k) for k in other if int(k) & (bits - 1) in taken]
+    assert other[in_bits(array, other.view(np.uint64))].tolist() == want
+    df = spark.createDataFrame([(int(k),) for k in other], "h bigint")
+    assert sorted(r.h for r in passing(df, "h", maps, bits).collect()) == sorted(want)

@@ -69,6 +69,45 @@ class Scratch:
             fs.delete(target, True)
 
 
+#: Positions of one bitmap of Spark's bitmap functions.
+_BITMAP = 32_768
+
+
+def bit_filter(keys: DataFrame, column: str, bits: int) -> DataFrame:
+    """``(bucket, bitmap)``: which of ``bits`` (a power of two) positions the 64-bit hashes in ``column`` take.
+    ``bits`` / 32768 rows of 4 KB at most, whatever the input: a filter that lets every member pass,
+    and a non-member with the probability that its position is taken."""
+    place = F.col(column).bitwiseAND(F.lit(bits - 1)) + 1
+    return keys.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bitmap"))
+
+
+def bit_array(bitmaps: DataFrame, bits: int) -> np.ndarray:
+    """The filter as an array of ``bits`` / 8 bytes, for numpy."""
+    out = np.zeros(bits // 8, np.uint8)
+    for r in bitmaps.collect():  # at most bits / 32768 rows
+        own = np.frombuffer(r["bitmap"], np.uint8)
+        out[(r["bucket"] - 1) * (_BITMAP // 8):][:min(len(own), len(out))] = own[:len(out)]
+    return out
+
+
+def in_bits(array: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes (uint64) pass the filter."""
+    place = (h & np.uint64(len(array) * 8 - 1)).astype(np.int64)
+    return (array[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+
+
+def passing(df: DataFrame, column: str, bitmaps: DataFrame, bits: int) -> DataFrame:
+    """The rows of ``df`` that pass the filter; its few rows are broadcast."""
+    place = F.col(column).bitwiseAND(F.lit(bits - 1))
+    inside = place.bitwiseAND(F.lit(_BITMAP - 1)).cast("int")
+    at = F.floor(inside / 8).cast("int")
+    byte = F.conv(F.hex(F.substring("bitmap", at + 1, F.lit(1))), 16, 10).cast("int")
+    marked = df.withColumn("bucket", F.shiftright(place, 15) + 1)
+    return (marked.join(F.broadcast(bitmaps), "bucket").where(F.getbit(byte, (inside - at * 8).cast("int")) == 1)
+            .drop("bucket", "bitmap"))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once per row."""
     return F.transform(F.array(value), body)[0]

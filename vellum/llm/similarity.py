@@ -8,15 +8,18 @@ Jaccard similarity t or more share a shingle among their first n - ceil(t n) + 1
    the order is (counter, hash). Any fixed order gives whole results, a rarer start
    gives fewer candidates.
 2. *Prefix join.* Prefix shingles that occur once are put aside by a count; the others are the
-   inverted index.
-3. *Links.* Components are asked for, so not all pairs of a group of copies are built: for two
-   rounds every class is compared with its most frequent index leader of another component
-   (the least class of a shingle's list). Index lists that lie inside one component have nothing more to
-   give; the remaining lists are joined in full, over pairs of different components.
-4. *Filters.* Length: 100 min(n) >= 80 max(n). Positional: the shingles after the two prefix
-   positions must still allow the overlap. Suffix: both sets are cut at the same fixed hash
-   pivots, and the sum of the smaller parts bounds the overlap. What is left is verified
-   once per pair on the whole sets.
+   inverted index. A bit filter of fixed size spares most of the others the way to the join (at
+   a size where its bits are all taken it spares none).
+3. *Links.* Components are asked for, so not all pairs of a group of copies are built: first
+   every class is compared with a few leaders of each of its shingles' lists (drawn by hash, other
+   ones for every list). Lists that lie inside one component have nothing more to give; the
+   remaining lists are joined in full, over pairs of different components.
+4. *Filters*, all inside the index join's condition. Length: 100 min(n) >= 80 max(n).
+   Positional: the shingles after the two prefix positions must still allow the overlap. Suffix:
+   the sets are cut into ``PARTS`` parts at the same hash pivots, of which a class keeps the parities
+   (64 bytes); a part whose parities differ holds a shingle of one set only, so the number of such
+   parts bounds the sets' difference from below. What is left is verified once per pair on the
+   whole sets.
 """
 
 from __future__ import annotations
@@ -29,13 +32,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import SEPARATOR_CHARS, Scratch, read, slices
+from vellum.llm.common import SEPARATOR_CHARS, Scratch, bit_array, bit_filter, in_bits, passing, read, slices
 from vellum.llm.graph import components
 from vellum.llm.hashing import U, mix, prefix, spans, words
 
 COUNTERS = 1 << 16
-PIVOTS = 64
-STAR_ROUNDS = 2
+PARTS = 512
+PARITIES = [f"g{i}" for i in range(PARTS // 64)]
+#: Bits of the filters for prefix shingles (8 MB) and for texts (1 MB).
+SHINGLE_BITS, TEXT_BITS = 1 << 26, 1 << 23
+#: Rounds of comparisons with leaders, and leaders of every index list.
+STAR_ROUNDS, LEADERS = 1, 3
 
 
 def shingle_sets(col: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,6 +78,13 @@ def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n > 0, n + (-percent * n) // 100 + 1, 0)
 
 
+def parities(h: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Of every set (``n``: sizes, hashes end to end) the parities of its PARTS parts, 64 to a number."""
+    cell = np.repeat(np.arange(len(n)), n) * PARTS + (h >> U(64 - PARTS.bit_length() + 1)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=len(n) * PARTS) & 1).astype(np.uint8)
+    return list(np.packbits(odd, bitorder="little").view(np.int64).reshape(-1, PARTS // 64).T)
+
+
 def _distinct(part: pa.RecordBatch) -> pa.RecordBatch:
     """One row per text key (column 1), as the copies in a batch have the same set."""
     _, rows = np.unique(part.column(1).to_numpy(), return_index=True)
@@ -78,27 +92,28 @@ def _distinct(part: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _sizes(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per document (n, class key, text key), and a task's shingle counters at its end."""
-    names, seen = ["doc_id", "t", "n", "c", "counter", "count"], np.zeros(COUNTERS, np.int64)
+    """A row per document (n, class key, text key, parities), and a task's shingle counters at its end."""
+    schema = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("n", pa.int64()), ("c", pa.int64()),
+                        *((g, pa.int64()) for g in PARITIES), ("counter", pa.int32()), ("count", pa.int64())])
+    seen = np.zeros(COUNTERS, np.int64)
 
-    def rows(doc, t, n, c, cell, count):
-        size = len(n if n is not None else cell)
-        column = lambda v, kind: pa.nulls(size, kind) if v is None else v if isinstance(v, pa.Array) else pa.array(v, kind)
-        return pa.RecordBatch.from_arrays([column(v, x) for v, x in zip(
-            (doc, t, n, c, cell, count), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=names)
+    def rows(size, *values):
+        return pa.RecordBatch.from_arrays([pa.nulls(size, f.type) if v is None else v if isinstance(v, pa.Array) else pa.array(v, f.type)
+                                           for v, f in zip(values, schema, strict=True)], schema=schema)
 
     for batch in batches:
         for part in slices(batch, "text"):
             h, first = shingle_sets(part.column(2), k)
             np.add(seen, np.bincount(counter(h), minlength=COUNTERS), out=seen)
-            yield rows(part.column(0), part.column(1), np.diff(first), set_keys(h, first), None, None)
+            n = np.diff(first)
+            yield rows(len(n), part.column(0), part.column(1), n, set_keys(h, first), *parities(h, n), None, None)
     used = np.flatnonzero(seen)
     if len(used):
-        yield rows(None, None, None, None, used, seen[used])
+        yield rows(len(used), None, None, None, None, *(None for _ in PARITIES), used, seen[used])
 
 
-def _entries(k: int, percent: int, ranks: np.ndarray, full: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Prefix shingles: (s), or with ``full`` (s, c, n, pos)."""
+def _entries(k: int, percent: int, ranks: np.ndarray, bits: np.ndarray | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Prefix shingles: (s); with the bit filter of those wanted (s, c, n, pos)."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -109,8 +124,10 @@ def _entries(k: int, percent: int, ranks: np.ndarray, full: bool, batches: Itera
             order = np.lexsort((h, ranks[counter(h)], doc))
             place = np.arange(len(h)) - first[doc]
             head = place < prefix_size(n, percent)[doc]
+            if bits is not None:
+                head &= in_bits(bits, h[order])
             s = h[order][head].view(np.int64)
-            if full:
+            if bits is not None:
                 c = set_keys(h, first)
                 yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(c[doc[head]]), pa.array(n[doc[head]].astype(np.int32)),
                                                   pa.array(place[head].astype(np.int32))], names=["s", "c", "n", "pos"])
@@ -119,19 +136,15 @@ def _entries(k: int, percent: int, ranks: np.ndarray, full: bool, batches: Itera
 
 
 def _whole_sets(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(c, n, pivots, shingles) of every text."""
+    """(c, n, shingles) of every text."""
     for batch in batches:
         if not batch.num_rows:
             continue
         for part in slices(_distinct(batch), "text"):
             h, first = shingle_sets(part.column(2), k)
-            n = np.diff(first)
-            doc = np.repeat(np.arange(len(n)), n)
-            cells = np.bincount(doc * PIVOTS + (h >> U(64 - PIVOTS.bit_length() + 1)).astype(np.int64), minlength=len(n) * PIVOTS)
             yield pa.RecordBatch.from_arrays([
-                pa.array(set_keys(h, first)), pa.array(n.astype(np.int32)),
-                pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * PIVOTS), pa.array(cells.astype(np.int32))),
-                pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h.view(np.int64)))], names=["c", "n", "pivots", "shingles"])
+                pa.array(set_keys(h, first)), pa.array(np.diff(first).astype(np.int32)),
+                pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h.view(np.int64)))], names=["c", "n", "shingles"])
 
 
 def _enough(overlap: Column, percent: int) -> Column:
@@ -140,28 +153,46 @@ def _enough(overlap: Column, percent: int) -> Column:
 
 
 def _candidates(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
-    """Pairs of index entries of one shingle that pass the length and positional filters."""
-    a = left.select("s", F.struct("c", "n").alias("a"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.col("root").alias("root1"))
-    b = right.select("s", F.struct("c", "n").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("root").alias("root2"))
+    """Pairs of index entries of one shingle, in different components, that pass all filters."""
+    side = lambda d, x, i: d.select(
+        "s", F.struct("c", "n").alias(x), F.col("n").alias(f"n{i}"), F.col("pos").alias(f"p{i}"), F.col("root").alias(f"root{i}"),
+        *(F.col(g).alias(f"{g}_{i}") for g in PARITIES))
+    a, b = side(left, "a", 1), side(right, "b", 2)
     length = 100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")
     position = _enough(F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2")).cast("bigint"), percent)
-    return a.join(b, (a.s == b.s) & (F.col("root1") != F.col("root2"))).where(length & position)
-
-
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b) whose whole sets have the similarity, after the suffix filter."""
-    side = lambda x, n, *cols: sets.select(F.struct("c", "n").alias(x), F.col("n").alias(n), *cols)
-    bound = F.aggregate(F.zip_with("q1", "q2", lambda x, y: F.least(x, y)), F.lit(0).cast("bigint"), lambda t, x: t + x)
-    possible = scratch.save(pairs.join(side("a", "n1", F.col("pivots").alias("q1")), "a").join(side("b", "n2", F.col("pivots").alias("q2")), "b")
-                            .where(_enough(bound, percent)).select("a", "b").distinct(), f"{name}-possible")
-    same = F.size(F.array_intersect("x1", "x2")).cast("bigint")
-    return scratch.save(
-        possible.join(side("a", "n1", F.col("shingles").alias("x1")), "a").join(side("b", "n2", F.col("shingles").alias("x2")), "b")
-        .where(_enough(same, percent)).select("a", "b"), name)
-
-
-def _rooted(index: DataFrame, links: DataFrame | None, scratch: Scratch, name: str) -> DataFrame:
-    """The index with each class's component, without lists that lie inside one component."""
+    apart = sum((F.bit_count(F.col(f"{g}_1").bitwiseXOR(F.col(f"{g}_2"))) for g in PARITIES[1:]),
+                F.bit_count(F.col(f"{PARITIES[0]}_1").bitwiseXOR(F.col(f"{PARITIES[0]}_2")))).cast("bigint")
+    # |A| + |B| - 2 overlap is the difference; it is at least ``apart``
+    suffix = _enough(F.floor((F.col("n1") + F.col("n2") - apart) / 2), percent)
+    return a.join(b, (a.s == b.s) & (F.col("root1") != F.col("root2")) & length & position & suffix).select("a", "b")
+
+
+class _Verifier:
+    """Checks pairs of classes on their whole sets. ``classes``: (c, n, t, doc_id), where (t, doc_id) is a
+    row with the class's text. Sets are read from the texts, once, for the classes of some pair."""
+
+    def __init__(self, source: DataFrame, classes: DataFrame, k: int, percent: int, scratch: Scratch) -> None:
+        self.source, self.classes, self.k, self.percent, self.scratch, self.sets = source, classes, k, percent, scratch, None
+
+    def links(self, pairs: DataFrame, name: str) -> DataFrame:
+        save, node = self.scratch.save, F.struct("c", "n")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("x")).select("x.c", "x.n").distinct()
+        if self.sets is not None:
+            wanted = wanted.join(self.sets.select("c", "n"), ["c", "n"], "left_anti")
+        rows = save(self.classes.join(wanted, ["c", "n"]).select(F.col("t").alias("t1"), F.col("doc_id").alias("d1")), f"{name}-texts")
+        near = passing(self.source, "t", bit_filter(rows, "t1", TEXT_BITS), TEXT_BITS)
+        texts = near.join(rows, (F.col("t") == F.col("t1")) & F.col("doc_id").eqNullSafe(F.col("d1"))).select("doc_id", "t", "text")
+        new = save(texts.mapInArrow(partial(_whole_sets, self.k), "c bigint, n int, shingles array<bigint>"), f"{name}-sets")
+        self.sets = new if self.sets is None else self.sets.unionByName(new)
+        side = lambda x, n, z: self.sets.select(node.alias(x), F.col("n").alias(n), F.col("shingles").alias(z))
+        same = F.size(F.array_intersect("x1", "x2")).cast("bigint")
+        return save(pairs.join(side("a", "n1", "x1"), "a").join(side("b", "n2", "x2"), "b")
+                    .where(_enough(same, self.percent)).select("a", "b").distinct(), name)
+
+
+def _rooted(index: DataFrame, links: DataFrame | None, classes: DataFrame | None, scratch: Scratch, name: str) -> DataFrame:
+    """The index (s, c, n, pos) with each class's component (and parities, once ``classes`` is there), without
+    lists that lie inside one component."""
     node = F.struct("c", "n")
     if links is None:
         rooted = index.withColumn("root", node)
@@ -171,7 +202,10 @@ def _rooted(index: DataFrame, links: DataFrame | None, scratch: Scratch, name: s
                   .withColumn("root", F.coalesce("root", "node")).drop("node"))
     rooted = scratch.save(rooted, f"{name}-rooted")
     open_lists = scratch.save(rooted.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("s"), f"{name}-open")
-    return scratch.save(rooted.join(open_lists, "s"), f"{name}-index")
+    kept = rooted.join(open_lists, "s")
+    if classes is not None:
+        kept = kept.join(classes.select("c", "n", *PARITIES), ["c", "n"])
+    return scratch.save(kept, f"{name}-index")
 
 
 def _grouped(docs: DataFrame, k: int, percent: int, key: str, text: str) -> DataFrame:
@@ -179,43 +213,43 @@ def _grouped(docs: DataFrame, k: int, percent: int, key: str, text: str) -> Data
     scratch = Scratch(docs.sparkSession, "jaccard")
     raw = F.coalesce(F.col(text), F.lit(""))
     source = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.xxhash64(raw).alias("t"), raw.alias("text"))
-    counted = scratch.save(source.mapInArrow(partial(_sizes, k), "doc_id bigint, t bigint, n bigint, c bigint, counter int, count bigint"), "sizes")
-    sizes = counted.where("counter IS NULL").select("doc_id", "t", F.col("n").cast("int").alias("n"), "c")
+    counted = scratch.save(source.mapInArrow(
+        partial(_sizes, k), f"doc_id bigint, t bigint, n bigint, c bigint, {', '.join(f'{g} bigint' for g in PARITIES)}, counter int, count bigint"), "sizes")
+    sizes = counted.where("counter IS NULL").select("doc_id", "t", F.col("n").cast("int").alias("n"), "c", *PARITIES)
     # at most COUNTERS rows, whatever the input
     cells = counted.where("counter IS NOT NULL").groupBy("counter").agg(F.sum("count").alias("count")).toPandas()
     ranks = np.zeros(COUNTERS, np.int64)
     ranks[cells["counter"].to_numpy(int)] = cells["count"].to_numpy(int)
 
-    shingles = source.mapInArrow(partial(_entries, k, percent, ranks, False), "s bigint")
+    shingles = source.mapInArrow(partial(_entries, k, percent, ranks, None), "s bigint")
     often = scratch.save(shingles.groupBy("s").count().where("count > 1").select("s"), "repeated")
-    entries = source.mapInArrow(partial(_entries, k, percent, ranks, True), "s bigint, c bigint, n int, pos int")
+    wanted = bit_array(bit_filter(often, "s", SHINGLE_BITS), SHINGLE_BITS)
+    entries = source.mapInArrow(partial(_entries, k, percent, ranks, wanted), "s bigint, c bigint, n int, pos int")
     found = scratch.save(entries.join(often, "s").distinct(), "found")
     scratch.drop("repeated")
-    index = _rooted(found, None, scratch, "round0")
-
-    # whole sets of the classes that are in a list with another class: one text of each class
-    classes = index.select("c", "n").distinct()
-    texts = scratch.save(sizes.join(classes, ["c", "n"]).groupBy("c", "n").agg(F.min("t").alias("t")).select("t"), "texts")
-    sets = scratch.save(source.join(texts, "t").select("doc_id", "t", "text").mapInArrow(
-        partial(_whole_sets, k), "c bigint, n int, pivots array<int>, shingles array<bigint>").dropDuplicates(["c", "n"]), "sets")
-
+    index = _rooted(found, None, None, scratch, "lists")
+    classes = scratch.save(sizes.join(index.select("c", "n").distinct(), ["c", "n"]).groupBy("c", "n").agg(
+        F.min(F.struct("t", "doc_id", *PARITIES)).alias("r")).select("c", "n", "r.*"), "candidates")
+    index = scratch.save(index.join(classes.select("c", "n", *PARITIES), ["c", "n"]), "index")
+    scratch.drop("found", "lists-rooted", "lists-open", "lists-index")
+    verifier = _Verifier(source, classes, k, percent, scratch)
+
+    ordered = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = None
-    for turn in range(STAR_ROUNDS + 1):
-        if turn < STAR_ROUNDS:
-            leaders = scratch.save(index.groupBy("s").agg(F.min(F.struct("root", "n", "c", "pos")).alias("l"))
-                                   .select("s", "l.root", "l.n", "l.c", "l.pos"), f"round{turn}-leaders")
-            pairs = _candidates(index, leaders, percent).groupBy("a", "b").count()
-            best = pairs.groupBy("a").agg(F.max(F.struct(F.col("count"), F.col("b"))).alias("m")).select("a", F.col("m.b").alias("b"))
-        else:
-            best = _candidates(index, index, percent).where("a < b").select("a", "b").distinct()
-        new = _verify(scratch.save(best, f"round{turn}-pairs"), sets, percent, scratch, f"round{turn}-links")
+    for turn in range(STAR_ROUNDS):
+        # other leaders for every list and round: a class meets many members of its group
+        leader = lambda i: F.min_by(F.struct("root", "n", "c", "pos", *PARITIES), F.xxhash64(F.lit(i), "s", "c"))
+        drawn = F.array_distinct(F.array(*(leader(turn * LEADERS + i) for i in range(LEADERS))))
+        leaders = scratch.save(index.groupBy("s").agg(drawn.alias("l")).select("s", F.explode("l").alias("l")).select("s", "l.*"), f"leaders{turn}")
+        pairs = scratch.save(ordered(_candidates(index, leaders, percent)), f"pairs{turn}")
+        new = verifier.links(pairs, f"links{turn}")
         links = new if links is None else links.unionByName(new)
-        if turn < STAR_ROUNDS:
-            index = _rooted(index.drop("root"), links, scratch, f"round{turn + 1}")
-            if index.isEmpty():
-                break
+        index = _rooted(index.select("s", "c", "n", "pos"), links, classes, scratch, f"round{turn + 1}")
+    rest = scratch.save(ordered(_candidates(index, index, percent).where("a < b")), "pairs")
+    links = links.unionByName(verifier.links(rest, "links"))
 
     roots = components(links, scratch, "final").select(F.col("node.c").alias("c"), F.col("node.n").alias("n"), "root")
+    sizes = sizes.drop(*PARITIES)
     least = sizes.where("n > 0").groupBy("c", "n").agg(F.min("doc_id").alias("least"))
     linked = scratch.save(least.join(roots, ["c", "n"], "left").withColumn("root", F.coalesce("root", F.struct("c", "n"))), "classes")
     whole = linked.groupBy("root").agg(F.min("least").alias("component_id"))
