@@ -7,4 +7,4 @@ from vellum.llm import chat, decontaminate, extract_html, packing, quality, rule
 QUERIES = {f.__name__: f for f in (
     packing.op1_packing, substring.op2_substring_dedup, decontaminate.op3_benchmark_decontamination, sharding.op4_sharding, similarity.op5_ngram_jaccard_join, toxicity.op6_toxicity,
     chat.op7_chat_formatting, rules.op8_quality_rules, quality.op9_quality_classifier, extract_html.op10_html_extraction)}
-ORACLE = {"op2_substring_dedup": substring.ORACLE_SMALL.strip(), "op7_chat_formatting": chat.ORACLE_TURNS.strip()}
+ORACLE = {"op2_substring_dedup": substring.ORACLE_SMALL.strip(), "op5_ngram_jaccard_join": similarity.ORACLE_SMALL.strip(), "op7_chat_formatting": chat.ORACLE_TURNS.strip()}

@@ -11,15 +11,15 @@ Jaccard similarity t or more share a shingle among their first n - ceil(t n) + 1
    inverted index. A bit filter of fixed size spares most of the others the way to the join (at
    a size where its bits are all taken it spares none).
 3. *Links.* Components are asked for, so not all pairs of a group of copies are built: first
-   every class is compared with a few leaders of each of its shingles' lists (drawn by hash, other
-   ones for every list). Lists that lie inside one component have nothing more to give; the
+   every class is compared with one of the leaders of its shingles' lists (drawn by hash, other
+   ones for every list), the one it shares most lists with. Lists that lie inside one component have nothing more to give; the
    remaining lists are joined in full, over pairs of different components.
 4. *Filters*, all inside the index join's condition. Length: 100 min(n) >= 80 max(n).
    Positional: the shingles after the two prefix positions must still allow the overlap. Suffix:
    the sets are cut into ``PARTS`` parts at the same hash pivots, of which a class keeps the parities
    (64 bytes); a part whose parities differ holds a shingle of one set only, so the number of such
-   parts bounds the sets' difference from below. What is left is verified once per pair on the
-   whole sets.
+   parts bounds the sets' difference from below. Pairs that pass are checked with ``FINE_PARTS``
+   parts, and what is left is verified once per pair on the whole sets.
 """
 
 from __future__ import annotations
@@ -37,12 +37,13 @@ from vellum.llm.graph import components
 from vellum.llm.hashing import U, mix, prefix, spans, words
 
 COUNTERS = 1 << 16
-PARTS = 512
+#: Parts of the coarse parities (in the index) and of the fine ones (checked before whole sets are read).
+PARTS, FINE_PARTS = 512, 2048
 PARITIES = [f"g{i}" for i in range(PARTS // 64)]
 #: Bits of the filters for prefix shingles (8 MB) and for texts (1 MB).
 SHINGLE_BITS, TEXT_BITS = 1 << 26, 1 << 23
 #: Rounds of comparisons with leaders, and leaders of every index list.
-STAR_ROUNDS, LEADERS = 1, 3
+STAR_ROUNDS, LEADERS = 2, 2
 
 
 def shingle_sets(col: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,11 +79,15 @@ def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n > 0, n + (-percent * n) // 100 + 1, 0)
 
 
-def parities(h: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
-    """Of every set (``n``: sizes, hashes end to end) the parities of its PARTS parts, 64 to a number."""
-    cell = np.repeat(np.arange(len(n)), n) * PARTS + (h >> U(64 - PARTS.bit_length() + 1)).astype(np.int64)
-    odd = (np.bincount(cell, minlength=len(n) * PARTS) & 1).astype(np.uint8)
-    return list(np.packbits(odd, bitorder="little").view(np.int64).reshape(-1, PARTS // 64).T)
+def parities(h: np.ndarray, n: np.ndarray) -> list:
+    """Of every set (``n``: sizes, hashes end to end) the parities of its parts, 64 to a number: the columns of
+    the coarse ones, and the fine ones as lists. A coarse part is several fine ones."""
+    cell = np.repeat(np.arange(len(n)), n) * FINE_PARTS + (h >> U(64 - FINE_PARTS.bit_length() + 1)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=len(n) * FINE_PARTS) & 1).astype(np.uint8)
+    coarse = np.bitwise_xor.reduce(odd.reshape(-1, FINE_PARTS // PARTS), axis=1)
+    pack = lambda bits: np.packbits(bits, bitorder="little").view(np.int64)
+    fine = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * (FINE_PARTS // 64)), pa.array(pack(odd)))
+    return [*pack(coarse).reshape(-1, PARTS // 64).T, fine]
 
 
 def _distinct(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -94,7 +99,7 @@ def _distinct(part: pa.RecordBatch) -> pa.RecordBatch:
 def _sizes(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document (n, class key, text key, parities), and a task's shingle counters at its end."""
     schema = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("n", pa.int64()), ("c", pa.int64()),
-                        *((g, pa.int64()) for g in PARITIES), ("counter", pa.int32()), ("count", pa.int64())])
+                        *((g, pa.int64()) for g in PARITIES), ("fine", pa.list_(pa.int64())), ("counter", pa.int32()), ("count", pa.int64())])
     seen = np.zeros(COUNTERS, np.int64)
 
     def rows(size, *values):
@@ -109,7 +114,7 @@ def _sizes(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield rows(len(n), part.column(0), part.column(1), n, set_keys(h, first), *parities(h, n), None, None)
     used = np.flatnonzero(seen)
     if len(used):
-        yield rows(len(used), None, None, None, None, *(None for _ in PARITIES), used, seen[used])
+        yield rows(len(used), None, None, None, None, *(None for _ in PARITIES), None, used, seen[used])
 
 
 def _entries(k: int, percent: int, ranks: np.ndarray, bits: np.ndarray | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,6 +157,11 @@ def _enough(overlap: Column, percent: int) -> Column:
     return 100 * overlap >= percent * (F.col("n1").cast("bigint") + F.col("n2") - overlap)
 
 
+def _at_most(apart: Column) -> Column:
+    """The overlap's bound: |A| + |B| - 2 overlap is the difference, which is at least ``apart``."""
+    return F.floor((F.col("n1").cast("bigint") + F.col("n2") - apart) / 2)
+
+
 def _candidates(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
     """Pairs of index entries of one shingle, in different components, that pass all filters."""
     side = lambda d, x, i: d.select(
@@ -162,8 +172,7 @@ def _candidates(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
     position = _enough(F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2")).cast("bigint"), percent)
     apart = sum((F.bit_count(F.col(f"{g}_1").bitwiseXOR(F.col(f"{g}_2"))) for g in PARITIES[1:]),
                 F.bit_count(F.col(f"{PARITIES[0]}_1").bitwiseXOR(F.col(f"{PARITIES[0]}_2")))).cast("bigint")
-    # |A| + |B| - 2 overlap is the difference; it is at least ``apart``
-    suffix = _enough(F.floor((F.col("n1") + F.col("n2") - apart) / 2), percent)
+    suffix = _enough(_at_most(apart), percent)
     return a.join(b, (a.s == b.s) & (F.col("root1") != F.col("root2")) & length & position & suffix).select("a", "b")
 
 
@@ -176,6 +185,10 @@ class _Verifier:
 
     def links(self, pairs: DataFrame, name: str) -> DataFrame:
         save, node = self.scratch.save, F.struct("c", "n")
+        fine = lambda x, n, q: self.classes.select(node.alias(x), F.col("n").alias(n), F.col("fine").alias(q))
+        apart = F.aggregate(F.zip_with("q1", "q2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+        pairs = save(pairs.join(fine("a", "n1", "q1"), "a").join(fine("b", "n2", "q2"), "b")
+                     .where(_enough(_at_most(apart), self.percent)).select("a", "b"), f"{name}-possible")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("x")).select("x.c", "x.n").distinct()
         if self.sets is not None:
             wanted = wanted.join(self.sets.select("c", "n"), ["c", "n"], "left_anti")
@@ -214,8 +227,8 @@ def _grouped(docs: DataFrame, k: int, percent: int, key: str, text: str) -> Data
     raw = F.coalesce(F.col(text), F.lit(""))
     source = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.xxhash64(raw).alias("t"), raw.alias("text"))
     counted = scratch.save(source.mapInArrow(
-        partial(_sizes, k), f"doc_id bigint, t bigint, n bigint, c bigint, {', '.join(f'{g} bigint' for g in PARITIES)}, counter int, count bigint"), "sizes")
-    sizes = counted.where("counter IS NULL").select("doc_id", "t", F.col("n").cast("int").alias("n"), "c", *PARITIES)
+        partial(_sizes, k), f"doc_id bigint, t bigint, n bigint, c bigint, {', '.join(f'{g} bigint' for g in PARITIES)}, fine array<bigint>, counter int, count bigint"), "sizes")
+    sizes = counted.where("counter IS NULL").select("doc_id", "t", F.col("n").cast("int").alias("n"), "c", *PARITIES, "fine")
     # at most COUNTERS rows, whatever the input
     cells = counted.where("counter IS NOT NULL").groupBy("counter").agg(F.sum("count").alias("count")).toPandas()
     ranks = np.zeros(COUNTERS, np.int64)
@@ -229,7 +242,7 @@ def _grouped(docs: DataFrame, k: int, percent: int, key: str, text: str) -> Data
     scratch.drop("repeated")
     index = _rooted(found, None, None, scratch, "lists")
     classes = scratch.save(sizes.join(index.select("c", "n").distinct(), ["c", "n"]).groupBy("c", "n").agg(
-        F.min(F.struct("t", "doc_id", *PARITIES)).alias("r")).select("c", "n", "r.*"), "candidates")
+        F.min_by(F.struct("t", "doc_id", *PARITIES, "fine"), F.struct("t", "doc_id")).alias("r")).select("c", "n", "r.*"), "candidates")
     index = scratch.save(index.join(classes.select("c", "n", *PARITIES), ["c", "n"]), "index")
     scratch.drop("found", "lists-rooted", "lists-open", "lists-index")
     verifier = _Verifier(source, classes, k, percent, scratch)
@@ -238,10 +251,14 @@ def _grouped(docs: DataFrame, k: int, percent: int, key: str, text: str) -> Data
     links = None
     for turn in range(STAR_ROUNDS):
         # other leaders for every list and round: a class meets many members of its group
-        leader = lambda i: F.min_by(F.struct("root", "n", "c", "pos", *PARITIES), F.xxhash64(F.lit(i), "s", "c"))
+        leader = lambda i: F.min_by(F.struct("root", "n", "c", "pos"), F.xxhash64(F.lit(i), "s", "c"))
         drawn = F.array_distinct(F.array(*(leader(turn * LEADERS + i) for i in range(LEADERS))))
-        leaders = scratch.save(index.groupBy("s").agg(drawn.alias("l")).select("s", F.explode("l").alias("l")).select("s", "l.*"), f"leaders{turn}")
-        pairs = scratch.save(ordered(_candidates(index, leaders, percent)), f"pairs{turn}")
+        leaders = scratch.save(index.groupBy("s").agg(drawn.alias("l")).select("s", F.explode("l").alias("l")).select("s", "l.*")
+                               .join(classes.select("c", "n", *PARITIES), ["c", "n"]), f"leaders{turn}")
+        # each class with the leader it shares most lists with; the rest is for the join in full below
+        met = _candidates(index, leaders, percent).groupBy("a", "b").count()
+        best = met.groupBy("a").agg(F.max(F.struct("count", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+        pairs = scratch.save(ordered(best), f"pairs{turn}")
         new = verifier.links(pairs, f"links{turn}")
         links = new if links is None else links.unionByName(new)
         index = _rooted(index.select("s", "c", "n", "pos"), links, classes, scratch, f"round{turn + 1}")
@@ -249,7 +266,7 @@ def _grouped(docs: DataFrame, k: int, percent: int, key: str, text: str) -> Data
     links = links.unionByName(verifier.links(rest, "links"))
 
     roots = components(links, scratch, "final").select(F.col("node.c").alias("c"), F.col("node.n").alias("n"), "root")
-    sizes = sizes.drop(*PARITIES)
+    sizes = sizes.drop(*PARITIES, "fine")
     least = sizes.where("n > 0").groupBy("c", "n").agg(F.min("doc_id").alias("least"))
     linked = scratch.save(least.join(roots, ["c", "n"], "left").withColumn("root", F.coalesce("root", F.struct("c", "n"))), "classes")
     whole = linked.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -287,3 +304,22 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"))
+
+
+#: The contract in SQL over all shared shingles; for small tables only.
+ORACLE_SMALL = """
+WITH RECURSIVE w AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS words
+  FROM documents),
+sh AS MATERIALIZED (SELECT DISTINCT r, array_to_string(words[i:i + 4], ' ') AS s
+  FROM w, unnest(range(1, greatest(len(words) - 3, 2))) AS t(i) WHERE len(words) > 0),
+n AS MATERIALIZED (SELECT r, count(*) AS n FROM sh GROUP BY r),
+ov AS (SELECT a.r AS x, b.r AS y, count(*) AS o FROM sh a JOIN sh b ON a.s = b.s AND a.r < b.r GROUP BY ALL),
+links AS MATERIALIZED (SELECT x, y FROM ov JOIN n nx ON nx.r = x JOIN n ny ON ny.r = y WHERE 100 * o >= 80 * (nx.n + ny.n - o)),
+sym AS MATERIALIZED (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT r, r AS m FROM n UNION SELECT reach.r, sym.y FROM reach JOIN sym ON sym.x = reach.m),
+comp AS (SELECT reach.r, min(w.doc_id) AS component_id FROM reach JOIN w ON w.r = reach.m GROUP BY reach.r)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(comp.component_id, w.doc_id) AS component_id
+FROM w LEFT JOIN n USING (r) LEFT JOIN comp USING (r)
+"""
