@@ -47,3 +47,14 @@ def test_table_cases(spark):
     assert out[2] == out[3] and out[2].n_chars == len(out[2].text)
     assert out[4].text.count("\n") == 19999 and len(out) == 6
     assert extract_main_text(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_the_regions_decide_on_pages_with_articles():
+    """Text in plain elements beside teaser articles stays; an unmarked link list inside an article goes."""
+    para = "Here is a long paragraph of running text that says something at length, again and again. " * 4
+    links = "".join(f"<li><a href='/{k}'>Link {k}</a></li>" for k in range(30))
+    teasers = "".join(f"<article class='card'><h3><a href='/{k}'><b>More {k}</b></a></h3></article>" for k in range(6))
+    text = main_text(f"<body><div><p>{para}</p><p>Short one.</p><p>{para}</p></div><div>{teasers}</div></body>")
+    assert text.count(para.strip()) == 2 and "Short one." in text
+    text = main_text(f"<body><article><p>{para}</p><p>{para}</p><ul>{links}</ul></article></body>")
+    assert text.count(para.strip()) == 2 and "Link 15" not in text

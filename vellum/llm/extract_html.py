@@ -2,13 +2,14 @@
 
 The standard library's HTML parser emits events in page order. Text between two block
 boundaries is one line; a line carries its text length and the number of tags inside it and
-since the line before. Lines below elements that hold no article text by their meaning
+since the line before, those of left out elements aside. Lines below elements that hold no article text by their meaning
 (navigation, forms, scripts, ...) or by their class, id or role (menu, advert, comment, ...)
-never become candidates. If the page marks its article (``article``, ``main`` or the
-equivalent role), the candidates are its lines. Otherwise the text-to-tag ratios of the lines
-are smoothed with a Gaussian window and split by a threshold into two clusters, and the
-regions above it are the content: a short paragraph between long ones stays, a link list between
-short ones goes.
+never become candidates. On every page the text-to-tag ratios of the lines are smoothed with a
+Gaussian window and split by a threshold into two clusters, and the regions above it are the
+content: a short paragraph between long ones stays, a link list between short ones goes; lines of
+``RUNNING`` characters a tag are content beside any longer ones. A marked
+article (``article``, ``main`` or the equivalent role) is a feature only: its lines' ratios weigh
+``ARTICLE`` times as much.
 """
 
 from __future__ import annotations
@@ -50,6 +51,10 @@ BOILERPLATE = frozenset(
 QUALIFIER = frozenset("has with no not without is".split())
 #: Marks that inside an article belong to its own head.
 OWN_HEAD = frozenset("header masthead".split())
+#: Weight of the text-to-tag ratio of a line in a marked article.
+ARTICLE = 5.0
+#: Smoothed characters a tag from which on a line is running text on any page.
+RUNNING = 15.0
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -93,9 +98,9 @@ class _Lines(HTMLParser):
             self.end_p()
         if tag in BLOCK or tag in DROPPED:
             self.line()
-        self.tags += 1
+        self.tags += not self.dropped
         if tag == "body":  # a page may leave its head open
-            self.open, self.dropped, self.article = [], 0, 0
+            self.open, self.dropped, self.article, self.tags = [], 0, 0, 1
         if tag == "br" and not self.dropped:  # white space inside a block
             self.parts.append(" ")
         if tag in VOID:
@@ -128,7 +133,7 @@ class _Lines(HTMLParser):
         del self.open[k:]
 
     def handle_endtag(self, tag: str) -> None:
-        self.tags += 1
+        self.tags += not self.dropped
         if tag in BLOCK or tag in DROPPED:
             self.line()
         for k in range(len(self.open) - 1, -1, -1):
@@ -157,11 +162,11 @@ def smooth(ratio: np.ndarray, sigma: float) -> np.ndarray:
 
 
 def content_lines(ratio: np.ndarray, sigma: float, factor: float) -> np.ndarray:
-    """Threshold clustering of the smoothed ratios: content lies above ``factor`` times their
-    standard deviation, or above half the mean if the lines hardly differ."""
+    """Threshold clustering of the smoothed ratios: content lies above ``factor`` of their range or is running
+    text; if the lines hardly differ, above ``factor`` times their standard deviation or half the mean."""
     s = smooth(np.log1p(ratio), sigma)
     return s >= min(factor * s.std(), 0.5 * s.mean()) if len(s) < 3 or s.std() < 0.2 * s.mean() else (
-        s >= (s.min() + factor * (s.max() - s.min())))
+        s >= min(s.min() + factor * (s.max() - s.min()), np.log1p(RUNNING)))
 
 
 def main_text(html: str | None, sigma: float = 1.0, factor: float = 0.4) -> str:
@@ -173,11 +178,9 @@ def main_text(html: str | None, sigma: float = 1.0, factor: float = 0.4) -> str:
     HTMLParser.close(parser)
     parser.line()
     lines = parser.lines
-    if any(inside for _, _, inside in lines):
-        return "\n".join(text for text, _, inside in lines if inside)
     if not lines:
         return ""
-    ratio = np.array([len(text) / max(1, tags) for text, tags, _ in lines])
+    ratio = np.array([len(text) / max(1, tags) * (ARTICLE if inside else 1.0) for text, tags, inside in lines])
     keep = content_lines(ratio, sigma, factor)
     return "\n".join(line[0] for line, kept in zip(lines, keep, strict=True) if kept)
 
