@@ -75,10 +75,10 @@ def test_one_word_only():
 
 def test_rows_without_runs_nulls_repeats_and_clashing_columns(spark):
     rows = [(1, "a b a b a b a b c", 7, "x"), (1, "a b a b a b a b c", 7, "x"), (None, None, None, None), (3, " \n", 1, "y"), (4, "a a a a a", 0, "z"),
-            (5, "q\x0bq\tq q q q q q", 2, "w")]
+            (5, "q\x0bq\tq q q q\u00a0q q", 2, "w")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, n_words int, runs string")
     got = sorted((tuple(r) for r in periodic_runs(df).collect()), key=repr)
-    assert got == sorted([(1, 9, [(0, 8, 2)], "a b c")] * 2 + [(None, 0, [], ""), (3, 0, [], ""), (4, 5, [], "a a a a a"), (5, 7, [], "q q q q q q q q")], key=repr)
+    assert got == sorted([(1, 9, [(0, 8, 2)], "a b c")] * 2 + [(None, 0, [], ""), (3, 0, [], ""), (4, 5, [], "a a a a a"), (5, 7, [], "q q q q q q\u00a0q q")], key=repr)
     assert periodic_runs(df.where("false")).collect() == []
 
 
