@@ -118,3 +118,52 @@ def test_bit_filter_lets_every_member_pass(spark, bits):
     assert other[in_bits(array, other.view(np.uint64))].tolist() == want
     df = spark.createDataFrame([(int(k),) for k in other], "h bigint")
     assert sorted(r.h for r in passing(df, "h", maps, bits).collect()) == sorted(want)
+
+
+def test_distinct_lists_keep_every_pair(spark):
+    """Lists with equal members come once, as the one that stands first; each pair of members still meets at its first list."""
+    import random
+    from vellum.llm.common import Scratch
+    from vellum.llm.similarity import _distinct_lists
+
+    rnd = random.Random(6)
+    groups = [rnd.sample(range(40), rnd.randrange(2, 6)) for _ in range(12)]
+    rows, at = [], {c: 0 for c in range(40)}
+    for s in range(80):
+        for c in groups[rnd.randrange(12)]:
+            rows.append((s, c, 100, at[c]))
+            at[c] += 1
+    got = [tuple(r) for r in _distinct_lists(spark.createDataFrame(rows, "s bigint, c bigint, n int, pos int"), Scratch(spark, "test")).select("s", "c", "pos", "weight").collect()]
+    first = lambda entries: {(a[1], b[1]): min((a[2], a[0]) for a, b in [(a, b)]) for a in reversed(entries) for b in reversed(entries) if a[0] == b[0] and a[1] < b[1]}
+    whole = sorted((s, c, p) for s, c, _, p in rows)
+    assert first(whole) == first(sorted((s, c, p) for s, c, p, _ in got))
+    lists = {frozenset(c for t, c, _, _ in rows if t == s) for s, _, _, _ in rows}
+    assert len({s for s, _, _, _ in got}) == len(lists)
+    assert sum({s: w for s, _, _, w in got}.values()) == len({s for s, _, _, _ in rows})
+
+
+def test_one_of_each_with_clashing_columns(spark):
+    from vellum.llm.similarity import one_of_each
+
+    text = "one two three four five six seven"
+    rows = [(1, text, 5, 6, "x"), (2, text, 7, 8, "y"), (None, text, 1, 1, "z"), (3, None, 9, 9, "n"), (3, None, 9, 9, "n"), (4, "other words", 0, 0, "o")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, _t int, _id int, has_words string")
+    assert sorted(tuple(r) for r in one_of_each(df).collect()) == sorted([rows[0], rows[3], rows[4], rows[5]], key=lambda r: r[0])
+
+
+def test_parities_of_many_short_sets():
+    import numpy as np
+    from vellum.llm.similarity import PARTS, parities
+
+    rnd = np.random.default_rng(2)
+    n = rnd.integers(0, 5, 1300)
+    h = rnd.integers(0, 1 << 63, n.sum()).astype(np.uint64) * np.uint64(2)
+    got = np.stack(parities(h, n), 1)
+    at = 0
+    for k, size in enumerate(n):
+        bits = np.zeros(PARTS, np.uint8)
+        for x in h[at:at + size]:
+            bits[int(x) >> 53] ^= 1
+        at += size
+        assert (np.packbits(bits, bitorder="little").view(np.int64) == got[k]).all()
+    assert np.stack(parities(h[:0], n[:0]), 1).shape == (0, PARTS // 64)

@@ -9,7 +9,8 @@ Jaccard similarity t or more share a shingle among their first n - ceil(t n) + 1
    gives fewer candidates.
 2. *Prefix join.* Prefix shingles that occur once are put aside by a count; the others are the
    inverted index. A bit filter of fixed size spares most of the others the way to the join (at
-   a size where its bits are all taken it spares none).
+   a size where its bits are all taken it spares none). A passage gives many lists with the same members; one
+   of them is kept, the first in the common order.
 3. *Links.* Components are asked for, so not all pairs of a group of copies are built: first
    every class is compared with one of the leaders of its shingles' lists (drawn by hash, other
    ones for every list), the one it shares most lists with. Lists that lie inside one component have nothing more to give; the
@@ -17,9 +18,8 @@ Jaccard similarity t or more share a shingle among their first n - ceil(t n) + 1
 4. *Filters*, all inside the index join's condition. Length: 100 min(n) >= 80 max(n).
    Positional: the shingles after the two prefix positions must still allow the overlap. Suffix:
    the sets are cut into ``PARTS`` parts at the same hash pivots, of which a class keeps the parities
-   (64 bytes); a part whose parities differ holds a shingle of one set only, so the number of such
-   parts bounds the sets' difference from below. Pairs that pass are checked with ``FINE_PARTS``
-   parts, and what is left is verified once per pair on the whole sets.
+   (256 bytes); a part whose parities differ holds a shingle of one set only, so the number of such
+   parts bounds the sets' difference from below. What is left is verified once per pair on the whole sets.
 """
 
 from __future__ import annotations
@@ -37,13 +37,15 @@ from vellum.llm.graph import components
 from vellum.llm.hashing import U, mix, prefix, spans, words
 
 COUNTERS = 1 << 16
-#: Parts of the coarse parities (in the index) and of the fine ones (checked before whole sets are read).
-PARTS, FINE_PARTS = 512, 2048
+#: Parts of a set whose parities are kept, and sets whose parts are counted at a time.
+PARTS, BLOCK = 2048, 512
 PARITIES = [f"g{i}" for i in range(PARTS // 64)]
 #: Bits of the filters for prefix shingles (8 MB) and for texts (1 MB).
 SHINGLE_BITS, TEXT_BITS = 1 << 26, 1 << 23
 #: Rounds of comparisons with leaders, and leaders of every index list.
 STAR_ROUNDS, LEADERS = 2, 2
+#: Tasks that a class's pairs are dealt to.
+SALTS = 16
 
 
 def shingle_sets(col: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,15 +81,16 @@ def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n > 0, n + (-percent * n) // 100 + 1, 0)
 
 
-def parities(h: np.ndarray, n: np.ndarray) -> list:
-    """Of every set (``n``: sizes, hashes end to end) the parities of its parts, 64 to a number: the columns of
-    the coarse ones, and the fine ones as lists. A coarse part is several fine ones."""
-    cell = np.repeat(np.arange(len(n)), n) * FINE_PARTS + (h >> U(64 - FINE_PARTS.bit_length() + 1)).astype(np.int64)
-    odd = (np.bincount(cell, minlength=len(n) * FINE_PARTS) & 1).astype(np.uint8)
-    coarse = np.bitwise_xor.reduce(odd.reshape(-1, FINE_PARTS // PARTS), axis=1)
-    pack = lambda bits: np.packbits(bits, bitorder="little").view(np.int64)
-    fine = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * (FINE_PARTS // 64)), pa.array(pack(odd)))
-    return [*pack(coarse).reshape(-1, PARTS // 64).T, fine]
+def parities(h: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Of every set (``n``: sizes, hashes end to end) the parities of its parts, 64 to a number and column."""
+    out, ends = [], np.concatenate([[0], np.cumsum(n)])
+    for at in range(0, max(1, len(n)), BLOCK):
+        own = n[at:at + BLOCK]
+        part = h[ends[at]:ends[at + len(own)]] >> U(64 - PARTS.bit_length() + 1)
+        cell = np.repeat(np.arange(len(own)), own) * PARTS + part.astype(np.int64)
+        odd = (np.bincount(cell, minlength=len(own) * PARTS) & 1).astype(np.uint8)
+        out.append(np.packbits(odd, bitorder="little").view(np.int64).reshape(-1, PARTS // 64))
+    return list(np.concatenate(out).T)
 
 
 def _distinct(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -99,11 +102,11 @@ def _distinct(part: pa.RecordBatch) -> pa.RecordBatch:
 def _sizes(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document (n, class key, text key, parities), and a task's shingle counters at its end."""
     schema = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("n", pa.int64()), ("c", pa.int64()),
-                        *((g, pa.int64()) for g in PARITIES), ("fine", pa.list_(pa.int64())), ("counter", pa.int32()), ("count", pa.int64())])
+                        *((g, pa.int64()) for g in PARITIES), ("counter", pa.int32()), ("count", pa.int64())])
     seen = np.zeros(COUNTERS, np.int64)
 
     def rows(size, *values):
-        return pa.RecordBatch.from_arrays([pa.nulls(size, f.type) if v is None else v if isinstance(v, pa.Array) else pa.array(v, f.type)
+        return pa.RecordBatch.from_arrays([pa.nulls(size, f.type) if v is None else v if isinstance(v, pa.Array) else pa.array(np.ascontiguousarray(v), f.type)
                                            for v, f in zip(values, schema, strict=True)], schema=schema)
 
     for batch in batches:
@@ -114,7 +117,7 @@ def _sizes(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield rows(len(n), part.column(0), part.column(1), n, set_keys(h, first), *parities(h, n), None, None)
     used = np.flatnonzero(seen)
     if len(used):
-        yield rows(len(used), None, None, None, None, *(None for _ in PARITIES), None, used, seen[used])
+        yield rows(len(used), None, None, None, None, *(None for _ in PARITIES), used, seen[used])
 
 
 def _entries(k: int, percent: int, ranks: np.ndarray, bits: np.ndarray | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,14 +169,14 @@ def _candidates(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
     """Pairs of index entries of one shingle, in different components, that pass all filters."""
     side = lambda d, x, i: d.select(
         "s", F.struct("c", "n").alias(x), F.col("n").alias(f"n{i}"), F.col("pos").alias(f"p{i}"), F.col("root").alias(f"root{i}"),
-        *(F.col(g).alias(f"{g}_{i}") for g in PARITIES))
+        *(F.col(g).alias(f"{g}_{i}") for g in PARITIES), *(["weight"] if i == 1 else []))
     a, b = side(left, "a", 1), side(right, "b", 2)
     length = 100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")
     position = _enough(F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2")).cast("bigint"), percent)
     apart = sum((F.bit_count(F.col(f"{g}_1").bitwiseXOR(F.col(f"{g}_2"))) for g in PARITIES[1:]),
                 F.bit_count(F.col(f"{PARITIES[0]}_1").bitwiseXOR(F.col(f"{PARITIES[0]}_2")))).cast("bigint")
     suffix = _enough(_at_most(apart), percent)
-    return a.join(b, (a.s == b.s) & (F.col("root1") != F.col("root2")) & length & position & suffix).select("a", "b")
+    return a.join(b, (a.s == b.s) & (F.col("root1") != F.col("root2")) & length & position & suffix)
 
 
 class _Verifier:
@@ -185,10 +188,6 @@ class _Verifier:
 
     def links(self, pairs: DataFrame, name: str) -> DataFrame:
         save, node = self.scratch.save, F.struct("c", "n")
-        fine = lambda x, n, q: self.classes.select(node.alias(x), F.col("n").alias(n), F.col("fine").alias(q))
-        apart = F.aggregate(F.zip_with("q1", "q2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-        pairs = save(pairs.join(fine("a", "n1", "q1"), "a").join(fine("b", "n2", "q2"), "b")
-                     .where(_enough(_at_most(apart), self.percent)).select("a", "b"), f"{name}-possible")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("x")).select("x.c", "x.n").distinct()
         if self.sets is not None:
             wanted = wanted.join(self.sets.select("c", "n"), ["c", "n"], "left_anti")
@@ -197,12 +196,29 @@ class _Verifier:
         texts = near.join(rows, (F.col("t") == F.col("t1")) & F.col("doc_id").eqNullSafe(F.col("d1"))).select("doc_id", "t", "text")
         new = save(texts.mapInArrow(partial(_whole_sets, self.k), "c bigint, n int, shingles array<bigint>"), f"{name}-sets")
         self.sets = new if self.sets is None else self.sets.unionByName(new)
-        side = lambda x, n, z: self.sets.select(node.alias(x), F.col("n").alias(n), F.col("shingles").alias(z))
+        # a class with many partners meets them in several tasks: its set goes to each of its salts
+        salted = save(pairs.withColumn("s1", F.pmod(F.xxhash64("b"), F.lit(SALTS))).withColumn("s2", F.pmod(F.xxhash64("a"), F.lit(SALTS))), f"{name}-salted")
+
+        def with_set(x: str, salt: str, size: str, own: str) -> DataFrame:
+            keys = salted.select(F.col(f"{x}.c").alias("c"), F.col(f"{x}.n").alias("n"), salt).distinct()
+            return keys.join(self.sets, ["c", "n"]).select(node.alias(x), salt, F.col("n").alias(size), F.col("shingles").alias(own))
+
         same = F.size(F.array_intersect("x1", "x2")).cast("bigint")
-        return save(pairs.join(side("a", "n1", "x1"), "a").join(side("b", "n2", "x2"), "b")
+        return save(salted.join(with_set("a", "s1", "n1", "x1"), ["a", "s1"]).join(with_set("b", "s2", "n2", "x2"), ["b", "s2"])
                     .where(_enough(same, self.percent)).select("a", "b").distinct(), name)
 
 
+def _distinct_lists(index: DataFrame, scratch: Scratch) -> DataFrame:
+    """The index with one list (s) of those that have the same members, and their number as ``weight``. Shingles with
+    the same members stand in one order in all of them; the first is kept, so that positions still bound the
+    overlap of each pair that meets here."""
+    node = (F.col("c"), F.col("n"))
+    lists = index.groupBy("s").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64(*node)).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), *node)).alias("y"),
+                                   F.min(F.struct("c", "n", "pos")).alias("m"))
+    once = scratch.save(lists.groupBy("members", "x", "y").agg(F.min_by("s", F.col("m.pos")).alias("s"), F.count("*").alias("weight")).select("s", "weight"), "distinct-lists")
+    return scratch.save(index.join(once, "s"), "distinct")
+
+
 def _rooted(index: DataFrame, links: DataFrame | None, classes: DataFrame | None, scratch: Scratch, name: str) -> DataFrame:
     """The index (s, c, n, pos) with each class's component (and parities, once ``classes`` is there), without
     lists that lie inside one component."""
@@ -227,8 +243,8 @@ def _grouped(docs: DataFrame, k: int, percent: int, key: str, text: str) -> Data
     raw = F.coalesce(F.col(text), F.lit(""))
     source = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.xxhash64(raw).alias("t"), raw.alias("text"))
     counted = scratch.save(source.mapInArrow(
-        partial(_sizes, k), f"doc_id bigint, t bigint, n bigint, c bigint, {', '.join(f'{g} bigint' for g in PARITIES)}, fine array<bigint>, counter int, count bigint"), "sizes")
-    sizes = counted.where("counter IS NULL").select("doc_id", "t", F.col("n").cast("int").alias("n"), "c", *PARITIES, "fine")
+        partial(_sizes, k), f"doc_id bigint, t bigint, n bigint, c bigint, {', '.join(f'{g} bigint' for g in PARITIES)}, counter int, count bigint"), "sizes")
+    sizes = counted.where("counter IS NULL").select("doc_id", "t", F.col("n").cast("int").alias("n"), "c", *PARITIES)
     # at most COUNTERS rows, whatever the input
     cells = counted.where("counter IS NOT NULL").groupBy("counter").agg(F.sum("count").alias("count")).toPandas()
     ranks = np.zeros(COUNTERS, np.int64)
@@ -240,11 +256,11 @@ def _grouped(docs: DataFrame, k: int, percent: int, key: str, text: str) -> Data
     entries = source.mapInArrow(partial(_entries, k, percent, ranks, wanted), "s bigint, c bigint, n int, pos int")
     found = scratch.save(entries.join(often, "s").distinct(), "found")
     scratch.drop("repeated")
-    index = _rooted(found, None, None, scratch, "lists")
+    index = _distinct_lists(_rooted(found, None, None, scratch, "lists"), scratch)
     classes = scratch.save(sizes.join(index.select("c", "n").distinct(), ["c", "n"]).groupBy("c", "n").agg(
-        F.min_by(F.struct("t", "doc_id", *PARITIES, "fine"), F.struct("t", "doc_id")).alias("r")).select("c", "n", "r.*"), "candidates")
+        F.min_by(F.struct("t", "doc_id", *PARITIES), F.struct("t", "doc_id")).alias("r")).select("c", "n", "r.*"), "candidates")
     index = scratch.save(index.join(classes.select("c", "n", *PARITIES), ["c", "n"]), "index")
-    scratch.drop("found", "lists-rooted", "lists-open", "lists-index")
+    scratch.drop("found", "lists-rooted", "lists-open", "lists-index", "distinct-lists", "distinct")
     verifier = _Verifier(source, classes, k, percent, scratch)
 
     ordered = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -256,17 +272,17 @@ def _grouped(docs: DataFrame, k: int, percent: int, key: str, text: str) -> Data
         leaders = scratch.save(index.groupBy("s").agg(drawn.alias("l")).select("s", F.explode("l").alias("l")).select("s", "l.*")
                                .join(classes.select("c", "n", *PARITIES), ["c", "n"]), f"leaders{turn}")
         # each class with the leader it shares most lists with; the rest is for the join in full below
-        met = _candidates(index, leaders, percent).groupBy("a", "b").count()
-        best = met.groupBy("a").agg(F.max(F.struct("count", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+        met = _candidates(index, leaders, percent).groupBy("a", "b").agg(F.sum("weight").alias("shared"))
+        best = met.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
         pairs = scratch.save(ordered(best), f"pairs{turn}")
         new = verifier.links(pairs, f"links{turn}")
         links = new if links is None else links.unionByName(new)
-        index = _rooted(index.select("s", "c", "n", "pos"), links, classes, scratch, f"round{turn + 1}")
+        index = _rooted(index.select("s", "c", "n", "pos", "weight"), links, classes, scratch, f"round{turn + 1}")
     rest = scratch.save(ordered(_candidates(index, index, percent).where("a < b")), "pairs")
     links = links.unionByName(verifier.links(rest, "links"))
 
     roots = components(links, scratch, "final").select(F.col("node.c").alias("c"), F.col("node.n").alias("n"), "root")
-    sizes = sizes.drop(*PARITIES, "fine")
+    sizes = sizes.drop(*PARITIES)
     least = sizes.where("n > 0").groupBy("c", "n").agg(F.min("doc_id").alias("least"))
     linked = scratch.save(least.join(roots, ["c", "n"], "left").withColumn("root", F.coalesce("root", F.struct("c", "n"))), "classes")
     whole = linked.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -281,7 +297,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str
     Words are separated by ASCII white space, with A-Z as a-z. Rows without words or text have
     no shingle and link with nothing, equal texts included: their component is their own id. Repeated rows are one
     class; a null id is never a least id unless its component has no other. An empty table gives
-    none.
+    none. Other columns are ignored, whatever their names. Very long texts are read whole; the shingles of one
+    document are made and kept by one task.
     """
     return _grouped(docs, k, percent, key, text).select(
         "doc_id", F.col("n").cast("bigint").alias("n_shingles"),
@@ -290,16 +307,18 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without near copies: of every component the row with the least id (null last; of rows
-    equal in id the least text hash, of equal rows one). Rows without words are no copies and all stay."""
+    equal in id the least text hash, of equal rows one). Rows without words are no copies and all stay. Columns keep their
+    names, whatever these are; an empty table gives none."""
     grouped = _grouped(docs, k, percent, key, text).where("n > 0")
     least = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("t"))).alias("m"))
-    keepers = Scratch(docs.sparkSession, "jaccard").save(least.select(F.col("m.doc_id").alias("_id"), F.col("m.t").alias("_t")), "keepers")
-    raw = F.coalesce(F.col(text), F.lit(""))
-    has_words = F.btrim(raw, F.lit(SEPARATOR_CHARS)) != ""
-    marked = docs.where(has_words).withColumn("_t", F.xxhash64(raw)).withColumn("_id", F.col(key).cast("bigint"))
-    same = marked["_id"].eqNullSafe(keepers["_id"]) & (marked["_t"] == keepers["_t"])
-    chosen = marked.join(keepers, same, "left_semi").dropDuplicates(["_id", "_t"]).drop("_id", "_t")
-    return chosen.unionByName(docs.where(~has_words))
+    keepers = Scratch(docs.sparkSession, "jaccard").save(least.select(F.col("m.doc_id").alias("id"), F.col("m.t").alias("t")), "keepers")
+    raw = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    # the row travels as one column, so that its columns may have any names
+    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64(raw).alias("own_t"),
+                         F.col(f"`{key}`").cast("bigint").alias("own_id"), (F.btrim(raw, F.lit(SEPARATOR_CHARS)) != "").alias("has_words"))
+    same = F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_t") == F.col("t"))
+    chosen = marked.where("has_words").join(keepers, same, "left_semi").dropDuplicates(["own_id", "own_t"])
+    return chosen.unionByName(marked.where("NOT has_words")).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
