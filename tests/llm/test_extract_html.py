@@ -58,3 +58,64 @@ def test_the_regions_decide_on_pages_with_articles():
     assert text.count(para.strip()) == 2 and "Short one." in text
     text = main_text(f"<body><article><p>{para}</p><p>{para}</p><ul>{links}</ul></article></body>")
     assert text.count(para.strip()) == 2 and "Link 15" not in text
+
+
+def brute_article(html):
+    """The text of a page that nests its elements properly: every block below ``article`` whose ancestors are no boilerplate, as the contract
+    reads. A statement of its own over the element tree."""
+    import html as entities
+    import re
+
+    inline = {"a", "b", "i", "em", "strong", "span", "code", "u", "small", "sub", "sup", "mark"}
+    bad = {"nav", "aside", "form", "script", "style", "footer", "button", "noscript", "iframe", "svg"}
+    marks = r'(?:class|id)="[^"]*\b(?:ad|ads|advert|sponsored|promo|cookie|notice|newsletter|share|social|related|comments?|sidebar|menu|nav)\b'
+    out, part, stack = [], "", []
+
+    def flush():
+        nonlocal part
+        text = re.sub(r"\s+", " ", entities.unescape(part)).strip()
+        if text:
+            out.append(text)
+        part = ""
+
+    for tag, close, name, attrs, data in re.findall(r"(<(/?)([a-zA-Z][a-zA-Z0-9]*)([^>]*)>)|([^<]+|<)", re.sub(r"(?s)<!--.*?-->|<(script|style)\b.*?</\1>|<!doctype[^>]*>", "", html, flags=re.I)):
+        name = name.lower()
+        if not tag:
+            if any(s[0] == "article" for s in stack) and not any(s[1] for s in stack):
+                part += data
+            continue
+        if name == "br":
+            part += " "
+            continue
+        if name not in inline:
+            flush()
+        if close:
+            while stack and stack.pop()[0] != name:
+                pass
+        elif name not in {"img", "hr", "meta", "link", "input"} and not attrs.endswith("/"):
+            stack.append((name, name in bad or bool(re.search(marks, attrs))))
+    flush()
+    return "\n".join(out)
+
+
+def test_given_pages_keep_every_article_line():
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet")
+    for html in pages["html"].to_pylist():
+        assert main_text(html) == brute_article(html)
+
+
+def test_short_lines_of_a_region_stay():
+    """Headlines, short paragraphs and table rows inside a region stay, whether the region is marked or not."""
+    para = "Here is a long paragraph of running text that says something at length, again and again. " * 4
+    body = f"<h1>Que ta.</h1><p>{para}</p><p>By To.</p><p>By To.</p><table><tr><td>a</td><td>1</td></tr><tr><td>b</td><td>2</td></tr></table><p>{para}</p>"
+    expected = "Que ta.\n" + para.strip() + "\nBy To.\nBy To.\na\n1\nb\n2\n" + para.strip()
+    links = "".join(f"<li><a href='/{k}'>Link {k}</a></li>" for k in range(30))
+    assert main_text(f"<body><article>{body}</article><div><ul>{links}</ul></div></body>") == expected
+    assert main_text(f"<body><div><ul>{links}</ul></div><div>{body}</div></body>") == expected
+
+
+def test_deep_and_broken_nesting():
+    assert main_text("<div>" * 5000 + "word " * 50) == ("word " * 50).strip()
+    assert main_text("</div></div><span role='main'>a</span></span><article><p>b b b b</article></article>").endswith("b b b b")

@@ -5,17 +5,21 @@ boundaries is one line; a line carries its text length and the number of tags in
 since the line before, those of left out elements aside. Lines below elements that hold no article text by their meaning
 (navigation, forms, scripts, ...) or by their class, id or role (menu, advert, comment, ...)
 never become candidates. On every page the text-to-tag ratios of the lines are smoothed with a
-Gaussian window and split by a threshold into two clusters, and the regions above it are the
-content: a short paragraph between long ones stays, a link list between short ones goes; lines of
+Gaussian window and split by a threshold into two clusters; lines of
 ``RUNNING`` characters a tag are content beside any longer ones. A marked
 article (``article``, ``main`` or the equivalent role) is a feature only: its lines' ratios weigh
 ``ARTICLE`` times as much.
+
+Clusters select regions: each row of content lines grows to the marked article around it, else to the smallest
+container (a division, section or cell below the body) that holds most of its text. All lines of a region are main text, headlines, short
+paragraphs and table rows included; only lines of mere links, themselves below the threshold, are not.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from html.parser import HTMLParser
 
 import numpy as np
@@ -40,6 +44,8 @@ BLOCK = frozenset(
 CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hgroup hr main menu nav ol p pre section table ul".split())
+#: Elements that a region may be.
+CONTAINER = frozenset("article main section div td".split())
 #: Words in class, id or role that mark what is not article text.
 BOILERPLATE = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted banner cookie "
@@ -76,22 +82,25 @@ def boilerplate(attrs: list[tuple[str, str | None]], in_article: bool = False) -
 
 
 class _Lines(HTMLParser):
-    """Collects lines (text, tags, dropped, in_article) from parser events."""
+    """Collects lines (text, tags, in an article, link characters, innermost container) from parser events. Containers are numbered
+    in page order, so that the descendants of one have the numbers up to its ``last``."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool]] = []
-        self.open: list[tuple[str, bool, bool]] = []  # element, its content is dropped, it is the article
-        self.dropped = self.article = 0
+        self.lines: list[tuple[str, int, bool, int, int]] = []
+        self.open: list[tuple[str, bool, bool, int]] = []  # element, its content is dropped, it is the article, the container before
+        self.dropped = self.article = self.links = self.linked = 0
         self.parts: list[str] = []
         self.tags = 0
+        # of every container: the one around it, the article around it (or itself), its last descendant; 0 is the page
+        self.container, self.parent, self.main, self.last = 0, [0], [0], [0]
 
     def line(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            self.lines.append((text, self.tags, self.article > 0))
+            self.lines.append((text, self.tags, self.article > 0, self.linked, self.container))
             self.tags = 0
-        self.parts = []
+        self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in CLOSES_P:
@@ -100,7 +109,8 @@ class _Lines(HTMLParser):
             self.line()
         self.tags += not self.dropped
         if tag == "body":  # a page may leave its head open
-            self.open, self.dropped, self.article, self.tags = [], 0, 0, 1
+            self.unnest(0)
+            self.open, self.dropped, self.article, self.tags, self.links = [], 0, 0, 1, 0
         if tag == "br" and not self.dropped:  # white space inside a block
             self.parts.append(" ")
         if tag in VOID:
@@ -108,9 +118,15 @@ class _Lines(HTMLParser):
         marked = tag not in ("html", "body") and boilerplate(attrs, self.article > 0)
         main = (tag in ("article", "main") or ("role", "main") in attrs) and not marked
         drop = marked or tag in DROPPED and not (tag == "header" and self.article)
-        self.open.append((tag, drop, main))
+        self.open.append((tag, drop, main, self.container))
         self.dropped += drop
         self.article += main
+        self.links += tag == "a"
+        if tag in CONTAINER or main:
+            self.parent.append(self.container)
+            self.container = len(self.parent) - 1
+            self.main.append(self.container if main else self.main[self.parent[-1]])
+            self.last.append(0)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -127,11 +143,19 @@ class _Lines(HTMLParser):
 
     def end(self, k: int) -> None:
         self.line()
-        for _, drop, main in self.open[k:]:
+        for tag, drop, main, _ in self.open[k:]:
             self.dropped -= drop
             self.article -= main
+            self.links -= tag == "a"
+        self.unnest(self.open[k][3])
         del self.open[k:]
 
+    def unnest(self, container: int) -> None:
+        """Ends the containers inside ``container``."""
+        while self.container != container:
+            self.last[self.container] = len(self.parent) - 1
+            self.container = self.parent[self.container]
+
     def handle_endtag(self, tag: str) -> None:
         self.tags += not self.dropped
         if tag in BLOCK or tag in DROPPED:
@@ -143,14 +167,20 @@ class _Lines(HTMLParser):
 
     def unwind(self, k: int) -> None:
         """An inline end tag closes its element, not the blocks opened since."""
-        if not any(t in BLOCK or t in DROPPED for t, _, _ in self.open[k + 1:]):
-            _, drop, main = self.open.pop(k)
+        if not any(t in BLOCK or t in DROPPED for t, _, _, _ in self.open[k + 1:]):
+            tag, drop, main, before = self.open[k]
+            if main and self.container != before:  # an inline element with the role of the article
+                self.unnest(before)
+            del self.open[k]
             self.dropped -= drop
             self.article -= main
+            self.links -= tag == "a"
 
     def handle_data(self, data: str) -> None:
         if not self.dropped:
             self.parts.append(data)
+            if self.links:
+                self.linked += len("".join(data.split()))
 
 
 def smooth(ratio: np.ndarray, sigma: float) -> np.ndarray:
@@ -169,6 +199,36 @@ def content_lines(ratio: np.ndarray, sigma: float, factor: float) -> np.ndarray:
         s >= min(s.min() + factor * (s.max() - s.min()), np.log1p(RUNNING)))
 
 
+def grow(page: _Lines, seeds: np.ndarray) -> np.ndarray:
+    """The lines of the regions that the seeds select: of every row of seeds, the marked article around the smallest container with
+    more than half of its text, else that container; a row below no container stays as it is. Link lines are left out."""
+    keep = seeds.copy()
+    sizes = [len(text) for text, *_ in page.lines]
+    home = np.array([line[4] for line in page.lines])
+    mere_links = np.array([2 * line[3] >= len("".join(line[0].split())) for line in page.lines])
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], seeds.astype(np.int8), [0]])))
+    done: set[int] = set()
+    for a, b in zip(edges[::2], edges[1::2], strict=True):
+        text: dict[int, int] = {}
+        for k in range(a, b):
+            text[int(home[k])] = text.get(int(home[k]), 0) + sizes[k]
+        half, waiting = sum(text.values()) / 2, [-c for c in text]
+        heapify(waiting)
+        while waiting:  # inner containers first: they have higher numbers
+            c = -heappop(waiting)
+            if text[c] > half or not c:
+                break
+            up = page.parent[c]
+            if up not in text:
+                heappush(waiting, -up)
+            text[up] = text.get(up, 0) + text[c]
+        region = page.main[c] or c
+        if region and region not in done:
+            done.add(region)
+            keep |= (home >= region) & (home <= page.last[region]) & ~mere_links
+    return keep
+
+
 def main_text(html: str | None, sigma: float = 1.0, factor: float = 0.4) -> str:
     """Main text of one page, blocks joined by one newline; empty for a null or empty page."""
     if not html:
@@ -177,11 +237,12 @@ def main_text(html: str | None, sigma: float = 1.0, factor: float = 0.4) -> str:
     parser.feed(html)
     HTMLParser.close(parser)
     parser.line()
+    parser.unnest(0)
     lines = parser.lines
     if not lines:
         return ""
-    ratio = np.array([len(text) / max(1, tags) * (ARTICLE if inside else 1.0) for text, tags, inside in lines])
-    keep = content_lines(ratio, sigma, factor)
+    ratio = np.array([len(text) / max(1, tags) * (ARTICLE if inside else 1.0) for text, tags, inside, _, _ in lines])
+    keep = grow(parser, content_lines(ratio, sigma, factor))
     return "\n".join(line[0] for line, kept in zip(lines, keep, strict=True) if kept)
 
 
