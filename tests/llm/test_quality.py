@@ -63,3 +63,12 @@ def test_query(spark):
     out = Q.op9_quality_classifier(spark, "/root/testdata/sf0.001").collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.5) for r in out)
     assert len(out) == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+
+
+def test_a_line_break_far_in_decides_nothing():
+    """Long lines have the same share of distinct words as short ones: punctuation is stripped at every length."""
+    from vellum.llm.quality import CUTS, line_figures
+
+    at = list(CUTS).index("distinct")
+    short, long = "one, two; one two. " * 10, "one, two; one two. " * 20_000
+    assert line_figures(short)[0][0][at] == 2 / 40 and line_figures(long)[0][0][at] == 2 / 80_000

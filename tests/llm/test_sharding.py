@@ -52,3 +52,14 @@ def test_small_and_odd_tables(docs):
     texts = [None, "", "x" * 2_000_000, "a b", "a b", None]
     ids = [1, 2, 3, 4, 4, None]
     check(sharding.shard_documents(docs(texts, ids)).collect(), list(zip(ids, texts, strict=True)), 24)
+
+
+def test_identical_rows_are_split_too(docs):
+    """3000 rows that are equal in every column beside 3000 others: the law holds."""
+    texts = ["the same text in every row of them " * 4] * 3000 + [f"doc {k} " + "word " * (k % 40) for k in range(3000)]
+    ids = [7] * 3000 + list(range(100, 3100))
+    out = sharding.shard_documents(docs(texts, ids), shards=6).collect()
+    check(out, list(zip(ids, texts, strict=True)), 6)
+    for f in (lambda r: r.size, lambda r: 1):
+        load = np.bincount([r.shard for r in out], [f(r) for r in out], minlength=6)
+        assert load.max() / load.mean() < 1.02 and load.min() / load.mean() > 0.98

@@ -69,6 +69,14 @@ class Scratch:
             fs.delete(target, True)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, longer by underscores while a column has it (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Positions of one bitmap of Spark's bitmap functions.
 _BITMAP = 32_768
 

@@ -47,10 +47,10 @@ def line_figures(text: str) -> tuple[list[list[float]], list[int]]:
             continue
         size = len(raw)
         without = lambda chars: (size - len(raw.translate(None, chars))) / size  # noqa: E731, B023
-        bare = [w.strip(_PUNCT) for w in words] if size < 200_000 else words
+        bare = {w.strip(_PUNCT) for w in words}
         rows.append([
             without(_CAPITALS), without(_SYMBOLS), without(_PUNCT), raw.count(b"!") / n, raw.count(b"|") / n, without(b"0123456789"),
-            sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, len(set(bare)) / n,
+            sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, len(bare) / n,
             (size - n + 1) / n, float(n), float(raw in seen), float(words[-1][-1:] in b".!?"),
             (raw.count(b"http") + raw.count(b"www.") + raw.count(b"@")) / n, sum(len(w) < 3 for w in words) / n])
         sizes.append(len(line))

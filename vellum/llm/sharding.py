@@ -7,8 +7,8 @@ of a shard's capacity, with the shard's residual capacity is highest, largest gr
 Placement itself is sequential, so what it places is bounded: groups above 1/``FINE`` of a
 capacity (at most 3 * shards * ``FINE``) are placed one by one, all smaller ones are first
 dealt by hash into ``FINE`` lots a shard, whose summed vectors are placed like groups. A group
-above one capacity (a text that makes up a third of all rows, say) is split by doc_id into
-pieces of about an eighth of a capacity. Everything that grows with the rows (figures, group
+above one capacity (a text that makes up a third of all rows, say) is split by the number of the saved row into
+pieces of about an eighth of a capacity, also where its rows are equal in all columns. Everything that grows with the rows (figures, group
 sums, slots) stays in Spark.
 """
 
@@ -54,7 +54,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, key: str = "doc_id", text
     rows = scratch.save(docs.select(
         F.col(key).alias("doc_id"), (F.octet_length(raw) + F.lit(8)).cast("bigint").alias("size"),
         F.crc32(raw.cast("binary")).alias("text_crc32"), F.size(word_array(F.col(text))).cast("bigint").alias("n_tokens"),
-        F.xxhash64(raw).alias("g1"), F.xxhash64(F.lit(1), raw).alias("g2"), F.xxhash64(F.col(key), raw).alias("h")), "rows")
+        F.xxhash64(raw).alias("g1"), F.xxhash64(F.lit(1), raw).alias("g2"), F.xxhash64(F.monotonically_increasing_id()).alias("h")), "rows")
 
     groups = scratch.save(rows.groupBy("g1", "g2").agg(
         F.sum("size").alias("size"), F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n")), "groups")

@@ -23,7 +23,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import Scratch, bounded_batches, read
+from vellum.llm.common import Scratch, bounded_batches, read, unused
 
 # Second-person words of the corpus' languages.
 SECOND_PERSON = frozenset(
@@ -108,7 +108,8 @@ def featurize(text: str, codes: _Codes) -> list[float]:
 
 
 def features(docs: DataFrame, lexicon: dict[str, float], text: str = "text") -> DataFrame:
-    """``docs`` with ``features`` (array<double>) in place of the text; one narrow pass."""
+    """``docs`` with ``features`` (array<double>) in place of the text; one narrow pass. Null texts count as empty; a
+    column ``features`` is replaced; rows are read each, repeated or not."""
     kept = [c for c in docs.columns if c not in (text, "features")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,11 +157,15 @@ class ToxicityModel:
 
     def score(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """Adds ``score`` (0 to 1) and leaves the text out; without a fitted model (one class
-        only among the training rows) the rate of toxic rows is every document's score."""
+        only among the training rows) the rate of toxic rows is every document's score. Null and empty texts are scored by their
+        empty figures, whole texts of any length in one task each; repeated rows are scored each and alike; a
+        column ``score`` is replaced, others may have any names; an empty table gives none."""
+        kept = [c for c in docs.columns if c not in (text, "score")]
         if self.trees is None:
-            return docs.drop(text).withColumn("score", F.lit(self.rate))
-        rows = features(docs, self.lexicon, text)
-        return _curve(self.curve, _raw(self.trees, rows)).drop("features")
+            return docs.select(*(F.col(f"`{c}`") for c in kept), F.lit(self.rate).alias("score"))
+        # the other columns travel as one, so that they may have any names
+        rows = features(docs.select(F.struct(F.lit(0).alias(unused("n", kept)), *(F.col(f"`{c}`") for c in kept)).alias("row"), F.col(f"`{text}`").alias("text")), self.lexicon)
+        return _curve(self.curve, _raw(self.trees, rows)).select(*(F.col(f"row.`{c}`") for c in kept), "score")
 
 
 def _raw(trees, rows: DataFrame) -> DataFrame:
