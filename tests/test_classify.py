@@ -31,8 +31,8 @@ def str_counts(text):
 
 def test_scores_match_str_count(spark):
     texts = ["po po po", "aaa", "poppo", "logistics and liability", "sopsop", "ipip ip", "", "tax " * 3000]
-    df = spark.createDataFrame([(t,) for t in texts], "t string").select(C.score_column(F.col("t")).alias("s"))
-    assert [r.s for r in df.collect()] == [str_counts(t) for t in texts]
+    df = C.keyword_counts(spark.createDataFrame([(t,) for t in texts], "t string"), ["t"], F.col("t"), out="s")
+    assert {r.t: r.s for r in df.collect()} == {t: str_counts(t) for t in texts}
 
 
 def test_parts_are_read_whole(spark):

@@ -1,7 +1,7 @@
 """Keyword and model classification of files.
 
-Everything but the model hook is built-in Column functions: per keyword, the number of
-occurrences is what deleting it takes off the text's length, divided by its length. Whole
+All keywords of all categories are counted in one pass over the text, by an automaton in Arrow batches
+(:mod:`vellum.operators.patterns`); the text is lower-cased by Spark, the category is a Column expression over the scores. Whole
 texts are read; the sample of a file's first parts is an argument a caller asks for.
 """
 
@@ -9,11 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum import config
+from vellum.operators.patterns import Automaton, text_bytes
 
 
 def classification_sample(parts: DataFrame, key: str = "source", order: str = "part_idx",
@@ -43,18 +46,43 @@ def sample_column(text: str | Column = "text", max_chars: int | None = None) ->
     return c if max_chars is None else F.substring(c, 1, max_chars)
 
 
-def score_column(sample: Column, keywords: dict[str, list[str]] | None = None) -> Column:
-    """``array<int>`` of per-category scores, in dictionary order: for every keyword the
-    non-overlapping, left-to-right occurrences in the lower-cased text, summed by category."""
-    groups = F.array(*[F.array(*[F.lit(w.lower()) for w in words if w]).cast("array<string>")
-                       for words in (keywords or config.KEYWORDS).values()])
+#: Bytes of text that are counted at a time.
+COUNT_BYTES = 8 << 20
 
-    def counts(low: Column) -> Column:
-        return F.transform(groups, lambda words: F.aggregate(
-            words, F.lit(0), lambda n, w: n + ((F.length(low) - F.length(F.replace(low, w, F.lit(""))))
-                                               / F.length(w)).cast("int")))
 
-    return F.transform(F.array(F.lower(F.coalesce(sample, F.lit("")))), counts)[0]
+def keyword_counts(docs: DataFrame, keep: list[str], text: Column, keywords: dict[str, list[str]] | None = None,
+                   out: str = "_s") -> DataFrame:
+    """The columns ``keep`` of ``docs`` and ``out``, an ``array<int>`` of per-category scores in dictionary order: for every
+    keyword the non-overlapping, left-to-right occurrences in the lower-cased ``text``, summed by category. One narrow
+    pass; NULL counts as the empty text."""
+    groups = list((keywords or config.KEYWORDS).values())
+    words = sorted({w.lower().encode() for ws in groups for w in ws if w})
+    place = {w: k for k, w in enumerate(words)}
+    # how often a category lists a word
+    share = np.zeros((len(words), len(groups)), np.int64)
+    for c, ws in enumerate(groups):
+        for w in ws:
+            if w:
+                share[place[w.lower().encode()], c] += 1
+    automaton = Automaton(words)
+
+    def run(batches):
+        for batch in batches:
+            col, at = batch.column(batch.num_columns - 1), 0
+            bounds = text_bytes(col)[1]
+            while at < batch.num_rows:
+                stop = max(at + 1, int(np.searchsorted(bounds, bounds[at] + COUNT_BYTES, side="right")) - 1)
+                scores = np.zeros((stop - at, len(groups)), np.int64)
+                row, word, number = automaton.counts(*text_bytes(col.slice(at, stop - at)))
+                np.add.at(scores, row, share[word] * number[:, None])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(stop - at + 1, dtype=np.int32) * len(groups)), pa.array(scores.astype(np.int32).ravel()))
+                part = batch.slice(at, stop - at)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], names=[*part.schema.names[:-1], out])
+                at = stop
+
+    source = docs.select(*keep, F.lower(F.coalesce(text, F.lit(""))).alias("_text"))
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:-1])
+    return source.mapInArrow(run, f"{fields}`{out}` array<int>")
 
 
 def category_column(scores: Column, keywords: dict[str, list[str]] | None = None) -> Column:
@@ -70,7 +98,7 @@ def keyword_scores(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """``(key, category, score)`` for every non-zero category score of a one-part file."""
     kw = keywords or config.KEYWORDS
     cats = F.array(*[F.lit(c) for c in kw])
-    scored = docs.select(key, score_column(sample_column(text), kw).alias("_s"))
+    scored = keyword_counts(docs, [key], sample_column(text), kw)
     return (scored.select(key, F.posexplode("_s").alias("_pos", "_v"))
             .where(F.col("_v") > 0)
             .select(key, F.element_at(cats, (F.col("_pos") + 1).cast("int")).alias("category"),
@@ -84,8 +112,7 @@ def classify_keyword(docs: DataFrame, key: str = "doc_id", text: str = "text",
     if not enabled:
         return docs.select(key, F.lit(config.UNCLASSIFIED).alias("file_category"))
     kw = keywords or config.KEYWORDS
-    return docs.select(key, category_column(score_column(sample_column(text), kw), kw)
-                       .alias("file_category"))
+    return keyword_counts(docs, [key], sample_column(text), kw).select(key, category_column(F.col("_s"), kw).alias("file_category"))
 
 
 def classify_parts(parts: DataFrame, key: str = "source", order: str = "part_idx",
@@ -103,15 +130,14 @@ def classify_parts(parts: DataFrame, key: str = "source", order: str = "part_idx
         return parts.withColumn("file_category", F.lit(config.UNCLASSIFIED))
     kw = keywords or config.KEYWORDS
     if method == "keyword" and max_parts is None and max_chars is None:
-        scored = parts.select(key, score_column(F.col(text), kw).alias("_s"))
+        scored = keyword_counts(parts, [key], F.col(text), kw)
         sums = scored.groupBy(key).agg(F.array(*[F.sum(F.col("_s")[i]) for i in range(len(kw))]).alias("_s"))
         cat = sums.select(key, category_column(F.col("_s"), kw).alias("file_category"))
     elif method in ("keyword", "model"):
         sample = classification_sample(parts, key, order, text, max_parts or config.SAMPLE_MAX_PARTS,
                                        max_chars or config.SAMPLE_MAX_CHARS)
         if method == "keyword":
-            cat = sample.select(key, category_column(score_column(F.col("sample"), kw), kw)
-                                .alias("file_category"))
+            cat = classify_keyword(sample, key, "sample", kw)
         elif generate is None:
             raise ValueError("method='model' needs a generate callable")
         else:
