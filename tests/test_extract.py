@@ -59,7 +59,7 @@ def test_large_file_is_numbered_over_tasks(spark, tmp_path):
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
     try:
-        got = {r.part_idx: r.text for r in X.csv_rows_to_parts(spark, str(tmp_path)).collect()}
+        got = {r.part_idx: r.text for r in X.csv_rows_to_parts(spark, str(tmp_path), multiline=False).collect()}
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert got == {i: f"k: row{i}" for i in range(3000)}
@@ -100,3 +100,19 @@ def test_no_checkpoint_folder_is_an_error():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         checkpoint_dir(Session())
+
+
+def test_csv_folder_with_a_header_per_file(spark, tmp_path):
+    """Files of other columns, quoted line breaks, short and long rows, a byte order mark, files without rows."""
+    (tmp_path / "a.csv").write_text("name,age\nann,3\n\nbob\n")
+    (tmp_path / "b.csv").write_text("city,zip,land\nulm,89073,de,more\n")
+    (tmp_path / "c.csv").write_text('note,k\n"two\nlines, ""quoted""",1\n')
+    (tmp_path / "d.csv").write_bytes(b"\xef\xbb\xbfx\r\n1\r\n")
+    (tmp_path / "e.csv").write_text("only,header\n")
+    (tmp_path / "f.csv").write_text("")
+    want = {("a.csv", 0): "name: ann\nage: 3", ("a.csv", 1): "name: bob\nage: ", ("b.csv", 0): "city: ulm\nzip: 89073\nland: de",
+            ("c.csv", 0): 'note: two\nlines, "quoted"\nk: 1', ("d.csv", 0): "x: 1"}
+    name = lambda r: r.path.rsplit("/", 1)[1]
+    assert {(name(r), r.part_idx): r.text for r in X.csv_rows_to_parts(spark, str(tmp_path)).collect()} == want
+    lines = {(name(r), r.part_idx): r.text for r in X.csv_rows_to_parts(spark, str(tmp_path), multiline=False).collect()}
+    assert {k: v for k, v in lines.items() if k[0] != "c.csv"} == {k: v for k, v in want.items() if k[0] != "c.csv"}

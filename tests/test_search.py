@@ -55,7 +55,7 @@ def test_topk_matches_brute_force_and_blocks(spark):
     index = spark.createDataFrame(index_rows, "id long, embedding array<float>").repartition(5)
     queries = spark.createDataFrame(query_rows, "query_id int, embedding array<double>")
     want = _brute(index_rows, query_rows, 7, 0.1)
-    for max_bytes in (64 << 20, 2000):  # one block; many bounded blocks
+    for max_bytes in (64 << 20, 2000):  # queries broadcast; joined tile by tile
         got = {}
         for r in topk_similarity(index, queries, k=7, threshold=0.1, max_broadcast_bytes=max_bytes).orderBy("query_id", "rank").collect():
             got.setdefault(r.query_id, []).append(r.id)

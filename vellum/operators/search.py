@@ -1,7 +1,7 @@
 """Similarity search and retrieval context.
 
-Exact top-k: the query side is a bounded block (its size is measured before it is
-broadcast; larger query tables are processed block by block, each block bounded). The
+Exact top-k: the query side's size is measured. Up to a bound it is broadcast; beyond it both sides
+meet as a tiled join (:mod:`vellum.operators.tiles`). With a broadcast, the
 index side is never shuffled for scoring: each index partition scores its Arrow batches
 against the broadcast block with one NumPy matrix product, keeps only rows over the
 threshold and only the best ``k`` per query (ties broken by id), and emits those
@@ -10,8 +10,6 @@ candidates. A (salted) row_number then ranks the candidates per query.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -43,17 +41,6 @@ def centroid_queries(df: DataFrame, group: str = "label", vec: str = "embedding"
                        V.l2_normalize(F.transform("_v", lambda s: s["_m"])).alias("embedding"))
 
 
-def _blocks(queries: DataFrame, qkey: str, qvec: str, width: int, max_bytes: int):
-    """Yield (ids, matrix) blocks of the query set, each within ``max_bytes``, dealt by a hash of the key."""
-    n = queries.select(qkey).count()
-    nblocks = math.ceil(n * (width * 8 + 64) / max_bytes)
-    for b in range(nblocks):
-        tbl = queries.select(qkey, qvec).where(F.pmod(F.xxhash64(qkey), F.lit(nblocks)) == b).toArrow()
-        if tbl.num_rows:
-            yield (tbl.column(qkey).to_numpy(zero_copy_only=False),
-                   _matrix(tbl.column(qvec).combine_chunks(), width))
-
-
 def _best(frames: list[pd.DataFrame], k: int, qkey: str, ikey: str) -> pd.DataFrame:
     best = pd.concat(frames, ignore_index=True)
     return (best.sort_values([qkey, "score", ikey], ascending=[True, False, True], kind="stable")
@@ -125,27 +112,27 @@ def topk_similarity(index: DataFrame, queries: DataFrame, k: int = config.TOP_K,
     ``score >= threshold``, by score descending then id. Scores are rounded to 6 places.
 
     Every vector must have ``width`` entries (by default the queries' width); others raise. Index rows
-    without a vector are no hits. The query set is a stated one, taken in blocks of bounded bytes; for a query side that grows
-    with the data there is :func:`topk_similarity_lsh`."""
+    without a vector are no hits. A query side of up to ``max_broadcast_bytes`` is broadcast to the index; a
+    larger one is joined tile by tile (:func:`vellum.operators.tiles.topk_join`), with the same result."""
     spark = index.sparkSession
     idx = index.select(index_key, index_vec)
     key_t = idx.schema[index_key].dataType.simpleString()
     qkey_t = queries.schema[query_key].dataType.simpleString()
     schema = f"{query_key} {qkey_t}, {index_key} {key_t}, score double"
-    parts = []
-    # The query table is read by the count and by every block it is split into; a reliable
-    # checkpoint computes it (embedding included) once instead of once per read.
+    # The query table is read by the count and by the search; a reliable checkpoint computes it
+    # (embedding included) once instead of once per read.
     queries = cut_lineage(queries.select(query_key, query_vec))
-    for qids, qmat in _blocks(queries, query_key, query_vec, width or _width(queries, query_vec), max_broadcast_bytes):
-        bc = spark.sparkContext.broadcast(qmat)
-        parts.append(idx.mapInArrow(
-            _scorer(qids, bc, k, threshold, mode, index_key, index_vec, query_key), schema))
-    if not parts:
-        return spark.createDataFrame([], schema + ", rank int").select(
-            query_key, index_key, "rank", "score")
-    cands = parts[0]
-    for p in parts[1:]:
-        cands = cands.unionByName(p)
+    width = width or _width(queries, query_vec)
+    n = queries.count()
+    if not n:
+        return spark.createDataFrame([], schema + ", rank int").select(query_key, index_key, "rank", "score")
+    if n * (width * 8 + 64) > max_broadcast_bytes:
+        from vellum.operators.tiles import topk_join
+        return topk_join(idx, queries, k, threshold, mode, index_key, index_vec, query_key, query_vec, width)
+    asked = queries.toArrow()
+    bc = spark.sparkContext.broadcast(_matrix(asked.column(query_vec), width))
+    qids = asked.column(query_key).to_numpy(zero_copy_only=False)
+    cands = idx.mapInArrow(_scorer(qids, bc, k, threshold, mode, index_key, index_vec, query_key), schema)
     # Candidates per query = k per index partition. Salt the final ranking in proportion
     # to the cluster's parallelism (not the index's partition count: asking a planned
     # frame for that would run it).

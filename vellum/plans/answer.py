@@ -20,6 +20,7 @@ from vellum.functions.text import fill_template, strip_ws
 from vellum.operators.embed import embed
 from vellum.operators.search import context_assembly, topk_similarity
 from vellum.operators.sessions import chat_role, history_upto, title_input, titles_from_replies
+from vellum.session import cut_lineage
 
 APOLOGY = "Sorry, the answer could not be generated. Please try again."
 
@@ -113,12 +114,16 @@ def rag_answer(index: DataFrame, questions: DataFrame, generate=None, key: str =
 
 def chat_inputs(index: DataFrame, messages: DataFrame, session: str = "conv_id",
                 turn: str = "turn", role: str = "role", content: str = "text",
-                max_history: int | None = None, **kw) -> DataFrame:
-    """For every user message, the chat prompt made of the retrieved context for
+                max_history: int | None = None, only: DataFrame | None = None, **kw) -> DataFrame:
+    """For every user message (with ``only``, of these sessions and turns), the chat prompt made of the retrieved context for
     that message alone (history does not rewrite the question), the conversation before
     it, and the message. ``(session, turn, prompt, sources, num_sources, confidence)``."""
+    if only is not None:
+        messages = messages.join(only.select(session), session, "left_semi")
     users = messages.where(chat_role(role) == "user").select(
         session, turn, F.col(content).alias("question"))
+    if only is not None:
+        users = users.join(only, [session, turn], "left_semi")
     hist = history_upto(messages, session, turn, role, content, max_history)
     keyed = users.withColumn("_qk", F.concat_ws("#", F.col(session).cast("string"),
                                                 F.col(turn).cast("string")))
@@ -136,7 +141,7 @@ def chat_answers(index: DataFrame, messages: DataFrame, generate, session: str =
     confidence)``, ready for ``append_turns`` or a message store; a failed model answers with the apology."""
     last = messages.groupBy(session).agg(F.max(turn).alias(turn), F.max_by(role, turn).alias("_last"))
     waiting = last.where(chat_role("_last") == "user").select(session, turn)
-    prompts = chat_inputs(index, messages, session, turn, role, content, **kw).join(waiting, [session, turn])
+    prompts = chat_inputs(index, messages, session, turn, role, content, only=cut_lineage(waiting), **kw)
     return generate_column(prompts, generate, out="_answer").select(
         session, (F.col(turn) + 1).alias(turn), F.lit("assistant").alias(role), F.coalesce("_answer", F.lit("")).alias(content),
         "sources", "num_sources", "confidence")

@@ -316,13 +316,51 @@ def _numbered(rows: DataFrame, file_type: str) -> DataFrame:
         F.lit(None).cast("int").alias("page"), "text", F.lit(file_type).alias("file_type"))
 
 
-def csv_rows_to_parts(spark, path: str) -> DataFrame:
-    """A3c with Spark's CSV reader: one part per row of a UTF-8 CSV file with a header,
-    text = ``column: value`` lines. ``part_idx`` follows the row order within each file."""
-    df = spark.read.option("header", "true").option("encoding", "UTF-8").csv(path)
-    text = F.concat_ws("\n", *[F.concat(F.lit(f"{c}: "), F.coalesce(F.col(f"`{c}`"), F.lit("")))
-                               for c in df.columns])
-    return _numbered(df.select(F.input_file_name().alias("path"), text.alias("text")), "csv")
+def _csv_text(header: list[str], row: list[str]) -> str:
+    """``column: value`` lines; values that a row lacks are empty, those beyond the header are left out."""
+    return "\n".join(f"{name}: {row[k] if k < len(row) else ''}" for k, name in enumerate(header))
+
+
+def _csv_files(batches):
+    """(path, content) of whole files to (path, part_idx, text) of their rows."""
+    for pdf in batches:
+        for path, content in zip(pdf["path"], pdf["content"], strict=True):
+            rows = (r for r in csv.reader(io.StringIO(_decode(bytes(content or b"")).removeprefix("\ufeff"), newline="")) if r)
+            header, out = next(rows, []), []
+            for k, r in enumerate(rows):
+                out.append((path, k, _csv_text(header, r)))
+                if len(out) == 2000:
+                    yield pd.DataFrame(out, columns=["path", "part_idx", "text"])
+                    out = []
+            if out:
+                yield pd.DataFrame(out, columns=["path", "part_idx", "text"])
+
+
+def _csv_lines(batches):
+    """(path, part_idx, text, header) of single lines to (path, part_idx, text)."""
+    for pdf in batches:
+        own = {h: next(csv.reader([h.removeprefix("\ufeff")]), []) for h in pdf["header"].unique()}
+        pdf["text"] = [_csv_text(own[h], next(csv.reader([t]), [])) for h, t in zip(pdf["header"], pdf["text"], strict=True)]
+        yield pdf[["path", "part_idx", "text"]]
+
+
+def csv_rows_to_parts(spark, path: str, multiline: bool = True) -> DataFrame:
+    """One part per row of the UTF-8 CSV files under ``path``, text = ``column: value`` lines with the columns of the
+    row's own file (the first row of each file is its header). ``part_idx`` follows the row order within each file; empty
+    rows are none.
+
+    Quoted values may hold line breaks, so a file is parsed by one task. With ``multiline=False`` the caller says
+    that none does: then lines are rows, and a large file is read by as many tasks as its size asks for."""
+    if multiline:
+        files = spark.read.format("binaryFile").load(path).select("path", "content")
+        rows = files.mapInPandas(_csv_files, "path string, part_idx int, text string")
+    else:
+        lines = spark.read.text(path).where(F.col("value") != "").select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+        numbered = _numbered(lines, "csv").select("path", "part_idx", "text")
+        headers = numbered.where("part_idx = 0").select("path", F.col("text").alias("header"))  # a row per file
+        rows = (numbered.where("part_idx > 0").join(headers, "path").select("path", (F.col("part_idx") - 1).alias("part_idx"), "text", "header")
+                .mapInPandas(_csv_lines, "path string, part_idx int, text string"))
+    return rows.select("path", "part_idx", F.lit(None).cast("int").alias("page"), "text", F.lit("csv").alias("file_type"))
 
 
 def xml_rows_to_parts(spark, path: str, row_tag: str) -> DataFrame:
