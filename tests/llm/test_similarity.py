@@ -163,7 +163,7 @@ def test_parities_of_many_short_sets():
     for k, size in enumerate(n):
         bits = np.zeros(PARTS, np.uint8)
         for x in h[at:at + size]:
-            bits[int(x) >> 53] ^= 1
+            bits[int(x) * PARTS >> 64] ^= 1
         at += size
         assert (np.packbits(bits, bitorder="little").view(np.int64) == got[k]).all()
     assert np.stack(parities(h[:0], n[:0]), 1).shape == (0, PARTS // 64)

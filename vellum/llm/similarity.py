@@ -18,7 +18,7 @@ Jaccard similarity t or more share a shingle among their first n - ceil(t n) + 1
 4. *Filters*, all inside the index join's condition. Length: 100 min(n) >= 80 max(n).
    Positional: the shingles after the two prefix positions must still allow the overlap. Suffix:
    the sets are cut into ``PARTS`` parts at the same hash pivots, of which a class keeps the parities
-   (256 bytes); a part whose parities differ holds a shingle of one set only, so the number of such
+   (64 bytes); a part whose parities differ holds a shingle of one set only, so the number of such
    parts bounds the sets' difference from below. What is left is verified once per pair on the whole sets.
 """
 
@@ -38,14 +38,14 @@ from vellum.llm.hashing import U, mix, prefix, spans, words
 
 COUNTERS = 1 << 16
 #: Parts of a set whose parities are kept, and sets whose parts are counted at a time.
-PARTS, BLOCK = 2048, 512
+PARTS, BLOCK = 512, 512
 PARITIES = [f"g{i}" for i in range(PARTS // 64)]
 #: Bits of the filters for prefix shingles (8 MB) and for texts (1 MB).
 SHINGLE_BITS, TEXT_BITS = 1 << 26, 1 << 23
 #: Rounds of comparisons with leaders, and leaders of every index list.
 STAR_ROUNDS, LEADERS = 2, 2
 #: Tasks that a class's pairs are dealt to.
-SALTS = 16
+SALTS = 4
 
 
 def shingle_sets(col: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
