@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum import config
+from vellum.operators.calls import call_bisecting
 from vellum.operators.patterns import Automaton, text_bytes
 
 
@@ -159,8 +160,10 @@ def classify_prompt(text: Column, keywords: dict[str, list[str]] | None = None)
 def classify_model(docs: DataFrame, generate: Callable[[list[str]], list[str]],
                    key: str = "doc_id", text: str = "text",
                    keywords: dict[str, list[str]] | None = None,
-                   max_chars: int | None = None, batch_size: int = 8) -> DataFrame:
-    """``(key, file_category)`` from a caller-supplied model.
+                   max_chars: int | None = None, batch_size: int = 8, retries: int = 0,
+                   error: str | None = None) -> DataFrame:
+    """``(key, file_category)`` from a caller-supplied model; ``error`` names a column for the cause where the
+    model failed for a row (a failing batch is halved, see :mod:`vellum.operators.calls`).
 
     ``generate(prompts) -> replies`` is called on Arrow batches of at most ``batch_size``
     prompts inside ``mapInPandas``. A reply is JSON ``{"category": ...}``; unparsable
@@ -174,20 +177,17 @@ def classify_model(docs: DataFrame, generate: Callable[[list[str]], list[str]],
     def run(batches):
         for pdf in batches:
             replies: list = []
+            causes: list = []
             for i in range(0, len(pdf), batch_size):
-                chunk = pdf.iloc[i:i + batch_size]
-                try:
-                    got = list(generate(chunk["_prompt"].tolist()))
-                    if len(got) != len(chunk):
-                        raise ValueError("generator returned a different number of replies")
-                except Exception:  # noqa: BLE001 - any model failure falls back to GENERAL
-                    got = [None] * len(chunk)
-                replies.extend(got)
+                got, why, _ = call_bisecting(generate, pdf["_prompt"].iloc[i:i + batch_size].tolist(), retries)
+                replies += got
+                causes += why
             replies = [None if not s else r for s, r in zip(pdf["_sample"], replies)]
-            yield pd.DataFrame({key: pdf[key], "_reply": replies})
+            yield pd.DataFrame({key: pdf[key], "_reply": replies, "_cause": causes})
 
-    raw = prompts.mapInPandas(run, f"{key} {key_type}, _reply string")
+    raw = prompts.mapInPandas(run, f"{key} {key_type}, _reply string, _cause string")
     parsed = F.from_json("_reply", "category STRING", {"mode": "PERMISSIVE"})["category"]
     cats = F.array(*[F.lit(c) for c in kw])
     return raw.select(key, F.when(F.array_contains(cats, parsed), parsed)
-                      .otherwise(F.lit(config.DEFAULT_CATEGORY)).alias("file_category"))
+                      .otherwise(F.lit(config.DEFAULT_CATEGORY)).alias("file_category"),
+                      *([F.col("_cause").alias(error)] if error else []))

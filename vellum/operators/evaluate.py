@@ -12,10 +12,10 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vellum import config
 from vellum.functions.text import tokens
+from vellum.operators.calls import call_bisecting
 
 
 def token_f1(actual: str | Column, expected: str | Column) -> Column:
@@ -26,29 +26,42 @@ def token_f1(actual: str | Column, expected: str | Column) -> Column:
     return F.when(total > 0, F.lit(2.0) * inter / total).otherwise(F.lit(0.0))
 
 
-def judge_udf(judge: Callable[[list[str], list[str]], list[float]]):
-    """Wrap ``judge(actuals, expecteds) -> scores`` as an Arrow-batched scorer; a judge
-    error or a non-numeric reply scores 0.0."""
-    @F.pandas_udf(T.DoubleType())
-    def score(actual: pd.Series, expected: pd.Series) -> pd.Series:
-        try:
-            got = pd.to_numeric(pd.Series(list(judge(actual.tolist(), expected.tolist()))),
-                                errors="coerce")
-            if len(got) != len(actual):
-                raise ValueError("judge returned a different number of scores")
-        except Exception:  # noqa: BLE001
-            got = pd.Series([float("nan")] * len(actual))
-        return got.fillna(0.0).clip(0.0, 1.0).astype("float64")
+def _number(reply) -> float | None:
+    try:
+        n = float(reply)
+    except (TypeError, ValueError):
+        return None
+    return n if n == n else None
+
+
+def judge_udf(judge: Callable[[list[str], list[str]], list[float]], retries: int = 0):
+    """Wrap ``judge(actuals, expecteds) -> scores`` as an Arrow-batched scorer giving ``(score, error)``. A batch that
+    fails is halved until the case that fails is alone; that one, and a reply that is no number, scores 0.0 and has a
+    cause."""
+    @F.pandas_udf("score double, error string")
+    def score(actual: pd.Series, expected: pd.Series) -> pd.DataFrame:
+        pairs = list(zip(actual.tolist(), expected.tolist(), strict=True))
+        replies, causes, _ = call_bisecting(lambda own: list(judge([a for a, _ in own], [e for _, e in own])), pairs, retries)
+        got = [_number(r) for r in replies]
+        why = [c or (None if n is not None else f"no number: {r!r}") for c, n, r in zip(causes, got, replies, strict=True)]
+        return pd.DataFrame({"score": pd.Series([min(1.0, max(0.0, n or 0.0)) for n in got], dtype="float64"),
+                             "error": pd.Series(why, dtype="object")})
 
     return score
 
 
 def evaluate(cases: DataFrame, actual: str = "actual_output", expected: str = "expected_output",
              key: tuple[str, ...] = ("case_id",), judge=None,
-             threshold: float = config.PASS_THRESHOLD, rounding: int | None = 6) -> DataFrame:
-    """``(*key, score, passed)``; ``passed := score >= threshold``."""
-    s = token_f1(actual, expected) if judge is None else judge_udf(judge)(F.col(actual), F.col(expected))
-    out = cases.select(*key, (s if rounding is None else F.round(s, rounding)).alias("score"))
+             threshold: float = config.PASS_THRESHOLD, rounding: int | None = 6, error: str | None = None) -> DataFrame:
+    """``(*key, score, passed)``; ``passed := score >= threshold``. ``error`` names a column for the cause where the
+    judge gave a case no score (NULL for the built-in judge)."""
+    if judge is None:
+        made = cases.select(*key, F.struct(token_f1(actual, expected).alias("score"), F.lit(None).cast("string").alias("error")).alias("_j"))
+    else:
+        made = cases.select(*key, judge_udf(judge)(F.col(actual), F.col(expected)).alias("_j"))
+    s = F.col("_j.score")
+    out = made.select(*key, (s if rounding is None else F.round(s, rounding)).alias("score"),
+                      *([F.col("_j.error").alias(error)] if error else []))
     return out.withColumn("passed", F.col("score") >= F.lit(threshold))
 
 

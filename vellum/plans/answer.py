@@ -7,7 +7,6 @@ and an optional ``generate`` hook called on Arrow batches.
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 
 import pandas as pd
@@ -17,6 +16,7 @@ from pyspark.sql import types as T
 
 from vellum import config
 from vellum.functions.text import fill_template, strip_ws
+from vellum.operators.calls import call_bisecting
 from vellum.operators.embed import embed
 from vellum.operators.search import context_assembly, topk_similarity
 from vellum.operators.sessions import chat_role, history_upto, title_input, titles_from_replies
@@ -64,52 +64,55 @@ def rag_prompts(index: DataFrame, questions: DataFrame, key: str = "item_id", **
 def generate_column(df: DataFrame, generate: Callable[[list[str]], list[str]] | None,
                     prompt: str = "prompt", out: str = "response",
                     batch_size: int = 8, on_error: str | None = APOLOGY,
-                    seconds: str | None = None) -> DataFrame:
-    """H4: ``out`` = ``generate(prompts)`` over batches of at most ``batch_size``; a failing
-    batch gets ``on_error``. Without a hook the column is NULL. ``seconds`` names a column for the
-    time the row's batch took in the hook (NULL without one)."""
-    timed = [T.StructField(seconds, T.DoubleType())] if seconds else []
+                    seconds: str | None = None, error: str | None = None,
+                    retries: int = 0, pause: float = 0.5) -> DataFrame:
+    """H4: ``out`` = ``generate(prompts)`` over batches of at most ``batch_size``. A failing batch is halved until
+    the prompt that fails is alone (:mod:`vellum.operators.calls`); that one is tried ``retries`` times more and
+    then gets ``on_error``. Without a hook the column is NULL. ``seconds`` names a column for the time of the calls
+    that held the row, ``error`` one for the cause of its failure (both NULL without a hook, the latter also
+    where there is a reply)."""
+    extra = [T.StructField(seconds, T.DoubleType())] if seconds else []
+    extra += [T.StructField(error, T.StringType())] if error else []
     if generate is None:
         df = df.withColumn(out, F.lit(None).cast("string"))
-        return df.withColumn(seconds, F.lit(None).cast("double")) if seconds else df
+        for f in extra:
+            df = df.withColumn(f.name, F.lit(None).cast(f.dataType))
+        return df
     cols = df.columns
-    schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.StringType()), *timed])
+    schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.StringType()), *extra])
 
     def run(batches):
         for pdf in batches:
             replies: list = []
+            causes: list = []
             took: list = []
             for i in range(0, len(pdf), batch_size):
-                chunk = pdf[prompt].iloc[i:i + batch_size].tolist()
-                started = time.perf_counter()
-                try:
-                    got = [None if r is None else str(r) for r in generate(chunk)]
-                    if len(got) != len(chunk):
-                        raise ValueError("generator returned a different number of replies")
-                except Exception:  # noqa: BLE001
-                    got = [on_error] * len(chunk)
-                replies.extend(got)
-                took.extend([time.perf_counter() - started] * len(chunk))
+                got, why, time_of = call_bisecting(generate, pdf[prompt].iloc[i:i + batch_size].tolist(), retries, pause)
+                replies += [on_error if w is not None else None if r is None else str(r) for r, w in zip(got, why, strict=True)]
+                causes += why
+                took += time_of
             res = pdf[cols].copy()
             res[out] = pd.Series(replies, index=pdf.index, dtype="object")
             if seconds:
                 res[seconds] = pd.Series(took, index=pdf.index, dtype="float64")
+            if error:
+                res[error] = pd.Series(causes, index=pdf.index, dtype="object")
             yield res
 
     return df.mapInPandas(run, schema)
 
 
 def rag_answer(index: DataFrame, questions: DataFrame, generate=None, key: str = "item_id",
-               session: str | None = None, timed: bool = False, **kw) -> DataFrame:
+               session: str | None = None, timed: bool = False, errors: bool = False, **kw) -> DataFrame:
     """X8 + B7: ``(key, response, sources, confidence, num_sources, session_id)``, with ``timed`` also
-    ``processing_time`` (seconds in the model). ``session`` names the questions' session id column."""
+    ``processing_time`` (seconds in the model), with ``errors`` also ``error`` (the cause of a failed answer). ``session`` names the questions' session id column."""
     p = rag_prompts(index, questions, key, **kw)
     if session:
         p = p.join(questions.select(key, F.col(session).cast("string").alias("_session")), key)
-    a = generate_column(p, generate, seconds="processing_time" if timed else None)
+    a = generate_column(p, generate, seconds="processing_time" if timed else None, error="error" if errors else None)
     sid = F.col("_session") if session else F.lit(None).cast("string")
     return a.select(key, "response", "sources", "confidence", "num_sources", sid.alias("session_id"),
-                    *(["processing_time"] if timed else []))
+                    *(["processing_time"] if timed else []), *(["error"] if errors else []))
 
 
 def chat_inputs(index: DataFrame, messages: DataFrame, session: str = "conv_id",

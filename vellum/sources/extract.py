@@ -206,8 +206,12 @@ HTML_TYPES = ("html", "xhtml")
 
 
 def extract_text(files: DataFrame, extractors: dict[str, Extractor] | None = None,
-                 path: str = "path", content: str = "content") -> DataFrame:
-    """``(path, part_idx, page, text, file_type, error)`` per extracted part.
+                 path: str = "path", content: str = "content",
+                 load: Callable[[DataFrame], DataFrame] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(path, part_idx, page, text, file_type, error, *keep)`` per extracted part.
+
+    ``load`` fetches contents for files that come without (plain and structured formats apart, so each file is
+    read once); ``keep`` names columns that go along, as text.
 
     Plain-text formats (A3a) and HTML (A3b) are decoded in the JVM (``make_valid_utf8``); only
     the structured formats go through Python. A caller-registered extractor for a plain
@@ -215,26 +219,27 @@ def extract_text(files: DataFrame, extractors: dict[str, Extractor] | None = Non
     table = dict(DEFAULT_EXTRACTORS)
     custom = {k.lower().lstrip("."): v for k, v in (extractors or {}).items()}
     table.update(custom)
-    src = files.select(F.col(path).alias("path"), F.col(content).alias("content"),
-                       path_type(path).alias("file_type"))
+    src = files.withColumnRenamed(path, "path").withColumn("file_type", path_type("path"))
+    fetch = load or (lambda rows: rows.withColumnRenamed(content, "content"))
+    held = lambda rows: fetch(rows).select("path", "content", "file_type", *[F.col(c).cast("string").alias(c) for c in keep])
     native = [t for t in PLAIN_TYPES + HTML_TYPES if t not in custom]
     is_plain = F.col("file_type").isin(native)
     # Invalid UTF-8 becomes U+FFFD (``decode`` would fail the whole job on one bad file).
     txt = F.make_valid_utf8(F.col("content").cast("string"))
     txt = F.when(F.col("file_type").isin(*HTML_TYPES), html_text_column(txt)).otherwise(txt)
-    plain = src.where(is_plain).select(
+    plain = held(src.where(is_plain)).select(
         "path", F.lit(0).alias("part_idx"), F.lit(None).cast("int").alias("page"),
         F.when(F.length(F.trim(txt)) > 0, txt).alias("text"), "file_type",
         F.when(F.length(F.trim(txt)) > 0, F.lit(None).cast("string"))
-        .otherwise(F.lit("ValueError: no content")).alias("error"))
-    src = src.where(~is_plain)
+        .otherwise(F.lit("ValueError: no content")).alias("error"), *keep)
+    src = held(src.where(~is_plain))
     schema = ("path string, part_idx int, page int, text string, file_type string, "
-              "error string")
+              "error string" + "".join(f", `{c}` string" for c in keep))
 
     def run(batches):
         for pdf in batches:
             out = []
-            for p, data, ext in zip(pdf["path"], pdf["content"], pdf["file_type"]):
+            for p, data, ext, *own in zip(pdf["path"], pdf["content"], pdf["file_type"], *[pdf[c] for c in keep]):
                 fn = table.get(ext)
                 try:
                     if fn is None:
@@ -242,13 +247,13 @@ def extract_text(files: DataFrame, extractors: dict[str, Extractor] | None = Non
                     parts = [(pg, t) for pg, t in fn(bytes(data or b"")) if t and t.strip()]
                     if not parts:
                         raise ValueError("no content")
-                    out.extend((p, i, pg, t, ext, None) for i, (pg, t) in enumerate(parts))
+                    out.extend((p, i, pg, t, ext, None, *own) for i, (pg, t) in enumerate(parts))
                 except Exception as e:  # noqa: BLE001 - becomes a dead-letter row
-                    out.append((p, None, None, None, ext, f"{type(e).__name__}: {e}"))
+                    out.append((p, None, None, None, ext, f"{type(e).__name__}: {e}", *own))
             if not out:
                 continue
             yield pd.DataFrame(out, columns=["path", "part_idx", "page", "text", "file_type",
-                                             "error"]).astype({"part_idx": "Int32", "page": "Int32"})
+                                             "error", *keep]).astype({"part_idx": "Int32", "page": "Int32"})
 
     return plain.unionByName(src.mapInPandas(run, schema))
 

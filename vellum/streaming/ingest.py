@@ -1,10 +1,9 @@
-"""Index new corpus files as they arrive.
+"""Keep an index at the state of a corpus folder, by a stream.
 
-A ``binaryFile`` stream feeds ``foreachBatch``; each micro-batch is extracted, classified,
-chunked, embedded and merged into the index by source (J2b); only the index buckets of
-the batch's sources are read and rewritten. Replaying a batch after a failure yields the
-same content, since the merge is keyed. The file source sees new paths only: edits and deletions of
-existing files are picked up by the batch ``build_knowledge_base``.
+The folder's changes (:mod:`vellum.sources.changes`) feed ``foreachBatch``; each micro-batch reads the files that
+came or changed, once, extracts, classifies, chunks, embeds and merges them into the index by source (J2b), and
+removes the chunks of files that went; only the index buckets of the batch's sources are read and rewritten, in one
+commit. Replaying a batch after a failure yields the same content, since the merge is keyed.
 """
 
 from __future__ import annotations
@@ -19,35 +18,38 @@ def stream_build(spark: SparkSession, corpus_root: str, index_base: str,
                  checkpoint_location: str, manifest_base: str | None = None,
                  dead_letter_base: str | None = None, available_now: bool = True,
                  keywords=None, embedder=None, dim: int = config.VECTOR_WIDTH,
-                 size: int = config.CHUNK_SIZE, overlap: int = config.CHUNK_OVERLAP, extractors=None):
+                 size: int = config.CHUNK_SIZE, overlap: int = config.CHUNK_OVERLAP, extractors=None, parts: int = 8,
+                 vectors: str | None = None, model: str | None = None):
     """Start the ingest stream; returns the ``StreamingQuery``.
 
-    ``checkpoint_location`` is the stream's own and must outlive the application. With
-    ``manifest_base`` the files (failed ones marked) enter the manifest of the batch build, which then finds
-    later edits and deletions; with ``dead_letter_base`` files that did not load are kept there,
-    a folder per micro-batch, so that a replay overwrites its own."""
-    from vellum.plans.build import index_rows
+    ``checkpoint_location`` is the stream's own, is shared by driver and executors (the source keeps its listings
+    in it) and must outlive the application. With ``manifest_base`` the files (failed ones marked, deleted ones
+    removed) enter the manifest of the batch build, which then agrees with the stream; with ``dead_letter_base``
+    files that did not load are kept there, a folder per micro-batch, so that a replay overwrites its own.
+    ``parts``: tasks that compare listings. ``vectors`` and ``model``: see :func:`vellum.plans.build.index_rows`."""
+    from vellum.plans.build import extract_changed, index_rows
     from vellum.session import cut_lineage
-    from vellum.sources.extract import extract_text, split_dead_letter
-    from vellum.sources.files import stream_corpus
+    from vellum.sources.changes import DELETED, stream_changes
     from vellum.sources.index_store import update_index
-    from vellum.sources.manifest import FAILED, merge_manifest
+    from vellum.sources.manifest import merge_manifest
 
     def per_batch(batch: DataFrame, epoch: int) -> None:
         own = batch.sparkSession
-        extracted = cut_lineage(extract_text(batch.select("path", "content"), extractors))
-        parts, dead = split_dead_letter(extracted)
-        rows = cut_lineage(index_rows(parts.withColumnRenamed("path", "source"), keywords, size, overlap,
-                                      embedder, dim))
-        update_index(own, index_base, rows, width=dim)
+        changes = cut_lineage(batch)
+        gone = changes.where(F.col("event") == DELETED).select("path")
+        todo = changes.where(F.col("event") != DELETED).drop("event").withColumn("was", F.lit(None).cast("string"))
+        texts, dead, read = extract_changed(todo, extractors)
+        rows = cut_lineage(index_rows(texts.withColumnRenamed("path", "source"), keywords, size, overlap,
+                                      embedder, dim, vectors=vectors, model=model))
+        failed = dead.select("path").distinct()
+        update_index(own, index_base, rows, gone.unionByName(failed).select(F.col("path").alias("source")), width=dim)
         if dead_letter_base:
             dead.write.mode("overwrite").parquet(f"{dead_letter_base.rstrip('/')}/batch={epoch}")
         if manifest_base:
-            failed = dead.select("path").distinct().withColumn("_failed", F.lit(True))
-            merge_manifest(own, manifest_base, batch.select("path", "md5").join(failed, "path", "left").select(
-                "path", F.when(F.col("_failed"), F.lit(FAILED)).otherwise(F.col("md5")).alias("md5")))
+            merge_manifest(own, manifest_base, todo.join(read, "path", "left"), gone)
 
-    w = (stream_corpus(spark, corpus_root).writeStream.foreachBatch(per_batch)
+    state = f"{checkpoint_location.rstrip('/')}/listings"
+    w = (stream_changes(spark, corpus_root, state, parts=parts).writeStream.foreachBatch(per_batch)
          .option("checkpointLocation", checkpoint_location))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
