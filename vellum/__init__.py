@@ -13,6 +13,7 @@ from vellum.operators.chunk import chunk, chunk_fixed, chunk_ids, chunk_recursiv
 from vellum.operators.classify import classify_keyword, classify_model, classify_parts
 from vellum.operators.embed import embed, model_embedder
 from vellum.operators.evaluate import evaluate
+from vellum.operators.ivf import read_ivf, search_ivf, topk_similarity_ivf, write_ivf
 from vellum.operators.search import context_assembly, topk_similarity, topk_similarity_lsh
 from vellum.plans.answer import (chat_answers, chat_inputs, prepare_queries, rag_answer, rag_prompts, retrieve,
                                  title_answers)
@@ -28,6 +29,6 @@ __all__ = [
     "chunk_recursive", "chunk_semantic", "classify_keyword", "classify_model",
     "classify_parts", "context_assembly", "embed", "evaluate", "get_spark", "index_rows",
     "model_embedder", "open_index", "prepare_queries", "rag_answer", "rag_prompts",
-    "reset_index", "retrieve", "scan_corpus", "title_answers", "topk_similarity", "topk_similarity_lsh",
-    "update_index",
+    "read_ivf", "reset_index", "retrieve", "scan_corpus", "search_ivf", "title_answers", "topk_similarity",
+    "topk_similarity_ivf", "topk_similarity_lsh", "update_index", "write_ivf",
 ]

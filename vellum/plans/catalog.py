@@ -404,6 +404,13 @@ def q_topk_similarity_lsh(spark, d):
                                k=config.TOP_K, threshold=0.2, tables=LSH_TABLES, bits=LSH_BITS)
 
 
+@query("topk_similarity_ivf")
+def q_topk_similarity_ivf(spark, d):
+    """Approximate: the codes come from a fitted model, so tests/test_ivf.py compares it with brute force."""
+    from vellum.operators.ivf import topk_similarity_ivf
+    return topk_similarity_ivf(_vec_index(spark, d), _vec_queries(spark, d), k=config.TOP_K, threshold=0.2)
+
+
 @query("retrieval_confidence", _hits_sql(0.5, "unit") + """
 SELECT q.query_id, coalesce(CAST(sum(CAST(round(score * 1000000) AS BIGINT)) AS DOUBLE) / count(score) / CAST(1000000 AS DOUBLE), 0.0) AS confidence
 FROM q LEFT JOIN hits ON hits.query_id = q.query_id GROUP BY q.query_id""")
