@@ -18,6 +18,7 @@ from vellum import config
 from vellum.functions.text import fill_template, strip_ws
 from vellum.operators.calls import call_bisecting
 from vellum.operators.embed import embed
+from vellum.operators.history import history_at
 from vellum.operators.search import context_assembly, topk_similarity
 from vellum.operators.sessions import chat_role, history_upto, title_input, titles_from_replies
 from vellum.session import cut_lineage
@@ -127,7 +128,10 @@ def chat_inputs(index: DataFrame, messages: DataFrame, session: str = "conv_id",
         session, turn, F.col(content).alias("question"))
     if only is not None:
         users = users.join(only, [session, turn], "left_semi")
-    hist = history_upto(messages, session, turn, role, content, max_history)
+    if only is not None and max_history is None:  # the asked turns' histories alone, not every turn's
+        hist = history_at(messages, only, session, turn, role, content)
+    else:
+        hist = history_upto(messages, session, turn, role, content, max_history)
     keyed = users.withColumn("_qk", F.concat_ws("#", F.col(session).cast("string"),
                                                 F.col(turn).cast("string")))
     ctx = retrieve(index, keyed.select("_qk", "question"), "_qk", **kw)
