@@ -93,3 +93,51 @@ def test_centroid_queries_unit(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 0.0])], "label int, embedding array<float>")
     got = {r.query_id: r.embedding for r in centroid_queries(df).collect()}
     assert np.allclose(got[0], [2 ** -0.5, 2 ** -0.5]) and np.allclose(got[1], [1.0, 0.0])
+
+
+@pytest.mark.parametrize("mode,threshold", [("cosine", 0.3), ("unit", 0.6), ("cosine", -1.0)])
+def test_scores_are_made_in_bounded_products(monkeypatch, mode, threshold):
+    """Whatever the batch and the number of queries, no product has more than ROWS by COLUMNS entries; the best are those
+    of the whole product, ties by id."""
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+
+    from vellum.operators import search as S
+
+    monkeypatch.setattr(S.Contest, "ROWS", 64)
+    monkeypatch.setattr(S.Contest, "COLUMNS", 16)
+    sizes, nonzero = [], np.nonzero
+    monkeypatch.setattr(np, "nonzero", lambda x: sizes.append(x.shape) or nonzero(x))
+    rng = np.random.default_rng(2)
+    m = rng.normal(size=(1000, 6)).astype(np.float32)
+    m[500:520] = m[3]  # ties beyond k
+    m[7] = 0
+    q = np.vstack([rng.normal(size=(48, 6)), m[3], np.zeros(6)])
+
+    class Sent:
+        value = q
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(list(m), pa.list_(pa.float32()))], names=["id", "v"])
+    out = pd.concat(b.to_pandas() for b in S._scorer(np.arange(50), Sent, 5, threshold, mode, "id", "v", "query_id", 300)([batch]))
+    assert all(r <= 64 and c <= 16 for r, c in (s for s in sizes if len(s) == 2))
+    size = np.outer(np.linalg.norm(m.astype(float), axis=1), np.linalg.norm(q, axis=1))
+    s = np.divide(m.astype(float) @ q.T, size, out=np.zeros_like(size), where=size > 0)
+    s = np.round((1 + s) / 2 if mode == "unit" else s, S.ROUND)
+    want = [(c, r, s[r, c]) for c in range(50) for r in sorted(range(1000), key=lambda r: (-s[r, c], r)) if r != 7 and s[r, c] >= threshold]
+    want = pd.DataFrame(want, columns=["query_id", "id", "score"]).groupby("query_id").head(5)
+    pd.testing.assert_frame_equal(out.sort_values(["query_id", "score", "id"], ascending=[True, False, True]).reset_index(drop=True), want.reset_index(drop=True))
+
+
+def test_a_batch_is_embedded_in_slices(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from vellum.operators import embed as E
+
+    seen, whole = [], E.hashed_matrix
+    monkeypatch.setattr(E, "hashed_matrix", lambda t, *a: seen.append(len(t)) or whole(t, *a))
+    texts = pa.array([None, "", *(f"word{k % 7} other{k}" for k in range(1500))])
+    out = E.hashed_slices(texts, 64, {})
+    assert max(seen) <= E.SLICE and sum(seen) == len(texts)
+    assert np.array_equal(out, whole(texts, 64))

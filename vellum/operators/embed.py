@@ -32,7 +32,8 @@ def bucket_of(token: str, dim: int) -> int:
     return int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16) % dim
 
 
-_CACHE_LIMIT = 1 << 20
+#: Tokens whose bucket a task remembers, and texts that are counted at a time: a task's memory grows with neither.
+_CACHE_LIMIT, SLICE = 1 << 18, 512
 
 
 def hashed_vector(text: str | None, dim: int) -> np.ndarray:
@@ -69,6 +70,14 @@ def hashed_matrix(texts: pa.Array, dim: int, cache: dict | None = None) -> np.nd
     return (m / norms[:, None]).astype(np.float32)
 
 
+def hashed_slices(texts: pa.Array, dim: int, cache: dict) -> np.ndarray:
+    """:func:`hashed_matrix` of a batch of any size, a slice at a time."""
+    out = np.empty((len(texts), dim), np.float32)
+    for at in range(0, len(texts), SLICE):
+        out[at:at + SLICE] = hashed_matrix(texts.slice(at, SLICE), dim, cache)
+    return out
+
+
 def matrix_to_lists(m: np.ndarray) -> pa.Array:
     n, dim = m.shape
     return pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * dim, dim, dtype=np.int32)),
@@ -81,14 +90,14 @@ def hashed_embedder(dim: int = config.VECTOR_WIDTH) -> Callable[[Column], Column
         def enc(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             cache: dict = {}  # token -> bucket, shared by all batches of the task
             for texts in batches:
-                yield matrix_to_lists(hashed_matrix(texts, dim, cache))
+                yield matrix_to_lists(hashed_slices(texts, dim, cache))
         return enc
 
     @F.pandas_udf(VECTOR)  # pragma: no cover - before Spark 4.1
     def enc_pd(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         cache: dict = {}
         for batch in texts:
-            yield pd.Series(list(hashed_matrix(pa.array(batch, type=pa.string()), dim, cache)))
+            yield pd.Series(list(hashed_slices(pa.array(batch, type=pa.string()), dim, cache)))
 
     return enc_pd
 

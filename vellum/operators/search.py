@@ -3,7 +3,7 @@
 Exact top-k: the query side's size is measured. Up to a bound it is broadcast; beyond it both sides
 meet as a tiled join (:mod:`vellum.operators.tiles`). With a broadcast, the
 index side is never shuffled for scoring: each index partition scores its Arrow batches
-against the broadcast block with one NumPy matrix product, keeps only rows over the
+against the broadcast block by NumPy matrix products of bounded size, keeps only rows over the
 threshold and only the best ``k`` per query (ties broken by id), and emits those
 candidates. A (salted) row_number then ranks the candidates per query.
 """
@@ -59,43 +59,72 @@ def _matrix(col: pa.Array, width: int) -> np.ndarray:
     return m
 
 
+def unit_rows(m: np.ndarray) -> np.ndarray:
+    """Rows at length 1; zero rows stay zero."""
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+
+class Contest:
+    """Index rows that may be among the ``k`` best of a block of queries, slice by slice: memory is that of the queries
+    and one slice of ``ROWS`` rows by ``COLUMNS`` queries, however many there are of either.
+
+    A product of unit vectors in single precision names the pairs worth an exact score: those over the threshold and
+    not beaten by ``k`` rows seen before. Its error (some 1e-6 at these widths) is far below ``MARGIN``; scores
+    themselves are in double."""
+
+    ROWS, COLUMNS, EXACT, MARGIN = 1024, 1024, 4096, 1e-4
+
+    def __init__(self, queries: np.ndarray, k: int, threshold: float, mode: str) -> None:
+        self.q, self.k, self.threshold, self.mode = queries.astype(np.float64, copy=False), k, threshold, mode
+        self.qn = np.linalg.norm(self.q, axis=1)
+        self.unit = unit_rows(self.q).astype(np.float32)
+        cosine = 2 * threshold - 1 if mode == "unit" else threshold
+        self.floor = np.full(len(queries), cosine - self.MARGIN, np.float32)
+
+    def enter(self, m: np.ndarray):
+        """(row of ``m``, query, score) of the pairs that pass; rows that tie with a query's k-th stay."""
+        for at in range(0, len(m), self.ROWS):
+            part = m[at:at + self.ROWS].astype(np.float64, copy=False)
+            mn = np.linalg.norm(part, axis=1)
+            live = np.flatnonzero((mn > 0) & np.isfinite(mn))
+            u = unit_rows(part[live]).astype(np.float32)
+            for left in range(0, len(self.q), self.COLUMNS) if len(live) else ():
+                near = u @ self.unit[left:left + self.COLUMNS].T
+                own = self.floor[left:left + self.COLUMNS]
+                crowded = np.flatnonzero((near >= own).sum(axis=0) > self.k)
+                if len(crowded):
+                    kth = np.partition(near[:, crowded], len(u) - self.k, axis=0)[len(u) - self.k]
+                    own[crowded] = np.maximum(own[crowded], kth - 2 * self.MARGIN)
+                r, c = np.nonzero(near >= own)
+                for e in range(0, len(r), self.EXACT):
+                    row, query = live[r[e:e + self.EXACT]], left + c[e:e + self.EXACT]
+                    dot = np.einsum("ij,ij->i", part[row], self.q[query], dtype=np.float64)
+                    size = mn[row] * self.qn[query]
+                    s = np.divide(dot, size, out=np.zeros_like(dot), where=size > 0)
+                    s = np.round((1.0 + s) / 2.0 if self.mode == "unit" else s, ROUND)
+                    kept = s >= self.threshold
+                    yield at + row[kept], query[kept], s[kept]
+
+
 def _scorer(qids, qmat_bc, k: int, threshold: float, mode: str, ikey: str, ivec: str,
             qkey: str, prune_rows: int = 200_000):
     def run(batches):
-        qmat = qmat_bc.value
-        qn = np.linalg.norm(qmat, axis=1)
-        width = qmat.shape[1]
+        contest = Contest(qmat_bc.value, k, threshold, mode)
+        most = max(prune_rows, 2 * k * len(contest.q))
         kept: list[pd.DataFrame] = []
         n_kept = 0
-        for rb in batches:
-            if rb.num_rows == 0:
-                continue
-            m = _matrix(rb.column(ivec), width)
-            mn = np.linalg.norm(m, axis=1)
-            denom = np.outer(mn, qn)
-            s = np.divide(m @ qmat.T, denom, out=np.zeros_like(denom), where=denom > 0)
-            if mode == "unit":
-                s = (1.0 + s) / 2.0
-            s = np.round(s, ROUND)
-            s[(s < threshold) | (mn == 0)[:, None]] = -np.inf
-            if s.shape[0] > k:
-                # Per query the k-th best score of this batch: a row scoring strictly less
-                # is beaten by k rows already and can never be in the top k, so dropping
-                # it is exact; rows tied with the k-th are all kept for the id tie-break.
-                kth = np.partition(s, s.shape[0] - k, axis=0)[s.shape[0] - k]
-                mask = (s >= kth) & np.isfinite(s)
-            else:
-                mask = np.isfinite(s)
-            r, c = np.nonzero(mask)
-            if r.size == 0:
-                continue
-            ids = rb.column(ikey).to_numpy(zero_copy_only=False)
-            kept.append(pd.DataFrame({qkey: qids[c], ikey: ids[r], "score": s[r, c]}))
-            n_kept += r.size
-            if n_kept > prune_rows:
-                kept = [_best(kept, k, qkey, ikey)]
-                n_kept = len(kept[0])
-        if kept:
+        for whole in batches:
+            for at in range(0, whole.num_rows, Contest.ROWS):
+                rb = whole.slice(at, Contest.ROWS)
+                ids = rb.column(ikey).to_numpy(zero_copy_only=False)
+                for r, c, s in contest.enter(_matrix(rb.column(ivec), contest.q.shape[1])):
+                    kept.append(pd.DataFrame({qkey: qids[c], ikey: ids[r], "score": s}))
+                    n_kept += r.size
+                    if n_kept > most:
+                        kept = [_best(kept, k, qkey, ikey)]
+                        n_kept = len(kept[0])
+        if n_kept:
             best = _best(kept, k, qkey, ikey)
             yield pa.RecordBatch.from_pandas(best, preserve_index=False)
 
