@@ -73,3 +73,16 @@ def test_empty_sides_and_other_widths(spark):
     assert T.topk_join(frame(spark, [(1, [1.0, 0.0])], "id"), q.where(F.lit(False)), threshold=0.0).collect() == []
     with pytest.raises(Exception, match="vectors must have 2 entries"):
         T.topk_join(frame(spark, [(1, [1.0, 0.0, 0.0])], "id"), q, threshold=0.0).collect()
+
+
+def test_a_shelf_takes_several_blocks_and_equal_rows_are_cut(spark, monkeypatch):
+    """Query blocks travel to shelves, not to every index block; 700 equal rows make no block beyond its bound."""
+    rng = np.random.default_rng(11)
+    rows = [(k, np.float32(rng.normal(size=8))) for k in range(1500)] + [(5000, np.float32(np.ones(8)))] * 700
+    i, q = frame(spark, rows, "id"), frame(spark, [(k, rng.normal(size=8)) for k in range(300)], "query_id", "double")
+    cut = T.blocks(i, "id", "embedding", 8, T.unit_rows(np.eye(8)), 2200, 50)
+    assert max(len(r.ids) for r in cut.collect()) <= 100
+    on = {tuple(r.block): r.shelf for r in T.shelves(cut, 800).collect()}
+    assert len(on) > 20 and len(set(on.values())) == 3
+    want = rows_of(topk_similarity(i, q, 5, 0.1))
+    assert want and rows_of(T.topk_join(i, q, 5, 0.1, tile_bytes=64 * 20, shelf_bytes=32 * 300)) == want

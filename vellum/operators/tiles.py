@@ -3,9 +3,11 @@
 Both sides are cut into blocks of bounded bytes: rows go to the nearest of a bounded number of sampled directions,
 and a crowded direction is split by hash. A block knows its ball, the mean direction and the largest angle to it. A
 tile is a pair of blocks; by the triangle inequality on angles no pair of rows in a tile is closer than the balls allow, so tiles
-that cannot reach the threshold are dropped before any vector moves. For the others the query block travels to the
-index block: rows sorted by index block bring its vectors first and then its query blocks one after the other, so a task
-holds one tile. A matrix product scores it, and at most ``k`` rows a query leave it. A salted ranking merges them. Neither side nor any block passes through the driver; it sees two row counts and the sampled directions.
+that cannot reach the threshold are dropped before any vector moves. Index blocks of near directions lie on shelves of
+bounded bytes, and a query block travels once to every shelf it has a tile on: rows sorted by shelf bring the shelf's
+blocks first and then the query blocks one after the other, so a task holds one shelf and one query block. Matrix products of bounded size
+score them, and at most ``k`` rows a query leave the shelf. A salted ranking merges them. Neither side nor any block passes through
+the driver; it sees two row counts and the sampled directions.
 """
 
 from __future__ import annotations
@@ -13,69 +15,109 @@ from __future__ import annotations
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum import config
 from vellum.functions import vectors as V
-from vellum.operators.search import ROUND, _matrix, _width
+from vellum.operators.search import Contest, _best, _matrix, _width, unit_rows
 from vellum.operators.topk import top_k_per_group
 from vellum.session import cut_lineage
 
-#: Bytes of a block's vectors, sampled directions at most, rows a direction should have, and parts of the last ranking.
-TILE_BYTES, DIRECTIONS, DIRECTION_ROWS, MERGE_SALT = 8 << 20, 256, 2048, 8
+#: Bytes of a block's vectors (in double), of a shelf's (as sent), sampled directions at most, rows a direction should have, and parts
+#: of the last ranking.
+TILE_BYTES, SHELF_BYTES, DIRECTIONS, DIRECTION_ROWS, MERGE_SALT = 8 << 20, 32 << 20, 256, 2048, 8
 
 
-def unit_rows(m: np.ndarray) -> np.ndarray:
-    """Rows at length 1; zero rows stay zero."""
-    n = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+def _kind(df: DataFrame, vec: str) -> str:
+    """How a side's vectors are sent: in the precision they have."""
+    return "<f4" if df.schema[vec].dataType.elementType.typeName() == "float" else "<f8"
 
 
-def _cells(width: int, directions: np.ndarray, batches):
-    """(id, vec, cell): the vector as bytes of doubles, which travel faster than lists, and its nearest direction."""
-    for batch in batches:
-        m = _matrix(batch.column(1), width)
-        cell = np.argmax(unit_rows(m) @ directions.T, axis=1) if len(m) else np.zeros(0, np.int64)
-        bounds = pa.py_buffer(np.arange(len(m) + 1, dtype=np.int32) * (8 * width))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.BinaryArray.from_buffers(pa.binary(), len(m), [None, bounds, pa.py_buffer(m.tobytes())]), pa.array(cell.astype(np.int32))],
-                                         names=["id", "vec", "cell"])
+def _cells(width: int, directions: np.ndarray, kind: str, batches):
+    """(id, vec, cell): the vector as bytes, which travel faster than lists, and its nearest direction."""
+    size = np.dtype(kind).itemsize * width
+    for whole in batches:
+        for at in range(0, whole.num_rows, Contest.ROWS):
+            batch = whole.slice(at, Contest.ROWS)
+            m = _matrix(batch.column(1), width)
+            cell = np.argmax(unit_rows(m) @ directions.T, axis=1)
+            bounds = pa.py_buffer(np.arange(len(m) + 1, dtype=np.int32) * size)
+            vec = pa.BinaryArray.from_buffers(pa.binary(), len(m), [None, bounds, pa.py_buffer(m.astype(kind).tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), vec, pa.array(cell.astype(np.int32))], names=["id", "vec", "cell"])
 
 
-def _dense(batch: pa.RecordBatch, column: int, row: int, width: int) -> np.ndarray:
+def _dense(vecs: pa.Array, row: int, kind: str, width: int) -> np.ndarray:
     """The vectors of a block."""
-    own = batch.column(column).slice(row, 1).flatten()
-    bounds = np.frombuffer(own.buffers()[1], np.int32)[own.offset:own.offset + len(own) + 1]
-    return np.frombuffer(own.buffers()[2], np.uint8)[bounds[0]:bounds[-1]].view(np.float64).reshape(-1, width)
+    return np.frombuffer(vecs[row].as_buffer(), kind).reshape(-1, width)
+
+
+def _ball(m: np.ndarray) -> tuple[np.ndarray, float]:
+    """The mean direction and the largest angle to it; a zero row is any direction."""
+    u = unit_rows(m.astype(np.float64, copy=False))
+    c = unit_rows(u.sum(axis=0, keepdims=True))[0]
+    whole = not c.any() or not u.any(axis=1).all()
+    return c, np.pi if whole else float(np.arccos(np.clip((u @ c).min(), -1, 1)))
+
 
+def _blocked(width: int, kind: str, most: int, batches):
+    """Rows (cell, piece, id, vec) sorted by cell and piece as blocks (block, ids, vecs, centre, radius), one at a time. A piece of
+    many equal rows is cut at ``most`` rows."""
+    own, key, part = [], None, 0
 
-def _balls(width: int, batches):
-    """(block, ids, vecs) with the block's mean direction and the largest angle to it; a zero row is any direction."""
+    def block():
+        m = np.concatenate([np.frombuffer(b.column(3).buffers()[2], np.uint8)[o:o + b.num_rows * step]
+                            for b, o in own]).view(kind).reshape(-1, width)
+        c, radius = _ball(m)
+        name = pa.StructArray.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int64()), pa.array([part], pa.int32())], names=["cell", "piece", "part"])
+        ids = pa.concat_arrays([b.column(2) for b, _ in own])
+        return pa.RecordBatch.from_arrays(
+            [name, pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([m.tobytes()], pa.binary()),
+             pa.array([c.tolist()], pa.list_(pa.float64())), pa.array([radius], pa.float64())], names=["block", "ids", "vecs", "centre", "radius"])
+
+    step = np.dtype(kind).itemsize * width
     for batch in batches:
-        centre, radius = [], []
-        for k in range(batch.num_rows):
-            u = unit_rows(_dense(batch, 2, k, width))
-            c = unit_rows(u.sum(axis=0, keepdims=True))[0]
-            whole = not c.any() or not u.any(axis=1).all()
-            radius.append(np.pi if whole else float(np.arccos(np.clip((u @ c).min(), -1, 1))))
-            centre.append(c.tolist())
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(centre, pa.list_(pa.float64())), pa.array(radius, pa.float64())],
-                                         names=["block", "ids", "vecs", "centre", "radius"])
+        n = batch.num_rows
+        if not n:
+            continue
+        cell, piece = (batch.column(k).to_numpy() for k in (0, 1))
+        edges = [0, *(np.flatnonzero((np.diff(cell) != 0) | (np.diff(piece) != 0)) + 1), n]
+        for a, b in zip(edges, edges[1:], strict=False):
+            now = (int(cell[a]), int(piece[a]))
+            if own and now != key:
+                yield block()
+                own = []
+            if now != key:
+                key, part = now, 0
+            while a < b:
+                room = most - sum(x.num_rows for x, _ in own)
+                take = min(room, b - a)
+                rows = batch.slice(a, take)
+                first = np.frombuffer(rows.column(3).buffers()[1], np.int32)[rows.column(3).offset]
+                own.append((rows, first))
+                a += take
+                if take == room:
+                    yield block()
+                    own, part = [], part + 1
+    if own:
+        yield block()
 
 
 def blocks(df: DataFrame, key: str, vec: str, width: int, directions: np.ndarray, rows: int, block_rows: int) -> DataFrame:
     """``(block, ids, vecs, centre, radius)``: ``df`` in blocks of about ``block_rows`` rows of near directions. Saved in the
     shared folder, since it is read for its balls and for its vectors."""
-    kind = df.schema[key].dataType.simpleString()
-    placed = df.select(F.col(key).alias("id"), F.col(vec).alias("vec")).mapInArrow(partial(_cells, width, directions), f"id {kind}, vec binary, cell int")
+    name, kind = df.schema[key].dataType.simpleString(), _kind(df, vec)
+    placed = df.select(F.col(key).alias("id"), F.col(vec).alias("vec")).mapInArrow(partial(_cells, width, directions, kind), f"id {name}, vec binary, cell int")
     # a row per direction, DIRECTIONS at most
     pieces = placed.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("pieces"))
-    dealt = placed.join(F.broadcast(pieces), "cell").withColumn("piece", F.pmod(F.xxhash64("id", "vec"), F.col("pieces")))
-    packed = dealt.groupBy(F.struct("cell", "piece").alias("block")).agg(F.collect_list(F.struct("id", "vec")).alias("rows")).select(
-        "block", F.transform("rows", lambda r: r.id).alias("ids"), F.transform("rows", lambda r: r.vec).alias("vecs"))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in packed.schema.fields)
-    return cut_lineage(packed.mapInArrow(partial(_balls, width), f"{kinds}, centre array<double>, radius double"))
+    dealt = placed.join(F.broadcast(pieces), "cell").select("cell", F.pmod(F.xxhash64("id", "vec"), F.col("pieces")).cast("bigint").alias("piece"), "id", "vec")
+    # rows move one by one and are packed as they arrive: no task gathers several blocks
+    sorted_rows = dealt.repartition("cell", "piece").sortWithinPartitions("cell", "piece")
+    return cut_lineage(sorted_rows.mapInArrow(
+        partial(_blocked, width, kind, 2 * block_rows),
+        f"block struct<cell:int,piece:bigint,part:int>, ids array<{name}>, vecs binary, centre array<double>, radius double"))
 
 
 def tiles(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
@@ -91,32 +133,48 @@ def tiles(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     return spread.join(numbered, "at").where(closest >= threshold - 1e-5).select("left", "right")
 
 
-def _score(width: int, k: int, threshold: float, mode: str, batches):
-    """Rows by index block (block, ids and vecs of the index block, or qids and vecs of a query block that meets it): each query's
-    best rows of the tile."""
-    block = ids = m = mn = None
+def shelves(blocks: DataFrame, rows: int) -> DataFrame:
+    """``(block, shelf)``: blocks in the order of their directions, about ``rows`` rows to a shelf. Numbers keys alone, a row
+    per block of some MB."""
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = blocks.select("block", F.size("ids").cast("bigint").alias("n"))
+    return sizes.select("block", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / rows).cast("bigint").alias("shelf"))
+
+
+def _score(width: int, k: int, threshold: float, mode: str, index_kind: str, query_kind: str, batches):
+    """Rows by shelf (shelf, block, ids, qids, vecs, meets): its index blocks, then the query blocks with the index blocks that
+    they meet: each query's best rows of the shelf."""
+    shelf, own = None, {}
     for batch in batches:
         for t in range(batch.num_rows):
-            if batch.column(1)[t].is_valid:
-                block, ids, m = batch.column(0)[t], batch.column(1).slice(t, 1).flatten(), _dense(batch, 3, t, width)
-                mn = np.linalg.norm(m, axis=1)
+            if batch.column(0)[t].as_py() != shelf:
+                shelf, own = batch.column(0)[t].as_py(), {}
+            if batch.column(2)[t].is_valid:
+                # copied: a block outlives the batch it came in
+                own[tuple(batch.column(1)[t].as_py().values())] = (pa.concat_arrays([batch.column(2).slice(t, 1).flatten()]),
+                                                                   _dense(batch.column(4), t, index_kind, width).copy())
                 continue
-            if batch.column(0)[t] != block:
-                raise ValueError("a query block came before its index block")
-            qids, q = batch.column(2).slice(t, 1).flatten(), _dense(batch, 3, t, width)
-            denom = np.outer(mn, np.linalg.norm(q, axis=1))
-            s = np.divide(m @ q.T, denom, out=np.zeros_like(denom), where=denom > 0)
-            s = np.round((1.0 + s) / 2.0 if mode == "unit" else s, ROUND)
-            s[(s < threshold) | (mn == 0)[:, None]] = -np.inf
-            if len(s) > k:  # rows that tie with the k-th all stay
-                s[s < np.partition(s, len(s) - k, axis=0)[len(s) - k]] = -np.inf
-            r, c = np.nonzero(np.isfinite(s))
-            yield pa.RecordBatch.from_arrays([qids.take(pa.array(c)), ids.take(pa.array(r)), pa.array(s[r, c])], names=["query", "id", "score"])
+            if not own:
+                raise ValueError("a query block came before its index blocks")
+            qids, found, size = batch.column(3).slice(t, 1).flatten(), [], 0
+            contest = Contest(_dense(batch.column(4), t, query_kind, width), k, threshold, mode)
+            for name in batch.column(5)[t].as_py():
+                ids, m = own[tuple(name.values())]
+                for r, c, s in contest.enter(m):
+                    found.append(pd.DataFrame({"query": c, "id": ids.take(pa.array(r)).to_pandas(), "score": s}))
+                    size += len(s)
+                    if size > 200_000 + 2 * k * len(qids):
+                        found = [_best(found, k, "query", "id")]
+                        size = len(found[0])
+            if size:
+                best = _best(found, k, "query", "id")
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(best["query"].to_numpy())), pa.array(best["id"], ids.type), pa.array(best["score"].to_numpy())],
+                                                 names=["query", "id", "score"])
 
 
 def topk_join(index: DataFrame, queries: DataFrame, k: int = config.TOP_K, threshold: float = config.SIMILARITY_THRESHOLD, mode: str = "cosine",
               index_key: str = "id", index_vec: str = "embedding", query_key: str = "query_id", query_vec: str = "embedding",
-              width: int | None = None, tile_bytes: int = TILE_BYTES) -> DataFrame:
+              width: int | None = None, tile_bytes: int = TILE_BYTES, shelf_bytes: int = SHELF_BYTES) -> DataFrame:
     """``(query_id, id, rank, score)`` as :func:`vellum.operators.search.topk_similarity` gives it, for a query side that grows with
     the data: per query the ``k`` best index rows with ``score >= threshold``, by score descending, then id.
 
@@ -141,11 +199,15 @@ def topk_join(index: DataFrame, queries: DataFrame, k: int = config.TOP_K, thres
     side = lambda rows: max(1, min(most, -(-rows // spark.sparkContext.defaultParallelism)))
     a = blocks(live, index_key, index_vec, width, directions, n, side(n))
     b = blocks(queries, query_key, query_vec, width, directions, m, most)
-    grid = cut_lineage(tiles(b, a, 2 * threshold - 1 if mode == "unit" else threshold))
-    none = lambda df: F.lit(None).cast(df.schema["ids"].dataType)
-    own = a.join(grid.select(F.col("right").alias("block")).distinct(), "block", "left_semi").select("block", "ids", none(b).alias("qids"), "vecs")
-    asking = b.withColumnRenamed("block", "left").join(grid, "left").select(F.col("right").alias("block"), none(a).alias("ids"), F.col("ids").alias("qids"), "vecs")
-    rows = own.unionByName(asking).repartition("block").sortWithinPartitions("block", F.col("ids").isNull())
-    scored = rows.mapInArrow(partial(_score, width, k, threshold, mode), kinds)
+    lying = cut_lineage(shelves(a, max(1, min(n // spark.sparkContext.defaultParallelism, shelf_bytes // (np.dtype(_kind(live, index_vec)).itemsize * width)))))
+    grid = tiles(b, a, 2 * threshold - 1 if mode == "unit" else threshold).join(lying.withColumnRenamed("block", "right"), "right")
+    grid = cut_lineage(grid.groupBy("shelf", "left").agg(F.sort_array(F.collect_list("right")).alias("meets")))
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType)
+    asked = lying.join(grid.select("shelf").distinct(), "shelf", "left_semi")
+    own = a.join(asked, "block").select("shelf", "block", "ids", none(b, "ids").alias("qids"), "vecs", none(grid, "meets").alias("meets"))
+    asking = b.withColumnRenamed("block", "left").join(grid, "left").select(
+        "shelf", none(a, "block").alias("block"), none(a, "ids").alias("ids"), F.col("ids").alias("qids"), "vecs", "meets")
+    rows = own.unionByName(asking).repartition("shelf").sortWithinPartitions("shelf", F.col("ids").isNull())
+    scored = rows.mapInArrow(partial(_score, width, k, threshold, mode, _kind(live, index_vec), _kind(queries, query_vec)), kinds)
     ranked = top_k_per_group(scored, ["query"], [F.desc("score"), F.asc("id")], k, salt_on="id", salt_buckets=MERGE_SALT)
     return out(ranked)
