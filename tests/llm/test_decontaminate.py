@@ -156,3 +156,32 @@ def test_any_column_names(spark):
     assert out.columns == [*df.columns, "leaks"]
     got = {r.doc_id: r for r in out.collect()}
     assert tuple(got[1])[:6] == rows[0] and [x.item_id for x in got[1].leaks] == [5] and got[2].leaks == []
+
+
+def test_every_corpus_passage_shapes_the_latent_space(spark, docs, monkeypatch):
+    """A'A of the whole corpus by brute force, for two vocabularies in one pass, with repeated words and copies."""
+    monkeypatch.setattr(D, "PAIRED", 5)
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 25, size=n)) for n in rng.integers(0, 90, size=3000)] + ["w1 w2 w1 foreign"] * 4
+    items = [[(0, "w1 w2 w3 w4 w7 w20 absent")], [(1, "w2 w9 w24")]]
+    frame = docs(texts).select("text")
+    idf, _ = D.inverse_frequencies(frame)
+    vocabularies = [D.vocabulary_of(i) for i in items]
+    grams, n = D.corpus_grams(frame.repartition(5), vocabularies, idf)
+    w = D.words(D.pa.array(texts), plain=True)
+    _, start, end = D.passages(w.first, D.WIDTH)
+    assert n == len(start)
+    for vocabulary, got in zip(vocabularies, grams, strict=True):
+        a = np.zeros((n, len(vocabulary)))
+        for k, (x, y) in enumerate(zip(start, end, strict=True)):
+            weight = idf[D._term(w.hash[x:y])]
+            for place, v in zip(D.find(vocabulary, w.hash[x:y]), weight / np.linalg.norm(weight), strict=True):
+                if place >= 0:
+                    a[k, place] += v
+        assert np.allclose(got, a.T @ a)
+
+
+def test_passes_are_bounded(monkeypatch):
+    monkeypatch.setattr(D, "ENTRIES", 50)
+    parts = [[(k, " ".join(f"w{j}" for j in range(n)))] for k, n in enumerate([5, 4, 5, 20, 3])]
+    assert [[i for own in g for i, _ in own] for g in D.passes(iter(parts))] == [[0, 1], [2], [3], [4]]

@@ -3,8 +3,8 @@
 1. *Passages.* Documents and benchmark items are cut into overlapping windows of words; a window's
    TF-IDF vector (each of its words once) uses document frequencies of the whole corpus.
 2. *Latent space.* A randomised SVD of the passage-term matrix over the items' vocabulary: item
-   passages and a bounded sample of corpus passages. The range finder's products A'(A Z) run
-   on Spark, a matrix block per task, summed by blocks; only the small factors reach the driver.
+   passages and those of the whole corpus. Spark sums the corpus passages' A'A, whose sides are the
+   vocabulary of a bounded number of items whatever the corpus; only this factor reaches the driver.
 3. *Candidates.* Every window of every document is compared with all item passages by cosine in
    the latent space. A window whose weight lies too little on the items' words cannot reach the
    threshold (Cauchy-Schwarz; each word counts once) and is left out before projecting. Items shorter
@@ -28,12 +28,11 @@ from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import Scratch, read, slices, unused
+from vellum.llm.common import bounded_batches, read, slices, unused
 from vellum.llm.hashing import U, words
 
 TERMS = 1 << 16
@@ -43,8 +42,9 @@ WIDTH, STEP, ITEM_STEP = 20, 5, 10
 BLOCK, RANK, OVERSAMPLE = 256, 384, 16
 #: Part of its norm that every item passage keeps in the latent space, and latent spaces of one pass over the documents.
 KEPT, SPACES = 0.9, 16
-#: About so many documents give corpus passages to the SVD, which together weigh this part of the items'.
-SAMPLE_DOCS, SAMPLE_WEIGHT = 2_000, 0.25
+#: All corpus passages together weigh this part of the items' in the SVD; entries of A'A that one pass over the corpus sums at most
+#: (a block with more has a pass of its own), and corpus passages whose word pairs are added at a time.
+CORPUS_WEIGHT, ENTRIES, PAIRED = 0.25, 1 << 24, 2048
 COSINE, COVER, ANSWER = 0.6, 0.6, 0.5
 LEAK = "struct<item_id:bigint,start:bigint,n_words:bigint,similarity:double,cover:double,answer:double>"
 
@@ -150,60 +150,58 @@ def _tokens(text: str) -> list[int]:
     return words(pa.array([text]), plain=True).hash.tolist()
 
 
-def _sample(vocabulary: np.ndarray, idf: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Corpus passages: places in the vocabulary and weights of unit passages."""
+def _gram(vocabularies: list[np.ndarray], idf: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of this task's passages the entries of A'A on and above its diagonal, by vocabulary (space, cell, value); a last row of space
+    -1 counts the passages. A word that a passage has twice counts twice."""
+    total, n = [np.zeros(len(v) ** 2) for v in vocabularies], 0
     for batch in batches:
         for part in slices(batch, "text"):
             w = words(part.column(0), plain=True)
             _, start, end = passages(w.first, WIDTH)
+            n += len(start)
             at, row = _rows(start, end)
-            weight, place = idf[_term(w.hash[at])], find(vocabulary, w.hash[at])
-            norm = np.sqrt(np.bincount(row, weight ** 2, minlength=len(start)))
-            keep = place >= 0
-            ends = np.cumsum(np.bincount(row[keep], minlength=len(start)))
-            edges = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(edges, pa.array(place[keep].astype(np.int32))),
-                                              pa.ListArray.from_arrays(edges, pa.array((weight / norm[row])[keep].astype(np.float32)))],
-                                             names=["places", "weights"])
-
-
-_CHUNK = 256
-
-
-def _product(z: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A'(A Z) over this task's passages, in blocks of rows."""
-    y = np.zeros(z.shape, np.float64)
-    for batch in batches:
-        for at in range(0, batch.num_rows, 2048):
-            part = batch.slice(at, 2048)
-            place, weight = (part.column(k).flatten().to_numpy() for k in (0, 1))
-            if not len(place):
-                continue
-            row = np.repeat(np.arange(part.num_rows), part.column(0).value_lengths().to_numpy())
-            order = np.argsort(place, kind="stable")
-            head = np.flatnonzero(np.diff(row, prepend=-1))
-            az = np.zeros((part.num_rows, z.shape[1]))
-            az[row[head]] = np.add.reduceat(z[place] * weight[:, None], head, axis=0)
-            heads = np.flatnonzero(np.diff(place[order], prepend=-1))
-            y[place[order][heads]] += np.add.reduceat(az[row[order]] * weight[order][:, None], heads, axis=0)
-    for k in range(0, len(y), _CHUNK):
-        yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([y[k:k + _CHUNK].tobytes()])], names=["chunk", "block"])
-
-
-def _sum_blocks(rows: pd.DataFrame) -> pd.DataFrame:
-    """One block of every task that holds sample rows: at most the sample's partitions."""
-    total = sum(np.frombuffer(b) for b in rows["block"])
-    return pd.DataFrame({"chunk": rows["chunk"].iloc[:1], "block": [total.tobytes()]})
-
-
-def _ata(sample: DataFrame, z: np.ndarray, items: np.ndarray, weight: float) -> np.ndarray:
-    """A'(A Z) for the items' passages (rows of ``items``) and the sampled ones, these times ``weight``."""
-    parts = sample.mapInArrow(partial(_product, z), "chunk bigint, block binary").groupBy("chunk").applyInPandas(_sum_blocks, "chunk bigint, block binary")
-    y = items.T @ (items @ z)
-    for r in parts.collect():  # the vocabulary x rank factor
-        block = np.frombuffer(r.block).reshape(-1, z.shape[1])
-        y[r.chunk:r.chunk + len(block)] += weight * block
-    return y
+            weight = idf[_term(w.hash[at])]
+            unit = weight / np.sqrt(np.bincount(row, weight ** 2, minlength=len(start)))[row]
+            for own, vocabulary in zip(total, vocabularies, strict=True):
+                place = find(vocabulary, w.hash)[at]
+                known = np.flatnonzero(place >= 0)
+                _add_pairs(own, len(vocabulary), place[known], row[known], unit[known])
+    for k, own in enumerate(total):
+        used = np.flatnonzero(own)
+        for at in range(0, len(used), 1 << 16):
+            cell = used[at:at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), k, np.int32)), pa.array(cell), pa.array(own[cell])], names=["space", "cell", "value"])
+    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([-1], pa.int64()), pa.array([float(n)])], names=["space", "cell", "value"])
+
+
+def _add_pairs(total: np.ndarray, size: int, place: np.ndarray, row: np.ndarray, weight: np.ndarray) -> None:
+    """Adds the products of all pairs of words of a passage (``row``, rising) to the upper triangle ``total``."""
+    edges = np.searchsorted(row, np.arange(row[0], row[-1] + PAIRED + 1, PAIRED)) if len(row) else [0]
+    for a, b in zip(edges, edges[1:], strict=False):
+        p, r, x = place[a:b], row[a:b], weight[a:b]
+        np.add.at(total, p * (size + 1), x * x)
+        for d in range(1, min(WIDTH, len(p))):
+            same = np.flatnonzero(r[d:] == r[:-d])
+            if not len(same):
+                break
+            i, j, value = p[same], p[same + d], x[same] * x[same + d]
+            # a word met twice: both orders of the pair fall on the diagonal
+            np.add.at(total, np.minimum(i, j) * size + np.maximum(i, j), np.where(i == j, 2 * value, value))
+
+
+def corpus_grams(texts: DataFrame, vocabularies: list[np.ndarray], idf: np.ndarray) -> tuple[list[np.ndarray], int]:
+    """A'A of all corpus passages for every vocabulary, and the number of passages; one pass over ``texts``."""
+    summed = (texts.mapInArrow(partial(_gram, vocabularies, idf), "space int, cell bigint, value double")
+              .groupBy("space", "cell").agg(F.sum("value").alias("value")).toArrow())
+    space, cell, value = (summed.column(k).to_numpy() for k in range(3))
+    out = []
+    for k, vocabulary in enumerate(vocabularies):
+        size, own = len(vocabulary), space == k
+        c = np.zeros(size * size)
+        c[cell[own]] = value[own]
+        c = c.reshape(size, size)
+        out.append(c + np.triu(c, 1).T)
+    return out, int(value[space == -1].sum())
 
 
 def whole_passages(basis: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -218,10 +216,15 @@ def whole_passages(basis: np.ndarray, own: np.ndarray) -> np.ndarray:
     return basis
 
 
-def latent_space(chosen: DataFrame, items: list[tuple[int, str]], idf: np.ndarray, scratch: Scratch, name: str) -> Space:
-    """Randomised SVD with one power iteration: right singular vectors of the stacked passages, those of ``chosen`` texts among them."""
+def vocabulary_of(items: list[tuple[int, str]]) -> np.ndarray:
+    return np.unique(words(pa.array([t for _, t in items], pa.string()), plain=True).hash)
+
+
+def latent_space(corpus: np.ndarray, n: int, items: list[tuple[int, str]], idf: np.ndarray) -> Space:
+    """Randomised SVD with one power iteration: right singular vectors of the stacked passages. ``corpus``: A'A of the corpus'
+    ``n`` passages over the items' vocabulary."""
     w = words(pa.array([t for _, t in items], pa.string()), plain=True)
-    vocabulary = np.unique(w.hash)
+    vocabulary = vocabulary_of(items)
     owner, start, end = passages(w.first, ITEM_STEP)
     at, row = _rows(start, end)
     weight = idf[_term(w.hash[at])]
@@ -229,12 +232,12 @@ def latent_space(chosen: DataFrame, items: list[tuple[int, str]], idf: np.ndarra
     own[row, find(vocabulary, w.hash[at])] = weight  # every word of a window counts once
     own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
 
-    sample = scratch.save(chosen.mapInArrow(partial(_sample, vocabulary, idf), "places array<int>, weights array<float>").coalesce(16), f"{name}-sample")
-    part = SAMPLE_WEIGHT * len(own) / max(1, sample.count())
+    part = CORPUS_WEIGHT * len(own) / max(1, n)
     rank = min(RANK, len(vocabulary))
     z = np.random.default_rng(1).normal(size=(len(vocabulary), min(rank + OVERSAMPLE, len(vocabulary))))
-    q = np.linalg.qr(_ata(sample, z, own, part))[0]
-    y = _ata(sample, q, own, part)
+    ata = lambda x: own.T @ (own @ x) + part * (corpus @ x)
+    q = np.linalg.qr(ata(z))[0]
+    y = ata(q)
     q2 = np.linalg.qr(y)[0]
     # A'A on the found range, then its leading directions
     values, rotation = np.linalg.eigh(q2.T @ y @ (q.T @ q2))
@@ -357,25 +360,36 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFra
     any names; a block's item passages are one matrix on the driver, so an item should have some ten thousand words at most; empty
     tables give no rows or no leaks. The corpus frequencies cover all rows of ``docs``.
     """
-    scratch = Scratch(docs.sparkSession, "decontaminate")
+    bounded_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c != "leaks"]
     out = docs.select(*(f"`{c}`" for c in kept), F.array().cast(f"array<{LEAK}>").alias("leaks"))
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").orderBy("item_id", "text").toLocalIterator()
-    idf, chosen, spaces, n = None, None, [], 0
-    for own in blocks((int(r.item_id), r.text) for r in rows):
+    idf, spaces = None, []
+    for group in passes(blocks((int(r.item_id), r.text) for r in rows)):
         if idf is None:
-            idf, total = inverse_frequencies(texts)
-            share = min(1.0, SAMPLE_DOCS / max(1, total))
-            # by hash of the text, so copies are drawn together; one of them is enough, which bounds the sample
-            chosen = scratch.save(texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < int(share * (1 << 40))).distinct(), "sample")
-        spaces.append(latent_space(chosen, own, idf, scratch, f"block{n}"))
-        n += 1
-        if len(spaces) == SPACES:
+            idf, _ = inverse_frequencies(texts)
+        grams, n = corpus_grams(texts, [vocabulary_of(own) for own in group], idf)
+        spaces += [latent_space(c, n, own, idf) for c, own in zip(grams, group, strict=True)]
+        if len(spaces) >= SPACES:
             out, spaces = _searched(out, spaces, kept, text), []
     return _searched(out, spaces, kept, text) if spaces else out
 
 
+def passes(parts: Iterator[list[tuple[int, str]]]) -> Iterator[list[list[tuple[int, str]]]]:
+    """Blocks of items whose A'A one pass over the corpus sums: ENTRIES entries and SPACES blocks at most, or one block."""
+    group, size = [], 0
+    for own in parts:
+        entries = len(vocabulary_of(own)) ** 2
+        if group and (size + entries > ENTRIES or len(group) == SPACES):
+            yield group
+            group, size = [], 0
+        group.append(own)
+        size += entries
+    if group:
+        yield group
+
+
 def blocks(items: Iterator[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
     """Items with words, those shorter than WIDTH words apart, in blocks of at most BLOCK items and RANK passages; an
     item with more is a block of its own."""
