@@ -141,3 +141,22 @@ def test_a_batch_is_embedded_in_slices(monkeypatch):
     out = E.hashed_slices(texts, 64, {})
     assert max(seen) <= E.SLICE and sum(seen) == len(texts)
     assert np.array_equal(out, whole(texts, 64))
+
+
+def test_search_and_embedding_cap_arrow_batches(spark):
+    from vellum.operators.embed import embed
+    from vellum.session import BATCH_BYTES
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        one = spark.createDataFrame([(1, "a b", [1.0, 0.0])], "id long, text string, embedding array<float>")
+        for call in (lambda: embed(one, "text", "v"), lambda: topk_similarity(one, one.selectExpr("id AS query_id", "embedding"))):
+            spark.conf.set(key, str(64 << 20))
+            call()
+            assert int(spark.conf.get(key).rstrip("bB")) == BATCH_BYTES
+        spark.conf.set(key, "1000")
+        embed(one, "text", "v")
+        assert spark.conf.get(key).rstrip("bB") == "1000"
+    finally:
+        spark.conf.set(key, before)

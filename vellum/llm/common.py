@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.session import bounded_batches
+
 #: White space between words: the ASCII characters 0x20 and 0x09 to 0x0D.
 SEPARATOR = "[\\x20\\x09-\\x0D]+"
 SEPARATOR_CHARS = " \t\n\x0b\x0c\r"
@@ -19,18 +21,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-#: Bytes of one Arrow batch between the JVM and Python.
-BATCH_BYTES = 4 << 20
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Caps the session's Arrow batches at ``BATCH_BYTES`` (Spark's own cap is 64 MB and 10,000
-    rows), as a task holds several copies of a batch of texts. A lower setting stays."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key).rstrip("bB")) > BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
-
-
 class Scratch:
     """Intermediate tables in a fresh folder below ``spark.checkpoint.dir``, the folder that
     the driver and all executors share. A saved table cuts the lineage: its files outlive the

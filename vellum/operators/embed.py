@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum import config
+from vellum.session import bounded_batches
 
 VECTOR = T.ArrayType(T.FloatType())
 TOKEN_PATTERN = r"[^\p{L}\p{N}]+"
@@ -124,6 +125,7 @@ def embed(df: DataFrame, text: str = "text", out: str = "embedding",
           dim: int = config.VECTOR_WIDTH) -> DataFrame:
     """Append ``out`` = embedding of ``text``; ``embedder`` is a Column function, ``"hashed"``
     (default) or ``"mllib"``."""
+    bounded_batches(df.sparkSession)
     if embedder is None or embedder == "hashed":
         return df.withColumn(out, hashed_embedder(dim)(F.col(text)))
     if embedder == "mllib":

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from vellum import config
 from vellum.functions import vectors as V
 from vellum.operators.topk import top_k_per_group
-from vellum.session import cut_lineage
+from vellum.session import bounded_batches, cut_lineage
 
 DEFAULT_MAX_BROADCAST_BYTES = 64 << 20
 ROUND = 6
@@ -144,6 +144,7 @@ def topk_similarity(index: DataFrame, queries: DataFrame, k: int = config.TOP_K,
     without a vector are no hits. A query side of up to ``max_broadcast_bytes`` is broadcast to the index; a
     larger one is joined tile by tile (:func:`vellum.operators.tiles.topk_join`), with the same result."""
     spark = index.sparkSession
+    bounded_batches(spark)
     idx = index.select(index_key, index_vec)
     key_t = idx.schema[index_key].dataType.simpleString()
     qkey_t = queries.schema[query_key].dataType.simpleString()

@@ -24,7 +24,7 @@ from vellum import config
 from vellum.functions import vectors as V
 from vellum.operators.search import Contest, _best, _matrix, _width, unit_rows
 from vellum.operators.topk import top_k_per_group
-from vellum.session import cut_lineage
+from vellum.session import bounded_batches, cut_lineage
 
 #: Bytes of a block's vectors (in double), of a shelf's (as sent), sampled directions at most, rows a direction should have, and parts
 #: of the last ranking.
@@ -181,6 +181,7 @@ def topk_join(index: DataFrame, queries: DataFrame, k: int = config.TOP_K, thres
     Every vector must have ``width`` entries (by default the queries' width); others raise. Index rows without a vector
     or with a zero one are no hits; a query without a vector has score 0 to all rows. Query ids that repeat are ranked together."""
     spark = index.sparkSession
+    bounded_batches(spark)
     # both sides may be plans (chunking, embedding): computed once
     live = cut_lineage(index.select(index_key, index_vec).where(F.col(index_vec).isNotNull()))
     queries = cut_lineage(queries.select(query_key, query_vec))

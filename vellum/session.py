@@ -67,3 +67,15 @@ def cut_lineage(df):
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Bytes of one Arrow batch between the JVM and Python.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Caps the session's Arrow batches at ``BATCH_BYTES`` (Spark's own cap is 64 MB and 10,000
+    rows), as a task holds several copies of a batch on both sides. A lower setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
