@@ -176,3 +176,48 @@ def test_neighbours_share_a_window():
             for d, n in w:
                 taken[d] += n
         assert (taken == left).all() and all(sum(n for _, n in w) == 1024 for w in windows[:-1])
+
+
+def test_tree_sees_every_document(spark, docs):
+    """Weights, axes and cuts against plain numpy over all rows, of which a draw of a few thousand would miss some."""
+    texts = [f"{'red' if k % 3 else 'blue'} w{k % 50} x{k % 7} " + "y " * (k % 5) for k in range(300)]
+    counts = P.term_counts(pa.array(texts))
+    terms = P.packed_terms(counts).to_pylist()
+    assert [len(t) // 4 for t in terms] == [len(set(t.split())) for t in texts]
+    weight = np.random.default_rng(1).random(P.TERMS)
+    tree = P.fit_tree(spark.createDataFrame([(t,) for t in terms], "terms binary").repartition(3), weight, 2, Scratch(spark, "test"))
+    x = P.sketch(terms, weight)
+    y = np.rint(x @ tree.axes)
+    assert np.abs(np.cov(x.T, bias=True) @ tree.axes[:, 0] - np.linalg.eigvalsh(np.cov(x.T, bias=True))[-1] * tree.axes[:, 0]).max() < 1e-3
+    assert np.isclose(tree.cut[0], y.mean(0) @ tree.way[0])
+    leaf = (y @ tree.way[0] > tree.cut[0]).astype(int)
+    for k in (0, 1):
+        own = y[leaf == k]
+        assert np.isclose(tree.cut[1 + k], own.mean(0) @ tree.way[1 + k])
+        assert np.isclose(np.var(own @ tree.way[1 + k]), np.linalg.eigvalsh(np.cov(own.T, bias=True))[-1])
+
+
+def test_every_row_moves_the_deal(spark, docs, monkeypatch):
+    """The tree's sums hold each of 20,000 rows, more than the sample of before had."""
+    seen = []
+    grow = P.Tree.grow
+    monkeypatch.setattr(P.Tree, "grow", lambda self, m: (seen.append(int(m.value[m.cell == 0].sum())), grow(self, m))[1])
+    rows = spark.range(20_000).selectExpr("id AS doc_id", "concat('a', id % 9, ' b', id % 31, ' c', id) AS text")
+    P.deal(rows, Scratch(spark, "test"), 10_000)
+    assert seen == [20_000] * 3
+
+
+def test_words_of_many_documents_score_by_the_matrix(monkeypatch):
+    texts = [f"the {'sea' if k % 2 else 'sky'} w{k % 3} THE" for k in range(40)]
+    plain = index_of(texts)
+    monkeypatch.setattr(P, "OFTEN", 4)
+    found = index_of(texts)
+    assert plain.matrix.shape[1] == 0 < found.matrix.shape[1]
+    for seed in range(40):
+        others = np.arange(40) != seed
+        assert np.allclose(found.scores(seed)[others], plain.scores(seed)[others])
+        assert np.allclose(found.scores(seed)[others], np.array(bm25(texts, seed))[others])
+    left = np.arange(40) % 2 == 0
+    found.forget(left)
+    found.ask(np.array([0, 6]))
+    assert np.allclose(found.scores(6)[left], plain.scores(6)[left])

@@ -1,7 +1,7 @@
 """Packing by lexical retrieval: sequences are filled with a seed's BM25 neighbours.
 
 Documents are dealt by content into shards of a bounded number of documents: a tree of principal
-directions, fitted on a bounded sample, orders their TF-IDF sketches, equal texts lie side by side,
+directions, fitted on the moments of all documents, orders their TF-IDF sketches, equal texts lie side by side,
 and Spark cuts this order into even ranges (within a hot group too). Each shard has its own inverted
 index over full 64-bit word hashes; frequencies and the mean length are those of the whole corpus. A document's full
 windows are sequences of their own; its remainder waits in the index. The longest unused remainder
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,10 +32,15 @@ SHARD_DOCS = 10_240
 #: Words whose frequency in the corpus every shard knows: the most frequent ones. For a rarer word, a shard's own
 #: count stands in, which is at most that much too low (the idf of rare words hardly depends on it).
 FREQUENT = 1 << 18
+#: Words of more documents of a shard than this (and than a twentieth of them) are columns of a matrix; so many seeds ask at once.
+OFTEN, SEEDS = 512, 64
 #: Neighbours that are looked at together: those that fit whole go before one is cut.
 NEAR = 10
-#: The deal: hashed terms and dimensions of a sketch, documents of the sample (about), greatest depth of the tree.
-TERMS, DIMS, SAMPLE_DOCS, DEPTH = 1 << 16, 256, 8_192, 10
+#: The deal: hashed terms, dimensions of a sketch, the corpus' main axes that the tree sees, its greatest depth.
+TERMS, DIMS, AXES, DEPTH = 1 << 16, 256, 32, 10
+#: Sketches are whole numbers in units of 1 / ``UNIT``, so that sums over the corpus are exact in any order; documents that
+#: a task sums at a time.
+UNIT, BLOCK = 4096, 1 << 12
 K1, B = 1.2, 0.75
 
 
@@ -102,79 +108,167 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def coded(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, ascending, and of every value its number among them (int32), without a sort of all."""
+    found = pa.array(values).dictionary_encode()
+    own = found.dictionary.to_numpy()
+    order = np.argsort(own)
+    number = np.empty(len(own), np.int32)
+    number[order] = np.arange(len(own), dtype=np.int32)
+    return own[order], number[found.indices.to_numpy()]
+
+
 def term_counts(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, word hash, times it occurs) of every text's distinct words, text by text, and the texts' word counts."""
     w = words(col, lower=True)
     total = np.diff(w.first)
-    doc = np.repeat(np.arange(len(total)), total)
-    order = np.lexsort((w.hash, doc))
-    doc, word = doc[order], w.hash[order]
-    new = np.ones(len(word), bool)
-    new[1:] = (word[1:] != word[:-1]) | (doc[1:] != doc[:-1])
+    own, number = coded(w.hash)
+    each = max(1, len(own))
+    key = np.repeat(np.arange(len(total)) * each, total) + number
+    key.sort()
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
     at = np.flatnonzero(new)
-    return doc[at], word[at], np.diff(np.append(at, len(word))), total
+    key = key[at]
+    return key // each, own[key % each], np.diff(np.append(at, len(new))), total
 
 
-def _sample_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen = np.zeros(TERMS, np.int64)
-    for batch in batches:
-        for part in slices(batch, "text"):
-            seen += np.bincount((term_counts(part.column(0))[1] >> U(48)).astype(np.int64), minlength=TERMS)
-    used = np.flatnonzero(seen)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(seen[used])], names=["term", "n"])
+def packed_terms(counts) -> pa.Array:
+    """Of every text the hashed terms of its distinct words, then how often each occurs (both 16 bits, more as 65535)."""
+    doc, word, times, total = counts
+    size = np.bincount(doc, minlength=len(total))
+    ends = 2 * np.cumsum(size)
+    own = np.empty(2 * len(word), "<u2")
+    at = np.arange(len(word)) + np.repeat(ends // 2 - size, size)
+    own[at] = word >> U(48)
+    own[at + np.repeat(size, size)] = np.minimum(times, 65535)
+    offsets = np.concatenate([[0], 2 * ends]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(total), [None, pa.py_buffer(offsets), pa.py_buffer(own)])
+
+
+def sketch(terms: list[bytes], weight: np.ndarray) -> np.ndarray:
+    """A vector of ``DIMS`` whole numbers, of length ``UNIT``, for every text: its weighted terms, added up at hashed places
+    with hashed signs."""
+    size = np.array([len(t) for t in terms], np.int64) // 4
+    flat = np.frombuffer(b"".join(terms), "<u2")
+    doc = np.repeat(np.arange(len(terms)), size)
+    at = np.arange(len(doc)) + np.repeat(np.cumsum(size) - size, size)
+    term, times = flat[at], flat[at + np.repeat(size, size)]
+    sign = 1.0 - 2.0 * (term >> 8 & 1)
+    x = np.bincount(doc * DIMS + (term & DIMS - 1), sign * weight[term] * np.log1p(times), minlength=len(terms) * DIMS).reshape(-1, DIMS)
+    return np.rint(x * (UNIT / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)))
 
 
-def sketch(counts, weight: np.ndarray) -> np.ndarray:
-    """A unit vector of ``DIMS`` numbers for every text: its weighted words, added up at hashed places with hashed signs."""
-    doc, word, times, total = counts
-    place = doc * DIMS + (word & U(DIMS - 1)).astype(np.int64)
-    sign = 1.0 - 2.0 * ((word >> U(32)) & U(1)).astype(float)
-    flat = np.bincount(place, sign * weight[(word >> U(48)).astype(np.int64)] * np.log1p(times), minlength=len(total) * DIMS)
-    x = flat.reshape(len(total), DIMS).astype(np.float32)
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+class Tree:
+    """Halves the corpus at the mean along its principal direction, level by level; leaves from left to right are an order in
+    which like texts are near each other. It sees sketches (``weight`` of their terms) on ``axes``."""
+
+    def __init__(self, weight: np.ndarray, axes: np.ndarray | None = None) -> None:
+        self.weight, self.axes, self.depth = weight, axes, 0
+        self.way, self.cut = np.zeros((0, AXES)), np.zeros(0)
 
+    def seen(self, terms: list[bytes]) -> np.ndarray:
+        """Whole numbers: the sketch on the axes, or before there are any the sketch."""
+        x = sketch(terms, self.weight)
+        return x if self.axes is None else np.rint(x @ self.axes)
+
+    def leaf(self, y: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(y), np.int64)
+        for _ in range(self.depth):
+            node = 2 * node + 1 + ((y * self.way[node]).sum(1) > self.cut[node])
+        return node - ((1 << self.depth) - 1)
+
+    def place(self, terms: list[bytes]) -> np.ndarray:
+        """The leaf, and below it the signs on the first 16 axes."""
+        y = self.seen(terms)
+        return (self.leaf(y) << 16) + ((y[:, :16] > 0) << np.arange(16)).sum(1)
+
+    def grow(self, moments) -> None:
+        """One level more, from rows (leaf, cell, value): the leaves' ``_sums``."""
+        level = 1 << self.depth
+        way, cut = np.zeros((level, AXES)), np.zeros(level)
+        sums = np.zeros((level, AXES + 1, AXES + 1))
+        sums[moments.leaf.to_numpy(int), moments.cell.to_numpy(int) // (AXES + 1), moments.cell.to_numpy(int) % (AXES + 1)] = moments.value.to_numpy(float)
+        for k in np.flatnonzero(sums[:, 0, 0] > 1):
+            mean, spread = spread_of(sums[k])
+            way[k] = np.linalg.eigh(spread)[1][:, -1]
+            cut[k] = mean @ way[k]
+        self.way, self.cut, self.depth = np.concatenate([self.way, way]), np.concatenate([self.cut, cut]), self.depth + 1
+
+
+def spread_of(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance, from the upper half of the sums of products of (1, y)."""
+    n, mean = sums[0, 0], sums[0, 1:] / sums[0, 0]
+    upper = np.triu(sums[1:, 1:])
+    return mean, (upper + np.triu(upper, 1).T) / n - np.outer(mean, mean)
+
+
+def _sums(see, leaf, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(leaf, cell, value): of each leaf the sums of products of (1, y) with itself, the upper half, once a task."""
+    total: dict[int, np.ndarray] = {}
+    waiting, size, side = [], 0, 1
+
+    def add(y: np.ndarray) -> None:
+        one, where = np.concatenate([np.ones((len(y), 1)), y], axis=1), leaf(y)
+        order = np.argsort(where, kind="stable")
+        own, first = np.unique(where[order], return_index=True)
+        for k, rows in zip(own.tolist(), np.split(one[order], first[1:]), strict=True):
+            total[k] = total.get(k, 0.0) + (rows.T @ rows)[np.triu_indices(one.shape[1])]
 
-def _sketches(weight: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text"):
-            x = sketch(term_counts(part.column(0)), weight)
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary())], names=["x"])
+        if batch.num_rows:
+            waiting.append(see(batch.column(0).to_pylist()))
+            size, side = size + batch.num_rows, waiting[0].shape[1] + 1
+        if size >= BLOCK:
+            add(np.concatenate(waiting))
+            waiting, size = [], 0
+    if waiting:
+        add(np.concatenate(waiting))
+    row, column = np.triu_indices(side)
+    for k, value in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), k)), pa.array(row * side + column), pa.array(value.astype(np.int64))],
+                                         names=["leaf", "cell", "value"])
+
+
+def _coordinates(tree: Tree, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            y = tree.seen(batch.column(0).to_pylist()).astype("<i2")
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in y], pa.binary())], names=["y"])
 
 
-class Tree:
-    """Halves a sample along its principal direction, at the widest gap of the middle half, level by level;
-    leaves from left to right are an order in which like texts are near each other."""
-
-    def __init__(self, x: np.ndarray, depth: int) -> None:
-        self.depth = depth
-        self.way = np.zeros(((1 << depth) - 1, DIMS), np.float32)
-        self.cut = np.zeros((1 << depth) - 1, np.float32)
-        node = np.zeros(len(x), np.int64)
-        for k in range(len(self.cut)):
-            own = np.flatnonzero(node == k)
-            if len(own) > 1:
-                self.way[k] = np.linalg.eigh(np.cov(x[own].T))[1][:, -1]
-                p = np.sort(x[own] @ self.way[k])
-                low, high = len(p) // 4, max(len(p) // 4 + 1, 3 * len(p) // 4)
-                g = low + int(np.argmax(np.diff(p[low:high + 1])))
-                self.cut[k] = (p[g] + p[g + 1]) / 2
-            node[own] = 2 * k + 1 + (x[own] @ self.way[k] > self.cut[k])
-
-    def place(self, x: np.ndarray) -> np.ndarray:
-        """The leaf, and below it 16 signs of the sketch."""
-        node = np.zeros(len(x), np.int64)
-        for _ in range(self.depth):
-            node = 2 * node + 1 + ((x * self.way[node]).sum(1) > self.cut[node])
-        return (node - ((1 << self.depth) - 1) << 16) + ((x[:, :16] > 0) << np.arange(16)).sum(1)
+def _read_coordinates(rows: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), "<i2").reshape(-1, AXES).astype(float)
+
+
+def _one_leaf(y: np.ndarray) -> np.ndarray:
+    return np.zeros(len(y), np.int64)
 
 
-_SURVEY = pa.schema([("place", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string()), ("row", pa.int64()),
+def fit_tree(terms: DataFrame, weight: np.ndarray, depth: int, scratch: Scratch) -> Tree:
+    """The tree of all rows (terms): a pass for the corpus' main axes, one for the coordinates on them and one a level.
+    To the driver come sums alone: 33,153 numbers for the axes, 561 a leaf."""
+    def moments(rows: DataFrame, see, leaf):
+        return (rows.mapInArrow(partial(_sums, see, leaf), "leaf bigint, cell bigint, value bigint")
+                .groupBy("leaf", "cell").agg(F.sum("value").alias("value")).toPandas())
+
+    tree, sums = Tree(weight), np.zeros((DIMS + 1, DIMS + 1))
+    found = moments(terms, tree.seen, _one_leaf)
+    sums.flat[found.cell.to_numpy(int)] = found.value.to_numpy(float)
+    tree = Tree(weight, np.linalg.eigh(spread_of(sums)[1])[1][:, :-AXES - 1:-1])
+    coordinates = scratch.save(terms.mapInArrow(partial(_coordinates, tree), "y binary"), "coordinates")
+    for _ in range(depth):
+        tree.grow(moments(coordinates, _read_coordinates, tree.leaf))
+    return tree
+
+
+_SURVEY = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("terms", pa.binary()), ("row", pa.int64()),
                      ("word", pa.int64()), ("n", pa.int64()), ("length", pa.int64())])
 
 
-def _survey(weight: np.ndarray, tree: Tree, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents (row, doc_id, text) with their place, and (word, documents that hold it), one row a word and task, or
-    a few where a task has many words; a last row sums the words of the texts."""
+def _survey(sketched: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents (row, doc_id, text) with their terms if ``sketched``, and (word, documents that hold it), one row a word and
+    task, or a few where a task has many words; a last row sums the words of the texts."""
     def rows(**given) -> pa.RecordBatch:
         n = len(next(iter(given.values())))
         return pa.RecordBatch.from_arrays([pa.array(given[f.name], f.type) if f.name in given else pa.nulls(n, f.type) for f in _SURVEY],
@@ -182,16 +276,17 @@ def _survey(weight: np.ndarray, tree: Tree, batches: Iterator[pa.RecordBatch]) -
 
     def merged(found):
         word, n = (np.concatenate(x) for x in zip(*found, strict=True))
-        word, at = np.unique(word, return_inverse=True)
+        word, at = coded(word)
         return word, np.bincount(at, n, minlength=len(word)).astype(np.int64)
 
     found, size, length = [], 0, 0
     for batch in batches:
         for part in slices(batch, "text"):
             counts = term_counts(part.column(2))
-            yield rows(place=tree.place(sketch(counts, weight)), doc_id=part.column(1), text=part.column(2), row=part.column(0))
-            found.append(np.unique(counts[1], return_counts=True))
-            size, length = size + len(found[-1][0]), length + int(counts[3].sum())
+            yield rows(doc_id=part.column(1), text=part.column(2), row=part.column(0), **({"terms": packed_terms(counts)} if sketched else {}))
+            word, at = coded(counts[1])
+            found.append((word, np.bincount(at, minlength=len(word))))
+            size, length = size + len(word), length + int(counts[3].sum())
             if size > 1 << 20:
                 found = [merged(found)]
                 size = len(found[0][0])
@@ -223,35 +318,65 @@ class Corpus:
 class Retrieval:
     """BM25 over the documents of one shard, every word of the seed asking, with the corpus' idf and mean length.
     Document d has the text ``member[d]``; ``text`` rises, and a text that many documents have is
-    indexed once. Words of one document alone find nothing but it and are left out."""
+    indexed once. Words of one document alone find nothing but it and are left out. The words of many
+    documents are columns of a matrix, and a block of seeds asks for them in one product; the others have postings."""
 
     def __init__(self, text: np.ndarray, word: np.ndarray, times: np.ndarray, length: np.ndarray, member: np.ndarray, corpus: Corpus) -> None:
-        self.n, self.member = len(length), member
-        own, term = np.unique(word, return_inverse=True)
-        here = np.bincount(term, np.bincount(member, minlength=self.n)[text], minlength=len(own))
+        texts = len(length)
+        own, term = coded(word)
+        here = np.bincount(term, np.bincount(member, minlength=texts)[text], minlength=len(own))
         idf = corpus.idf(own, here)
         shared = here[term] > 1
-        text, term, times = text[shared], term[shared], times[shared]
+        text, term, times = text[shared].astype(np.int32), term[shared], times[shared]
         impact = idf[term] * times * (K1 + 1) / (times + K1 * (1 - B + B * length[text] / corpus.mean))
-        self.query, self.first = term, np.searchsorted(text, np.arange(self.n + 1))
-        order = np.argsort(term, kind="stable")
-        self.text, self.impact = text[order], impact[order]
-        self.start = np.searchsorted(term[order], np.arange(len(own) + 1)).tolist()
+        # the matrix: a row per text that some document still has
+        often = np.flatnonzero(here > max(OFTEN, len(member) // 20))
+        place = np.full(len(own), -1, np.int32)
+        place[often] = np.arange(len(often))
+        column = place[term]
+        dense = column >= 0
+        self.matrix = np.zeros((texts, len(often)), np.float32)
+        self.matrix[text[dense], column[dense]] = impact[dense]
+        text, term, impact = text[~dense], term[~dense], impact[~dense]
+        self.member, self.row = member, member
+        self.query, self.first = term, np.searchsorted(text, np.arange(texts + 1))
+        key = term.astype(np.int64) << 32 | np.arange(len(term))
+        key.sort()
+        self.start = np.searchsorted(key >> 32, np.arange(len(own) + 1))
+        key &= 0xFFFFFFFF
+        self.text, self.impact = text[key], impact[key]
+        self.asked: dict[int, np.ndarray] = {}
+
+    def ask(self, seeds: np.ndarray) -> None:
+        """Scores of the matrix's words, for seeds that are not used yet."""
+        if self.matrix.shape[1]:
+            wanted = (self.matrix[self.row[seeds]] > 0).astype(np.float32)
+            self.asked = dict(zip(seeds.tolist(), wanted @ self.matrix.T, strict=True))
 
     def scores(self, seed: int) -> np.ndarray:
-        """Of every document for the seed's words."""
+        """Of every document for the seed's words; of a forgotten one, any number."""
         own = self.member[seed]
-        spans = [slice(self.start[t], self.start[t + 1]) for t in self.query[self.first[own]:self.first[own + 1]].tolist()]
-        if not spans:
-            return np.zeros(len(self.member))
-        at, impact = np.concatenate([self.text[s] for s in spans]), np.concatenate([self.impact[s] for s in spans])
-        return np.bincount(at, impact, minlength=self.n)[self.member]
+        term = self.query[self.first[own]:self.first[own + 1]]
+        start = self.start[term]
+        size = self.start[term + 1] - start
+        ends = np.cumsum(size)
+        at = np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+        found = np.bincount(self.text[at], self.impact[at], minlength=len(self.matrix))
+        if self.matrix.shape[1]:
+            if seed not in self.asked:
+                self.ask(np.array([seed]))
+            found = found + self.asked[seed]
+        return found[self.row]
 
     def forget(self, unused: np.ndarray) -> None:
-        """Postings of texts that no unused document has leave the index."""
-        stay = (np.bincount(self.member, unused, minlength=self.n) > 0)[self.text]
-        self.start = np.concatenate([[0], np.cumsum(stay)])[self.start].tolist()
-        self.text, self.impact = self.text[stay], self.impact[stay]
+        """Texts that no unused document has leave the index."""
+        rows = len(self.matrix)
+        stay = np.bincount(self.row, unused, minlength=rows) > 0
+        number = np.cumsum(stay, dtype=np.int32) - 1
+        kept = stay[self.text]
+        self.start = np.concatenate([[0], np.cumsum(kept)])[self.start]
+        self.text, self.impact = number[self.text[kept]], self.impact[kept]
+        self.matrix, self.row, self.asked = self.matrix[stay], np.maximum(number[self.row], 0), {}
 
 
 def fill(left: np.ndarray, found: Retrieval, width: int) -> list[list[tuple[int, int]]]:
@@ -259,29 +384,35 @@ def fill(left: np.ndarray, found: Retrieval, width: int) -> list[list[tuple[int,
     documents' remainders, below ``width``. Neighbours go down the whole ranking until the sequence is full."""
     left, out = left.copy(), []
     indexed = len(left)
-    for seed in np.argsort(-left, kind="stable"):
+    waiting = int(np.count_nonzero(left))
+    order = np.argsort(-left, kind="stable")
+    for turn, seed in enumerate(order.tolist()):
         if not left[seed]:
             continue
-        window, room = [(int(seed), int(left[seed]))], width - int(left[seed])
-        left[seed] = 0
-        waiting = np.count_nonzero(left)
+        window, room = [(seed, int(left[seed]))], width - int(left[seed])
+        waiting -= 1
         if 2 * waiting < indexed:
             found.forget(left > 0)
             indexed = waiting
         if room and waiting:
-            score = found.scores(int(seed))
-        while room and left.any():
+            if seed not in found.asked:
+                coming = order[turn:turn + 2 * SEEDS]
+                found.ask(coming[left[coming] > 0][:SEEDS])
+            score = found.scores(seed)
+        left[seed] = 0
+        while room and waiting:
             s = np.where(left > 0, score, -1.0)
             near = np.argpartition(-s, NEAR)[:NEAR] if len(s) > NEAR else np.arange(len(s))
             near = near[np.lexsort((near, -s[near]))]
             near = near[left[near] > 0]
             for whole in (True, False):
-                for d in near:
+                for d in near.tolist():
                     take = min(room, int(left[d]))
                     if take and (take == left[d] or not whole):
-                        window.append((int(d), take))
+                        window.append((d, take))
                         left[d] -= take
                         room -= take
+                        waiting -= not left[d]
         out.append(window)
     return out
 
@@ -373,16 +504,15 @@ def deal(docs: DataFrame, scratch: Scratch, shard_docs: int) -> tuple[DataFrame,
     n = docs.count()
     shards = max(1, -(-n // shard_docs))
     depth = min(DEPTH, 2 + (shards - 1).bit_length()) if shards > 1 else 0
-    weight, tree = np.zeros(TERMS), Tree(np.zeros((0, DIMS), np.float32), 0)
-    if depth:  # about SAMPLE_DOCS rows, drawn by row, so that copies are drawn as often as they occur
-        sample = scratch.save(source.where(F.pmod(F.xxhash64("row"), F.lit(max(1, n // SAMPLE_DOCS))) == 0).select("text"), "sample")
-        seen = sample.mapInArrow(_sample_frequencies, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-        f = seen.n.to_numpy(float)
-        weight[seen.term.to_numpy(int)] = np.log1p((sample.count() - f + 0.5) / (f + 0.5)).clip(0)
-        found = sample.mapInArrow(partial(_sketches, weight), "x binary").toArrow().column(0)
-        tree = Tree(np.array([np.frombuffer(x.as_py(), np.float32) for x in found]).reshape(-1, DIMS), depth)
-    survey = scratch.save(source.mapInArrow(partial(_survey, weight, tree), "place bigint, doc_id bigint, text string, row bigint, "
+    survey = scratch.save(source.mapInArrow(partial(_survey, depth > 0), "doc_id bigint, text string, terms binary, row bigint, "
                                             "word bigint, n bigint, length bigint"), "survey")
+    place = F.lit(0).cast("bigint")
+    if depth:
+        seen = survey.where("word is not null").groupBy(F.shiftrightunsigned("word", 48).alias("term")).agg(F.sum("n").alias("n")).toPandas()
+        weight, f = np.zeros(TERMS), seen.n.to_numpy(float)
+        weight[seen.term.to_numpy(int)] = np.log1p((n - f + 0.5) / (f + 0.5)).clip(0)
+        tree = fit_tree(survey.where("row is not null").select("terms"), weight, depth, scratch)
+        place = F.pandas_udf(lambda terms: pd.Series(tree.place(terms.tolist())), "bigint")("terms")
     counts = scratch.save(survey.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "counts")
     # 64 classes of frequency an octave, some thousand rows at most; then the classes that hold FREQUENT words or fewer
     octave = F.floor(F.log2("n") * 64)
@@ -392,7 +522,8 @@ def deal(docs: DataFrame, scratch: Scratch, shard_docs: int) -> tuple[DataFrame,
     length = survey.agg(F.sum("length")).first()[0] or 0
     corpus = Corpus(n, length / max(1, n), top.word.to_numpy(np.int64).view(np.uint64), top.n.to_numpy(float))
     order = [F.col("place"), F.xxhash64("text"), F.col("row")]
-    dealt = survey.where("row is not null").repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    placed = survey.where("row is not null").select(place.alias("place"), "doc_id", "text", "row")
+    dealt = placed.repartitionByRange(shards, *order).sortWithinPartitions(*order)
     return dealt.select(F.spark_partition_id().cast("bigint").alias("shard"), "doc_id", "text"), corpus
 
 
