@@ -221,3 +221,11 @@ def test_words_of_many_documents_score_by_the_matrix(monkeypatch):
     found.forget(left)
     found.ask(np.array([0, 6]))
     assert np.allclose(found.scores(6)[left], plain.scores(6)[left])
+
+
+def test_a_shard_keeps_its_terms_narrow_and_lets_them_go():
+    shard = P._Shard(0, 1024)
+    assert list(shard.add([1, 2], pa.array(["sea wind", "sea salt sea"]), P.encoder(PATH))) == []
+    assert [x.dtype for x in shard.terms[0]] == [np.int32, np.uint64, np.int32]
+    pieces = list(shard.finish(P.Corpus(2, 2.5, np.zeros(0, np.uint64), np.zeros(0))))
+    assert sorted(p[0] for p in pieces) == [1, 2] and shard.terms == []

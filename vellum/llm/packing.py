@@ -34,6 +34,8 @@ SHARD_DOCS = 10_240
 FREQUENT = 1 << 18
 #: Words of more documents of a shard than this (and than a twentieth of them) are columns of a matrix; so many seeds ask at once.
 OFTEN, SEEDS = 512, 64
+#: Entries of the index that are weighted at a time, so that its building needs little more memory than it.
+PART = 1 << 18
 #: Neighbours that are looked at together: those that fit whole go before one is cut.
 NEAR = 10
 #: The deal: hashed terms, dimensions of a sketch, the corpus' main axes that the tree sees, its greatest depth.
@@ -324,11 +326,17 @@ class Retrieval:
     def __init__(self, text: np.ndarray, word: np.ndarray, times: np.ndarray, length: np.ndarray, member: np.ndarray, corpus: Corpus) -> None:
         texts = len(length)
         own, term = coded(word)
-        here = np.bincount(term, np.bincount(member, minlength=texts)[text], minlength=len(own))
+        copies, here = np.bincount(member, minlength=texts), np.zeros(len(own))
+        for at in range(0, len(term), PART):
+            here += np.bincount(term[at:at + PART], copies[text[at:at + PART]], minlength=len(own))
         idf = corpus.idf(own, here)
         shared = here[term] > 1
-        text, term, times = text[shared].astype(np.int32), term[shared], times[shared]
-        impact = idf[term] * times * (K1 + 1) / (times + K1 * (1 - B + B * length[text] / corpus.mean))
+        text, term, times = text[shared].astype(np.int32, copy=False), term[shared], times[shared].astype(np.int32, copy=False)
+        impact, norm = np.empty(len(term)), K1 * (1 - B + B * length / corpus.mean)
+        for at in range(0, len(term), PART):
+            part = slice(at, at + PART)
+            impact[part] = idf[term[part]] * times[part] * (K1 + 1) / (times[part] + norm[text[part]])
+        del shared, times
         # the matrix: a row per text that some document still has
         often = np.flatnonzero(here > max(OFTEN, len(member) // 20))
         place = np.full(len(own), -1, np.int32)
@@ -338,6 +346,7 @@ class Retrieval:
         self.matrix = np.zeros((texts, len(often)), np.float32)
         self.matrix[text[dense], column[dense]] = impact[dense]
         text, term, impact = text[~dense], term[~dense], impact[~dense]
+        del column, dense
         self.member, self.row = member, member
         self.query, self.first = term, np.searchsorted(text, np.arange(texts + 1))
         key = term.astype(np.int64) << 32 | np.arange(len(term))
@@ -434,7 +443,7 @@ class _Shard:
         new = [k for k, t in enumerate(texts) if t != (texts[k - 1] if k else self.last)]
         tokens = dict(zip(new, encode([texts[k] for k in new]), strict=True))
         text, word, times, total = term_counts(col.take(pa.array(new, pa.int64())))
-        self.terms.append((text + self.texts, word, times))
+        self.terms.append(((text + self.texts).astype(np.int32), word, times.astype(np.int32)))
         self.lengths.append(total)
         self.last = texts[-1]
         for k, doc_id in enumerate(ids):
@@ -452,8 +461,10 @@ class _Shard:
         return (doc_id, start, len(ids), size or len(whole), self.sequence, offset, ids.astype("<u4").tobytes())
 
     def finish(self, corpus: Corpus) -> Iterator[tuple]:
-        found = Retrieval(*(np.concatenate(x) for x in zip(*self.terms, strict=True)), np.concatenate(self.lengths),
-                          np.array(self.member), corpus)
+        text, word, times = (np.concatenate(x) for x in zip(*self.terms, strict=True))
+        self.terms = []
+        found = Retrieval(text, word, times, np.concatenate(self.lengths), np.array(self.member), corpus)
+        del text, word, times
         used = [0] * len(self.docs)
         for window in fill(np.array([len(d[3]) for d in self.docs]), found, self.width):
             offset = 0
