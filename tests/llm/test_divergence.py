@@ -85,3 +85,14 @@ def test_query_against_sql(spark):
     got = op13_source_divergence(spark, SF)
     assert got.columns == ["lang", "source", "part", "item", "value", "rank"]
     assert sorted(con.execute(ORACLE).fetchall()) == sorted(tuple(r) for r in got.collect())
+
+
+def test_least_strings_are_sought_among_distinct_ones(spark, rows, monkeypatch):
+    """No sort by digest over all rows: they are first grouped by string, in a hash table."""
+    from vellum.llm.common import Scratch
+
+    plans, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()) if name == "names" else None,
+                                                                save(self, df, name))[1])
+    audit(spark, rows)
+    assert plans[0].count("Aggregate") == 2 and "count(1)" in plans[0]

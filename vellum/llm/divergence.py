@@ -134,9 +134,12 @@ def term_counts(source: DataFrame, scratch: Scratch, min_docs: int, bits: int) -
     wanted = bit_array(bit_filter(kept, "digest", KEPT_BITS), KEPT_BITS)
     rows = scratch.save(source.mapInArrow(partial(_occurrences, bits, wanted), "lang string, source string, digest bigint, term string, count bigint, n_docs bigint"), "rows")
     key = ["lang", "digest"]
-    names = scratch.save(rows.groupBy(*key).agg(F.min("term").alias("lo"), F.max("term").alias("hi")).join(kept, key), "names")
-    shared = names.where("lo != hi").select(*key)
-    plain = rows.groupBy("lang", "source", "digest").agg(F.sum("count").alias("count")).join(names.where("lo = hi").select(*key), key)
+    # each string once first: a least or greatest string is found by sorting, which all rows would pay for (the count
+    # keeps Spark from leaving the first step out)
+    strings = rows.select(*key, "term").distinct()
+    names = scratch.save(strings.groupBy(*key).agg(F.min("term").alias("lo"), F.max("term").alias("hi"), F.count("*").alias("strings")).join(kept, key), "names")
+    shared = names.where("strings > 1").select(*key)
+    plain = rows.groupBy("lang", "source", "digest").agg(F.sum("count").alias("count")).join(names.where("strings = 1").select(*key), key)
     split = scratch.save(passing(rows, "digest", bit_filter(shared, "digest", SPLIT_BITS), SPLIT_BITS).join(shared, key)
                          .groupBy("lang", "source", "digest", "term").agg(F.sum("count").alias("count"), F.sum("n_docs").alias("n_docs")), "split")
     enough = split.groupBy(*key, "term").agg(F.sum("n_docs").alias("n")).where(F.col("n") >= min_docs).select(*key, "term")
