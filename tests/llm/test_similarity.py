@@ -167,3 +167,49 @@ def test_parities_of_many_short_sets():
         at += size
         assert (np.packbits(bits, bitorder="little").view(np.int64) == got[k]).all()
     assert np.stack(parities(h[:0], n[:0]), 1).shape == (0, PARTS // 64)
+
+
+def test_copies_of_one_text_leave_few_pairs(docs, monkeypatch):
+    """Copies that differ more and more from a text: whoever links with it is found by the leaders, so the pairs joined in full, and
+    those whose whole sets are compared, do not grow with the square of the group."""
+    r = random.Random(3)
+    base = [f"w{k}" for k in range(400)]
+    texts = [" ".join(base)]
+    for k in range(120):
+        own = list(base)
+        for at in r.sample(range(400), k % 61):
+            own[at] = f"x{k}-{at}"
+        texts.append(" ".join(own))
+    # long texts that share a passage alone
+    texts += [" ".join([f"y{k}-{i}" for i in range(900)] + base[:60] + [f"z{k}-{i}" for i in range(900)]) for k in range(40)]
+    r.shuffle(texts)
+    rows, save = {}, Scratch.save
+
+    def counted(self, df, name):
+        out = save(self, df, name)
+        rows[name] = out.count() if name == "pairs" or name.endswith("-salted") else None
+        return out
+
+    monkeypatch.setattr(Scratch, "save", counted)
+    got = check(docs(texts))
+    assert len({c for _, _, c in got}) < len(texts)
+    assert rows["pairs"] < 10
+    assert rows["links-salted"] < 10
+
+
+def test_sketches_bound_the_difference():
+    rnd = np.random.default_rng(5)
+    for size in (1, 5, 63, 64, 700, 3000):
+        a = rnd.integers(0, 1 << 63, size).astype(np.uint64) * np.uint64(2) + rnd.integers(0, 2, size).astype(np.uint64)
+        for kept in (0, size // 2, size - size // 9, size):
+            b = np.concatenate([a[:kept], rnd.integers(0, 1 << 63, size // 5).astype(np.uint64)])
+            n = np.array([size, 0, len(b)])
+            x, none, y = S.sketches(np.concatenate([a, b]), n).to_pylist()
+            apart = len(set(a.tolist()) ^ set(b.tolist()))
+            assert none == b""
+            assert not len(b) or S.differing(x, y) == S.differing(y, x) <= apart
+            assert S.differing(x, x) == 0
+        other = rnd.integers(0, 1 << 63, size).astype(np.uint64)
+        x, y = S.sketches(np.concatenate([a, other]), np.array([size, size])).to_pylist()
+        assert size < 500 or S.differing(x, y) > 0.7 * size
+    assert S.sketches(np.zeros(0, np.uint64), np.zeros(0, np.int64)).to_pylist() == []

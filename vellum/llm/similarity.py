@@ -12,14 +12,17 @@ Jaccard similarity t or more share a shingle among their first n - ceil(t n) + 1
    a size where its bits are all taken it spares none). A passage gives many lists with the same members; one
    of them is kept, the first in the common order.
 3. *Links.* Components are asked for, so not all pairs of a group of copies are built: first
-   every class is compared with one of the leaders of its shingles' lists (drawn by hash, other
-   ones for every list), the one it shares most lists with. Lists that lie inside one component have nothing more to give; the
-   remaining lists are joined in full, over pairs of different components.
+   every class is compared with one of the leaders of its shingles' lists, the one it shares most lists with. A list's
+   leaders are the member with the fewest shingles before this one (rarer ones: it has the least of its own, so it stands in
+   the middle of a group of copies), in the second round outside the list's largest component, and one drawn by hash. Lists that lie
+   inside one component have nothing more to give; in the remaining lists the members outside the largest component are joined with
+   all, over pairs of different components.
 4. *Filters*, all inside the index join's condition. Length: 100 min(n) >= 80 max(n).
    Positional: the shingles after the two prefix positions must still allow the overlap. Suffix:
    the sets are cut into ``PARTS`` parts at the same hash pivots, of which a class keeps the parities
    (64 bytes); a part whose parities differ holds a shingle of one set only, so the number of such
-   parts bounds the sets' difference from below. What is left is verified once per pair on the whole sets.
+   parts bounds the sets' difference from below. The pairs left meet a sketch with two to four parts a shingle, which is sharp for
+   long sets too, and what passes is verified once per pair on the whole sets.
 """
 
 from __future__ import annotations
@@ -40,10 +43,12 @@ COUNTERS = 1 << 16
 #: Parts of a set whose parities are kept, and sets whose parts are counted at a time.
 PARTS, BLOCK = 512, 512
 PARITIES = [f"g{i}" for i in range(PARTS // 64)]
+#: Most parts of a sketch: 32 KB for sets of 65,536 shingles or more.
+SKETCH = 1 << 18
 #: Bits of the filters for prefix shingles (8 MB) and for texts (1 MB).
 SHINGLE_BITS, TEXT_BITS = 1 << 26, 1 << 23
-#: Rounds of comparisons with leaders, and leaders of every index list.
-STAR_ROUNDS, LEADERS = 2, 2
+#: Rounds of comparisons with leaders.
+STAR_ROUNDS = 2
 #: Tasks that a class's pairs are dealt to.
 SALTS = 4
 
@@ -93,6 +98,40 @@ def parities(h: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
     return list(np.concatenate(out).T)
 
 
+def sketches(h: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Of every set (``n``: sizes, hashes end to end) the parities of its parts by the hashes' low bits; the number of parts is a
+    power of two, twice the size or more (up to ``SKETCH``). Halves of a sketch, one over the other, are a sketch of half the parts."""
+    parts = np.where(n > 0, np.minimum(1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64) + 1, SKETCH), 0)
+    parts = np.where(n > 0, np.maximum(parts, 64), 0)
+    out, ends = [np.zeros(0, np.uint8)], np.concatenate([[0], np.cumsum(n)])
+    for at in range(0, len(n), BLOCK):
+        own, size = n[at:at + BLOCK], parts[at:at + BLOCK]
+        cell = h[ends[at]:ends[at + len(own)]].astype(np.int64) & np.repeat(size - 1, own)
+        cell += np.repeat(np.cumsum(size) - size, own)
+        out.append(np.packbits((np.bincount(cell, minlength=size.sum()) & 1).astype(np.uint8), bitorder="little"))
+    offsets = np.concatenate([[0], np.cumsum(parts // 8)]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(np.concatenate(out))])
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """Parts whose parities differ in two sketches: at most the sets' difference."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if len(a) < len(b):
+        a, b = b, a
+    while len(a) > len(b):
+        a = a[:len(a) // 2] ^ a[len(a) // 2:]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _plausible(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (a, b, n1, n2, k1, k2) whose sketches allow the similarity, without sizes and sketches."""
+    for batch in batches:
+        both = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+        apart = np.array([differing(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int64)
+        overlap = (both - apart) // 2
+        yield batch.select([0, 1]).filter(pa.array(100 * overlap >= percent * (both - overlap)))
+
+
 def _distinct(part: pa.RecordBatch) -> pa.RecordBatch:
     """One row per text key (column 1), as the copies in a batch have the same set."""
     _, rows = np.unique(part.column(1).to_numpy(), return_index=True)
@@ -100,9 +139,9 @@ def _distinct(part: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _sizes(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per document (n, class key, text key, parities), and a task's shingle counters at its end."""
+    """A row per document (n, class key, text key, parities, sketch), and a task's shingle counters at its end."""
     schema = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("n", pa.int64()), ("c", pa.int64()),
-                        *((g, pa.int64()) for g in PARITIES), ("counter", pa.int32()), ("count", pa.int64())])
+                        *((g, pa.int64()) for g in PARITIES), ("sketch", pa.binary()), ("counter", pa.int32()), ("count", pa.int64())])
     seen = np.zeros(COUNTERS, np.int64)
 
     def rows(size, *values):
@@ -114,10 +153,10 @@ def _sizes(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             h, first = shingle_sets(part.column(2), k)
             np.add(seen, np.bincount(counter(h), minlength=COUNTERS), out=seen)
             n = np.diff(first)
-            yield rows(len(n), part.column(0), part.column(1), n, set_keys(h, first), *parities(h, n), None, None)
+            yield rows(len(n), part.column(0), part.column(1), n, set_keys(h, first), *parities(h, n), sketches(h, n), None, None)
     used = np.flatnonzero(seen)
     if len(used):
-        yield rows(len(used), None, None, None, None, *(None for _ in PARITIES), used, seen[used])
+        yield rows(len(used), None, None, None, None, *(None for _ in PARITIES), None, used, seen[used])
 
 
 def _entries(k: int, percent: int, ranks: np.ndarray, bits: np.ndarray | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,29 +204,39 @@ def _at_most(apart: Column) -> Column:
     return F.floor((F.col("n1").cast("bigint") + F.col("n2") - apart) / 2)
 
 
-def _candidates(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
-    """Pairs of index entries of one shingle, in different components, that pass all filters."""
+def _candidates(left: DataFrame, right: DataFrame, percent: int, once: bool = False) -> DataFrame:
+    """Pairs of index entries of one shingle, in different components, that pass all filters; with ``once`` those of two
+    members outside the list's largest component in one order."""
     side = lambda d, x, i: d.select(
         "s", F.struct("c", "n").alias(x), F.col("n").alias(f"n{i}"), F.col("pos").alias(f"p{i}"), F.col("root").alias(f"root{i}"),
-        *(F.col(g).alias(f"{g}_{i}") for g in PARITIES), *(["weight"] if i == 1 else []))
+        *(F.col(g).alias(f"{g}_{i}") for g in PARITIES), *(["weight"] if i == 1 else [F.col("main").alias("main2")]))
     a, b = side(left, "a", 1), side(right, "b", 2)
     length = 100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")
     position = _enough(F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2")).cast("bigint"), percent)
     apart = sum((F.bit_count(F.col(f"{g}_1").bitwiseXOR(F.col(f"{g}_2"))) for g in PARITIES[1:]),
                 F.bit_count(F.col(f"{PARITIES[0]}_1").bitwiseXOR(F.col(f"{PARITIES[0]}_2")))).cast("bigint")
     suffix = _enough(_at_most(apart), percent)
-    return a.join(b, (a.s == b.s) & (F.col("root1") != F.col("root2")) & length & position & suffix)
+    both = F.col("main2") | (F.col("a") < F.col("b")) if once else F.lit(True)
+    return a.join(b, (a.s == b.s) & (F.col("root1") != F.col("root2")) & both & length & position & suffix)
 
 
 class _Verifier:
-    """Checks pairs of classes on their whole sets. ``classes``: (c, n, t, doc_id), where (t, doc_id) is a
-    row with the class's text. Sets are read from the texts, once, for the classes of some pair."""
+    """Checks pairs of classes on their sketches, and what passes on their whole sets. ``classes``: (c, n, t, doc_id, sketch), where
+    (t, doc_id) is a row with the class's text. Sets are read from the texts, once, for the classes of some pair."""
 
     def __init__(self, source: DataFrame, classes: DataFrame, k: int, percent: int, scratch: Scratch) -> None:
         self.source, self.classes, self.k, self.percent, self.scratch, self.sets = source, classes, k, percent, scratch, None
 
+    def plausible(self, pairs: DataFrame) -> DataFrame:
+        """Pairs that their sketches let pass."""
+        own = lambda x, i: self.classes.select(F.struct("c", "n").alias(x), F.col("n").alias(f"n{i}"), F.col("sketch").alias(f"k{i}"))
+        node = "struct<c: bigint, n: int>"
+        return (pairs.join(own("a", 1), "a").join(own("b", 2), "b").select("a", "b", "n1", "n2", "k1", "k2")
+                .mapInArrow(partial(_plausible, self.percent), f"a {node}, b {node}"))
+
     def links(self, pairs: DataFrame, name: str) -> DataFrame:
         save, node = self.scratch.save, F.struct("c", "n")
+        pairs = save(self.plausible(pairs), f"{name}-plausible")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("x")).select("x.c", "x.n").distinct()
         if self.sets is not None:
             wanted = wanted.join(self.sets.select("c", "n"), ["c", "n"], "left_anti")
@@ -204,8 +253,10 @@ class _Verifier:
             return keys.join(self.sets, ["c", "n"]).select(node.alias(x), salt, F.col("n").alias(size), F.col("shingles").alias(own))
 
         same = F.size(F.array_intersect("x1", "x2")).cast("bigint")
-        return save(salted.join(with_set("a", "s1", "n1", "x1"), ["a", "s1"]).join(with_set("b", "s2", "n2", "x2"), ["b", "s2"])
-                    .where(_enough(same, self.percent)).select("a", "b").distinct(), name)
+        found = save(salted.join(with_set("a", "s1", "n1", "x1"), ["a", "s1"]).join(with_set("b", "s2", "n2", "x2"), ["b", "s2"])
+                     .where(_enough(same, self.percent)).select("a", "b").distinct(), name)
+        self.scratch.drop(f"{name}-plausible", f"{name}-texts", f"{name}-salted")
+        return found
 
 
 def _distinct_lists(index: DataFrame, scratch: Scratch) -> DataFrame:
@@ -221,30 +272,35 @@ def _distinct_lists(index: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _rooted(index: DataFrame, links: DataFrame | None, classes: DataFrame | None, scratch: Scratch, name: str) -> DataFrame:
     """The index (s, c, n, pos) with each class's component (and parities, once ``classes`` is there), without
-    lists that lie inside one component."""
+    lists that lie inside one component. ``main``: whether it is the largest component of the list's (there is none before links)."""
     node = F.struct("c", "n")
     if links is None:
-        rooted = index.withColumn("root", node)
+        rooted = index.withColumns({"root": node, "members": F.lit(1).cast("bigint")})
     else:
         roots = components(links, scratch, name)
-        rooted = (index.withColumn("node", node).join(roots, "node", "left")
-                  .withColumn("root", F.coalesce("root", "node")).drop("node"))
+        sized = roots.join(roots.groupBy("root").agg(F.count("*").alias("members")), "root")
+        rooted = (index.withColumn("node", node).join(sized, "node", "left")
+                  .withColumns({"root": F.coalesce("root", "node"), "members": F.coalesce("members", F.lit(1))}).drop("node"))
     rooted = scratch.save(rooted, f"{name}-rooted")
-    open_lists = scratch.save(rooted.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("s"), f"{name}-open")
-    kept = rooted.join(open_lists, "s")
+    lists = rooted.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max(F.struct("members", "root")).alias("m"))
+    open_lists = scratch.save(lists.where("x != y").select("s", F.col("m.root").alias("largest")), f"{name}-open")
+    largest = F.col("root") == F.col("largest") if links is not None else F.lit(False)
+    kept = rooted.join(open_lists, "s").withColumn("main", largest).drop("members", "largest")
     if classes is not None:
         kept = kept.join(classes.select("c", "n", *PARITIES), ["c", "n"])
-    return scratch.save(kept, f"{name}-index")
+    kept = scratch.save(kept, f"{name}-index")
+    scratch.drop(f"{name}-rooted", f"{name}-open")
+    return kept
 
 
-def _grouped(docs: DataFrame, k: int, percent: int, key: str, text: str) -> DataFrame:
-    """(doc_id, t, n, root, component_id) for every row; root and component_id null without words."""
-    scratch = Scratch(docs.sparkSession, "jaccard")
+def _grouped(docs: DataFrame, k: int, percent: int, key: str, text: str, scratch: Scratch) -> DataFrame:
+    """(doc_id, t, n, root, component_id) for every row; root and component_id null without words. Of the tables written, it reads
+    "figures" and "by-class"."""
     raw = F.coalesce(F.col(text), F.lit(""))
     source = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.xxhash64(raw).alias("t"), raw.alias("text"))
     counted = scratch.save(source.mapInArrow(
-        partial(_sizes, k), f"doc_id bigint, t bigint, n bigint, c bigint, {', '.join(f'{g} bigint' for g in PARITIES)}, counter int, count bigint"), "sizes")
-    sizes = counted.where("counter IS NULL").select("doc_id", "t", F.col("n").cast("int").alias("n"), "c", *PARITIES)
+        partial(_sizes, k), f"doc_id bigint, t bigint, n bigint, c bigint, {', '.join(f'{g} bigint' for g in PARITIES)}, sketch binary, counter int, count bigint"), "sizes")
+    sizes = counted.where("counter IS NULL").select("doc_id", "t", F.col("n").cast("int").alias("n"), "c", *PARITIES, "sketch")
     # at most COUNTERS rows, whatever the input
     cells = counted.where("counter IS NOT NULL").groupBy("counter").agg(F.sum("count").alias("count")).toPandas()
     ranks = np.zeros(COUNTERS, np.int64)
@@ -257,18 +313,22 @@ def _grouped(docs: DataFrame, k: int, percent: int, key: str, text: str) -> Data
     found = scratch.save(entries.join(often, "s").distinct(), "found")
     scratch.drop("repeated")
     index = _distinct_lists(_rooted(found, None, None, scratch, "lists"), scratch)
-    classes = scratch.save(sizes.join(index.select("c", "n").distinct(), ["c", "n"]).groupBy("c", "n").agg(
-        F.min_by(F.struct("t", "doc_id", *PARITIES), F.struct("t", "doc_id")).alias("r")).select("c", "n", "r.*"), "candidates")
+    # a row per class before the join, as a class may have many copies
+    each = sizes.groupBy("c", "n").agg(F.min_by(F.struct("t", "doc_id", *PARITIES, "sketch"), F.struct("t", "doc_id")).alias("r"))
+    classes = scratch.save(each.join(index.select("c", "n").distinct(), ["c", "n"]).select("c", "n", "r.*"), "candidates")
     index = scratch.save(index.join(classes.select("c", "n", *PARITIES), ["c", "n"]), "index")
-    scratch.drop("found", "lists-rooted", "lists-open", "lists-index", "distinct-lists", "distinct")
+    scratch.drop("found", "lists-index", "distinct-lists", "distinct")
+    sizes = scratch.save(sizes.drop(*PARITIES, "sketch"), "figures")
+    scratch.drop("sizes")
     verifier = _Verifier(source, classes, k, percent, scratch)
 
     ordered = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = None
     for turn in range(STAR_ROUNDS):
-        # other leaders for every list and round: a class meets many members of its group
-        leader = lambda i: F.min_by(F.struct("root", "n", "c", "pos"), F.xxhash64(F.lit(i), "s", "c"))
-        drawn = F.array_distinct(F.array(*(leader(turn * LEADERS + i) for i in range(LEADERS))))
+        # one that stands first, outside the largest component; one drawn, another for every list and round
+        drawn_by = F.xxhash64(F.lit(turn), "s", "c")
+        leader = lambda *order: F.min_by(F.struct("root", "n", "c", "pos", "main"), F.struct(*order))
+        drawn = F.array_distinct(F.array(leader("main", "pos", "n", "c"), leader(drawn_by)))
         leaders = scratch.save(index.groupBy("s").agg(drawn.alias("l")).select("s", F.explode("l").alias("l")).select("s", "l.*")
                                .join(classes.select("c", "n", *PARITIES), ["c", "n"]), f"leaders{turn}")
         # each class with the leader it shares most lists with; the rest is for the join in full below
@@ -278,15 +338,17 @@ def _grouped(docs: DataFrame, k: int, percent: int, key: str, text: str) -> Data
         new = verifier.links(pairs, f"links{turn}")
         links = new if links is None else links.unionByName(new)
         index = _rooted(index.select("s", "c", "n", "pos", "weight"), links, classes, scratch, f"round{turn + 1}")
-    rest = scratch.save(ordered(_candidates(index, index, percent).where("a < b")), "pairs")
+        scratch.drop(f"leaders{turn}", f"pairs{turn}", f"round{turn}-index" if turn else "index")
+    rest = scratch.save(ordered(_candidates(index.where("NOT main"), index, percent, once=True)), "pairs")
     links = links.unionByName(verifier.links(rest, "links"))
+    scratch.drop("pairs", f"round{STAR_ROUNDS}-index", *(f"links{x}-sets" for x in ("", *range(STAR_ROUNDS))), "candidates")
 
     roots = components(links, scratch, "final").select(F.col("node.c").alias("c"), F.col("node.n").alias("n"), "root")
-    sizes = sizes.drop(*PARITIES)
     least = sizes.where("n > 0").groupBy("c", "n").agg(F.min("doc_id").alias("least"))
     linked = scratch.save(least.join(roots, ["c", "n"], "left").withColumn("root", F.coalesce("root", F.struct("c", "n"))), "classes")
     whole = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     by_class = scratch.save(linked.join(whole, "root").select("c", "n", "root", "component_id"), "by-class")
+    scratch.drop("classes")
     return sizes.join(by_class, ["c", "n"], "left").select("doc_id", "t", "n", "root", "component_id")
 
 
@@ -300,7 +362,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str
     none. Other columns are ignored, whatever their names. Very long texts are read whole; the shingles of one
     document are made and kept by one task.
     """
-    return _grouped(docs, k, percent, key, text).select(
+    return _grouped(docs, k, percent, key, text, Scratch(docs.sparkSession, "jaccard")).select(
         "doc_id", F.col("n").cast("bigint").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -309,9 +371,11 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_
     """The rows of ``docs`` without near copies: of every component the row with the least id (null last; of rows
     equal in id the least text hash, of equal rows one). Rows without words are no copies and all stay. Columns keep their
     names, whatever these are; an empty table gives none."""
-    grouped = _grouped(docs, k, percent, key, text).where("n > 0")
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    grouped = _grouped(docs, k, percent, key, text, scratch).where("n > 0")
     least = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("t"))).alias("m"))
-    keepers = Scratch(docs.sparkSession, "jaccard").save(least.select(F.col("m.doc_id").alias("id"), F.col("m.t").alias("t")), "keepers")
+    keepers = scratch.save(least.select(F.col("m.doc_id").alias("id"), F.col("m.t").alias("t")), "keepers")
+    scratch.drop("figures", "by-class")
     raw = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     # the row travels as one column, so that its columns may have any names
     marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64(raw).alias("own_t"),
