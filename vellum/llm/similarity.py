@@ -236,7 +236,9 @@ class _Verifier:
 
     def links(self, pairs: DataFrame, name: str) -> DataFrame:
         save, node = self.scratch.save, F.struct("c", "n")
-        pairs = save(self.plausible(pairs), f"{name}-plausible")
+        # a class with many partners meets them in several tasks: its set goes to each of its salts
+        salts = {"s1": F.pmod(F.xxhash64("b"), F.lit(SALTS)), "s2": F.pmod(F.xxhash64("a"), F.lit(SALTS))}
+        pairs = save(self.plausible(pairs).withColumns(salts), f"{name}-salted")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("x")).select("x.c", "x.n").distinct()
         if self.sets is not None:
             wanted = wanted.join(self.sets.select("c", "n"), ["c", "n"], "left_anti")
@@ -245,17 +247,15 @@ class _Verifier:
         texts = near.join(rows, (F.col("t") == F.col("t1")) & F.col("doc_id").eqNullSafe(F.col("d1"))).select("doc_id", "t", "text")
         new = save(texts.mapInArrow(partial(_whole_sets, self.k), "c bigint, n int, shingles array<bigint>"), f"{name}-sets")
         self.sets = new if self.sets is None else self.sets.unionByName(new)
-        # a class with many partners meets them in several tasks: its set goes to each of its salts
-        salted = save(pairs.withColumn("s1", F.pmod(F.xxhash64("b"), F.lit(SALTS))).withColumn("s2", F.pmod(F.xxhash64("a"), F.lit(SALTS))), f"{name}-salted")
 
         def with_set(x: str, salt: str, size: str, own: str) -> DataFrame:
-            keys = salted.select(F.col(f"{x}.c").alias("c"), F.col(f"{x}.n").alias("n"), salt).distinct()
+            keys = pairs.select(F.col(f"{x}.c").alias("c"), F.col(f"{x}.n").alias("n"), salt).distinct()
             return keys.join(self.sets, ["c", "n"]).select(node.alias(x), salt, F.col("n").alias(size), F.col("shingles").alias(own))
 
         same = F.size(F.array_intersect("x1", "x2")).cast("bigint")
-        found = save(salted.join(with_set("a", "s1", "n1", "x1"), ["a", "s1"]).join(with_set("b", "s2", "n2", "x2"), ["b", "s2"])
+        found = save(pairs.join(with_set("a", "s1", "n1", "x1"), ["a", "s1"]).join(with_set("b", "s2", "n2", "x2"), ["b", "s2"])
                      .where(_enough(same, self.percent)).select("a", "b").distinct(), name)
-        self.scratch.drop(f"{name}-plausible", f"{name}-texts", f"{name}-salted")
+        self.scratch.drop(f"{name}-texts", f"{name}-salted")
         return found
 
 
