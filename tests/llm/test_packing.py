@@ -229,3 +229,17 @@ def test_a_shard_keeps_its_terms_narrow_and_lets_them_go():
     assert [x.dtype for x in shard.terms[0]] == [np.int32, np.uint64, np.int32]
     pieces = list(shard.finish(P.Corpus(2, 2.5, np.zeros(0, np.uint64), np.zeros(0))))
     assert sorted(p[0] for p in pieces) == [1, 2] and shard.terms == []
+
+
+def test_ids_of_odd_white_space_and_marks():
+    """The pattern without backtracking cuts as the file's own library does."""
+    import random
+
+    path, r = public_tokenizers.path("byte_bpe_50k.json"), random.Random(4)
+    bits = [" ", "  ", "\n", "\r\n", "\t", "\x0b", " ", " ", "　", "'s", "'S", "'t", "'re", "'ve", "'m", "'ll", "'d", "'", "''", "a", "Zz", "é", "日本",
+            "7", "٣", "½", "_", "-", "...", "\U0001f600", "é", "\x00", "\x85"]
+    texts = ["", *bits, *("".join(r.choices(bits, k=r.randint(1, 30))) for _ in range(3000))]
+    own = P.Encoder(path)
+    assert own.fast is not None
+    for text, found, want in zip(texts, own(texts), Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False), strict=True):
+        assert found.tolist() == want.ids, text
