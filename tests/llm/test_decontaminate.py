@@ -185,3 +185,42 @@ def test_passes_are_bounded(monkeypatch):
     monkeypatch.setattr(D, "ENTRIES", 50)
     parts = [[(k, " ".join(f"w{j}" for j in range(n)))] for k, n in enumerate([5, 4, 5, 20, 3])]
     assert [[i for own in g for i, _ in own] for g in D.passes(iter(parts))] == [[0, 1], [2], [3], [4]]
+
+
+def test_only_windows_near_the_threshold_are_projected():
+    """Few windows are projected into the latent space, and by brute force every one that reaches COSINE is among the candidates."""
+    items, texts, _ = corpus()
+    w = D.words(D.pa.array(texts), plain=True)
+    idf = np.random.default_rng(3).uniform(0.5, 3, D.TERMS)
+    vocabulary = D.vocabulary_of(items)
+    space = D.latent_space(np.zeros((len(vocabulary), len(vocabulary))), 0, items, idf)
+    projected = []
+
+    class Basis(np.ndarray):
+        def __getitem__(self, key):
+            projected.append(len(key))
+            return np.asarray(self)[key]
+
+    plain = space.basis
+    space.parts  # the words' shares
+    space.basis = plain.view(Basis)
+    got = {(int(a), int(b)) for _, start, end, _, _ in D.candidate_windows(w, space) for a, b in zip(start, end, strict=True)}
+    _, start, end = D.passages(w.first, D.STEP)
+    want = set()
+    for a, b in zip(start.tolist(), end.tolist(), strict=True):
+        h = np.unique(w.hash[a:b])
+        x, place = idf[D._term(h)], D.find(vocabulary, h)
+        cosine = (plain[place[place >= 0]] * x[place >= 0, None]).sum(0) @ space.vectors[space.size >= D.WIDTH].T / np.linalg.norm(x)
+        if cosine.max() >= D.COSINE:
+            want.add((a, b))
+    assert len(want) > 50 and {x for x in got if x in set(zip(start.tolist(), end.tolist(), strict=True))} >= want
+    assert sum(projected) < 2 * sum(b - a for a, b in got)
+
+
+def test_find_with_shared_first_bits():
+    rng = np.random.default_rng(5)
+    h = rng.integers(0, 40, 500).astype(np.uint64) | (rng.integers(0, 3, 500).astype(np.uint64) << np.uint64(48)) | np.uint64(0xFFFF << 48) * (rng.random(500) < 0.1)
+    vocabulary = np.unique(h[:60])
+    place = D.find(vocabulary, h)
+    assert all((vocabulary[p] == x) if p >= 0 else x not in vocabulary for p, x in zip(place, h, strict=True))
+    assert (D.find(np.zeros(0, np.uint64), h) == -1).all()

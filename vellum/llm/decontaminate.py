@@ -25,7 +25,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import cached_property, partial
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +46,8 @@ KEPT, SPACES = 0.9, 16
 #: (a block with more has a pass of its own), and corpus passages whose word pairs are added at a time.
 CORPUS_WEIGHT, ENTRIES, PAIRED = 0.25, 1 << 24, 2048
 COSINE, COVER, ANSWER = 0.6, 0.6, 0.5
+#: What rounding may take from a cosine that is found as a sum of its words' shares.
+SLACK = 1e-3
 LEAK = "struct<item_id:bigint,start:bigint,n_words:bigint,similarity:double,cover:double,answer:double>"
 
 
@@ -59,8 +61,9 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
             w = words(part.column(0), plain=True)
-            doc = np.repeat(np.arange(part.num_rows), np.diff(w.first))
-            seen += np.bincount(np.unique(doc * TERMS + _term(w.hash)) % TERMS, minlength=TERMS)
+            term, edges = _term(w.hash), w.first.tolist()
+            for a, b in zip(edges, edges[1:], strict=False):
+                seen[term[a:b]] += 1  # a term of the document counts once
             n += part.num_rows
     used = np.flatnonzero(seen)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(seen[used], n))], names=["term", "n"])
@@ -91,8 +94,15 @@ def find(vocabulary: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Place of each word hash in the sorted vocabulary, -1 without one."""
     if not len(vocabulary):
         return np.full(len(h), -1, np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == h, at, -1)
+    # by their first 16 bits; where some of the vocabulary share them, the next places in turn
+    term = _term(vocabulary)
+    first = np.searchsorted(term, np.arange(TERMS))
+    at = first.astype(np.int32)[_term(h)]
+    out = np.full(len(h), -1, np.int64)
+    for k in range(int(np.bincount(term).max())):
+        place = np.minimum(at + k, len(vocabulary) - 1)
+        np.copyto(out, place, where=vocabulary[place] == h)
+    return out
 
 
 def _rows(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,6 +146,14 @@ class Space:
     owner: np.ndarray
     size: np.ndarray
 
+    @cached_property
+    def parts(self) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """By width of their windows: item passages, their vectors, and of every word of the vocabulary its share in the cosine with each
+        of them, before weights."""
+        width = np.minimum(self.size, WIDTH)
+        own = [(w, np.flatnonzero(width == w)) for w in np.unique(width).tolist()]
+        return [(w, to, self.vectors[to], self.basis @ self.vectors[to].T) for w, to in own]
+
 
 def answer_of(text: str) -> str:
     """The last sentence, or the last third of the words if there is but one."""
@@ -282,30 +300,47 @@ def candidate_windows(w, space: Space, again: np.ndarray | None = None) -> Itera
     # a window's word counts once: no more than all are known, and the norm is no less than without the repeated
     known = np.concatenate([[0.0], np.cumsum(np.where(place >= 0, weight ** 2, 0.0))])
     norm = np.concatenate([[0.0], np.cumsum(np.where(again, 0.0, weight ** 2))]) * (1 - 1e-9)
-    for width in np.unique(np.minimum(space.size, WIDTH)).tolist():
-        to = np.flatnonzero(np.minimum(space.size, WIDTH) == width)
-        for found in _compared(w, space, place, weight, to, *live_windows(w.first, STEP if width == WIDTH else 1, width, known, norm)):
+    for width, to, vectors, shares in space.parts:
+        doc, start, end = live_windows(w.first, STEP if width == WIDTH else 1, width, known, norm)
+        live = np.ones(len(doc), bool)
+        if width == WIDTH:
+            # nor can a cosine be more than the sum of its words' best shares
+            best = np.append(shares.max(axis=1, initial=0), 0.0)[place] * weight
+            best = np.concatenate([[0.0], np.cumsum(best)])
+            live = best[end] - best[start] >= (COSINE - SLACK) * np.sqrt(np.maximum(norm[end] - norm[start], 0))
+        for found in _compared(w, space, place, weight, vectors, shares, doc, start, end, live):
             yield *found, to
 
 
-def _compared(w, space: Space, place: np.ndarray, weight: np.ndarray, to: np.ndarray, doc: np.ndarray, start: np.ndarray,
-              end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(document, start, end, cosine with the passages ``to``) of the given windows that reach COSINE with any."""
-    vectors = space.vectors[to]
+def _compared(w, space: Space, place: np.ndarray, weight: np.ndarray, vectors: np.ndarray, shares: np.ndarray, doc: np.ndarray, start: np.ndarray,
+              end: np.ndarray, live: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(document, start, end, cosine with the passages of ``vectors``) of the ``live`` ones of the given windows that reach COSINE with any."""
     for k in range(0, len(doc), 1024):
         own = slice(k, min(k + 1024, len(doc)))
-        n = own.stop - own.start
-        at, row = _rows(start[own], end[own])
+        n, chosen = own.stop - own.start, np.flatnonzero(live[own])
+        at, row = _rows(start[own][chosen], end[own][chosen])
+        row = chosen[row]
         # every word of a window counts once
         _, order = np.unique((row.astype(U) << U(54)) | (w.hash[at] >> U(10)), return_index=True)
         at, row = at[order], row[order]
         length = np.sqrt(np.bincount(row, weight[at] ** 2, minlength=n))
         keep = place[at] >= 0
         at, row = at[keep], row[keep]
+        if not len(at):
+            continue
+        # the cosine but for rounding, from the words' shares: only windows near COSINE or above it are projected
+        head = np.flatnonzero(np.diff(row, prepend=-1))
+        share = np.add.reduceat(shares[place[at]] * weight[at].astype(np.float32)[:, None], head, axis=0).max(axis=1)
+        near = np.zeros(n, bool)
+        near[row[head]] = share >= (COSINE - SLACK) * length[row[head]]
+        if not near.any():
+            continue
+        keep = near[row]
+        at, row = at[keep], row[keep]
         head = np.flatnonzero(np.diff(row, prepend=-1))
         latent = np.zeros((n, space.basis.shape[1]), np.float32)
         latent[row[head]] = np.add.reduceat(space.basis[place[at]] * weight[at].astype(np.float32)[:, None], head, axis=0)
-        cosine = (latent @ vectors.T) / length[:, None]
+        cosine = (latent @ vectors.T) / np.where(near, length, 1.0)[:, None]
         hit = np.flatnonzero(cosine.max(axis=1) >= COSINE)
         yield doc[own][hit], start[own][hit], end[own][hit], cosine[hit]
 
