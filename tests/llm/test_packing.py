@@ -243,3 +243,33 @@ def test_ids_of_odd_white_space_and_marks():
     assert own.fast is not None
     for text, found, want in zip(texts, own(texts), Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False), strict=True):
         assert found.tolist() == want.ids, text
+
+
+def test_white_space_is_looked_ahead_for_only_in_runs():
+    """Texts without two white-space characters in a row take the faster pattern as they are, others between their runs; same ids."""
+    texts = ["one two\tthree\n", " a\u3000b c's ", "x\u2009\u2009y", "a \n\n b", "a  ", "  ", "\u00a0 z", "caf\u00e9 \u201cq\u201d", "", "t <|endoftext|>  u"]
+    flags = P.runs_of_space(texts).tolist()
+    assert flags == [False, True, True, True, True, True, True, True, False, True]
+    own = P.Encoder(PATH)
+    for text, found in zip(texts, own(texts), strict=True):
+        assert found.tolist() == SLOW.encode(text, add_special_tokens=False).ids == own.one(text).tolist(), text
+    own.fast = None  # only runs and special tokens go there
+    assert own.single.decode(own.one(texts[0], False).tolist()) == texts[0]
+
+
+def test_counts_of_words_are_summed_by_ranges_of_their_hash(spark, docs):
+    """The corpus' frequencies against plain Python, over texts in several tasks; words of one document are left out."""
+    texts = [f"w{k % 9} w{k % 9} v{k % 50} only{k} ALL" for k in range(400)]
+    frame = docs(texts).select("doc_id", "text").repartition(5)
+    _, corpus = P.deal(frame, Scratch(spark, "test"), 10_000)
+    want = Counter(w for t in texts for w in set(t.lower().split()))
+    hashes = {w: int(P.words(pa.array([w])).hash[0]) for w in want}
+    assert dict(zip(corpus.word.tolist(), corpus.frequency.tolist(), strict=True)) == {hashes[w]: n for w, n in want.items() if n > 1}
+    word = np.random.default_rng(2).integers(-2**63, 2**63 - 1, 3000)
+    own = np.sort(word.view(np.uint64)).view(np.int64)
+    table = np.empty(3000, P._COUNTED)
+    table["word"], table["n"] = own, 1
+    out = pa.Table.from_batches(P._dealt(16, iter([pa.RecordBatch.from_arrays([pa.array([table.tobytes()])], names=["words"])]))).to_pylist()
+    assert [r["part"] for r in out] == list(range(16)) and b"".join(r["words"] for r in out) == table.tobytes()
+    for r in out:
+        assert {int(x) >> 60 for x in np.frombuffer(r["words"], P._COUNTED)["word"].view(np.uint64)} == {r["part"]}

@@ -40,14 +40,14 @@ class Scratch:
         target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as Parquet and return the written table. The shuffle files of the job go
+    def save(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        """Write ``df`` as Parquet (with the writer's ``options``) and return the written table. The shuffle files of the job go
         when it ends: nothing reads them again, as the table cuts the lineage."""
         path, conf, key = f"{self.root}/{name}", self.spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
         before = conf.get(key, None)
         conf.set(key, "true")
         try:
-            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+            df.write.mode("overwrite").options(compression="zstd", **options).parquet(path)
         finally:
             conf.unset(key) if before is None else conf.set(key, before)
         return self.spark.read.schema(df.schema).parquet(path)

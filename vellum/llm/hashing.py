@@ -18,7 +18,8 @@ import xxhash
 from vellum.llm.common import bytes_of
 
 U = np.uint64
-_BLOCK = 1 << 20
+#: Bytes that are hashed at a time: what a processor's cache holds of their sums.
+_BLOCK = 1 << 16
 #: Words above this many bytes are hashed one by one.
 LONG_WORD = 1 << 16
 
@@ -51,7 +52,7 @@ def powers(radix: int, n: int, inverse: bool = False) -> np.ndarray:
         base = np.full(size, (_INVERSE if inverse else _RADIX)[radix], U)
         base[0] = 1
         have = np.cumprod(base, dtype=U)
-        if size <= 4 * _BLOCK:
+        if size <= 1 << 22:
             _powers[(radix, inverse)] = have
     return have[:n]
 

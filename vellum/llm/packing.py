@@ -15,6 +15,7 @@ What lies in another shard is not found. Up to ``SHARD_DOCS`` documents, retriev
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import partial
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import Scratch, read, slices
+from vellum.llm.common import Scratch, bytes_of, read, slices
 from vellum.llm.hashing import U, words
 
 #: Documents of one shard, about: what one task's index holds.
@@ -46,6 +47,26 @@ UNIT, BLOCK = 4096, 1 << 12
 K1, B = 1.2, 0.75
 
 
+#: White space, as the usual pattern has it.
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def runs_of_space(texts: list[str]) -> np.ndarray:
+    """Whether a text may hold two white-space characters in a row: any with two of ASCII, or with another that may be white space."""
+    data, offsets = bytes_of(pa.array(texts, pa.string()))
+    space, out = (data == 32) | ((data >= 9) & (data <= 13)), np.zeros(len(texts), bool)
+    wide = np.flatnonzero((data >= 0xC2) & (data <= 0xE3))
+    second = data[wide + 1]  # of two bytes or three: one follows
+    lead = data[wide]
+    wide = wide[((lead == 0xC2) & ((second == 0x85) | (second == 0xA0))) | ((lead == 0xE1) & (second == 0x9A)) | ((lead == 0xE2) & (second >> 1 == 0x40))
+                | ((lead == 0xE3) & (second == 0x80))]
+    two, edges = space[1:] & space[:-1], offsets[1:-1]
+    two[edges[(edges > 0) & (edges < len(data))] - 1] = False
+    at = np.concatenate([np.flatnonzero(two), wide])
+    out[np.searchsorted(offsets, at, side="right") - 1] = True
+    return out
+
+
 class Encoder:
     """Ids of a byte-level BPE file of the ``tokenizers`` library.
 
@@ -56,6 +77,10 @@ class Encoder:
 
     #: The usual pattern ('s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+) without backtracking.
     PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+    #: The same where no two white-space characters stand in a row: nothing to look ahead for, which is twice as fast.
+    SINGLE = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"
+    #: Of a run of white space what is a token's text by itself.
+    RUNS = re.compile(f"[{SPACE}]+(?=[{SPACE}][^{SPACE}])|[{SPACE}]{{2,}}\\Z")
 
     def __init__(self, path: str) -> None:
         import os
@@ -69,8 +94,9 @@ class Encoder:
 
             letters = self.byte_letters()
             ranks = {bytes(letters[c] for c in token): k for token, k in spec["model"]["vocab"].items() if token not in self.special}
-            self.fast = tiktoken.Encoding("own", pat_str=self.PATTERN, mergeable_ranks=ranks,
-                                          special_tokens={t["content"]: t["id"] for t in spec["added_tokens"]})
+            self.fast, self.single = (tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks,
+                                                        special_tokens={t["content"]: t["id"] for t in spec["added_tokens"]})
+                                      for pattern in (self.PATTERN, self.SINGLE))
         else:
             from tokenizers import Tokenizer
 
@@ -98,8 +124,21 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if self.fast is None:
             return [np.array(e.ids, np.uint32) for e in self.slow.encode_batch(texts, add_special_tokens=False)]
-        return [self.fast.encode_to_numpy(t, allowed_special="all" if any(s in t for s in self.special) else set(), disallowed_special=())
-                for t in texts]
+        return [self.one(t, r) for t, r in zip(texts, runs_of_space(texts).tolist(), strict=True)]
+
+    def one(self, text: str, runs: bool = True) -> np.ndarray:
+        """``runs``: whether the text may hold two white-space characters in a row."""
+        if any(s in text for s in self.special):
+            return self.fast.encode_to_numpy(text, allowed_special="all", disallowed_special=())
+        if not runs:
+            return self.single.encode_to_numpy(text, disallowed_special=())
+        # a run is a token of its own but for its last character, at the text's end with it
+        out, start = [], 0
+        for run in self.RUNS.finditer(text):
+            out += [self.single.encode_to_numpy(text[start:run.start()], disallowed_special=()), self.fast.encode_to_numpy(run[0], disallowed_special=())]
+            start = run.end()
+        out.append(self.single.encode_to_numpy(text[start:], disallowed_special=()))
+        return np.concatenate(out) if len(out) > 1 else out[0]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -124,16 +163,15 @@ def coded(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def term_counts(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, word hash, times it occurs) of every text's distinct words, text by text, and the texts' word counts."""
     w = words(col, lower=True)
-    total = np.diff(w.first)
-    own, number = coded(w.hash)
-    each = max(1, len(own))
-    key = np.repeat(np.arange(len(total)) * each, total) + number
-    key.sort()
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
+    word, total = w.hash, np.diff(w.first)
+    edges = w.first.tolist()
+    for a, b in zip(edges, edges[1:], strict=False):
+        word[a:b].sort()
+    new = np.ones(len(word), bool)
+    new[1:] = word[1:] != word[:-1]
+    new[w.first[:-1][total > 0]] = True
     at = np.flatnonzero(new)
-    key = key[at]
-    return key // each, own[key % each], np.diff(np.append(at, len(new))), total
+    return np.repeat(np.arange(len(total)), total)[at], word[at], np.diff(np.append(at, len(new))), total
 
 
 def packed_terms(counts) -> pa.Array:
@@ -149,6 +187,9 @@ def packed_terms(counts) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(total), [None, pa.py_buffer(offsets), pa.py_buffer(own)])
 
 
+_LOGS = np.log1p(np.arange(1 << 16, dtype="<u2"))
+
+
 def sketch(terms: list[bytes], weight: np.ndarray) -> np.ndarray:
     """A vector of ``DIMS`` whole numbers, of length ``UNIT``, for every text: its weighted terms, added up at hashed places
     with hashed signs."""
@@ -157,8 +198,8 @@ def sketch(terms: list[bytes], weight: np.ndarray) -> np.ndarray:
     doc = np.repeat(np.arange(len(terms)), size)
     at = np.arange(len(doc)) + np.repeat(np.cumsum(size) - size, size)
     term, times = flat[at], flat[at + np.repeat(size, size)]
-    sign = 1.0 - 2.0 * (term >> 8 & 1)
-    x = np.bincount(doc * DIMS + (term & DIMS - 1), sign * weight[term] * np.log1p(times), minlength=len(terms) * DIMS).reshape(-1, DIMS)
+    signed = (1.0 - 2.0 * (np.arange(TERMS) >> 8 & 1)) * weight
+    x = np.bincount(doc * DIMS + (term & DIMS - 1), signed[term] * _LOGS[times], minlength=len(terms) * DIMS).reshape(-1, DIMS)
     return np.rint(x * (UNIT / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)))
 
 
@@ -265,43 +306,98 @@ def fit_tree(terms: DataFrame, weight: np.ndarray, depth: int, scratch: Scratch)
     return tree
 
 
-_SURVEY = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("terms", pa.binary()), ("row", pa.int64()),
-                     ("word", pa.int64()), ("n", pa.int64()), ("length", pa.int64())])
+_SURVEY = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("terms", pa.binary()), ("row", pa.int64()), ("digest", pa.int64()),
+                     ("words", pa.binary()), ("length", pa.int64())])
+#: Words of one row of the survey; words of the corpus whose counts a task sums, about.
+WORDS, PART_WORDS = 1 << 16, 1 << 22
+_COUNTED = np.dtype([("word", "<i8"), ("n", "<i8")])
+
+
+def counted(words: list[np.ndarray], more: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words, ascending, and how often each occurs in ``words``, added to (words, times) ``more``."""
+    word = np.concatenate(words)
+    word.sort()
+    at = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.zeros(0, np.int64)
+    word, n = word[at], np.diff(np.append(at, len(word)))
+    if more is None:
+        return word, n
+    word, n = np.concatenate([more[0], word]), np.concatenate([more[1], n])
+    order = np.argsort(word, kind="stable")
+    word = word[order]
+    at = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.zeros(0, np.int64)
+    return word[at], np.add.reduceat(n[order], at) if len(at) else n
 
 
 def _survey(sketched: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents (row, doc_id, text) with their terms if ``sketched``, and (word, documents that hold it), one row a word and
-    task, or a few where a task has many words; a last row sums the words of the texts."""
+    """Documents (row, doc_id, text, digest) with their terms if ``sketched``, and every task's words with the documents that hold
+    each (``words``: ``WORDS`` of them a row); a last row sums the words of the texts."""
     def rows(**given) -> pa.RecordBatch:
         n = len(next(iter(given.values())))
         return pa.RecordBatch.from_arrays([pa.array(given[f.name], f.type) if f.name in given else pa.nulls(n, f.type) for f in _SURVEY],
                                           schema=_SURVEY)
 
-    def merged(found):
-        word, n = (np.concatenate(x) for x in zip(*found, strict=True))
-        word, at = coded(word)
-        return word, np.bincount(at, n, minlength=len(word)).astype(np.int64)
+    def written(word: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(word), WORDS):
+            own = np.empty(min(WORDS, len(word) - at), _COUNTED)
+            own["word"], own["n"] = word[at:at + WORDS].view(np.int64), n[at:at + WORDS]
+            yield rows(words=[own.tobytes()])
 
-    found, size, length = [], 0, 0
+    waiting, size, found, length = [], 0, None, 0
     for batch in batches:
         for part in slices(batch, "text"):
             counts = term_counts(part.column(2))
-            yield rows(doc_id=part.column(1), text=part.column(2), row=part.column(0), **({"terms": packed_terms(counts)} if sketched else {}))
-            word, at = coded(counts[1])
-            found.append((word, np.bincount(at, minlength=len(word))))
-            size, length = size + len(word), length + int(counts[3].sum())
+            yield rows(doc_id=part.column(1), text=part.column(2), row=part.column(0), digest=part.column(3),
+                       **({"terms": packed_terms(counts)} if sketched else {}))
+            waiting.append(counts[1])
+            size, length = size + len(counts[1]), length + int(counts[3].sum())
             if size > 1 << 20:
-                found = [merged(found)]
-                size = len(found[0][0])
-                if size > 1 << 19:
-                    yield rows(word=found[0][0].view(np.int64), n=found[0][1])
-                    found, size = [], 0
+                found = counted(waiting, found)
+                waiting, size = [], 0
+                if len(found[0]) > 1 << 19:
+                    yield from written(*found)
+                    found = None
+    if waiting:
+        found = counted(waiting, found)
     if found:
-        word, n = merged(found)
-        yield rows(word=word.view(np.int64), n=n)
+        yield from written(*found)
     yield rows(length=np.array([length]))
 
 
+def _dealt(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, words): the survey's ``words`` cut at ``parts`` (a power of two) even ranges of the hash."""
+    for batch in batches:
+        for cell in batch.column(0):
+            own = np.frombuffer(cell.as_buffer(), _COUNTED)
+            part = own["word"].view(np.uint64) >> U(32) >> U(33 - parts.bit_length())
+            at = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            pieces = [own[a:b].tobytes() for a, b in zip(at, [*at[1:], len(own)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[at].astype(np.int64)), pa.array(pieces, pa.binary())], names=["part", "words"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n) of the words that are in more than one document; all ``words`` of a word are in this task."""
+    cells = [np.frombuffer(cell.as_buffer(), _COUNTED) for batch in batches for cell in batch.column(0)]
+    if cells:
+        own = np.concatenate(cells)
+        own = own[np.argsort(own["word"])]
+        at = np.flatnonzero(np.append(True, own["word"][1:] != own["word"][:-1]))
+        n = np.add.reduceat(own["n"], at)
+        word, n = own["word"][at][n > 1], n[n > 1]
+        for k in range(0, len(word), WORDS):
+            yield pa.RecordBatch.from_arrays([pa.array(word[k:k + WORDS]), pa.array(n[k:k + WORDS])], names=["word", "n"])
+
+
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, n) of the survey's ``words``: the sums of a task."""
+    total = np.zeros(TERMS)
+    for batch in batches:
+        for cell in batch.column(0):
+            own = np.frombuffer(cell.as_buffer(), _COUNTED)
+            total += np.bincount(own["word"].view(np.uint64) >> U(48), own["n"], minlength=TERMS)
+    term = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(total[term].astype(np.int64))], names=["term", "n"])
+
+
 class Corpus:
     """What every shard knows of the corpus: documents, mean length, frequencies of its most frequent words."""
 
@@ -411,9 +507,9 @@ def fill(left: np.ndarray, found: Retrieval, width: int) -> list[list[tuple[int,
             score = found.scores(seed)
         left[seed] = 0
         while room and waiting:
-            s = np.where(left > 0, score, -1.0)
-            near = np.argpartition(-s, NEAR)[:NEAR] if len(s) > NEAR else np.arange(len(s))
-            near = near[np.lexsort((near, -s[near]))]
+            s = np.where(left > 0, -score, 1.0)
+            near = np.argpartition(s, NEAR)[:NEAR] if len(s) > NEAR else np.arange(len(s))
+            near = near[np.lexsort((near, s[near]))]
             near = near[left[near] > 0]
             for whole in (True, False):
                 for d in near.tolist():
@@ -512,29 +608,32 @@ def _pack(tokenizer: str, width: int, corpus: Corpus, batches: Iterator[pa.Recor
 
 def deal(docs: DataFrame, scratch: Scratch, shard_docs: int) -> tuple[DataFrame, Corpus]:
     """(shard, doc_id, text) of rows (doc_id, text), shard by shard, and the corpus' figures."""
-    source = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    source = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.xxhash64("text").alias("digest"))
     n = docs.count()
     shards = max(1, -(-n // shard_docs))
     depth = min(DEPTH, 2 + (shards - 1).bit_length()) if shards > 1 else 0
     survey = scratch.save(source.mapInArrow(partial(_survey, depth > 0), "doc_id bigint, text string, terms binary, row bigint, "
-                                            "word bigint, n bigint, length bigint"), "survey")
+                                            "digest bigint, words binary, length bigint"), "survey", **{"parquet.enable.dictionary": "false"})
+    found = survey.where("words is not null").select("words")
     place = F.lit(0).cast("bigint")
     if depth:
-        seen = survey.where("word is not null").groupBy(F.shiftrightunsigned("word", 48).alias("term")).agg(F.sum("n").alias("n")).toPandas()
+        seen = found.mapInArrow(_terms, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
         weight, f = np.zeros(TERMS), seen.n.to_numpy(float)
         weight[seen.term.to_numpy(int)] = np.log1p((n - f + 0.5) / (f + 0.5)).clip(0)
         tree = fit_tree(survey.where("row is not null").select("terms"), weight, depth, scratch)
         place = F.pandas_udf(lambda terms: pd.Series(tree.place(terms.tolist())), "bigint")("terms")
-    counts = scratch.save(survey.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "counts")
+    length = survey.agg(F.sum("length")).first()[0] or 0
+    parts = 1 << max(4, (length // PART_WORDS).bit_length())
+    counts = scratch.save(found.mapInArrow(partial(_dealt, parts), "part bigint, words binary").repartition(parts, "part").select("words")
+                          .mapInArrow(_summed, "word bigint, n bigint"), "counts")
     # 64 classes of frequency an octave, some thousand rows at most; then the classes that hold FREQUENT words or fewer
     octave = F.floor(F.log2("n") * 64)
     classes = counts.groupBy(octave.alias("c")).agg(F.count("*").alias("words")).toPandas().sort_values("c", ascending=False)
     least = classes.c[classes.words.cumsum() <= FREQUENT].min()
     top = counts.where(octave >= F.lit(int(least)) if least == least else F.lit(False)).toPandas()  # no class: least is NaN
-    length = survey.agg(F.sum("length")).first()[0] or 0
     corpus = Corpus(n, length / max(1, n), top.word.to_numpy(np.int64).view(np.uint64), top.n.to_numpy(float))
-    order = [F.col("place"), F.xxhash64("text"), F.col("row")]
-    placed = survey.where("row is not null").select(place.alias("place"), "doc_id", "text", "row")
+    order = [F.col("place"), F.col("digest"), F.col("row")]
+    placed = survey.where("row is not null").select(place.alias("place"), "doc_id", "text", "digest", "row")
     dealt = placed.repartitionByRange(shards, *order).sortWithinPartitions(*order)
     return dealt.select(F.spark_partition_id().cast("bigint").alias("shard"), "doc_id", "text"), corpus
 
