@@ -30,11 +30,13 @@ TOKEN_PATTERN = r"[^\p{L}\p{N}]+"
 
 
 def bucket_of(token: str, dim: int) -> int:
-    return int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16) % dim
+    return int.from_bytes(hashlib.md5(token.encode("utf-8")).digest()[:4], "big") % dim
 
 
-#: Tokens whose bucket a task remembers, and texts that are counted at a time: a task's memory grows with neither.
-_CACHE_LIMIT, SLICE = 1 << 18, 512
+#: Tokens whose bucket a process remembers, and texts that are counted at a time: a task's memory grows with neither.
+_CACHE_LIMIT, SLICE = 1 << 16, 512
+#: The buckets of tokens that this process has met, by width.
+_BUCKETS: dict[int, dict] = {}
 
 
 def hashed_vector(text: str | None, dim: int) -> np.ndarray:
@@ -42,29 +44,74 @@ def hashed_vector(text: str | None, dim: int) -> np.ndarray:
     return hashed_matrix(pa.array([text], type=pa.string()), dim)[0]
 
 
+#: Bytes that are no ASCII letter or digit; those of longer characters are looked at as characters.
+_ASCII = bytes(1 if c < 128 and not chr(c).isalnum() else 0 for c in range(256))
+_OTHER: dict[int, bool] = {}
+
+
+def _separates(points: np.ndarray) -> np.ndarray:
+    """Which code points beyond ASCII separate tokens, as the pattern has it; each is asked for once a process."""
+    distinct, which = np.unique(points, return_inverse=True)
+    new = [c for c in distinct.tolist() if c not in _OTHER]
+    if new:
+        _OTHER.update(zip(new, pc.match_substring_regex(pa.array(map(chr, new), pa.string()), TOKEN_PATTERN).to_pylist(), strict=True))
+    return np.array([_OTHER[c] for c in distinct.tolist()], bool)[which]
+
+
+def _tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The tokens of lower-cased texts without nulls, and how many each text has: runs of letters and digits, as the split by
+    ``TOKEN_PATTERN`` has them without the empty ones. The bytes are looked at once, not by a regex engine."""
+    texts = texts.cast(pa.string())
+    n = len(texts)
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
+    if ends[-1] == ends[0]:
+        return pa.array([], pa.string()), np.zeros(n, np.int64)
+    raw = texts.buffers()[2].to_pybytes()[ends[0]:ends[-1]] if ends[0] or ends[-1] != texts.buffers()[2].size else texts.buffers()[2].to_pybytes()
+    ends = ends - ends[0]
+    data = np.frombuffer(raw, np.uint8)
+    between = np.frombuffer(bytearray(raw.translate(_ASCII)), np.bool_)
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        more = (data[lead] >= 0xE0).astype(np.int64) + (data[lead] >= 0xF0) + 1  # bytes that follow
+        point = (data[lead] & (0x3F >> more)).astype(np.int64)
+        for k in (1, 2, 3):
+            own = more >= k
+            point[own] = point[own] << 6 | data[lead[own] + k] & 0x3F
+        apart = _separates(point)
+        for k in range(4):
+            between[lead[apart & (more >= k)] + k] = True
+    inside = ~between
+    edge = np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0))
+    start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    cut = np.unique(ends[(ends > 0) & (ends < len(data))])
+    cut = cut[inside[cut] & inside[cut - 1]]  # one text ends and the next one begins inside a run
+    if len(cut):
+        start, stop = np.sort(np.concatenate([start, cut]), kind="stable"), np.sort(np.concatenate([stop, cut]), kind="stable")
+    offsets = np.zeros(len(start) + 1, np.int32)
+    np.cumsum(stop - start, out=offsets[1:])
+    tokens = pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(data[inside]))
+    return tokens, np.diff(np.searchsorted(start, ends))
+
+
 def hashed_matrix(texts: pa.Array, dim: int, cache: dict | None = None) -> np.ndarray:
-    """The hashed embedding of a whole Arrow batch at once: lower-casing and the token
-    split run in Arrow's C++ kernels (RE2, the same regex engine as DuckDB), every distinct
+    """The hashed embedding of a whole Arrow batch at once: lower-casing runs in Arrow's C++ kernels, tokens are cut
+    from the bytes by the classes of RE2 (the same regex engine as DuckDB), every distinct
     token of the batch is hashed once, and one ``bincount`` fills the batch matrix."""
     n = len(texts)
     cache = {} if cache is None else cache
     if len(cache) > _CACHE_LIMIT:
         cache.clear()
-    toks = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), pattern=TOKEN_PATTERN)
-    flat = pc.list_flatten(toks)
+    flat, counts = _tokens(pc.utf8_lower(pc.fill_null(texts, "")))
     m = np.zeros((n, dim), dtype=np.float64)
     if len(flat):
-        parent = pc.list_parent_indices(toks).to_numpy()
-        keep = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
         enc = pc.dictionary_encode(flat)
-        uniq = enc.dictionary.to_pylist()
-        ub = np.empty(len(uniq), dtype=np.int64)
-        for j, tok in enumerate(uniq):
-            b = cache.get(tok)
-            if b is None:
-                b = cache[tok] = bucket_of(tok, dim) if tok else 0
-            ub[j] = b
-        lin = parent[keep] * dim + ub[enc.indices.to_numpy()[keep]]
+        uniq = enc.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = list(map(cache.get, uniq))
+        if None in known:
+            for j, tok in enumerate(uniq):
+                if known[j] is None:
+                    known[j] = cache[tok] = bucket_of(tok, dim)
+        lin = np.repeat(np.arange(n) * dim, counts) + np.array(known, np.int64)[enc.indices.to_numpy()]
         m = np.bincount(lin, minlength=n * dim).reshape(n, dim).astype(np.float64)
     norms = np.sqrt(np.einsum("ij,ij->i", m, m))
     norms[norms == 0] = 1.0
@@ -88,10 +135,8 @@ def matrix_to_lists(m: np.ndarray) -> pa.Array:
 def hashed_embedder(dim: int = config.VECTOR_WIDTH) -> Callable[[Column], Column]:
     if hasattr(F, "arrow_udf"):
         @F.arrow_udf(VECTOR)
-        def enc(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            cache: dict = {}  # token -> bucket, shared by all batches of the task
-            for texts in batches:
-                yield matrix_to_lists(hashed_slices(texts, dim, cache))
+        def enc(texts: pa.Array) -> pa.Array:  # not by batches: those run alone, this one in a worker with what reads it
+            return matrix_to_lists(hashed_slices(texts, dim, _BUCKETS.setdefault(dim, {})))
         return enc
 
     @F.pandas_udf(VECTOR)  # pragma: no cover - before Spark 4.1

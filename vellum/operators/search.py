@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from vellum import config
 from vellum.functions import vectors as V
+from vellum.operators.packed import counted, kind_of, opened, packed
 from vellum.operators.topk import top_k_per_group
 from vellum.session import bounded_batches, cut_lineage
 
@@ -71,61 +72,224 @@ class Contest:
 
     A product of unit vectors in single precision names the pairs worth an exact score: those over the threshold and
     not beaten by ``k`` rows seen before. Its error (some 1e-6 at these widths) is far below ``MARGIN``; scores
-    themselves are in double."""
+    themselves are in double.
 
-    ROWS, COLUMNS, EXACT, MARGIN = 1024, 1024, 4096, 1e-4
+    A query whose entries are small multiples of one number (counts of words, ``WORDS`` in all at most) needs no product. The index's
+    columns, rounded to bytes, are added up as often as each word occurs, ``BYTES`` of them before the sum needs 16 bits, for ``GROUP``
+    queries at a time; where the sum and all that rounding may have taken reach the query's floor, the columns themselves are added.
+    No pair is lost."""
+
+    ROWS, COLUMNS, EXACT, MARGIN, GROUP, WORDS, BYTES, WHOLE = 512, 1024, 4096, 1e-4, 256, 64, 2, 1e-4
 
     def __init__(self, queries: np.ndarray, k: int, threshold: float, mode: str) -> None:
-        self.q, self.k, self.threshold, self.mode = queries.astype(np.float64, copy=False), k, threshold, mode
-        self.qn = np.linalg.norm(self.q, axis=1)
-        self.unit = unit_rows(self.q).astype(np.float32)
+        self.k, self.threshold, self.mode, (self.n, self.width) = k, threshold, mode, queries.shape
+        self.qn = np.zeros(self.n)
         cosine = 2 * threshold - 1 if mode == "unit" else threshold
-        self.floor = np.full(len(queries), cosine - self.MARGIN, np.float32)
-
-    def enter(self, m: np.ndarray):
-        """(row of ``m``, query, score) of the pairs that pass; rows that tie with a query's k-th stay."""
+        self.floor = np.full(self.n, cosine - self.MARGIN, np.float32)
+        parts = []
+        for at in range(0, self.n, self.ROWS):
+            part = queries[at:at + self.ROWS].astype(np.float64, copy=False)
+            self.qn[at:at + self.ROWS] = np.linalg.norm(part, axis=1)
+            parts.append((at, *self._counts(part, self.qn[at:at + self.ROWS])))
+        few = np.zeros(self.n, bool)
+        for at, query, *_ in parts:
+            few[at + query] = True
+        self.dense = np.flatnonzero(~few)
+        self.q = queries[self.dense]
+        self.unit = np.concatenate([unit_rows(self.q[at:at + self.ROWS].astype(np.float64, copy=False)).astype(np.float32)
+                                    for at in range(0, len(self.q), self.ROWS)] or [np.zeros((0, self.width), np.float32)])
+        self.groups: list[tuple] = []
+        if few.any():
+            self._group(np.flatnonzero(few), *(np.concatenate([x[c] for x in parts]) for c in range(2, 8)))
+
+    def _counts(self, part: np.ndarray, norm: np.ndarray):
+        """Of the queries that are counts: (query, its unit, error of that, entries), and (column, times, value) of the entries."""
+        row, column = np.nonzero(part)
+        value = part[row, column]
+        few = np.bincount(row, minlength=len(part)) <= self.WORDS
+        few &= np.isfinite(norm) & (norm > 0)
+        few[row[value < 0]] = False
+        for last in (False, True):
+            kept = few[row]
+            row, column, value = row[kept], column[kept], value[kept]
+            query, first, entries = np.unique(row, return_index=True, return_counts=True)
+            unit = np.minimum.reduceat(value, first) if len(query) else value
+            times = value / np.repeat(unit, entries)
+            off = times - np.rint(times)
+            if not last and len(query):
+                few[query[(np.maximum.reduceat(np.abs(off), first) > self.WHOLE) | (np.add.reduceat(np.rint(times), first) > self.WORDS)]] = False
+        unit = unit / norm[query]
+        error = unit * np.sqrt(np.add.reduceat(off * off, first)) if len(query) else unit
+        return query, unit, error, entries, column, np.rint(times).astype(np.int64), value
+
+    def _group(self, query, unit, error, entries, column, times, value) -> None:
+        """``groups`` of queries with about as many words, and the ``scale`` of the columns: no sum of ``BYTES`` of them leaves a byte. A
+        group: (number of its first query in ``counted``, queries, unit, error, number of words, words in lots of ``BYTES``, the places
+        where their columns start in slices of ``ROWS``); words are column numbers, one for each time, filled up with the number of a
+        column of zeros. A word that occurs again is in another lot, if there is one."""
+        first = np.cumsum(entries) - entries
+        length = np.add.reduceat(times, first)
+        order = np.argsort(length, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        owner = np.repeat(np.arange(len(query)), entries)
+        at = place[owner], np.arange(len(owner)) - first[owner]
+        self.columns, self.values = np.zeros((len(query), entries.max()), np.int16 if self.width < 32768 else np.int64), np.zeros((len(query), entries.max()))
+        self.columns[at], self.values[at] = column, value
+        begin = np.cumsum(length) - length
+        owner = np.repeat(np.arange(len(query)), length)
+        words = np.full((len(query), self.WORDS), self.width, np.intp)
+        words[place[owner], np.arange(len(owner)) - begin[owner]] = np.repeat(column, times)
+        query, unit, error, length = query[order], unit[order], error[order], length[order]
+        self.counted, longest = query, 1.0
+        for at in range(0, len(query), self.GROUP):
+            own = slice(at, at + self.GROUP)
+            lots = -(-int(length[own][-1]) // self.BYTES)
+            lot = np.ascontiguousarray(words[own, :lots * self.BYTES].T).reshape(self.BYTES, lots, -1).transpose(1, 0, 2)
+            same = sum((lot[:, [i]] == lot).sum(axis=1, where=lot < self.width) * (lot[:, i] < self.width) for i in range(self.BYTES))
+            longest = max(longest, float(same.max()) ** 0.5)  # of a lot, as a vector of counts
+            self.groups.append((at, query[own], unit[own], error[own], length[own], lot, lot.transpose(1, 0, 2).reshape(lots * self.BYTES, -1) * self.ROWS))
+        # a sum of products is at most the product of the lengths, and a row's length is 1
+        self.scale = (254 - self.BYTES / 2) / longest
+
+    def settle(self, query: np.ndarray, score: np.ndarray) -> None:
+        """From now on rows count that reach ``score``, the score of the query's ``k``-th of those seen."""
+        cosine = 2 * score - 1 if self.mode == "unit" else score
+        self.floor[query] = np.maximum(self.floor[query], (cosine - self.MARGIN).astype(np.float32))
+
+    def _scored(self, row, query, dot, size):
+        s = np.divide(dot, size, out=np.zeros_like(dot), where=size > 0)
+        s = np.round((1.0 + s) / 2.0 if self.mode == "unit" else s, ROUND)
+        kept = s >= self.threshold
+        return row[kept], query[kept], s[kept]
+
+    def _near(self, u: np.ndarray):
+        """(row, place in ``dense``) of pairs that the product lets pass."""
+        for left in range(0, len(self.dense), self.COLUMNS):
+            query = self.dense[left:left + self.COLUMNS]
+            near = u @ self.unit[left:left + self.COLUMNS].T
+            own = self.floor[query]
+            crowded = np.flatnonzero((near >= own).sum(axis=0) > self.k)
+            if len(crowded):
+                kth = np.partition(near[:, crowded], len(u) - self.k, axis=0)[len(u) - self.k]
+                own[crowded] = np.maximum(own[crowded], kth - 2 * self.MARGIN)
+                self.floor[query] = own
+            r, c = np.nonzero(near >= own)
+            yield r, left + c
+
+    def _summed(self, u: np.ndarray):
+        """(row, place in ``counted``) of pairs that the sums let pass."""
+        n, scale = len(u), self.scale
+        exact = np.zeros((self.width + 1, self.ROWS), np.float32)
+        exact[:-1, :n] = u.T
+        table = np.rint(np.maximum(exact[:, :n], 0) * np.float32(scale)).astype(np.uint8)
+        exact = exact.ravel()
+        rising = u.min() >= 0  # else the sums may be too high, but never too low
+        room = np.empty((2, self.GROUP, n), np.uint8)
+        for group in self.groups:
+            at, query, unit, error, length, lots, starts = group
+            total, (few, more) = np.zeros((len(query), n), np.int16), room[:, :len(query)]
+            for lot in lots:
+                table.take(lot[0], axis=0, out=few, mode="clip")
+                for word in lot[1:]:
+                    table.take(word, axis=0, out=more, mode="clip")
+                    few += more
+                total += few
+            lost = unit * length * 0.5 / scale + error
+            least = lambda lost=lost, unit=unit, query=query: np.clip(np.floor((self.floor[query] - lost) * scale / unit), -1, 32767).astype(np.int16)
+            hit = np.flatnonzero(total >= least()[:, None])
+            if rising and len(hit) > self.k:
+                crowded = np.flatnonzero(np.bincount(hit // n, minlength=len(query)) > max(self.k, n // 16))
+                if len(crowded):
+                    kth = np.partition(total[crowded], n - self.k, axis=1)[:, n - self.k] * unit[crowded] / scale - lost[crowded]
+                    self.floor[query[crowded]] = np.maximum(self.floor[query[crowded]], (kth - self.MARGIN).astype(np.float32))
+                    hit = np.flatnonzero(total >= least()[:, None])
+            if not len(hit):
+                continue
+            c, r = np.divmod(hit, n)
+            near = np.empty(len(c), np.float32)
+            for e in range(0, len(c), self.EXACT):
+                cells = starts.take(c[e:e + self.EXACT], axis=1)
+                cells += r[e:e + self.EXACT]
+                near[e:e + self.EXACT] = exact.take(cells, mode="clip").sum(axis=0)
+            near *= unit[c]
+            # the single precision of the sum is in the floor's margin
+            kept = near >= (self.floor[query] - error)[c]
+            r, c, near = r[kept], c[kept], near[kept]
+            crowded = np.flatnonzero(np.bincount(c, minlength=len(query)) > self.k) if len(c) > self.k else ()
+            if len(crowded):
+                order = np.lexsort((-near, c))
+                kth = near[order[np.searchsorted(c[order], crowded) + self.k - 1]] - error[crowded]
+                self.floor[query[crowded]] = np.maximum(self.floor[query[crowded]], (kth - self.MARGIN).astype(np.float32))
+                kept = near >= (self.floor[query] - error)[c]
+                r, c = r[kept], c[kept]
+            yield r, at + c
+
+    def enter(self, m: np.ndarray, norms: np.ndarray | None = None):
+        """(row of ``m``, query, score) of the pairs that pass; rows that tie with a query's k-th stay. ``norms`` as
+        :func:`lengths` has them."""
+        norms = lengths(m) if norms is None else norms
         for at in range(0, len(m), self.ROWS):
-            part = m[at:at + self.ROWS].astype(np.float64, copy=False)
-            mn = np.linalg.norm(part, axis=1)
+            part, mn = m[at:at + self.ROWS], norms[at:at + self.ROWS]
             live = np.flatnonzero((mn > 0) & np.isfinite(mn))
-            u = unit_rows(part[live]).astype(np.float32)
-            for left in range(0, len(self.q), self.COLUMNS) if len(live) else ():
-                near = u @ self.unit[left:left + self.COLUMNS].T
-                own = self.floor[left:left + self.COLUMNS]
-                crowded = np.flatnonzero((near >= own).sum(axis=0) > self.k)
-                if len(crowded):
-                    kth = np.partition(near[:, crowded], len(u) - self.k, axis=0)[len(u) - self.k]
-                    own[crowded] = np.maximum(own[crowded], kth - 2 * self.MARGIN)
-                r, c = np.nonzero(near >= own)
+            if not len(live):
+                continue
+            u = (part[live] / mn[live, None]).astype(np.float32)
+            for r, c in self._near(u):
                 for e in range(0, len(r), self.EXACT):
-                    row, query = live[r[e:e + self.EXACT]], left + c[e:e + self.EXACT]
-                    dot = np.einsum("ij,ij->i", part[row], self.q[query], dtype=np.float64)
-                    size = mn[row] * self.qn[query]
-                    s = np.divide(dot, size, out=np.zeros_like(dot), where=size > 0)
-                    s = np.round((1.0 + s) / 2.0 if self.mode == "unit" else s, ROUND)
-                    kept = s >= self.threshold
-                    yield at + row[kept], query[kept], s[kept]
+                    row, own = live[r[e:e + self.EXACT]], c[e:e + self.EXACT]
+                    dot = np.einsum("ij,ij->i", part[row].astype(np.float64, copy=False), self.q[own].astype(np.float64, copy=False), dtype=np.float64)
+                    query = self.dense[own]
+                    row, query, s = self._scored(row, query, dot, mn[row] * self.qn[query])
+                    yield at + row, query, s
+            found: list[tuple] = []
+            for pair in self._summed(u) if self.groups else ():
+                found.append(pair)
+                if sum(len(r) for r, _ in found) > 4 * self.EXACT:
+                    yield from self._exact(at, part, mn, live, found)
+                    found = []
+            yield from self._exact(at, part, mn, live, found)
+
+    def _exact(self, at: int, part: np.ndarray, mn: np.ndarray, live: np.ndarray, found: list[tuple]):
+        if not found:
+            return
+        r, c = (np.concatenate(x) for x in zip(*found, strict=True))
+        for e in range(0, len(r), self.EXACT):
+            row, own = live[r[e:e + self.EXACT]], c[e:e + self.EXACT]
+            dot = np.einsum("ij,ij->i", part[row[:, None], self.columns[own]].astype(np.float64, copy=False), self.values[own])
+            query = self.counted[own]
+            row, query, s = self._scored(row, query, dot, mn[row] * self.qn[query])
+            yield at + row, query, s
+
+
+def lengths(m: np.ndarray) -> np.ndarray:
+    """The rows' lengths, in double, a slice at a time."""
+    return np.concatenate([np.linalg.norm(m[at:at + Contest.ROWS].astype(np.float64, copy=False), axis=1)
+                           for at in range(0, len(m), Contest.ROWS)] or [np.zeros(0)])
 
 
 def _scorer(qids, qmat_bc, k: int, threshold: float, mode: str, ikey: str, ivec: str,
-            qkey: str, prune_rows: int = 200_000):
+            qkey: str, prune_rows: int = 20_000):
     def run(batches):
         contest = Contest(qmat_bc.value, k, threshold, mode)
-        most = max(prune_rows, 2 * k * len(contest.q))
+        most = max(prune_rows, 2 * k * contest.n)
         kept: list[pd.DataFrame] = []
         n_kept = 0
         for whole in batches:
             for at in range(0, whole.num_rows, Contest.ROWS):
                 rb = whole.slice(at, Contest.ROWS)
                 ids = rb.column(ikey).to_numpy(zero_copy_only=False)
-                for r, c, s in contest.enter(_matrix(rb.column(ivec), contest.q.shape[1])):
-                    kept.append(pd.DataFrame({qkey: qids[c], ikey: ids[r], "score": s}))
+                for r, c, s in contest.enter(_matrix(rb.column(ivec), contest.width)):
+                    kept.append(pd.DataFrame({qkey: c, ikey: ids[r], "score": s}))
                     n_kept += r.size
                     if n_kept > most:
                         kept = [_best(kept, k, qkey, ikey)]
                         n_kept = len(kept[0])
+                        last = kept[0][kept[0].groupby(qkey, sort=False).cumcount() == k - 1]
+                        contest.settle(last[qkey].to_numpy(), last["score"].to_numpy())
         if n_kept:
             best = _best(kept, k, qkey, ikey)
+            best[qkey] = qids[best[qkey].to_numpy()]
             yield pa.RecordBatch.from_pandas(best, preserve_index=False)
 
     return run
@@ -151,17 +315,18 @@ def topk_similarity(index: DataFrame, queries: DataFrame, k: int = config.TOP_K,
     schema = f"{query_key} {qkey_t}, {index_key} {key_t}, score double"
     # The query table is read by the count and by the search; a reliable checkpoint computes it
     # (embedding included) once instead of once per read.
-    queries = cut_lineage(queries.select(query_key, query_vec))
-    width = width or _width(queries, query_vec)
-    n = queries.count()
+    kind = kind_of(queries, query_vec)
+    rows = cut_lineage(packed(queries, query_key, query_vec))
+    n, own = counted(rows)
+    width = width or own
     if not n:
         return spark.createDataFrame([], schema + ", rank int").select(query_key, index_key, "rank", "score")
     if n * (width * 8 + 64) > max_broadcast_bytes:
         from vellum.operators.tiles import topk_join
-        return topk_join(idx, queries, k, threshold, mode, index_key, index_vec, query_key, query_vec, width)
-    asked = queries.toArrow()
-    bc = spark.sparkContext.broadcast(_matrix(asked.column(query_vec), width))
-    qids = asked.column(query_key).to_numpy(zero_copy_only=False)
+        return topk_join(idx, queries, k, threshold, mode, index_key, index_vec, query_key, query_vec, width, rows)
+    asked = [x for b in rows.toArrow().to_batches() for x in opened(b, kind, width)]
+    bc = spark.sparkContext.broadcast(np.concatenate([m for _, m in asked]).astype(np.float64, copy=False))
+    qids = pa.concat_arrays([ids for ids, _ in asked]).to_numpy(zero_copy_only=False)
     cands = idx.mapInArrow(_scorer(qids, bc, k, threshold, mode, index_key, index_vec, query_key), schema)
     # Candidates per query = k per index partition. Salt the final ranking in proportion
     # to the cluster's parallelism (not the index's partition count: asking a planned

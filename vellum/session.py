@@ -69,6 +69,18 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
+def drop_saved(*saved) -> None:
+    """Deletes the files of frames that :func:`cut_lineage` made and nothing reads any more, and has the driver look for shuffles
+    that went with them. Otherwise both stay until it happens to collect its garbage."""
+    for df in saved:
+        file, sc = df._jdf.queryExecution().logical().rdd().getCheckpointFile(), df.sparkSession.sparkContext
+        if file.isDefined():
+            path = sc._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    if saved:
+        sc._jvm.System.gc()
+
+
 #: Bytes of one Arrow batch between the JVM and Python.
 BATCH_BYTES = 4 << 20
 
