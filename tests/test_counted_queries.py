@@ -125,3 +125,32 @@ def test_tokens_are_those_of_the_pattern():
     want = [[w for w in pa.compute.split_pattern_regex(pa.compute.utf8_lower(pa.scalar(t)), pattern=E.TOKEN_PATTERN).as_py() if w] for t in texts]
     assert tokens.to_pylist() == sum(want, []) and n.tolist() == [len(w) for w in want]
     assert not any(re.search(r"[\s,_-]", w) for w in tokens.to_pylist())
+
+
+def test_a_shelf_is_bounded_by_its_bytes_as_they_lie(spark, monkeypatch):
+    """Compressed vectors fill a shelf, so that queries travel to few; what was saved on the way is gone afterwards."""
+    rng = np.random.default_rng(10)
+    m, q = counts(rng, 1200, 256, 25), counts(rng, 40, 256, 8)
+    frame = lambda x, key: spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], f"{key} long, embedding array<float>")
+    rows, gone, shelves, drop = [], [], T.shelves, T.drop_saved
+    monkeypatch.setattr(T, "shelves", lambda blocks, n: rows.append(n) or shelves(blocks, n))
+    monkeypatch.setattr(T, "drop_saved", lambda *x: gone.extend(x) or drop(*x))
+    got = T.topk_join(frame(m, "id"), frame(q, "query_id"), 5, 0.3, tile_bytes=256 * 8 * 50, shelf_bytes=30_000)
+    assert len(rows) == 1 and 30_000 / (256 * 4) * 3 < rows[0] < 1200  # a third of the width or less, and several shelves
+    want = brute(m, q, 5, 0.3, "cosine")
+    assert sorted((r.query_id, r.id, r.score) for r in got.collect()) == sorted(want.itertuples(index=False, name=None))
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = [path(x._jdf.queryExecution().logical().rdd().getCheckpointFile().get()) for x in gone]
+    assert len(files) == 6 and not any(f.getFileSystem(spark._jsc.hadoopConfiguration()).exists(f) for f in files)
+
+
+def test_histories_of_asked_turns(spark):
+    """Those turns' rows as they were, also where a turn has messages of two roles or is missing."""
+    from vellum.operators.sessions import chat_role, history_upto
+
+    rows = [(1, 0, "user", "a"), (1, 1, "ai", "b"), (1, 2, "human", "c"), (1, 2, "ai", "d"), (2, 0, "ai", None), (2, None, "user", "x"), (None, 1, "user", "y"), (3, 1, None, "z")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    every = [tuple(r) for r in history_upto(df).collect()]
+    got = [tuple(r) for r in history_upto(df, asked=chat_role("role") == "user").collect()]
+    turns = {(1, 0), (1, 2), (2, None), (None, 1)}
+    assert sorted(got, key=str) == sorted((r for r in every if r[:2] in turns), key=str) and len(got) == 5

@@ -60,8 +60,9 @@ def history_preview(messages: DataFrame, session: str = "conv_id", turn: str = "
 
 def history_upto(messages: DataFrame, session: str = "conv_id", turn: str = "turn",
                  role: str = "role", content: str = "text",
-                 max_history: int | None = None) -> DataFrame:
-    """For every message, the conversation before it as ``role: content`` lines.
+                 max_history: int | None = None, asked: Column | None = None) -> DataFrame:
+    """For every message, the conversation before it as ``role: content`` lines. With ``asked``, only for the turns
+    of a session that have a message for which it holds (unbounded histories; bounded ones are given for all).
 
     Without a bound the whole history is asked for (as the reference passes it): the text of a
     message's history grows with the session, whatever the plan, and a window per session builds
@@ -71,8 +72,11 @@ def history_upto(messages: DataFrame, session: str = "conv_id", turn: str = "tur
     if max_history is not None:
         return _history_ranged(messages.select(session, turn, line.alias("_line")), session, turn, max_history)
     w = Window.partitionBy(session).orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
-    return messages.select(session, turn, F.array_join(F.collect_list(line).over(w), "\n")
-                           .alias("history"))
+    history = F.array_join(F.collect_list(line).over(w), "\n").alias("history")
+    if asked is None:
+        return messages.select(session, turn, history)
+    same_turn = Window.partitionBy(session, turn)
+    return messages.select(session, turn, history, F.max(asked).over(same_turn).alias("_asked")).where("_asked").drop("_asked")
 
 
 def _history_ranged(lines: DataFrame, session: str, turn: str, m: int,

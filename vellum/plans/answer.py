@@ -131,7 +131,7 @@ def chat_inputs(index: DataFrame, messages: DataFrame, session: str = "conv_id",
     if only is not None and max_history is None:  # the asked turns' histories alone, not every turn's
         hist = history_at(messages, only, session, turn, role, content)
     else:
-        hist = history_upto(messages, session, turn, role, content, max_history)
+        hist = history_upto(messages, session, turn, role, content, max_history, chat_role(role) == "user")
     keyed = users.withColumn("_qk", F.concat_ws("#", F.col(session).cast("string"),
                                                 F.col(turn).cast("string")))
     ctx = retrieve(index, keyed.select("_qk", "question"), "_qk", **kw)
